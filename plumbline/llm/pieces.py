@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,9 @@ class Encoder:
     """Encodes words; those met before are kept, up to a bound."""
 
     def __init__(self, v: Vocabulary):
-        self.pieces = v.pieces
+        self.bytes_of = [p.replace(SPACE, " ").encode() for p in v.pieces]
+        self.bytes_of[v.first_byte : v.first_byte + 256] = [bytes([b]) for b in range(256)]
+        self.number = [str(i) for i in range(len(v.pieces))]
         own = [i for i in range(len(v.pieces)) if v.normal[i]]
         ids = {v.pieces[i]: i for i in own}
         self.first_byte = v.first_byte
@@ -78,9 +81,17 @@ class Encoder:
         fold = runs and all(levels[float(v.scores[i])] == worst for i in runs) and sum(levels[float(v.scores[i])] == worst for i in own) == len(runs)
         fold = fold and not any(v.pieces[i].startswith(SPACE * 2) and i not in runs for i in own)
         self.fold_rank = worst if fold else NONE - 1
-        # A newline that no longer piece holds never merges, so a word may end there.
+        # Where no piece holds two characters side by side, nothing merges across them and a word may end:
+        # around a newline that no longer piece holds, and before signs that follow nothing but such signs.
         stop = "" if "\n" in joined else "\n"
-        self.words = re.compile(rf" *[^ {stop}]+| +" + ("|\n" if stop else ""))
+        signs = {c for c in joined if not c.isalpha() and c != SPACE}
+        beside = {(a, b) for i in own for a, b in pairwise(v.pieces[i]) if a != SPACE}
+        while late := {b for a, b in beside if b in signs and a not in signs}:
+            signs -= late
+        held = re.escape("".join(sorted(signs)))
+        rest = rf"[^ {held}{stop}]"
+        lead = rf" +[{held}]*|[{held}]+" if held else " +"
+        self.words = re.compile(rf"(?:{lead}){rest}*|{rest}+" + ("|\n" if stop else ""))
         self.ids: dict[str, str] = {}
         self.texts: dict[str, str] = {}
 
@@ -98,11 +109,11 @@ class Encoder:
         sym = np.where(sym < 0, -1 - points, sym)
         word = np.repeat(np.arange(len(words)), [len(w) for w in words])
         out: list[list[int]] = [[] for _ in words]
+        rank, into = self._find(sym[:-1], sym[1:])
+        rank = np.append(np.where(word[1:] == word[:-1], rank, NONE), NONE)
+        into = np.append(into, -1)
         while len(sym):
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            rank, into = self._find(sym[:-1], sym[1:])
-            rank = np.append(np.where(word[1:] == word[:-1], rank, NONE), NONE)
-            into = np.append(into, -1)
             best = np.minimum.reduceat(rank, starts)
             size = np.diff(np.append(starts, len(sym)))
             done = (best == NONE) | (best == self.fold_rank)
@@ -110,17 +121,27 @@ class Encoder:
                 own = sym[starts[k] : starts[k] + size[k]].tolist()
                 out[word[starts[k]]] = self._fold(own) if best[k] == self.fold_rank else own
             live = np.repeat(~done, size)
-            chosen = live & (rank == np.repeat(best, size))
-            at = np.flatnonzero(chosen)
-            if len(at):
-                # In a row of overlapping pairs every other one, from the left.
-                head = np.r_[True, np.diff(at) > 1]
-                first = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-                at = at[(np.arange(len(at)) - first) % 2 == 0]
-                at = self._in_order(at, sym, word, rank, into)
-                sym[at] = into[at]
-                live[at + 1] = False
-            sym, word = sym[live], word[live]
+            at = np.flatnonzero(live & (rank == np.repeat(best, size)))
+            if not len(at):
+                break
+            # In a row of overlapping pairs every other one, from the left.
+            head = np.r_[True, np.diff(at) > 1]
+            first = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+            at = self._in_order(at, sym, word, rank, into)
+            sym[at] = into[at]
+            live[at + 1] = False
+            # Only the pairs that a merged symbol is part of have new ranks.
+            moved = np.zeros(len(sym), dtype=bool)
+            moved[at] = True
+            sym, word, rank, into, moved = sym[live], word[live], rank[live], into[live], moved[live]
+            new = moved.copy()
+            new[:-1] |= moved[1:]
+            pair = np.flatnonzero(new[:-1])
+            rank[pair], into[pair] = self._find(sym[pair], sym[pair + 1])
+            rank[pair[word[pair] != word[pair + 1]]] = NONE
+            if len(rank):
+                rank[-1] = NONE
         return out
 
     def _in_order(self, at, sym, word, rank, into):
@@ -160,6 +181,8 @@ class Encoder:
 
     def _numbers(self, symbols: list[int]) -> list[int]:
         """Ids; a character without a piece becomes the bytes of its UTF-8 form."""
+        if min(symbols) >= 0:
+            return symbols
         out: list[int] = []
         for s in symbols:
             if s >= 0:
@@ -170,13 +193,7 @@ class Encoder:
 
     def decode(self, ids: list[int]) -> str:
         """Pieces and bytes as text, each space mark as a space; the caller takes off the dummy prefix."""
-        out = bytearray()
-        for i in ids:
-            if self.first_byte <= i < self.first_byte + 256:
-                out.append(i - self.first_byte)
-            else:
-                out += self.pieces[i].replace(SPACE, " ").encode()
-        return out.decode("utf-8", "replace")
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
     def split(self, text: str) -> list[str]:
         return self.words.findall(" " + text.replace(SPACE, " ")) if text else []
@@ -188,7 +205,7 @@ class Encoder:
         new = sorted(words.difference(self.ids))
         for word, symbols in zip(new, self.merge(new) if new else [], strict=True):
             ids = self._numbers(symbols)
-            self.ids[word], self.texts[word] = ",".join(map(str, ids)), self.decode(ids)
+            self.ids[word], self.texts[word] = ",".join(map(self.number.__getitem__, ids)), self.decode(ids)
 
     def encode(self, text: str) -> list[int]:
         self.learn(set(words := self.split(text)))
