@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.sharpe import sharpe
+
 DAYS = 252
 #: Fixed values of the estimators: variance floor, bound of autocorrelations, Bartlett constant.
 FLOOR, MOST_RHO, BARTLETT = 1e-30, 0.97, 1.1447
@@ -272,3 +274,29 @@ def percentile_bootstrap(series: DataFrame, reps: int = 2000, mean_block: float
 
     out = series.select("entry", "ordinal", "x", "y").groupBy("entry").applyInPandas(run, "entry string, net_edge double, ci_low double, ci_high double, p_positive double")
     return out.withColumn("clears_bar", F.col("ci_low") > 0)
+
+
+def fixed_bandwidth_errors(series: DataFrame, lags: float) -> DataFrame:
+    """(entry, edge, se) with a given bandwidth instead of the estimated one."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        x, y = _xy(g)
+        d, s = sharpe_difference(x, None if _is_cash(y) else y, lags=lags)
+        return pd.DataFrame({"entry": [g["entry"].iloc[0]], "edge": d, "se": s})
+
+    return series.select("entry", "ordinal", "x", "y").groupBy("entry").applyInPandas(run, "entry string, edge double, se double")
+
+
+def formula_bootstrap(series: DataFrame, reps: int, block: int, start: tuple[int, int, int], alpha: float = 0.05) -> DataFrame:
+    """(entry, ci_low, ci_high, p_positive) where block b of replicate r starts on day (a r + c b + k) mod n.
+
+    No random numbers: each day of each replicate names its source day, and the series is
+    joined by it. Every entry must have the days 0 to n - 1.
+    """
+    a, c, k = start
+    n = series.groupBy("entry").agg(F.count("*").alias("n"))
+    draws = n.select("entry", "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("pos"))
+    begin = (F.lit(a).cast("long") * F.col("rep") + F.lit(c).cast("long") * F.floor(F.col("pos") / block) + k) % F.col("n")
+    rows = draws.select("entry", "rep", ((begin + F.col("pos") % block) % F.col("n")).alias("ordinal"))
+    per = rows.join(series, ["entry", "ordinal"]).groupBy("entry", "rep").agg((sharpe("x") - sharpe(F.coalesce("y", F.lit(0.0)))).alias("d"))
+    return per.groupBy("entry").agg(F.percentile("d", F.lit(alpha / 2)).alias("ci_low"), F.percentile("d", F.lit(1 - alpha / 2)).alias("ci_high"), F.avg((F.col("d") > 0).cast("double")).alias("p_positive"))

@@ -7,44 +7,41 @@ from pyspark.sql import functions as F
 
 from plumbline.panel import ratio
 
-DAY = Window.partitionBy("date")
-
-
 def day(*keys: str) -> WindowSpec:
     return Window.partitionBy(*keys, "date")
 
 
-def ordinal_rank(value: str, w: WindowSpec, ticker: str = "ticker") -> Column:
+def ordinal_rank(value: str, w: WindowSpec | None = None, ticker: str = "ticker") -> Column:
     """1, 2, ... from the smallest value on; ties in ticker order; null values have no rank."""
     c = F.col(value)
-    return F.when(c.isNotNull(), F.row_number().over(w.orderBy(c.isNull(), c, ticker)))
+    return F.when(c.isNotNull(), F.row_number().over((w or day()).orderBy(c.isNull(), c, ticker)))
 
 
-def rank_first(value: str, w: WindowSpec = DAY, ticker: str = "ticker") -> Column:
+def rank_first(value: str, w: WindowSpec | None = None, ticker: str = "ticker") -> Column:
     """The ordinal rank over the number of values."""
-    return ordinal_rank(value, w, ticker) / F.count(value).over(w)
+    return ordinal_rank(value, w, ticker) / F.count(value).over(w or day())
 
 
-def mean_rank(value: str, w: WindowSpec = DAY) -> Column:
+def mean_rank(value: str, w: WindowSpec | None = None) -> Column:
     """The rank where ties share their mean; null values have none."""
     c = F.col(value)
-    order = w.orderBy(c.isNull(), c)
+    order = (w or day()).orderBy(c.isNull(), c)
     peers = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))
     return F.when(c.isNotNull(), F.rank().over(order) + (peers - 1) / 2)
 
 
-def rank_average(value: str, w: WindowSpec = DAY) -> Column:
+def rank_average(value: str, w: WindowSpec | None = None) -> Column:
     """The mean rank over the number of values, less one half."""
-    return mean_rank(value, w) / F.count(value).over(w) - 0.5
+    return mean_rank(value, w) / F.count(value).over(w or day()) - 0.5
 
 
-def size(value: str, w: WindowSpec = DAY) -> Column:
-    return F.count(value).over(w)
+def size(value: str, w: WindowSpec | None = None) -> Column:
+    return F.count(value).over(w or day())
 
 
-def equal_weight(chosen: Column, w: WindowSpec = DAY) -> Column:
+def equal_weight(chosen: Column, w: WindowSpec | None = None) -> Column:
     """1 / n for the n chosen names of the day, zero for the others."""
-    return F.coalesce(F.when(chosen, F.lit(1.0) / F.nullif(F.sum(chosen.cast("int")).over(w), F.lit(0))), F.lit(0.0))
+    return F.coalesce(F.when(chosen, F.lit(1.0) / F.nullif(F.sum(chosen.cast("int")).over(w or day()), F.lit(0))), F.lit(0.0))
 
 
 def daily_correlation(df: DataFrame, a: str, b: str, keys: tuple[str, ...] = ()) -> DataFrame:

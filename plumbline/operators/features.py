@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.timeseries import OWN, TRADING_DAYS, bollinger, change, rolling, smoothed, span_alpha, true_range, volume_z
+from plumbline.operators.timeseries import TRADING_DAYS, bollinger, change, own, rolling, smoothed, span_alpha, true_range, volume_z
 from plumbline.panel import ratio
 
 #: Tickers that are bars, not names of the universe.
@@ -35,10 +35,10 @@ def stock_features(prices: DataFrame, smooth: bool = True) -> DataFrame:
     out with ``smooth=False``.
     """
     w = prices.withColumns(window_features())
-    w = w.withColumns({"vol_21d": rolling("std", "ret_1d", 21) * math.sqrt(TRADING_DAYS), "target": F.lead("ret_1d").over(OWN)})
+    w = w.withColumns({"vol_21d": rolling("std", "ret_1d", 21) * math.sqrt(TRADING_DAYS), "target": F.lead("ret_1d").over(own())})
     if not smooth:
         return w
-    step = F.col("close") - F.lag("close").over(OWN)
+    step = F.col("close") - F.lag("close").over(own())
     w = w.withColumns({"_up": F.greatest(step, F.lit(0.0) * step), "_down": F.greatest(-step, F.lit(0.0) * step), "_tr": true_range()})
     s = smoothed(
         w,
@@ -74,7 +74,7 @@ def feature_panel(prices: DataFrame, market: DataFrame, tickers: list[str] | Non
 
 def bar_returns_of(prices: DataFrame, bars: tuple[str, ...] = BENCHMARKS) -> DataFrame:
     """(date, bar, ret): each bar's next return, on its own days."""
-    return prices.where(F.col("ticker").isin(*bars)).withColumn("ret", ratio(F.lead("close").over(OWN), F.col("close")) - 1).where("ret is not null").select("date", F.col("ticker").alias("bar"), "ret")
+    return prices.where(F.col("ticker").isin(*bars)).withColumn("ret", ratio(F.lead("close").over(own()), F.col("close")) - 1).where("ret is not null").select("date", F.col("ticker").alias("bar"), "ret")
 
 
 def actual_returns(panel: DataFrame) -> DataFrame:

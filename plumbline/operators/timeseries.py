@@ -1,7 +1,7 @@
 """Trailing operators, each a window expression over a name's rows.
 
-``OWN`` runs over the rows a name has. Calendar semantics (a missing day counts as a step)
-need a densified panel or ``panel.shift_days``.
+Without a window they run over the rows a name has. Calendar semantics (a missing day counts
+as a step) need a densified panel or ``panel.shift_days``.
 """
 
 from __future__ import annotations
@@ -19,56 +19,53 @@ def own(*keys: str, order: str = "date") -> WindowSpec:
     return Window.partitionBy(*(keys or ("ticker",))).orderBy(order)
 
 
-OWN = own()
-
-
-def change(x: str, k: int = 1, w: WindowSpec = OWN) -> Column:
+def change(x: str, k: int = 1, w: WindowSpec | None = None) -> Column:
     """x over its value k rows before, less one; null where that is null or zero."""
-    return ratio(F.col(x), F.lag(x, k).over(w)) - 1
+    return ratio(F.col(x), F.lag(x, k).over(w or own())) - 1
 
 
-def carried(x: str, w: WindowSpec = OWN) -> Column:
+def carried(x: str, w: WindowSpec | None = None) -> Column:
     """The last value that is not null."""
-    return F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(x, ignorenulls=True).over((w or own()).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def ahead(x: str, k: int = 1, w: WindowSpec = OWN) -> Column:
-    return F.lead(x, k).over(w)
+def ahead(x: str, k: int = 1, w: WindowSpec | None = None) -> Column:
+    return F.lead(x, k).over(w or own())
 
 
 def _guarded(agg: Column, x: Column, frame: WindowSpec, least: int) -> Column:
     return F.when(F.count(x).over(frame) >= least, agg.over(frame))
 
 
-def rolling(kind: str, x: str | Column, n: int, w: WindowSpec = OWN, least: int | None = None) -> Column:
+def rolling(kind: str, x: str | Column, n: int, w: WindowSpec | None = None, least: int | None = None) -> Column:
     """mean, std (n - 1), sum, min or max of the last n rows; null under ``least`` values (n if not given)."""
     c = F.col(x) if isinstance(x, str) else x
     agg = {"mean": F.avg, "std": F.stddev_samp, "sum": F.sum, "min": F.min, "max": F.max}[kind](c)
-    return _guarded(agg, c, w.rowsBetween(1 - n, 0), n if least is None else least)
+    return _guarded(agg, c, (w or own()).rowsBetween(1 - n, 0), n if least is None else least)
 
 
-def volume_z(x: str = "volume", n: int = 21, bound: float = 5.0, w: WindowSpec = OWN) -> Column:
+def volume_z(x: str = "volume", n: int = 21, bound: float = 5.0, w: WindowSpec | None = None) -> Column:
     """Standardised by the last n rows, clipped to the bound; null where they do not vary."""
     z = ratio(F.col(x) - rolling("mean", x, n, w), rolling("std", x, n, w))
     return F.when(z.isNotNull(), F.greatest(F.lit(-bound), F.least(F.lit(bound), z)))
 
 
-def bollinger(x: str = "close", n: int = 20, width: float = 2.0, w: WindowSpec = OWN) -> tuple[Column, Column]:
+def bollinger(x: str = "close", n: int = 20, width: float = 2.0, w: WindowSpec | None = None) -> tuple[Column, Column]:
     """(%B, bandwidth)."""
     mid, sd = rolling("mean", x, n, w), rolling("std", x, n, w)
     low, span = mid - width * sd, 2 * width * sd
     return ratio(F.col(x) - low, span), ratio(span, mid)
 
 
-def momentum_12_1(x: str = "close", w: WindowSpec = OWN, skip: int = 21, back: int = 252) -> Column:
-    return ratio(F.lag(x, skip).over(w), F.lag(x, back).over(w)) - 1
+def momentum_12_1(x: str = "close", w: WindowSpec | None = None, skip: int = 21, back: int = 252) -> Column:
+    return ratio(F.lag(x, skip).over(w or own()), F.lag(x, back).over(w or own())) - 1
 
 
-def reversal(x: str = "close", k: int = 21, w: WindowSpec = OWN) -> Column:
+def reversal(x: str = "close", k: int = 21, w: WindowSpec | None = None) -> Column:
     return -change(x, k, w)
 
 
-def low_volatility(ret: str = "ret", n: int = 63, w: WindowSpec = OWN) -> Column:
+def low_volatility(ret: str = "ret", n: int = 63, w: WindowSpec | None = None) -> Column:
     return -rolling("std", ret, n, w) * F.sqrt(F.lit(float(TRADING_DAYS)))
 
 
@@ -80,7 +77,7 @@ def monthly_hold(dense: DataFrame, value: str = "value") -> DataFrame:
     first = dense.groupBy(F.trunc("date", "month")).agg(F.min("date").alias("date")).select("date", F.lit(True).alias("first_of_month"))
     tagged = dense.join(F.broadcast(first), "date", "left").withColumn("first_of_month", F.coalesce("first_of_month", F.lit(False)))
     kept = F.last(F.when(F.col("first_of_month"), F.col(value)), ignorenulls=True)
-    return tagged.withColumn(value, kept.over(OWN.rowsBetween(Window.unboundedPreceding, 0))).drop("first_of_month")
+    return tagged.withColumn(value, kept.over(own().rowsBetween(Window.unboundedPreceding, 0))).drop("first_of_month")
 
 
 def hold_between(dense: DataFrame, hold: int, value: str = "value") -> DataFrame:
@@ -91,9 +88,9 @@ def hold_between(dense: DataFrame, hold: int, value: str = "value") -> DataFrame
     return dense.withColumn(value, F.last(kept, ignorenulls=True).over(own(order="ordinal").rowsBetween(1 - hold, 0)))
 
 
-def context(fields: list[str], n: int, w: WindowSpec = OWN, least: int | None = None) -> Column:
+def context(fields: list[str], n: int, w: WindowSpec | None = None, least: int | None = None) -> Column:
     """The last n rows' fields as an array of structs, oldest first; null under ``least`` rows (n if not given)."""
-    frame = w.rowsBetween(1 - n, 0)
+    frame = (w or own()).rowsBetween(1 - n, 0)
     least = n if least is None else least
     return F.when(F.count(F.lit(1)).over(frame) >= least, F.collect_list(F.struct(*fields)).over(frame))
 
@@ -125,7 +122,7 @@ def span_alpha(span: int) -> float:
 
 def rsi(df: DataFrame, x: str = "close", n: int = 14, out: str = "rsi_14") -> DataFrame:
     """Wilder's index: 50 where there was no loss."""
-    step = F.col(x) - F.lag(x).over(OWN)
+    step = F.col(x) - F.lag(x).over(own())
     moves = df.withColumns({"_up": F.greatest(step, F.lit(0.0) * step), "_down": F.greatest(-step, F.lit(0.0) * step)})
     s = smoothed(moves, {"_gain": ("_up", 1 / n), "_loss": ("_down", 1 / n)})
     return s.withColumn(out, F.coalesce(100 - 100 / (1 + ratio(F.col("_gain"), F.col("_loss"))), F.lit(50.0))).drop("_up", "_down", "_gain", "_loss")
@@ -139,7 +136,7 @@ def macd_histogram(df: DataFrame, x: str = "close", fast: int = 12, slow: int =
 
 def true_range() -> Column:
     """The widest of today's range and the distances of its ends from yesterday's close."""
-    before = F.lag("close").over(OWN)
+    before = F.lag("close").over(own())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 

@@ -1,6 +1,7 @@
 """All registered queries of the library."""
 
-from plumbline.plans import queries
+from plumbline.plans import queries, queries_inference, queries_universe
 
-QUERIES = queries.QUERIES
-ORACLE_SQL = queries.ORACLE_SQL
+QUERIES = {**queries.QUERIES}
+ORACLE_SQL = {**queries.ORACLE_SQL}
+MODULES = (queries, queries_universe, queries_inference)

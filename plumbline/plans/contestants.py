@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from plumbline.operators.crosssection import day, rank_average
@@ -15,14 +15,15 @@ from plumbline.operators.timeseries import change, hold_between, low_volatility,
 from plumbline.operators.universe import only_members
 from plumbline.panel import calendar, densify, only_finite
 
-CALENDAR = own(order="ordinal")
+def _calendar_rows() -> WindowSpec:
+    return own(order="ordinal")
 
 
 def factor_signals(prices: DataFrame, membership: DataFrame | None = None, skip: int = 21, back: int = 252, vol: int = 63) -> DataFrame:
     """(entry, date, ticker, value): momentum, reversal and low volatility on the calendar, held by month, of members only."""
-    days = calendar(prices)
-    dense = densify(prices, days).withColumn("ret", change("close", 1, CALENDAR))
-    factors = {"momentum_12_1": momentum_12_1("close", CALENDAR, skip, back), "reversal_1m": reversal("close", skip, CALENDAR), "low_vol_63d": low_volatility("ret", vol, CALENDAR)}
+    days, rows = calendar(prices), _calendar_rows()
+    dense = densify(prices, days).withColumn("ret", change("close", 1, rows))
+    factors = {"momentum_12_1": momentum_12_1("close", rows, skip, back), "reversal_1m": reversal("close", skip, rows), "low_vol_63d": low_volatility("ret", vol, rows)}
     wide = dense.select("date", "ordinal", "ticker", *(c.alias(k) for k, c in factors.items()))
     for k in factors:
         wide = monthly_hold(wide, k)
@@ -37,11 +38,11 @@ def starter_signal(actual: DataFrame, kind: str, ranked: bool = False) -> DataFr
     reversal: less the last 5 returns; momentum: the last 252 (at least 200) less the last 21;
     lowvol: less the deviation of the last 60 (at least 40).
     """
-    days = calendar(actual)
+    days, rows = calendar(actual), _calendar_rows()
     dense = densify(actual, days, values=("target",))
-    roll = lambda kind, n, least: rolling(kind, "target", n, CALENDAR, least)
+    roll = lambda kind, n, least: rolling(kind, "target", n, rows, least)
     raw = {"reversal": -roll("sum", 5, 5), "momentum": roll("sum", 252, 200) - roll("sum", 21, 21), "lowvol": -roll("std", 60, 40)}[kind]
-    moved = dense.withColumn("_raw", raw).withColumn("value", F.lag("_raw").over(CALENDAR)).where("value is not null")
+    moved = dense.withColumn("_raw", raw).withColumn("value", F.lag("_raw").over(rows)).where("value is not null")
     return moved.select("date", "ticker", (rank_average("value") if ranked else F.col("value")).alias("value"))
 
 

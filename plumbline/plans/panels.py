@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators.timeseries import OWN, change
+from plumbline.operators.timeseries import change, own
 
 DAMP = 0.02
 
@@ -45,7 +45,7 @@ def weekly_market(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_target(prices: DataFrame) -> DataFrame:
     """Adds the damped next return; null where a price is not positive."""
-    ahead = F.lead("close").over(OWN)
+    ahead = F.lead("close").over(own())
     return prices.withColumn("target", F.when((F.col("close") > 0) & (ahead > 0), DAMP * F.ln(ahead / F.col("close"))))
 
 

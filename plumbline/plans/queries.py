@@ -273,9 +273,11 @@ def borrow_sensitivity(spark, sf):
     return bt.charge(each, bt.COST_BPS, F.col("borrow_bps")).groupBy("borrow_bps").agg(r(sharpe("net"), "sharpe"))
 
 
-BAR_SQL = f"""{P1}, {actual_sql('p1')}, {DAYS_SQL.format('p1')}, {GRID_SQL.format('p1')}, w AS (SELECT date, ticker, target, 1.0::DOUBLE / count(*) OVER (PARTITION BY date) AS weight FROM a WHERE target IS NOT NULL),
-g AS (SELECT g.date, g.ordinal, coalesce(w.weight * w.target, 0) AS gain, coalesce(w.weight, 0) - coalesce(lag(w.weight) OVER (PARTITION BY g.ticker ORDER BY g.ordinal), 0) AS d FROM grid g LEFT JOIN w ON g.date = w.date AND g.ticker = w.ticker),
-bar AS (SELECT date, ordinal, sum(gain) - sum(abs(d)) * 10 / 1e4 AS bar FROM g GROUP BY 1, 2)"""
+#: The bar's returns beside a book's CTEs, in CTEs of other names.
+BAR_TAIL = """bw AS (SELECT date, ticker, target, 1.0::DOUBLE / count(*) OVER (PARTITION BY date) AS weight FROM a WHERE target IS NOT NULL),
+bg AS (SELECT g.date, g.ordinal, coalesce(w.weight * w.target, 0) AS gain, coalesce(w.weight, 0) - coalesce(lag(w.weight) OVER (PARTITION BY g.ticker ORDER BY g.ordinal), 0) AS d FROM grid g LEFT JOIN bw w ON g.date = w.date AND g.ticker = w.ticker),
+bar AS (SELECT date, ordinal, sum(gain) - sum(abs(d)) * 10 / 1e4 AS bar FROM bg GROUP BY 1, 2)"""
+BAR_SQL = f"{P1}, {actual_sql('p1')}, {DAYS_SQL.format('p1')}, {GRID_SQL.format('p1')}, {BAR_TAIL}"
 
 
 @registered(f"WITH {BAR_SQL} SELECT date, {rs('bar AS net')} FROM bar")

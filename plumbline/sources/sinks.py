@@ -58,5 +58,6 @@ def web_series(daily: DataFrame, keys: tuple[str, ...] = ("window", "entry")) ->
     """
     rounded = [F.bround(F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)), p).alias(c) for c, p in PLACES.items()]
     rows = daily.select(*keys, F.struct("ordinal", F.col("date").cast("string").alias("date"), *rounded).alias("d")).groupBy(*keys).agg(F.array_sort(F.collect_list("d")).alias("d"))
-    body = F.struct(*(F.transform("d", lambda x, c=c: x[c]).alias(c) for c in ("date", *PLACES)))
+    field = lambda name: F.transform("d", lambda x: x[name]).alias(name)
+    body = F.struct(*map(field, ("date", *PLACES)))
     return rows.select(*keys, F.to_json(body).alias("json"))
