@@ -147,10 +147,10 @@ def hold_between(spark, sf):
 
 
 @registered(f"""WITH {P1}, c AS (SELECT date, ticker, list(close) OVER (PARTITION BY ticker ORDER BY date ROWS 59 PRECEDING) AS ctx, lead(date) OVER (PARTITION BY ticker ORDER BY date) AS next_date FROM p1)
-SELECT date, ticker, CAST(len(ctx) AS INTEGER) AS bars, {rs('ctx[1] AS oldest', 'list_sum(ctx) / len(ctx) AS mean_close')} FROM c WHERE len(ctx) >= 15 AND next_date IS NOT NULL""")
+SELECT date, ticker, CAST(len(ctx) AS INTEGER) AS bars, {rs('ctx[1] AS oldest', places=9)}, {rs('list_sum(ctx) / len(ctx) AS mean_close')} FROM c WHERE len(ctx) >= 15 AND next_date IS NOT NULL""")
 def context_windows(spark, sf):
     p = weekly_brands(spark, sf).withColumns({"ctx": ts.context(["date", "close"], 60, least=15), "next_date": ts.ahead("date")}).where("ctx is not null and next_date is not null")
-    return p.select("date", "ticker", F.size("ctx").alias("bars"), r(F.col("ctx")[0]["close"], "oldest"), r(F.aggregate("ctx", F.lit(0.0), lambda a, x: a + x["close"]) / F.size("ctx"), "mean_close"))
+    return p.select("date", "ticker", F.size("ctx").alias("bars"), r(F.col("ctx")[0]["close"], "oldest", places=9), r(F.aggregate("ctx", F.lit(0.0), lambda a, x: a + x["close"]) / F.size("ctx"), "mean_close"))
 
 
 # --- cross section ------------------------------------------------------------------------

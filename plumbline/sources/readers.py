@@ -9,7 +9,6 @@ from plumbline.panel import ACTUAL, PRICES, SIGNAL, SPANS, conform, number
 
 #: Keys of an alias file that are notes, not tickers.
 ALIAS_NOTES = ("_about", "_rejected")
-ALIASES = "map<string, struct<alias: string, history_from: string, note: string>>"
 LEAST_VENDOR_ROWS = 250
 
 
@@ -103,7 +102,7 @@ def load_aliases(spark: SparkSession, path: str) -> DataFrame:
     """(ticker, alias, history_from, note) of a JSON object keyed by ticker; its notes are left out."""
     raw = spark.read.option("wholetext", True).text(path)
     keys = raw.select(F.explode(F.json_object_keys("value")).alias("ticker"), "value").where(~F.col("ticker").isin(*ALIAS_NOTES))
-    one = F.from_json(F.get_json_object("value", F.concat(F.lit("$['"), F.col("ticker"), F.lit("']"))), "alias string, history_from string, note string")
+    one = F.from_json(F.call_function("get_json_object", F.col("value"), F.concat(F.lit("$['"), F.col("ticker"), F.lit("']"))), "alias string, history_from string, note string")
     return keys.select("ticker", one.alias("a")).select("ticker", "a.*")
 
 
