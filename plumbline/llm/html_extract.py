@@ -24,6 +24,8 @@ BLOCK_TAGS = frozenset(
 DROPPED_TAGS = frozenset("aside button datalist dialog fieldset footer form head header iframe label legend menu nav noscript object optgroup option select svg template textarea title video audio canvas".split())
 #: Elements whose content is not markup.
 RAW = "script|style|noscript|template|svg|textarea|title|iframe"
+#: Headings.
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Parts of class and id names, and roles, of what stands around an article.
@@ -58,26 +60,27 @@ def _dropped(tag: str, attributes: str) -> bool:
     return any(n in DROPPED_NAMES for m in ATTRIBUTE.finditer(attributes) for n in NAME.findall((m[2] or m[3] or m[4] or "").lower()))
 
 
-def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters inside links, stands in a dropped element, stands in an article) of each block."""
-    out: list[tuple[str, int, bool, bool]] = []
+def blocks_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
+    """(text, characters inside links, stands in a dropped element, stands in an article, is a heading) of each block."""
+    out: list[tuple[str, int, bool, bool, bool]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []
-    dropped = article = links = inside = 0
+    dropped = article = links = inside = heading = 0
 
     def close() -> None:
         nonlocal links
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((text, links, dropped > 0, article > 0))
+            out.append((text, links, dropped > 0, article > 0, heading > 0))
         parts.clear()
         links = 0
 
     def leave(tag: str, was_dropped: bool, was_article: bool) -> None:
-        nonlocal dropped, article, inside
+        nonlocal dropped, article, inside, heading
         dropped -= was_dropped
         article -= was_article
         inside -= tag == "a"
+        heading -= tag in HEADINGS
 
     def text_piece(piece: str) -> None:
         nonlocal links
@@ -116,6 +119,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
         dropped += drops
         article += is_article
         inside += tag == "a"
+        heading += tag in HEADINGS
     text_piece(page[at:])
     close()
     return out
@@ -140,9 +144,10 @@ def main_text(page: str) -> str:
 
     Where a page marks its article, undecided blocks outside it are bad and those inside look
     for neighbours inside only; if there are none they are good, as their article is.
+    On a page without one, a short heading goes with the text that follows it.
     """
     blocks = blocks_of(page)
-    labels = [_first_label(*b) for b in blocks]
+    labels = [_first_label(*b[:4]) for b in blocks]
     marked = any(b[3] and not b[2] for b in blocks)
     if marked:
         labels = [x if b[3] else BAD for x, b in zip(labels, blocks, strict=True)]
@@ -153,17 +158,23 @@ def main_text(page: str) -> str:
         before.append(last)
         if marked and not block[3]:
             last = None
-    last, after = None, []
+    last, text_ahead, after, ahead = None, None, [], []
     for label, block in zip(reversed(labels), reversed(blocks), strict=True):
+        if label != SHORT and not block[2]:
+            text_ahead = label
+        ahead.append(text_ahead)
         if label != SHORT and not (marked and block[2]):
             last = label
         after.append(last)
         if marked and not block[3]:
             last = None
     after.reverse()
+    ahead.reverse()
     chosen = []
-    for block, label, left, right in zip(blocks, labels, before, after, strict=True):
-        if label == SHORT:
+    for block, label, left, right, follows in zip(blocks, labels, before, after, ahead, strict=True):
+        if label == SHORT and block[4] and not marked:
+            label = follows or BAD
+        elif label == SHORT:
             inside = marked and block[3]
             near = {x for x in (left, right) if x}
             # Two neighbours that agree decide; where they differ, an article takes the block and a bare page does not.
