@@ -104,21 +104,35 @@ def _table(rows, langs: list[str], group_of) -> tuple[dict[str, int], np.ndarray
     return at, out
 
 
+def _most_frequent(counts: DataFrame, most: int, seed: int) -> list:
+    """About ``most`` rows (lang, item, n), the most frequent; of those that tie at the end a hash picks.
+
+    A histogram of the counts gives the number to cut at, so each task sends only rows that stay.
+    """
+    left = most
+    for row in counts.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).collect():
+        if row["rows"] > left:
+            tied = (F.col("n") == row["n"]) & (F.pmod(F.xxhash64("item", "lang", F.lit(seed)), F.lit(row["rows"])) < left)
+            return counts.where((F.col("n") > row["n"]) | tied).collect()
+        left -= row["rows"]
+    return counts.collect()
+
+
 def fit_language_model(
     docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 6000, max_words: int = 60_000, max_grams: int = 120_000, seed: int = 11
 ) -> LanguageModel:
     """Counts words and n-grams of the labelled rows of ``docs``; rows with a null lang are left out.
 
     ``sample_docs`` bounds how many rows are read for training, ``max_words`` and
-    ``max_grams`` bound the entries kept (the most frequent). An input without labelled rows
+    ``max_grams`` about how many entries are kept (the most frequent). An input without labelled rows
     gives a model without languages.
     """
     labelled = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), text_of(text).alias("text"), F.col(key).alias("key"))
     chosen = sampled(labelled, F.col("key"), sample_docs, seed).select("lang", "text")
-    total = lambda df, most: df.groupBy("lang", "item").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "item", "lang").limit(most)
-    words = cut(chosen.mapInArrow(_count_words, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")))
-    grams = total(words.mapInArrow(_count_grams, "lang string, item string, n long"), max_grams).collect()
-    top = total(words, max_words).collect()
+    summed = lambda df: cut(df.groupBy("lang", "item").agg(F.sum("n").alias("n")))
+    words = summed(chosen.mapInArrow(_count_words, "lang string, item string, n long"))
+    top = _most_frequent(words, max_words, seed)
+    grams = _most_frequent(summed(words.mapInArrow(_count_grams, "lang string, item string, n long")), max_grams, seed)
     langs = sorted({r.lang for r in top})
     if not langs:
         return LanguageModel()
