@@ -223,6 +223,8 @@ def joint_sharpe_tests(series: DataFrame, reps: int = 1000, block: int | None =
     An entry that is its own bar is not tested: p is 1. ``error_floor`` guards against
     resamples whose error all but vanishes; 0 keeps them.
     """
+    # Entries x days rows, read three times: for the calendar, the block length and the replicates.
+    series = series.select("entry", "ordinal", "x", "y").persist()
     require_one_calendar(series)
     block = common_block(series) if block is None else block
     per = replicate_statistics(series, block, reps, seed, prewhite, error_floor).withColumn("live", F.col("se") > 0)

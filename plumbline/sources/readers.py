@@ -89,7 +89,7 @@ def load_submissions(spark: SparkSession, root: str) -> tuple[DataFrame, DataFra
 def load_membership(spark: SparkSession, path: str) -> DataFrame:
     """(date, tickers array) of a CSV of change dates with comma-separated tickers; gzip is read as it is."""
     rows = spark.read.option("header", True).schema("date date, tickers string").csv(path)
-    names = F.filter(F.transform(F.split("tickers", ","), F.trim), lambda x: x != "")
+    names = F.filter(F.transform(F.split("tickers", ","), lambda x: F.trim(x)), lambda x: x != "")
     return rows.select("date", names.alias("tickers"))
 
 
