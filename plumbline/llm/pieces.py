@@ -76,9 +76,11 @@ class Encoder:
         self.ranks = np.append(np.array(ranks, dtype=np.int32)[order], NONE)
         self.merged = np.append(np.array(merged, dtype=np.int32)[order], -1)
         # Pieces of spaces only share the worst score: those merges come last, and of equal ones the leftmost goes first, so they fold from the left.
-        runs = {i for i in own if len(v.pieces[i]) > 1 and set(v.pieces[i]) == {SPACE}}
+        # Scores of single characters play no part: no merge makes one.
+        made = [i for i in own if len(v.pieces[i]) > 1]
+        runs = {i for i in made if set(v.pieces[i]) == {SPACE}}
         worst = max(levels.values())
-        fold = runs and all(levels[float(v.scores[i])] == worst for i in runs) and sum(levels[float(v.scores[i])] == worst for i in own) == len(runs)
+        fold = runs and runs == {i for i in made if levels[float(v.scores[i])] == worst}
         fold = fold and not any(v.pieces[i].startswith(SPACE * 2) and i not in runs for i in own)
         self.fold_rank = worst if fold else NONE - 1
         # Where no piece holds two characters side by side, nothing merges across them and a word may end:
@@ -88,6 +90,9 @@ class Encoder:
         beside = {(a, b) for i in own for a, b in pairwise(v.pieces[i]) if a != SPACE}
         while late := {b for a, b in beside if b in signs and a not in signs}:
             signs -= late
+        # Inside a word too, a merge never crosses two characters that no piece holds side by side.
+        touching = {ord(a) << 21 | ord(b) for i in own for a, b in pairwise(v.pieces[i])}
+        self.touching = np.array([*sorted(touching), np.iinfo(np.int64).max], dtype=np.int64)
         held = re.escape("".join(sorted(signs)))
         rest = rf"[^ {held}{stop}]"
         lead = rf" +[{held}]*|[{held}]+" if held else " +"
@@ -103,12 +108,19 @@ class Encoder:
         return np.where(hit, self.ranks[at], NONE), np.where(hit, self.merged[at], -1)
 
     def merge(self, words: list[str]) -> list[list[int]]:
-        """The symbols of each word after all merges; a character without a piece is -1 - its code point."""
+        """The symbols of each word after all merges; a character without a piece is -1 - its code point.
+
+        A word is merged in segments that no merge can cross, so a long one needs few rounds.
+        """
         points = np.frombuffer("".join(words).replace(" ", SPACE).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
         sym = self.char[points].astype(np.int64)
         sym = np.where(sym < 0, -1 - points, sym)
-        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        out: list[list[int]] = [[] for _ in words]
+        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        beside = points[:-1] << 21 | points[1:]
+        apart = self.touching[np.searchsorted(self.touching, beside)] != beside
+        opens = np.r_[True, (owner[1:] != owner[:-1]) | apart]
+        word = np.cumsum(opens) - 1
+        segments: list[list[int]] = [[] for _ in range(int(word[-1]) + 1)]
         rank, into = self._find(sym[:-1], sym[1:])
         rank = np.append(np.where(word[1:] == word[:-1], rank, NONE), NONE)
         into = np.append(into, -1)
@@ -119,7 +131,7 @@ class Encoder:
             done = (best == NONE) | (best == self.fold_rank)
             for k in np.flatnonzero(done):
                 own = sym[starts[k] : starts[k] + size[k]].tolist()
-                out[word[starts[k]]] = self._fold(own) if best[k] == self.fold_rank else own
+                segments[word[starts[k]]] = self._fold(own) if best[k] == self.fold_rank else own
             live = np.repeat(~done, size)
             at = np.flatnonzero(live & (rank == np.repeat(best, size)))
             if not len(at):
@@ -142,6 +154,9 @@ class Encoder:
             rank[pair[word[pair] != word[pair + 1]]] = NONE
             if len(rank):
                 rank[-1] = NONE
+        out: list[list[int]] = [[] for _ in words]
+        for k, own in zip(owner[opens].tolist(), segments, strict=True):
+            out[k] += own
         return out
 
     def _in_order(self, at, sym, word, rank, into):
@@ -164,13 +179,13 @@ class Encoder:
         return at[lead | ~spoiled[np.cumsum(lead) - 1]]
 
     def _fold(self, symbols: list[int]) -> list[int]:
-        out = symbols[:1]
-        for s in symbols[1:]:
-            both = self._pair(out[-1], s)
-            if both < 0:
-                out.append(s)
-            else:
-                out[-1] = both
+        """Merges the leftmost pair until there is none; a merged symbol meets its left neighbour first."""
+        out: list[int] = []
+        for s in symbols:
+            while out and (both := self._pair(out[-1], s)) >= 0:
+                out.pop()
+                s = both
+            out.append(s)
         return out
 
     def _pair(self, left: int, right: int) -> int:

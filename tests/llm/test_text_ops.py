@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import string
 import zlib
 
 import numpy as np
@@ -139,6 +140,14 @@ def test_any_text_is_encoded_as_the_library_does(library, encoder, text):
 # --- quality ------------------------------------------------------------------------------
 
 
+def test_long_runs_without_words_are_encoded_as_the_library_does(library, encoder):
+    draw = np.random.default_rng(2)
+    letters = "".join(draw.choice(list(string.ascii_letters + string.digits), 60_000))
+    spaces = [" " * n for n in range(1, 70)] + [f"a{' ' * n}the{' ' * (n // 2)}." for n in range(1, 70)]
+    for text in (letters, " " * 50_000, "a" * 50_000, "=-" * 20_000, (" " * 15_000 + "the") * 2, *spaces):
+        assert encoder.encode(text) == library.encode(text)
+
+
 def test_quality_of_held_out_documents(spark):
     got = queries.op8_quality(spark, LARGER).join(spark.read.parquet(f"{LARGER}/labels.parquet"), "doc_id", "left").toPandas()
     held = got[got["held_out"] & got["quality"].notna()]
