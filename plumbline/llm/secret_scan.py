@@ -21,13 +21,14 @@ KINDS = ("assign", "access", "hex", "pem", "forge", "chat", "jwt")
 BASE = KINDS[:3]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 # A run that is too short fails whole, so asking for the full length here finds the same places.
+# A jwt begins where its run of characters does: other starts would each read a long run again.
 OTHERS = (
     ("access", "AKIA", re.compile(r"AKIA[A-Z0-9]{12,}")),
     ("hex", "", re.compile(r"[0-9a-f]{32,}")),
     ("pem", "-----BEGIN", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")),
     ("forge", "gh", re.compile(r"gh[opusr]_[A-Za-z0-9]{36,}")),
     ("chat", "xox", re.compile(r"xox[abeprs]-[A-Za-z0-9-]{10,}")),
-    ("jwt", "eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    ("jwt", "eyJ", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
 )
 SHORTEST_VALUE = 8
 SCANNED = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, _pl_cands array<string>"
