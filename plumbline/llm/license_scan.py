@@ -113,9 +113,13 @@ def scan_text(text: str) -> tuple:
     words = [w for w in words if w]
     line = f" {b' '.join(words).decode('latin-1')} "
     starts, base, labels, notices, tagged = [], set(), set(), 0, False
+    words_before = counted_to = 0
     for end, phrase in automaton().iter(line):
         if phrase in BASE:
-            starts.append(line.count(" ", 0, end - len(phrase) - 1))
+            # Places come in the order of their ends, so each part of the line is counted once.
+            words_before += line.count(" ", counted_to, end)
+            counted_to = end
+            starts.append(words_before - phrase.count(" ") - 1)
             base.add(BASE[phrase])
         elif phrase == TAG:
             tagged = True

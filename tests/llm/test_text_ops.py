@@ -277,6 +277,11 @@ def test_phrases_that_share_words():
     assert license_scan.scan_text("gnu general public license license")[:4] == (5, 1, 0, 0)
 
 
+def test_many_places_in_one_text():
+    found = license_scan.scan_text("MIT License " * 50_000 + "Apache License")
+    assert found[:5] == (100_002, 50_001, 0, 100_000, "apache,mit")
+
+
 def test_expressions():
     assert license_scan.evaluate("MIT OR GPL-2.0-only") == ({"mit", "gpl"}, True)
     assert license_scan.evaluate("MIT AND GPL-2.0-only") == ({"mit", "gpl"}, False)
