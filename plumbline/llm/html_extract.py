@@ -43,7 +43,8 @@ STOP_WORDS = frozenset(
 )
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-NAME = re.compile(r"[a-z]+")
+#: A part after "with", "has" or the like says what an element goes without or beside, not what it is.
+NAME = re.compile(r"(?:(?<![a-z])(?:has|with|without|no|non|not)[-_]+)?[a-z]+")
 WORD = re.compile(r"[^\W\d_]+")
 HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none""", re.I)
 GOOD, BAD, SHORT = "good", "bad", "short"

@@ -50,6 +50,12 @@ def test_short_blocks_take_the_label_of_their_neighbours():
     assert "And so." in text and "Stray" not in text and "link" not in text
 
 
+def test_a_name_that_says_what_stands_beside_drops_nothing():
+    text = "The committee met in the town hall on Monday and it was decided that the old bridge should be closed for repairs, which will take at least three months."
+    page = f'<body class="sidebar"><div class="content-with-sidebar"><div class="post has-comments"><p>{text}</p></div><div class="right sidebar"><p>Other {text}</p></div></div>'
+    assert html_extract.main_text(page) == text
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>unclosed <b>text of the page that is not so short as the others are"), (4, "u", "<" * 3000), (5, "u", "plain words"), (5, "u", "plain words"), (6, "u", f"<article><p>{PROSE * 3000}</p></article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
