@@ -25,13 +25,23 @@ def digest_of(text: str = "text") -> Column:
 
 
 class DigestIndex:
-    """A bucketed table of digests in the shared folder; ``add`` appends what is new to it."""
+    """A bucketed table of digests; ``add`` appends what is new to it.
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, id_type: str = "bigint"):
+    Without ``path`` a new one is made in the shared folder. With it the index whose files stand
+    there is opened, in this session or a later one; ``buckets`` and ``id_type`` must be those it
+    was made with.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None, id_type: str = "bigint", path: str | None = None):
+        if path and not buckets:
+            raise ValueError("an index is opened with the number of buckets it was made with")
         self.spark, self.id_type = spark, id_type
         self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.name, self.path = f"plumbline_digests_{uuid.uuid4().hex}", shared_path(spark, "digests")
-        self._append(spark.createDataFrame([], INDEX_COLUMNS.format(id=id_type)), "overwrite")
+        self.name, self.path = f"plumbline_digests_{uuid.uuid4().hex}", path or shared_path(spark, "digests")
+        if path:
+            spark.sql(f"CREATE TABLE {self.name} ({INDEX_COLUMNS.format(id=id_type)}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        else:
+            self._append(spark.createDataFrame([], INDEX_COLUMNS.format(id=id_type)), "overwrite")
 
     def _append(self, rows: DataFrame, mode: str = "append") -> None:
         rows.write.mode(mode).format("parquet").option("path", self.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)

@@ -50,6 +50,17 @@ def test_index_persists_and_appends(spark):
     assert "Bucketed: true" in index.table()._jdf.queryExecution().toString() or spark.sql(f"DESCRIBE EXTENDED {index.name}").where("col_name = 'Bucket Columns'").first().data_type == "[`digest`]"
 
 
+def test_index_is_opened_again(spark):
+    made = exact_dedup.DigestIndex(spark, buckets=4)
+    exact_dedup.decide(frame(spark, [(1, "one text", None, None, 1)]), made).count()
+    spark.sql(f"DROP TABLE {made.name}")  # as a later session does not know it; its files stay
+    again = exact_dedup.DigestIndex(spark, buckets=4, path=made.path)
+    got = {x.doc_id: (x.keep_id, x.kept) for x in exact_dedup.decide(frame(spark, [(2, "onetext", None, None, 1), (3, "other", None, None, 1)]), again).collect()}
+    assert got == {2: (1, False), 3: (3, True)} and again.table().count() == 2
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, path=made.path)
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert exact_dedup.decide(none).count() == exact_dedup.deduplicated(none).count() == mixing.mixed(none).count() == 0
