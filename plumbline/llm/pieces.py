@@ -23,6 +23,8 @@ from plumbline.llm.common import text_of
 SPACE = "▁"
 CACHED_WORDS = 200_000
 ROWS_AT_ONCE = 500
+#: Words over this many characters are merged in segments; the result is the same, shorter ones would gain nothing.
+LONG_WORD = 48
 NONE = np.iinfo(np.int32).max
 
 
@@ -110,15 +112,17 @@ class Encoder:
     def merge(self, words: list[str]) -> list[list[int]]:
         """The symbols of each word after all merges; a character without a piece is -1 - its code point.
 
-        A word is merged in segments that no merge can cross, so a long one needs few rounds.
+        A long word is merged in segments that no merge can cross, so it needs few rounds.
         """
         points = np.frombuffer("".join(words).replace(" ", SPACE).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
         sym = self.char[points].astype(np.int64)
         sym = np.where(sym < 0, -1 - points, sym)
-        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        beside = points[:-1] << 21 | points[1:]
-        apart = self.touching[np.searchsorted(self.touching, beside)] != beside
-        opens = np.r_[True, (owner[1:] != owner[:-1]) | apart]
+        lengths = np.array([len(w) for w in words])
+        owner = np.repeat(np.arange(len(words)), lengths)
+        opens = np.r_[True, owner[1:] != owner[:-1]]
+        inside = np.flatnonzero(np.repeat(lengths > LONG_WORD, lengths) & ~opens)
+        beside = points[inside - 1] << 21 | points[inside]
+        opens[inside] = self.touching[np.searchsorted(self.touching, beside)] != beside
         word = np.cumsum(opens) - 1
         segments: list[list[int]] = [[] for _ in range(int(word[-1]) + 1)]
         rank, into = self._find(sym[:-1], sym[1:])
