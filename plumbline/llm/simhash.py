@@ -27,7 +27,7 @@ MEAN_BUCKET = 2048
 ROWS_AT_ONCE, SHINGLES_AT_ONCE, GATHERED, WORDS_AT_ONCE = 200, 100_000, 40_000, 1 << 16
 
 
-def _hashes(text: str, size: int) -> list[int]:
+def shingle_hashes(text: str, size: int) -> list[int]:
     words = text.encode().lower().split()  # for bytes: A-Z, and the six ASCII white-space characters
     if not words:
         return []
@@ -43,7 +43,7 @@ def fingerprints(texts: list[str], size: int = 4) -> np.ndarray:
     """The fingerprint of each text: bits set in over half of its shingles' hashes; 0 without words."""
     out = np.zeros(len(texts), dtype=np.uint64)
     for i, text in enumerate(texts):
-        found = np.array(_hashes(text, size), dtype="<u8")
+        found = np.array(shingle_hashes(text, size), dtype="<u8")
         if len(found):
             ones = np.zeros(BITS, dtype=np.int64)
             for a in range(0, len(found), SHINGLES_AT_ONCE):
@@ -214,6 +214,15 @@ def _fingerprint_rows(batches, shingle: int):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["id", "th", "fp"])
 
 
+def least_of_components(nodes: DataFrame, tied: DataFrame) -> DataFrame:
+    """fp and component_id, the smallest id of its component, of every node (fp, least)."""
+    members = tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct())
+    reach = members.join(nodes, members["node"] == nodes["fp"]).select("node", "root", "least")
+    of_root = reach.groupBy("root").agg(F.min("least").alias("component_id"))
+    moved = reach.join(of_root, "root").select(F.col("node").alias("fp"), "component_id")
+    return nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (smallest id reachable) and text_hash of every row.
 
@@ -226,17 +235,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rows = cut(inner.mapInArrow(lambda b: _fingerprint_rows(b, shingle), f"id {dict(inner.dtypes)['id']}, th long, fp long"))
     nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     tied = connected_components(near_edges(nodes, radius))
-    members = tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct())
-    reach = members.join(nodes, members["node"] == nodes["fp"]).select("node", "root", "least")
-    of_root = reach.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = reach.join(of_root, "root").select(F.col("node").alias("fp"), "component_id")
-    names = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    names = least_of_components(nodes, tied)
     return rows.join(names, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("th").alias("text_hash"))
 
 
 def without_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, radius: int = 4) -> DataFrame:
     """One row of each component with the columns of ``docs``: that of the smallest id, of equal ids one."""
-    found = near_duplicates(docs, text, doc_id, shingle, radius)
+    return one_of_each(docs, near_duplicates(docs, text, doc_id, shingle, radius), text, doc_id)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The rows of ``docs`` that stand for the components of ``found`` (doc_id, component_id, text_hash)."""
     stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("text_hash").alias("th"))).alias("b")).select("b.*")
     # A null id is held apart by a column of its own; the join is by plain equality.
     keys = {"_pl_n": F.col("n"), "_pl_id": F.coalesce(F.col("id").cast("string"), F.lit("")), "_pl_th": F.col("th")}
