@@ -21,25 +21,43 @@ KINDS = ("assign", "access", "hex", "pem", "forge", "chat", "jwt")
 BASE = KINDS[:3]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 # A run that is too short fails whole, so asking for the full length here finds the same places.
-# A jwt begins where its run of characters does: other starts would each read a long run again.
 OTHERS = (
     ("access", "AKIA", re.compile(r"AKIA[A-Z0-9]{12,}")),
     ("hex", "", re.compile(r"[0-9a-f]{32,}")),
     ("pem", "-----BEGIN", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")),
     ("forge", "gh", re.compile(r"gh[opusr]_[A-Za-z0-9]{36,}")),
     ("chat", "xox", re.compile(r"xox[abeprs]-[A-Za-z0-9-]{10,}")),
-    ("jwt", "eyJ", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
 )
+JWT = "eyJ"
+JWT_RUN, JWT_REST = re.compile(r"[A-Za-z0-9_-]+"), re.compile(r"\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}")
 SHORTEST_VALUE = 8
 SCANNED = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, _pl_cands array<string>"
 
 
+def find_jwts(text: str) -> list[tuple[int, int]]:
+    """(start, end) of every jwt: at the first eyJ of a run of its characters, whatever stands before it.
+
+    Where that one fails, the others of its run are shorter and fail too, so each run is read from one start only.
+    """
+    out = []
+    at = text.find(JWT)
+    while at >= 0:
+        end = JWT_RUN.match(text, at).end()
+        rest = JWT_REST.match(text, end) if end - at >= len(JWT) + 8 else None
+        if rest:
+            end = rest.end()
+            out.append((at, end))
+        at = text.find(JWT, end)
+    return out
+
+
 def find_secrets(text: str) -> list[tuple[int, int, int, str]]:
     """(start, place in KINDS, end, value) of every candidate, in order; offsets are code points."""
     found = [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= SHORTEST_VALUE]
     for k, (_, part, pattern) in enumerate(OTHERS, 1):
         if part in text:
             found += [(m.start(), k, m.end(), m[0]) for m in pattern.finditer(text)]
+    found += [(a, KINDS.index("jwt"), b, text[a:b]) for a, b in find_jwts(text)]
     return sorted(found)
 
 

@@ -298,3 +298,19 @@ def test_every_query_returns_each_document_once(spark):
     for name, query in queries.QUERIES.items():
         if name not in ("op4_mix_sources", "op5_html_main_text"):
             assert query(spark, SMALL).select("doc_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first().asDict() == {"n": n, "d": n}, name
+
+
+@pytest.mark.parametrize("before", ["session_", "auth-", "Bearer", "x" * 50, "eyJabc_", "aaaaaaaaaa.bbbbbbbbbb!", "a.eyJshort."])
+def test_a_jwt_is_found_whatever_stands_before_it(before):
+    text = before + "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl eyJhbGciOiJI.short.c2lnbmF0dXJl"
+    want = [m.span() for m in re.finditer(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", text)]
+    assert [(a, b) for a, k, b, _ in secret_scan.find_secrets(text) if secret_scan.KINDS[k] == "jwt"] == want and len(want) == 1
+
+
+def test_jwts_equal_the_plain_pattern_on_random_texts():
+    rng = np.random.default_rng(8)
+    parts = ["eyJ", "eyJabcdefgh", "abcdefgh", ".", ".", "-", "abc", " ", "eyJeyJeyJ"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, 14))
+        assert secret_scan.find_jwts(text) == [m.span() for m in re.finditer(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", text)]
+    assert secret_scan.find_jwts("eyJ" * 200_000 + ".eyJaaaaaaaa" * 50_000 + "eyJaaaaaaaa." * 3)[0][0] == 0
