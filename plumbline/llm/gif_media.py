@@ -274,9 +274,9 @@ def read_back(frames: list[Frame]) -> bytes:
 
 
 def feature_of(frames: list[Frame]) -> str:
-    """frames:hundredths:histogram over all frames, its 64 counts joined by commas without trailing zeros."""
+    """frames:hundredths:histogram over all frames, its 64 counts joined by commas without the zero counts at the end."""
     total = np.sum([histogram(f.canvas[: f.indices.shape[0]]) for f in frames], axis=0)
-    return f"{len(frames)}:{sum(f.delay for f in frames)}:{','.join(map(str, total.tolist())).rstrip(',0')}"
+    return f"{len(frames)}:{sum(f.delay for f in frames)}:{','.join(map(str, np.trim_zeros(total, 'b').tolist()))}"
 
 
 def media_table(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_media: bool = True) -> DataFrame:

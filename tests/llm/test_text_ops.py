@@ -314,3 +314,12 @@ def test_jwts_equal_the_plain_pattern_on_random_texts():
         text = "".join(rng.choice(parts, 14))
         assert secret_scan.find_jwts(text) == [m.span() for m in re.finditer(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", text)]
     assert secret_scan.find_jwts("eyJ" * 200_000 + ".eyJaaaaaaaa" * 50_000 + "eyJaaaaaaaa." * 3)[0][0] == 0
+
+
+def test_a_feature_keeps_the_zeros_of_its_last_count():
+    canvas = np.zeros((12, 10, 4), dtype=np.uint8)
+    canvas[..., 3] = 255
+    for bright in (0, 64):
+        canvas[..., 2] = bright
+        got = gif_media.feature_of([gif_media.Frame(canvas.copy(), 5, 0, np.zeros((12, 10), dtype=np.uint8))])
+        assert got == ("1:5:120" if not bright else "1:5:0,120")
