@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import inference as inf
 from plumbline.functions import overfit, simulate
 from plumbline.functions.sharpe import expected_max_sharpe, normal_cdf, psr_argument, sharpe, sharpe_error
+from plumbline.plans import queries_inference
 
 
 def ar(n, rho, seed):
@@ -150,3 +151,21 @@ def test_null_bar_is_cash(spark):
     x = ar(200, 0, 3)
     rows = long(spark, {"a": x}).withColumn("y", F.lit(None).cast("double"))
     assert inf.fixed_bandwidth_errors(rows, 3).first()["edge"] == pytest.approx(x.mean() / x.std() * np.sqrt(252))
+
+
+def test_stepdown_of_all_users_equals_plain_loops(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    events = pd.DataFrame({"event_id": np.arange(900), "user_id": rng.integers(0, 30, 900), "value": rng.exponential(1.0, 900) * 0.5})
+    events.loc[events["user_id"] == 25, "value"] += 3
+    spark.createDataFrame(events).write.parquet(str(tmp_path / "events.parquet"))
+    star = np.zeros((30, 40))
+    np.maximum.at(star, (events["user_id"], events["event_id"] % 40), events["value"])
+    t = 3 * star.mean(axis=1)
+    order, before, want = np.argsort(-t), 0.0, {}
+    for k, user in enumerate(order):
+        top = star[order[k:]].max(axis=0)
+        before = max(before, ((top >= t[user]).sum() + 1) / 41)
+        want[str(user)] = before
+    got = queries_inference.stepdown_of_all_users(spark, str(tmp_path)).toPandas().set_index("entry")["p_value_fwe"].to_dict()
+    assert set(got) == set(want) and len(got) == 30
+    assert all(abs(got[u] - want[u]) < 1e-5 for u in want)
