@@ -4,19 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that Python code works on at once, so that a batch of long texts is not held as Python objects whole.
+ROWS_AT_ONCE = 200
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (tests on one machine) a local folder is made.
+    Only where the setting is absent and Spark runs on one machine a local folder is made; on a
+    cluster without it ValueError is raised.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-"))
     return named or context.getCheckpointDir()
 
@@ -32,9 +41,42 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def column(name: str) -> Column:
+    """The column of exactly that name, dots and backticks included."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def text_of(name: str = "text") -> Column:
     """The text column as a string; null counts as empty."""
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+    return F.coalesce(column(name).cast("string"), F.lit(""))
+
+
+@dataclass(frozen=True)
+class Carried:
+    """Columns that go through Python code untouched, under names that cannot clash."""
+
+    inner: list[Column]
+    schema: list[str]
+    names: list[str]
+
+    def named(self, out: DataFrame) -> DataFrame:
+        """``out`` with the columns under their own names again."""
+        own = [column(f"_pl_k{k}").alias(name) for k, name in enumerate(self.names)]
+        return out.select(*own, *(column(c) for c in out.columns[len(own) :]))
+
+
+def carried(df: DataFrame, keep: Iterable[str], added: Iterable[str]) -> Carried:
+    """The columns ``keep`` of ``df``; one that has the name of an added column gives way to it."""
+    names = [c for c in keep if c not in set(added)]
+    inner = [column(c).alias(f"_pl_k{k}") for k, c in enumerate(names)]
+    return Carried(inner, [f"{c} {kind}" for c, kind in df.select(*inner).dtypes], names)
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def bucket_of(doc_id: str, n: int) -> Column:

@@ -1,203 +1,377 @@
 """Main text of web pages by two passes of block rules.
 
-The page is cut into blocks. The first pass labels each by stop-word density, length, link
-density and the elements around it; the second gives short undecided blocks the label of the
-nearest decided ones.
+The page is cut into blocks; what markup names as menu, advert, form and the like is left out.
+The first pass labels a block by its stop-word density, length and link density, with the
+article element as one more feature. The second gives undecided blocks the label of the nearest
+decided ones. Stop words are learned from the pages themselves, so no language is built in.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from plumbline.llm.common import text_of
+from plumbline.llm.common import carried, shared_path, sliced, text_of
 
-#: Elements that start or end a block.
+#: Elements that start or end a block.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav ol "
     "option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
-#: Elements whose text is never main text.
-DROPPED_TAGS = frozenset("aside button datalist dialog fieldset footer form head header iframe label legend menu nav noscript object optgroup option select svg template textarea title video audio canvas".split())
-#: Elements whose content is not markup.
-RAW = "script|style|noscript|template|svg|textarea|title|iframe"
-#: Headings.
+#: Elements whose text is never main text.
+DROPPED_TAGS = frozenset("aside audio button canvas datalist dialog fieldset footer head iframe label legend menu nav noscript object optgroup option select svg template textarea title video".split())
+#: Elements whose content is not markup; they end at their own end tag only.
+RAW_TAGS = frozenset("script style noscript template svg textarea title iframe".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-#: Elements without an end tag.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Parts of class and id names, and roles, of what stands around an article.
+#: Elements without an end tag.
+VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What a class, id or role names that stands around an article.
 DROPPED_NAMES = frozenset(
-    "ad ads advert advertisement advertisements adverts alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu modal "
-    "nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related reply replies responses search share sharing sidebar sidenav "
-    "signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar widget widgets navigation complementary contentinfo search form".split()
+    "ad ads advert advertisement advertisements adverts alert banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies copyright disclaimer disqus footer form gdpr header "
+    "login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related reply replies responses search share "
+    "sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar widget widgets".split()
 )
-#: Frequent function words of the languages met most often.
-STOP_WORDS = frozenset(
-    "a an and are as at be but by for from had has have he her his i if in is it its not of on or she that the their they this to was we were which with you "
-    "au aux avec ce ces dans de des du elle en est et il la le les leur lui ne nous ou par pas plus pour que qui sa se ses son sur un une vous "
-    "aber als am auch auf aus bei das dem den der des die durch ein eine einer er es für hat ich im ist mit nach nicht noch oder sein sich sie sind so um und von war wie wird zu zum zur "
-    "al como con del el ella ellos era es esta este la las lo los más mi muy no o para pero por que se sin sobre su sus también un una y ya".split()
-)
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-#: A part after "with", "has" or the like says what an element goes without or beside, not what it is.
-NAME = re.compile(r"(?:(?<![a-z])(?:has|with|without|no|non|not)[-_]+)?[a-z]+")
+#: Words at the end of a compound name that only say where or what kind of box it is.
+PLACES = frozenset("area bar block body bottom box buttons container content fixed inner item items left link links list main module outer panel posts right row section sticky text thread top unit wrap wrapper".split())
+#: Words before the last that make a name say what an element goes without, stands beside or is about.
+TURNED = frozenset("has with without no non not of for".split())
+NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+TAG_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+TAG_SIGN = re.compile(r"[>\"']")
 WORD = re.compile(r"[^\W\d_]+")
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none""", re.I)
-GOOD, BAD, SHORT = "good", "bad", "short"
-SHORTEST, LONG_ENOUGH, MOST_LINKS, LOW_STOPS, HIGH_STOPS = 40, 140, 0.33, 0.15, 0.28
-
-
-def _dropped(tag: str, attributes: str) -> bool:
-    if tag in DROPPED_TAGS:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    return any(n in DROPPED_NAMES for m in ATTRIBUTE.finditer(attributes) for n in NAME.findall((m[2] or m[3] or m[4] or "").lower()))
-
-
-def blocks_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
-    """(text, characters inside links, stands in a dropped element, stands in an article, is a heading) of each block."""
-    out: list[tuple[str, int, bool, bool, bool]] = []
-    parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
-    dropped = article = links = inside = heading = 0
-
-    def close() -> None:
-        nonlocal links
-        text = " ".join(html.unescape("".join(parts)).split())
-        if text:
-            out.append((text, links, dropped > 0, article > 0, heading > 0))
-        parts.clear()
-        links = 0
-
-    def leave(tag: str, was_dropped: bool, was_article: bool) -> None:
-        nonlocal dropped, article, inside, heading
-        dropped -= was_dropped
-        article -= was_article
-        inside -= tag == "a"
-        heading -= tag in HEADINGS
-
-    def text_piece(piece: str) -> None:
-        nonlocal links
-        if piece:
-            parts.append(piece)
-            if inside:
-                links += len(piece.strip())
-
-    at = 0
-    for m in TOKEN.finditer(page):
-        text_piece(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
-            continue
-        if m[2]:
-            if any(x[0] == tag for x in stack):
-                if tag in BLOCK_TAGS or any(x[1] for x in stack):
-                    close()
-                while True:
-                    top = stack.pop()
-                    leave(*top)
-                    if top[0] == tag:
-                        break
-            elif tag in BLOCK_TAGS:
-                close()
+GOOD, BAD, OPEN = "good", "bad", "open"
+SHORTEST, LONG_ENOUGH, MOST_LINKS, ALL_LINKS, LOW_STOPS, HIGH_STOPS = 40, 140, 0.33, 0.9, 0.12, 0.28
+#: A name is not believed of an element that holds so much of the page's text.
+MOST_TEXT = 0.8
+#: So many words of a page may be stop words, and a word is one if that many pages say so.
+FREQUENT, LEAST_SHARE = 12, 1 / 500
+
+
+@dataclass(frozen=True)
+class Block:
+    """A block of text: how many of its characters are in links, whether it stands in an article, whether it is a heading."""
+
+    text: str
+    links: int
+    article: bool
+    heading: bool
+
+
+def names_boilerplate(name: str) -> bool:
+    """Whether a class, id or role is that of something around an article, as its last word of weight says.
+
+    ``cookie-notice`` and ``sidebar-right`` are; ``notice-of-works``, ``ad-free`` and ``has-sidebar`` are not.
+    """
+    words = [w.lower() for w in NAME_PARTS.findall(name)]
+    while len(words) > 1 and words[-1] in PLACES:
+        words.pop()
+    return bool(words) and words[-1] in DROPPED_NAMES and not TURNED.intersection(words[:-1])
+
+
+def _hidden_or_named(attributes: str) -> tuple[bool, bool]:
+    """Whether the attributes hide the element, and whether they name it as boilerplate."""
+    hidden = named = False
+    for m in ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if key in ("class", "id", "role"):
+            named = named or any(map(names_boilerplate, value.split()))
+        elif key == "hidden":
+            hidden = hidden or value.lower() != "false"
+        elif key == "style":
+            hidden = hidden or "display:none" in value.lower().replace(" ", "")
+    return hidden, named
+
+
+def tokens(page: str) -> Iterable[tuple[str, str, str]]:
+    """(kind, name or text, attributes) of a page from left to right; kinds are text, start and end.
+
+    Reads forward only: a sign that was looked for in vain is not looked for again, so the time
+    grows with the length whatever is left open. A tag without its end takes the rest.
+    """
+    text_from = at = 0
+    n = len(page)
+    while (at := page.find("<", at)) >= 0:
+        sign = page[at + 1 : at + 2]
+        closing = sign == "/"
+        name = TAG_NAME.match(page, at + 1 + closing)
+        if name is None and sign not in ("!", "?", "/"):
+            at += 1
             continue
-        drops, is_article = _dropped(tag, m[4]), tag in ("article", "main")
-        if tag in BLOCK_TAGS or drops:
-            close()
-        if tag == "p" and stack and stack[-1][0] == "p":
-            leave(*stack.pop())
-        if tag in VOID or m[4].rstrip().endswith("/"):
+        if text_from < at:
+            yield "text", page[text_from:at], ""
+        if name is None:
+            end_sign = next((b for a, b in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(a, at)), ">")
+            end = page.find(end_sign, at + 2)
+            text_from = at = n if end < 0 else end + len(end_sign)
             continue
-        stack.append((tag, drops, is_article))
-        dropped += drops
-        article += is_article
-        inside += tag == "a"
-        heading += tag in HEADINGS
-    text_piece(page[at:])
-    close()
-    return out
+        end = name.end()
+        while (m := TAG_SIGN.search(page, end)) and m[0] != ">":
+            # A quotation mark counts where it begins a value and has its partner.
+            close = page.find(m[0], m.end()) if page[max(name.end(), m.start() - 64) : m.start()].rstrip().endswith("=") else -1
+            end = max(m.start(), close) + 1
+        stop = m.start() if m else n
+        tag = name[0].lower()
+        if m:
+            yield ("end" if closing else "start"), tag, page[name.end() : stop]
+        text_from = at = min(stop + 1, n)
+        if m and not closing and tag in RAW_TAGS:
+            last = re.compile(f"</{tag}", re.I).search(page, at)
+            text_from = at = last.start() if last else n
+    if text_from < n:
+        yield "text", page[text_from:], ""
+
+
+@dataclass
+class _Region:
+    """An element whose name or kind makes it suspect: what it holds decides whether that is believed."""
+
+    parent: int
+    held: int = 0
+    article: bool = False
+
+
+class _Page:
+    """The blocks of a page as its elements open and close."""
+
+    def __init__(self):
+        self.found: list[tuple[Block, int]] = []
+        self.parts: list[str] = []
+        self.stack: list[tuple[str, bool, bool, bool]] = []
+        self.open: Counter = Counter()
+        self.regions: list[_Region] = []
+        self.region, self.links, self.dropped, self.article, self.headers = -1, 0, 0, 0, 0
+
+    def text(self, piece: str) -> None:
+        self.parts.append(piece)
+        if self.open["a"]:
+            self.links += len(piece.strip())
+
+    def close_block(self) -> None:
+        if self.parts:
+            raw = "".join(self.parts)
+            text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
+            heading = any(self.open[h] for h in HEADINGS) if text else False
+            # The heading inside an article's own header is its title.
+            if text and not self.dropped and (not self.headers or self.article and heading):
+                self.found.append((Block(text, min(self.links, len(text)), self.article > 0, heading), self.region))
+            self.parts.clear()
+        self.links = 0
+
+    def leave(self) -> str:
+        tag, drops, suspect, is_article = self.stack.pop()
+        self.open[tag] -= 1
+        self.dropped -= drops
+        self.article -= is_article
+        self.headers -= tag == "header"
+        if suspect:
+            self.region = self.regions[self.region].parent
+        return tag
+
+    def end(self, tag: str) -> None:
+        if self.open[tag]:
+            if tag in BLOCK_TAGS or self.dropped or self.region >= 0:
+                self.close_block()
+            while self.leave() != tag:
+                pass
+        elif tag in BLOCK_TAGS:
+            self.close_block()
+
+    def start(self, tag: str, attributes: str) -> None:
+        hidden, named = _hidden_or_named(attributes) if attributes else (False, False)
+        is_article = tag in ("article", "main")
+        drops = tag in DROPPED_TAGS or tag in ("script", "style") or hidden
+        suspect = tag == "form" or named and not is_article and tag not in ("html", "body")
+        if tag in BLOCK_TAGS or drops or suspect:
+            self.close_block()
+        if tag == "p" and self.stack and self.stack[-1][0] == "p":
+            self.leave()
+        if tag in VOID_TAGS or attributes.rstrip().endswith("/"):
+            return
+        self.stack.append((tag, drops, suspect, is_article))
+        self.open[tag] += 1
+        self.dropped += drops
+        self.article += is_article
+        self.headers += tag == "header"
+        if is_article and self.region >= 0:
+            self.regions[self.region].article = True
+        if suspect:
+            self.regions.append(_Region(self.region))
+            self.region = len(self.regions) - 1
+
+    def blocks(self) -> list[Block]:
+        """Without those of elements whose name is believed: not of one that holds an article or most of the text."""
+        regions = self.regions
+        for block, region in self.found:
+            if region >= 0:
+                regions[region].held += len(block.text)
+        for r in reversed(regions):
+            if r.parent >= 0:
+                regions[r.parent].held += r.held
+                regions[r.parent].article |= r.article
+        whole = sum(len(b.text) for b, _ in self.found)
+        out = [False] * len(regions)
+        for k, r in enumerate(regions):
+            out[k] = not r.article and r.held < MOST_TEXT * whole or r.parent >= 0 and out[r.parent]
+        return [b for b, region in self.found if region < 0 or not out[region]]
 
 
-def _first_label(text: str, links: int, dropped: bool, article: bool) -> str:
-    if dropped:
-        return BAD
-    if links > MOST_LINKS * len(text):
-        return BAD if not article or len(text) < LONG_ENOUGH else SHORT
-    words = WORD.findall(text.lower())
-    density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    if len(text) < SHORTEST:
-        return SHORT
-    if len(text) >= LONG_ENOUGH and density >= LOW_STOPS or density >= HIGH_STOPS:
-        return GOOD
-    return SHORT if article or density >= LOW_STOPS else BAD
+def blocks_of(page: str) -> list[Block]:
+    """The blocks of a page in order, without those that markup itself names as no main text."""
+    state = _Page()
+    for kind, what, attributes in tokens(page):
+        if kind == "text":
+            state.text(what)
+        elif kind == "end":
+            state.end(what)
+        else:
+            state.start(what, attributes)
+    state.close_block()
+    return state.blocks()
 
 
-def main_text(page: str) -> str:
-    """Blocks labelled good, in order, joined by one space.
+def words_of(text: str) -> list[str]:
+    return WORD.findall(text.lower())
 
-    Where a page marks its article, undecided blocks outside it are bad and those inside look
-    for neighbours inside only; if there are none they are good, as their article is.
-    On a page without one, a short heading goes with the text that follows it.
+
+def frequent_words(blocks: list[Block]) -> list[str]:
+    """The words that this page repeats most, at most FREQUENT, ties by the alphabet; link lists do not count."""
+    counts = Counter(w for b in blocks if b.links <= MOST_LINKS * len(b.text) for w in words_of(b.text))
+    repeated = sorted((-n, w) for w, n in counts.items() if n > 1)
+    return [w for _, w in repeated[:FREQUENT]]
+
+
+def _density(text: str, stop_words: frozenset[str]) -> float:
+    words = words_of(text)
+    return sum(map(stop_words.__contains__, words)) / len(words) if words else 0.0
+
+
+def first_pass(blocks: list[Block], stop_words: frozenset[str]) -> tuple[list[str], bool]:
+    """A label for each block, and whether stop words had a say on this page.
+
+    Link lists are bad, and so is long text without stop words. Long or dense text is good. The
+    rest is open: short blocks and, inside an article, what would be bad for its links or words.
+    Outside an article, on a page that has one, all is bad. Where no block has stop words (a
+    language of very few pages) length decides in their place.
+    """
+    dense = [_density(b.text, stop_words) for b in blocks]
+    known = any(d >= LOW_STOPS for d in dense)
+    marked = any(b.article for b in blocks)
+
+    def label(b: Block, d: float) -> str:
+        n = len(b.text)
+        if marked and not b.article:
+            return BAD
+        if b.links > ALL_LINKS * n:
+            return OPEN if b.article and d >= LOW_STOPS else BAD
+        if b.links > MOST_LINKS * n:
+            return OPEN if b.article or d >= HIGH_STOPS else BAD
+        if not known:
+            return GOOD if n >= LONG_ENOUGH else OPEN
+        if n >= SHORTEST and (d >= HIGH_STOPS or n >= LONG_ENOUGH and d >= LOW_STOPS):
+            return GOOD
+        return OPEN if n < SHORTEST or d >= LOW_STOPS or b.article else BAD
+
+    return [label(b, d) for b, d in zip(blocks, dense, strict=True)], known
+
+
+def _nearest(labels: list[str]) -> list[tuple[str | None, int]]:
+    """The last decided label up to each place, and how far back it is."""
+    out, last, at = [], None, 0
+    for k, x in enumerate(labels):
+        if x != OPEN:
+            last, at = x, k
+        out.append((last, k - at))
+    return out
+
+
+def second_pass(blocks: list[Block], labels: list[str], known: bool) -> list[str]:
+    """Labels without open ones: each takes that of the nearest decided block.
+
+    A heading goes with what follows it. At equal distance from a good and a bad block an open
+    one is good, as text runs on more often than it stops. Without stop words there is less to
+    go by, and a short block must stand between two good ones. If nothing on the page is
+    decided, or all that is decided is bad inside an article, the open blocks are its text.
     """
+    before, after = _nearest(labels), _nearest(labels[::-1])[::-1]
+    marked = any(b.article for b in blocks)
+    alone = GOOD not in labels and (marked or BAD not in labels)
+    out = []
+    for b, x, (left, d), (right, e) in zip(blocks, labels, before, after, strict=True):
+        if x != OPEN:
+            out.append(x)
+        elif alone:
+            out.append(GOOD if b.links <= MOST_LINKS * len(b.text) else BAD)
+        elif b.heading and right:
+            out.append(right)
+        elif not known:
+            out.append(GOOD if left == right == GOOD else BAD)
+        elif left and right:
+            out.append(left if d < e else right if e < d else GOOD if GOOD in (left, right) else BAD)
+        else:
+            out.append(left or right)
+    return out
+
+
+def text_of_blocks(blocks: list[Block], stop_words: frozenset[str]) -> str:
+    labels = second_pass(blocks, *first_pass(blocks, stop_words))
+    return " ".join(b.text for b, x in zip(blocks, labels, strict=True) if x == GOOD)
+
+
+def main_text(page: str, stop_words: frozenset[str] | None = None) -> str:
+    """The blocks labelled good, in order, joined by one space; without ``stop_words`` the page's own are used."""
     blocks = blocks_of(page)
-    labels = [_first_label(*b[:4]) for b in blocks]
-    marked = any(b[3] and not b[2] for b in blocks)
-    if marked:
-        labels = [x if b[3] else BAD for x, b in zip(labels, blocks, strict=True)]
-    last, before = None, []
-    for label, block in zip(labels, blocks, strict=True):
-        if label != SHORT and not (marked and block[2]):
-            last = label
-        before.append(last)
-        if marked and not block[3]:
-            last = None
-    last, text_ahead, after, ahead = None, None, [], []
-    for label, block in zip(reversed(labels), reversed(blocks), strict=True):
-        if label != SHORT and not block[2]:
-            text_ahead = label
-        ahead.append(text_ahead)
-        if label != SHORT and not (marked and block[2]):
-            last = label
-        after.append(last)
-        if marked and not block[3]:
-            last = None
-    after.reverse()
-    ahead.reverse()
-    chosen = []
-    for block, label, left, right, follows in zip(blocks, labels, before, after, ahead, strict=True):
-        if label == SHORT and block[4] and not marked:
-            label = follows or BAD
-        elif label == SHORT:
-            inside = marked and block[3]
-            near = {x for x in (left, right) if x}
-            # Two neighbours that agree decide; where they differ, an article takes the block and a bare page does not.
-            label = near.pop() if len(near) == 1 else (GOOD if inside else BAD)
-        if label == GOOD:
-            chosen.append(block[0])
-    return " ".join(chosen)
-
-
-def extract_main_text(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+    return text_of_blocks(blocks, frozenset(frequent_words(blocks)) if stop_words is None else stop_words)
+
+
+def learn_stop_words(frequent: DataFrame, least_share: float = LEAST_SHARE) -> frozenset[str]:
+    """The words that at least ``least_share`` of all rows of ``frequent`` (frequent array<string>) have.
+
+    Every row has at most FREQUENT words, so no more than FREQUENT / least_share words come to the driver.
+    """
+    n = frequent.count()
+    counts = frequent.select(F.explode("frequent").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return frozenset(r["word"] for r in counts.where(F.col("n") >= least_share * n).select("word").collect())
+
+
+def extract_main_text(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url"), stop_words: frozenset[str] | None = None) -> DataFrame:
     """Adds text and n_chars (code points) to the columns in ``keep``.
 
-    A null or empty page, and one without main text, give an empty text. Nothing is capped;
-    rows that repeat are each returned; an empty table gives an empty one. Columns not named
-    in ``keep`` are not returned.
+    Pages are cut into blocks once; these are written to the shared folder. The stop words are
+    learned from all pages unless given. A null or empty page, and one without main text, give
+    an empty text. Nothing is capped; rows that repeat are each returned; an empty table gives
+    an empty one. Columns not named in ``keep`` are not returned; those in it may have any name.
     """
-    inner = pages.select(*keep, text_of(page).alias("_pl_html"))
-    kinds = dict(inner.dtypes)
+    spark = pages.sparkSession
+    kept = carried(pages, keep, ("text", "n_chars"))
+    inner = pages.select(*kept.inner, text_of(page).alias("_pl_html"))
+    names = ["texts", "links", "articles", "headings", "frequent"]
+    kinds = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.list_(pa.string())]
+    width = len(kept.inner)
+
+    def cut_up(batches):
+        for batch in sliced(batches):
+            rows = [blocks_of(x) for x in batch.column(width).to_pylist()]
+            columns = ([[b.text for b in r] for r in rows], [[b.links for b in r] for r in rows], [[b.article for b in r] for r in rows], [[b.heading for b in r] for r in rows], [frequent_words(r) for r in rows])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=[*batch.schema.names[:width], *names])
+
+    schema = "texts array<string>, links array<int>, articles array<boolean>, headings array<boolean>, frequent array<string>"
+    path = shared_path(spark, "blocks")
+    inner.mapInArrow(cut_up, ", ".join([*kept.schema, schema])).write.parquet(path)
+    cut_pages = spark.read.parquet(path)
+    known = spark.sparkContext.broadcast(learn_stop_words(cut_pages) if stop_words is None else frozenset(stop_words))
 
-    def run(batches):
-        for batch in batches:
-            texts = [main_text(x) for x in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*keep, "text", "n_chars"])
+    def decide(batches):
+        for batch in sliced(batches):
+            rows = zip(*(batch.column(width + k).to_pylist() for k in range(4)), strict=True)
+            texts = [text_of_blocks([Block(*b) for b in zip(*row, strict=True)], known.value) for row in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*batch.schema.names[:width], "text", "n_chars"])
 
-    return inner.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "text string", "n_chars long"]))
+    return kept.named(cut_pages.drop("frequent").mapInArrow(decide, ", ".join([*kept.schema, "text string, n_chars long"])))

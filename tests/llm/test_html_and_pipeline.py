@@ -2,10 +2,13 @@
 
 import html
 import re
+import time
 import zlib
+from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers
+import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from plumbline.llm.html_extract import main_text
 from ..conftest import SMALL
 from .cases import SPACE, components, fingerprint, sha
 
+LARGER = SMALL.replace("0.001", "0.01")
+
 
 def article_of(page):
     """The article of the generated pages, which holds nothing else."""
@@ -24,13 +29,61 @@ def article_of(page):
 
 
 def test_whole_table_of_pages(spark):
-    pages = {x.page_id: x for x in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
-    got = queries.op5_html_main_text(spark, SMALL).collect()
+    pages = {x.page_id: x for x in spark.read.parquet(f"{LARGER}/pages.parquet").collect()}
+    got = queries.op5_html_main_text(spark, LARGER).collect()
     assert len(got) == len(pages)
     for x in got:
         assert x.text == article_of(pages[x.page_id].html) and x.n_chars == len(x.text) and x.url == pages[x.page_id].url
 
 
+@pytest.fixture(scope="module")
+def renamed(spark):
+    """The pages with their article as a plain div."""
+    return spark.read.parquet(f"{LARGER}/pages.parquet").withColumn("html", F.regexp_replace("html", r"(</?)article\b", "$1div"))
+
+
+def test_rules_find_the_article_without_its_element(spark, renamed):
+    want = {x.page_id: article_of(x.html) for x in spark.read.parquet(f"{LARGER}/pages.parquet").collect()}
+    got = {x.page_id: x.text for x in html_extract.extract_main_text(renamed).collect()}
+    # Floors: no page loses all, all but a twentieth of the characters are found, nothing from outside comes in.
+    assert all(got.values()) and sum(map(len, got.values())) >= 0.95 * sum(map(len, want.values()))
+    assert sum(got[k] == want[k] for k in want) >= 0.85 * len(want)
+    for k, text in got.items():
+        assert not Counter(text.split()) - Counter(want[k].split())
+
+
+def test_stop_words_decide(spark, renamed):
+    for pages in (spark.read.parquet(f"{LARGER}/pages.parquet"), renamed):
+        with_words, without = (dict(html_extract.extract_main_text(pages, keep=("page_id",), stop_words=s).select("page_id", "text").collect()) for s in (None, frozenset()))
+        assert sum(with_words[k] != without[k] for k in without) > 0.5 * len(without)
+    keywords = "bridge repairs closure council committee traffic detour budget contractor engineer inspection hall meeting monday schedule forecast parking lot fee permit archive"
+    page = f"<body><div><p>{PROSE * 2}</p><p>{PROSE * 2}</p></div><div>{keywords}</div></body>"
+    assert "detour" not in main_text(page) and main_text(page).count(PROSE.strip()) == 4
+    assert "detour" in main_text(page, frozenset())
+
+
+def test_stop_words_are_learned_from_all_pages(spark):
+    pages = [(k, "<p>" + " ".join(f"w{k} {w} x{j}" for j, w in enumerate(["alpha", "beta", "alpha", "beta"]))) for k in range(40)]
+    rows = spark.createDataFrame([(html_extract.frequent_words(html_extract.blocks_of(h)),) for _, h in pages], "frequent array<string>")
+    assert html_extract.learn_stop_words(rows) >= {"alpha", "beta", "w"}
+    assert html_extract.learn_stop_words(rows.where("false")) == frozenset()
+
+
+def test_a_language_of_few_pages_keeps_its_text():
+    polish = "Komisja zebrała się w ratuszu w poniedziałek i postanowiła, że stary most zostanie zamknięty na czas remontu, który potrwa co najmniej trzy miesiące."
+    page = f"<body><nav><a href=x>Start</a></nav><h1>Most zamknięty</h1><p>{polish}</p><p>{polish}</p><footer>Redakcja</footer></body>"
+    for words in (None, frozenset(), frozenset(("the", "of", "and"))):
+        assert main_text(page, words) == f"Most zamknięty {polish} {polish}"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<script ", "<script>", "<div>", "<div class=ad>", '<a href="', "<a x='", "<", "<!--", "<![CDATA[", "</div>", "<b><i>", "<p title='>'>", "&amp", "<p>x"])
+def test_time_grows_with_the_length(part):
+    page = part * (1_000_000 // len(part))
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < (2 if part.startswith("<a") else 6)
+
+
 PROSE = "This is the main text of the page and it has many of the words that are in all of the texts of the kind. "
 
 
@@ -50,10 +103,36 @@ def test_short_blocks_take_the_label_of_their_neighbours():
     assert "And so." in text and "Stray" not in text and "link" not in text
 
 
+TOWN = "The committee met in the town hall on Monday and it was decided that the old bridge should be closed for repairs, which will take at least three months."
+
+
 def test_a_name_that_says_what_stands_beside_drops_nothing():
-    text = "The committee met in the town hall on Monday and it was decided that the old bridge should be closed for repairs, which will take at least three months."
-    page = f'<body class="sidebar"><div class="content-with-sidebar"><div class="post has-comments"><p>{text}</p></div><div class="right sidebar"><p>Other {text}</p></div></div>'
-    assert html_extract.main_text(page) == text
+    page = f'<body class="sidebar"><div class="content-with-sidebar"><div class="post has-comments"><p>{TOWN}</p></div><div class="right sidebar"><p>Other {TOWN}</p></div></div>'
+    assert html_extract.main_text(page) == TOWN
+
+
+@pytest.mark.parametrize("name", ["notice-of-works", "tags-intro ad-free", "gradient loading", "header-less", "non-commented"])
+def test_a_part_of_a_name_drops_nothing(name):
+    assert main_text(f'<body><article><div class="{name}"><p>{TOWN}</p></div></article></body>') == TOWN
+
+
+@pytest.mark.parametrize("name", ["layout sidebar-right", "page-header-fixed", "cookies"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_a_name_is_not_believed_of_what_holds_the_text(name, inner):
+    assert main_text(f'<body><div class="{name}"><nav><a href=x>Home</a></nav><{inner}><p>{TOWN}</p><p>{TOWN}</p></{inner}></div></body>') == f"{TOWN} {TOWN}"
+    assert main_text(f"<body><form><p>{TOWN}</p></form></body>") == TOWN
+
+
+@pytest.mark.parametrize("name", ["ad", "cookie-notice", "post-comments", "commentList", "site-footer", "related-posts", "newsletter-signup", "sidebar left", "share-buttons"])
+def test_names_of_what_stands_around_drop_it(name):
+    for mark in ("article", "div"):
+        page = f'<body><{mark}><p>{TOWN}</p><div class="{name}"><p>Other words that the town and the hall have for it.</p></div><p>{TOWN}</p></{mark}></body>'
+        assert main_text(page) == f"{TOWN} {TOWN}"
+
+
+def test_a_sentence_with_a_link_stays():
+    page = f"<body><article><h1>Bridge</h1><p>{TOWN}</p><p>See <a href=x>the other report of the bridge</a></p><p>{TOWN}</p></article></body>"
+    assert main_text(page) == f"Bridge {TOWN} See the other report of the bridge {TOWN}"
 
 
 def test_odd_pages(spark):
