@@ -14,16 +14,19 @@ from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, sampled, text_of
+from plumbline.llm.common import carried, column, cut, sliced, text_of
 
-WORD = re.compile(r"[^\W\d_]+")
+RUN = re.compile(r"[^\W\d_]+")
 UNDECIDED = "und"
 LONGEST = 5
-CACHED_WORDS = 150_000
+#: How often an entry is taken to occur, of the words of the largest language, where it was not seen.
+UNSEEN = 0.1
+CACHED_WORDS = 100_000
 ROWS_AT_ONCE = 500
 
 
@@ -37,20 +40,21 @@ class LanguageModel:
     grams: dict[str, int] = field(default_factory=dict)
     gram_rows: np.ndarray | None = None
 
-    def vector(self, word: str) -> np.ndarray:
-        """Scores of one word for every language; zeros if not even its letters are known."""
-        at = self.words.get(word)
-        if at is not None:
-            return self.word_rows[at]
+    def backed_off(self, word: str) -> np.ndarray:
+        """Scores of a word that was not seen: the mean of its longest known n-grams; zeros if not even its letters are known."""
         for n in range(LONGEST, 0, -1):
             known = [self.grams[g] for g in grams_of(word, n) if g in self.grams]
             if known:
-                return self.gram_rows[known].mean(axis=0)
+                return np.add.reduce(self.gram_rows[known], axis=0) / len(known)
         return np.zeros(len(self.langs))
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs of letters in lower case. Numbers, number signs such as a half among them, end a run."""
+    runs = RUN.findall(text.lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [w for run in runs for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -60,7 +64,7 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 def _counted(batches, of):
-    for batch in batches:
+    for batch in sliced(batches, ROWS_AT_ONCE):
         found: Counter = Counter()
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             of(found, *row)
@@ -73,8 +77,8 @@ def _counted(batches, of):
 
 def _count_words(batches):
     def of(found, lang, text):
-        for word in words_of(text):
-            found[lang, word] += 1
+        for word, n in Counter(words_of(text)).items():
+            found[lang, word] += n
 
     return _counted(batches, of)
 
@@ -88,82 +92,92 @@ def _count_grams(batches):
     return _counted(batches, of)
 
 
-def _table(rows, langs: list[str], group_of) -> tuple[dict[str, int], np.ndarray]:
-    """Smoothed log frequencies; the entries of one group_of share a total."""
-    items = sorted({r.item for r in rows})
-    at = {x: i for i, x in enumerate(items)}
-    column = {x: i for i, x in enumerate(langs)}
-    counts = np.full((len(items), len(langs)), 0.1)
-    for r in rows:
-        counts[at[r.item], column[r.lang]] += r.n
-    groups = np.array([group_of(x) for x in items], dtype=int)
-    out = np.empty_like(counts)
-    for g in set(groups.tolist()):
+def log_frequencies(counts: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """ln(count / total + UNSEEN / largest total): totals are by language (column) among the entries of one group.
+
+    What is added is the same for every language, so that one with few words is not favoured
+    for all that it was never seen with.
+    """
+    out = np.empty(counts.shape)
+    for g in np.unique(groups):
         own = groups == g
-        out[own] = np.log(counts[own] / counts[own].sum(axis=0))
-    return at, out
+        totals = counts[own].sum(axis=0)
+        out[own] = np.log(counts[own] / np.maximum(totals, 1) + UNSEEN / max(totals.max(), 1))
+    return out
 
 
-def _most_frequent(counts: DataFrame, most: int, seed: int) -> list:
-    """About ``most`` rows (lang, item, n), the most frequent; of those that tie at the end a hash picks.
+def _table(counts: DataFrame, langs: list[str], group_of) -> tuple[dict[str, int], np.ndarray]:
+    """Entries and their log frequencies. As many rows come as the sampled documents have entries."""
+    rows = counts.toArrow().to_pandas()
+    codes, items = pd.factorize(rows["item"])
+    table = np.zeros((len(items), len(langs)))
+    table[codes, pd.Index(langs).get_indexer(rows["lang"])] = rows["n"]
+    return {x: i for i, x in enumerate(items)}, log_frequencies(table, np.fromiter(map(group_of, items), dtype=int, count=len(items)))
 
-    A histogram of the counts gives the number to cut at, so each task sends only rows that stay.
-    """
-    left = most
-    for row in counts.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).collect():
-        if row["rows"] > left:
-            tied = (F.col("n") == row["n"]) & (F.pmod(F.xxhash64("item", "lang", F.lit(seed)), F.lit(row["rows"])) < left)
-            return counts.where((F.col("n") > row["n"]) | tied).collect()
-        left -= row["rows"]
-    return counts.collect()
-
-
-def fit_language_model(
-    docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 6000, max_words: int = 60_000, max_grams: int = 120_000, seed: int = 11
-) -> LanguageModel:
+
+def sampled_by_language(labelled: DataFrame, bound: int, seed: int) -> DataFrame:
+    """About ``bound`` rows (lang, key, ...) of each language, all of one that has fewer; a hash of the key decides."""
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("_pl_n"))
+    steps = 1 << 30
+    chance = F.least(F.lit(1.0), F.lit(float(bound)) / F.col("_pl_n"))
+    return labelled.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(steps)) < chance * steps).drop("_pl_n")
+
+
+def fit_language_model(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 1500, seed: int = 11) -> LanguageModel:
     """Counts words and n-grams of the labelled rows of ``docs``; rows with a null lang are left out.
 
-    ``sample_docs`` bounds how many rows are read for training, ``max_words`` and
-    ``max_grams`` about how many entries are kept (the most frequent). An input without labelled rows
-    gives a model without languages.
+    ``sample_docs`` bounds, in expectation, how many rows of each language are read for
+    training; a language with fewer is read whole. All words and n-grams of those rows are kept.
+    An input without labelled rows gives a model without languages.
     """
-    labelled = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), text_of(text).alias("text"), F.col(key).alias("key"))
-    chosen = sampled(labelled, F.col("key"), sample_docs, seed).select("lang", "text")
-    summed = lambda df: cut(df.groupBy("lang", "item").agg(F.sum("n").alias("n")))
-    words = summed(chosen.mapInArrow(_count_words, "lang string, item string, n long"))
-    top = _most_frequent(words, max_words, seed)
-    grams = _most_frequent(summed(words.mapInArrow(_count_grams, "lang string, item string, n long")), max_grams, seed)
-    langs = sorted({r.lang for r in top})
+    labelled = docs.where(column(lang).isNotNull()).select(column(lang).cast("string").alias("lang"), text_of(text).alias("text"), column(key).alias("key"))
+    chosen = sampled_by_language(labelled, sample_docs, seed).select("lang", "text")
+    summed = lambda df: df.groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    words = cut(summed(chosen.mapInArrow(_count_words, "lang string, item string, n long")))
+    langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
     if not langs:
         return LanguageModel()
-    known, word_rows = _table(top, langs, lambda x: 0)
-    parts, gram_rows = _table([r for r in grams if r.lang in set(langs)], langs, len)
+    known, word_rows = _table(words, langs, lambda x: 0)
+    parts, gram_rows = _table(summed(words.mapInArrow(_count_grams, "lang string, item string, n long")), langs, len)
     return LanguageModel(langs, known, word_rows, parts, gram_rows)
 
 
 class Predictor:
-    """Scores texts; vectors of words seen before are kept, up to a bound."""
+    """Scores texts. Vectors of words seen before stand in one table that grows up to a bound."""
 
     def __init__(self, model: LanguageModel):
-        self.model, self.at, self.rows = model, {}, []
+        self.model, self.at, self.table = model, {}, np.empty((1024, len(model.langs)))
+
+    def _learn(self, words: set[str]) -> None:
+        need = len(self.at) + len(words)
+        if need > len(self.table):
+            grown = np.empty((max(need, 2 * len(self.table)), len(self.model.langs)))
+            grown[: len(self.at)] = self.table[: len(self.at)]
+            self.table = grown
+        start, names = len(self.at), list(words)
+        self.at.update(zip(names, range(start, need), strict=True))
+        place = np.fromiter((self.model.words.get(w, -1) for w in names), dtype=np.intp, count=len(names))
+        rows = self.table[start:need]
+        rows[place >= 0] = self.model.word_rows[place[place >= 0]]
+        for k in np.flatnonzero(place < 0).tolist():
+            rows[k] = self.model.backed_off(names[k])
 
     def __call__(self, texts: list[str]) -> tuple[list[str], list[float]]:
         split = [words_of(t) for t in texts]
-        if len(self.at) > CACHED_WORDS:
-            self.at, self.rows = {}, []
-        for word in set(chain.from_iterable(split)).difference(self.at):
-            self.at[word] = len(self.rows)
-            self.rows.append(self.model.vector(word))
+        every = set(chain.from_iterable(split))
+        fresh = every.difference(self.at)
+        # When the table is full it is begun anew, with all words of these texts.
+        if len(self.at) + len(fresh) > CACHED_WORDS:
+            self.at, fresh = {}, every
         langs, labels, scores = self.model.langs, [], []
-        if not langs or not self.rows:
-            return [UNDECIDED] * len(texts), [0.0] * len(texts)
-        table = np.asarray(self.rows)
+        if langs:
+            self._learn(fresh)
         for words in split:
-            if not words:
+            if not words or not langs:
                 labels.append(UNDECIDED)
                 scores.append(0.0)
                 continue
-            sums = table[list(map(self.at.__getitem__, words))].sum(axis=0)
+            sums = self.table[np.fromiter(map(self.at.__getitem__, words), dtype=np.intp, count=len(words))].sum(axis=0)
             best = int(sums.argmax())
             labels.append(langs[best])
             scores.append(1.0 / math.fsum(np.exp(np.maximum(sums - sums[best], -700.0))))
@@ -175,18 +189,18 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text"
 
     A null text, an empty one and one without letters give ``und`` and 0. Equal scores go to
     the language first in the alphabet. Rows that repeat are scored alike; an empty table
-    gives an empty one. Columns not named in ``keep`` are not returned, so none can clash.
+    gives an empty one. Columns not named in ``keep`` are not returned; one in it that is
+    named lang_pred or score is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    inner = docs.select(*keep, text_of(text).alias("_pl_text"))
+    kept = carried(docs, keep, ("lang_pred", "score"))
+    width = len(kept.inner)
+    inner = docs.select(*kept.inner, text_of(text).alias("_pl_text"))
 
     def score(batches):
         predict = Predictor(sent.value)
-        for whole in batches:
-            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(start, ROWS_AT_ONCE)
-                labels, scores = predict(batch.column(len(keep)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
-
-    kinds = dict(inner.dtypes)
-    return inner.mapInArrow(score, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"]))
+        for batch in sliced(batches, ROWS_AT_ONCE):
+            labels, scores = predict(batch.column(width).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:width], "lang_pred", "score"])
+
+    return kept.named(inner.mapInArrow(score, ", ".join([*kept.schema, "lang_pred string", "score double"])))

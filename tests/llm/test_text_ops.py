@@ -1,6 +1,7 @@
 """Language, secrets, tokens, quality, GIF and licences: edge rows, brute force and held-out accuracy."""
 
 import hashlib
+import math
 import re
 import string
 import zlib
@@ -42,6 +43,100 @@ def test_language_of_held_out_documents(spark):
     assert all(got["held_out"] == got["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 3 == 1))
 
 
+def plain_language_model(rows):
+    """Counts of words and n-grams by language, in plain dictionaries, from (text, lang)."""
+    counts = {n: {} for n in range(language_id.LONGEST + 1)}
+    for text, lang in rows:
+        for run in re.findall(r"\w+", text.lower()):
+            for word in "".join(c if c.isalpha() else " " for c in run).split():
+                own = counts[0].setdefault(word, {})
+                own[lang] = own.get(lang, 0) + 1
+                for n in range(1, language_id.LONGEST + 1):
+                    marked = word if n == 1 else f"<{word}>"
+                    for k in range(len(marked) - n + 1):
+                        own = counts[n].setdefault(marked[k : k + n], {})
+                        own[lang] = own.get(lang, 0) + 1
+    langs = sorted({lang for _, lang in rows})
+    return langs, counts, {n: [sum(c.get(x, 0) for c in counts[n].values()) for x in langs] for n in counts}
+
+
+def plain_language(model, text):
+    langs, counts, totals = model
+    sums = np.zeros(len(langs))
+    seen = False
+
+    def logs(n, entry):
+        most = max(max(totals[n]), 1)
+        return np.array([math.log(counts[n][entry].get(x, 0) / max(t, 1) + 0.1 / most) for x, t in zip(langs, totals[n], strict=True)])
+
+    for run in re.findall(r"\w+", text.lower()):
+        for word in "".join(c if c.isalpha() else " " for c in run).split():
+            seen = True
+            if word in counts[0]:
+                sums += logs(0, word)
+                continue
+            for n in range(language_id.LONGEST, 0, -1):
+                marked = word if n == 1 else f"<{word}>"
+                known = [marked[k : k + n] for k in range(len(marked) - n + 1) if marked[k : k + n] in counts[n]]
+                if known:
+                    sums += sum(logs(n, g) for g in known) / len(known)
+                    break
+    if not seen:
+        return "und", 0.0
+    best = int(sums.argmax())
+    return langs[best], 1 / sum(math.exp(max(s - sums[best], -700.0)) for s in sums)
+
+
+def test_languages_equal_plain_counting_on_the_whole_table(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    train = [(x.text or "", x.lang) for x in docs if x.lang is not None and zlib.crc32(str(x.doc_id).encode()) % 3 != 1]
+    model = plain_language_model(train)
+    got = {x.doc_id: x for x in queries.op1_language_id(spark, SMALL).collect()}
+    assert len(got) == len(docs)
+    for x in docs:
+        lang, score = plain_language(model, x.text or "")
+        assert got[x.doc_id].lang_pred == lang and got[x.doc_id].score == pytest.approx(score, abs=1e-9)
+
+
+@pytest.mark.parametrize("text", ["½", "12 ² 3", "Ⅷ ①", "1234 _ ١٢", "⅓½¾ ³", "\u0301"])
+def test_a_text_without_letters_is_undecided(text):
+    assert language_id.words_of(text) == []
+
+
+def test_number_signs_end_a_word():
+    assert language_id.words_of("Anna½Bert x² ǅ_ʰa") == ["anna", "bert", "x", "ǆ", "ʰa"]
+
+
+def test_a_small_language_is_learned_beside_a_large_one(spark):
+    many = [(k, f"the words of the many number {'abcdefghij'[k % 10] * 3}", "en", "s", 1) for k in range(3000)]
+    few = [(5000 + k, f"słowa nielicznych są inne {'abc'[k]}", "pl", "s", 1) for k in range(3)]
+    model = language_id.fit_language_model(frame(spark, many + few), sample_docs=100)
+    assert model.langs == ["en", "pl"] and {"nielicznych", "words"} <= set(model.words)
+    p = language_id.Predictor(model)
+    assert p(["słowa są", "inneż słowach", "many words unseen"])[0] == ["pl", "pl", "en"]
+
+
+def test_sampled_rows_are_bounded_by_language(spark):
+    rows = frame(spark, [(k, "x", "en" if k % 10 else "fr", "s", 1) for k in range(5000)])
+    kept = language_id.sampled_by_language(rows.withColumn("key", F.col("doc_id")), 200, 1).groupBy("lang").count().collect()
+    assert all(120 < x["count"] < 290 for x in kept) and len(kept) == 2
+
+
+def test_the_table_of_words_is_begun_anew_when_full(monkeypatch):
+    monkeypatch.setattr(language_id, "CACHED_WORDS", 3)
+    rows = np.arange(12.0).reshape(6, 2)
+    model = language_id.LanguageModel(["a", "b"], {w: k for k, w in enumerate("uvwxyz")}, rows, {}, np.empty((0, 2)))
+    texts = ["u v w", "x y z u v", "u", "q"]
+    one = language_id.Predictor(model)
+    assert [one([t]) for t in texts] == [language_id.Predictor(model)([t]) for t in texts] and one(texts) == language_id.Predictor(model)(texts)
+
+
+def test_columns_of_any_name_are_carried(spark):
+    docs = frame(spark).withColumns({"a.b": F.lit("dot"), "c`d": F.lit("tick"), "lang_pred": F.lit("old")})
+    out = language_id.identify_languages(docs, language_id.fit_language_model(docs), keep=("a.b", "c`d", "score", "lang_pred"))
+    assert out.columns == ["a.b", "c`d", "lang_pred", "score"] and out.where("`a.b` <> 'dot' or lang_pred = 'old'").count() == 0
+
+
 def test_language_edge_rows(spark):
     docs = frame(spark)
     model = language_id.fit_language_model(docs)
