@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that Python code works on at once, so that a batch of long texts is not held as Python objects whole.
@@ -46,6 +46,39 @@ def column(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate files, in whatever file system it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def shuffle_parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def frequent_keys(rows: DataFrame, keys: list[str]) -> list[Row]:
+    """The keys that hold more rows than half of an even partition: at most two for each shuffle partition.
+
+    Counted before they are shuffled. ``rows`` is read twice and should be checkpointed or cheap.
+    """
+    least = rows.count() / (2 * shuffle_parts(rows.sparkSession))
+    return rows.groupBy(*keys).agg(F.count("*").alias("_pl_n")).where(F.col("_pl_n") > least).select(*keys).collect()
+
+
+def joined(rows: DataFrame, names: DataFrame, keys: list[str], how: str = "inner", hot: list[Row] | None = None) -> DataFrame:
+    """``rows`` with the one row of ``names`` for their key, without gathering a frequent key in one task.
+
+    Frequent keys are joined where their rows stand, by a broadcast of their rows of ``names``;
+    there are at most two of them for each shuffle partition. ``hot`` names them if they are known.
+    """
+    hot = frequent_keys(rows, keys) if hot is None else hot
+    if not hot:
+        return rows.join(names, keys, how)
+    few = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys).schema))
+    many = rows.join(few, keys, "left_semi").join(F.broadcast(names.join(few, keys, "left_semi")), keys, how)
+    return many.unionByName(rows.join(few, keys, "left_anti").join(names, keys, how))
+
+
 def text_of(name: str = "text") -> Column:
     """The text column as a string; null counts as empty."""
     return F.coalesce(column(name).cast("string"), F.lit(""))

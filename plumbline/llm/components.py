@@ -1,25 +1,29 @@
-"""Connected components by alternating stars, as joins and aggregates."""
+"""Connected components by alternating stars, as joins and aggregates.
+
+The edges of a large component are a star around one node; joins by that node send its row to
+the edges and not the edges to one task.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut
+from plumbline.llm.common import cut, joined
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is tied to the smallest of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return joined(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node and its neighbours below are tied to the smallest of these."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    across = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    across = joined(down, least, ["u"]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return across.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 

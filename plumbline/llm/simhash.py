@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, text_of
+from plumbline.llm.common import column, cut, joined, shuffle_parts, sliced, text_of
 from plumbline.llm.components import connected_components
 
 BITS = 64
@@ -24,7 +24,7 @@ BITS = 64
 CHUNK = 4096
 #: The fingerprints a bucket may hold on average before blocks are chosen that split finer.
 MEAN_BUCKET = 2048
-ROWS_AT_ONCE, SHINGLES_AT_ONCE, GATHERED, WORDS_AT_ONCE = 200, 100_000, 40_000, 1 << 16
+SHINGLES_AT_ONCE, GATHERED, WORDS_AT_ONCE = 100_000, 40_000, 1 << 16
 
 
 def shingle_hashes(text: str, size: int) -> list[int]:
@@ -39,53 +39,64 @@ def shingle_hashes(text: str, size: int) -> list[int]:
     return [xxhash.xxh64_intdigest(whole[a:b], 42) for a, b in zip(starts, ends[size - 1 :], strict=False)]
 
 
+def fingerprint_of_hashes(found: np.ndarray) -> np.uint64:
+    """The bits set in over half of the hashes; 0 without any."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for a in range(0, len(found), SHINGLES_AT_ONCE):
+        part = found[a : a + SHINGLES_AT_ONCE]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(found), bitorder="little").view("<u8")[0]
+
+
 def fingerprints(texts: list[str], size: int = 4) -> np.ndarray:
-    """The fingerprint of each text: bits set in over half of its shingles' hashes; 0 without words."""
-    out = np.zeros(len(texts), dtype=np.uint64)
-    for i, text in enumerate(texts):
-        found = np.array(shingle_hashes(text, size), dtype="<u8")
-        if len(found):
-            ones = np.zeros(BITS, dtype=np.int64)
-            for a in range(0, len(found), SHINGLES_AT_ONCE):
-                part = found[a : a + SHINGLES_AT_ONCE]
-                ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out[i] = np.packbits(ones * 2 > len(found), bitorder="little").view("<u8")[0]
-    return out
-
-
-def _beyond(ones, twos, fours, over, radius: int):
-    """Lanes whose count is over the radius (at most 7)."""
-    more, same = np.zeros_like(ones), ~np.zeros_like(ones)
-    for k, plane in ((4, fours), (2, twos), (1, ones)):
-        if radius & k:
-            same = same & plane
+    """The fingerprint of each text's shingles, repeats included; 0 without words."""
+    return np.array([fingerprint_of_hashes(np.array(shingle_hashes(t, size), dtype="<u8")) for t in texts], dtype=np.uint64)
+
+
+def _beyond(counts: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
+    """Lanes whose count is over the radius; ``counts`` are its binary digits from the lowest."""
+    more, same = np.zeros_like(over), ~np.zeros_like(over)
+    for k in reversed(range(len(counts))):
+        if radius >> k & 1:
+            same = same & counts[k]
         else:
-            more |= same & plane
-            same = same & ~plane
+            more |= same & counts[k]
+            same = same & ~counts[k]
     return over | more
 
 
 def near_lanes(planes: np.ndarray, valid: np.ndarray, query: np.ndarray, at: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For pairs of a query fingerprint and a word of the planes: the pairs with near lanes, and those lanes' bits."""
+    """For pairs of a query fingerprint and a word of the planes: the pairs with near lanes, and those lanes' bits.
+
+    Two planes are added at a time by a carry-save adder; carries run up through as many counters
+    as the radius has binary digits, and what runs out of the last is over it.
+    """
     left = np.arange(len(query))
-    ones, twos, fours, over = (np.zeros(len(query), dtype=np.uint64) for _ in range(4))
+    counts = [np.zeros(len(query), dtype=np.uint64) for _ in range(max(1, radius.bit_length()))]
+    over = np.zeros(len(query), dtype=np.uint64)
     every = np.uint64(0xFFFFFFFFFFFFFFFF)
     for b in range(0, BITS, 2):
         q, w = query[left], at[left]
         x, y = (planes[k][w] ^ np.where(q >> np.uint64(k) & np.uint64(1), every, np.uint64(0)) for k in (b, b + 1))
-        u = ones ^ x
-        carry = ones & x | u & y
-        ones = u ^ y
-        next_carry = twos & carry
-        twos ^= carry
-        over |= fours & next_carry
-        fours ^= next_carry
+        u = counts[0] ^ x
+        carry = counts[0] & x | u & y
+        counts[0] = u ^ y
+        for k in range(1, len(counts)):
+            counts[k], carry = counts[k] ^ carry, counts[k] & carry
+        over |= carry
         if b % 8 == 6:
-            alive = (~_beyond(ones, twos, fours, over, radius) & valid[w]) != 0
-            left, ones, twos, fours, over = left[alive], ones[alive], twos[alive], fours[alive], over[alive]
+            alive = (~_beyond(counts, over, radius) & valid[w]) != 0
+            left, over, counts = left[alive], over[alive], [c[alive] for c in counts]
             if not len(left):
                 break
-    return left, ~_beyond(ones, twos, fours, over, radius) & valid[at[left]]
+    return left, ~_beyond(counts, over, radius) & valid[at[left]]
+
+
+def bit_planes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of fingerprints stored vertically, 64 to a word, and the lanes that are in use; for one group."""
+    bit = np.uint64(1) << (np.arange(len(values)) % 64).astype(np.uint64)
+    heads = np.arange(0, len(values), 64)
+    return np.stack([np.bitwise_or.reduceat(np.where(values >> np.uint64(b) & np.uint64(1), bit, np.uint64(0)), heads) for b in range(BITS)]), np.bitwise_or.reduceat(bit, heads)
 
 
 def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -193,33 +204,33 @@ def block_masks(n: int, radius: int) -> list[int]:
 def near_edges(nodes: DataFrame, radius: int = 4, fp: str = "fp") -> DataFrame:
     """Edges (u, v) between distinct fingerprints that tie all of those within the radius."""
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    masks = [signed(m) for m in block_masks(nodes.count(), radius)]
+    n = nodes.count()
+    masks = [signed(m) for m in block_masks(n, radius)]
     bands = nodes.select(F.col(fp).alias("fp"), F.posexplode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("band", "mask")).select("band", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-    big = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("band", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    rows = bands.join(big, ["band", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    big = cut(bands.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("band", "key", F.col("n"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
+    parts = shuffle_parts(nodes.sparkSession)
+    hot = big.where(F.col("n") > F.lit(n) * len(masks) / (2 * parts)).select("band", "key").collect()
+    rows = joined(bands, big.drop("n"), ["band", "key"], "left", hot).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     rows = rows.select("band", "key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     rows = rows.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["band", "key", "i", "j"]
     dealt = rows.repartition(parts, *order).sortWithinPartitions(*order)
     return dealt.mapInArrow(lambda b: _compare(b, radius), "u long, v long")
 
 
 def _fingerprint_rows(batches, shingle: int):
-    for whole in batches:
-        for start in range(0, whole.num_rows, ROWS_AT_ONCE):
-            batch = whole.slice(start, ROWS_AT_ONCE)
-            fp = fingerprints(batch.column(2).to_pylist(), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["id", "th", "fp"])
+    for batch in sliced(batches):
+        fp = fingerprints(batch.column(2).to_pylist(), shingle).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["id", "th", "fp"])
 
 
 def least_of_components(nodes: DataFrame, tied: DataFrame) -> DataFrame:
     """fp and component_id, the smallest id of its component, of every node (fp, least)."""
     members = tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct())
-    reach = members.join(nodes, members["node"] == nodes["fp"]).select("node", "root", "least")
+    reach = cut(members.join(nodes, members["node"] == nodes["fp"]).select("node", "root", "least"))
     of_root = reach.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = reach.join(of_root, "root").select(F.col("node").alias("fp"), "component_id")
+    moved = joined(reach, of_root, ["root"]).select(F.col("node").alias("fp"), "component_id")
     return nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
 
 
@@ -231,12 +242,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     never the smallest unless there is no other. An empty table gives an empty one; other
     columns are not read.
     """
-    inner = docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(text_of(text)).alias("th"), text_of(text).alias("text"))
+    inner = docs.select(column(doc_id).alias("id"), F.xxhash64(text_of(text)).alias("th"), text_of(text).alias("text"))
     rows = cut(inner.mapInArrow(lambda b: _fingerprint_rows(b, shingle), f"id {dict(inner.dtypes)['id']}, th long, fp long"))
     nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     tied = connected_components(near_edges(nodes, radius))
-    names = least_of_components(nodes, tied)
-    return rows.join(names, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("th").alias("text_hash"))
+    names = cut(least_of_components(nodes, tied))
+    return joined(rows, names, ["fp"]).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("th").alias("text_hash"))
 
 
 def without_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -250,7 +261,7 @@ def one_of_each(docs: DataFrame, found: DataFrame, text: str, doc_id: str) -> Da
     # A null id is held apart by a column of its own; the join is by plain equality.
     keys = {"_pl_n": F.col("n"), "_pl_id": F.coalesce(F.col("id").cast("string"), F.lit("")), "_pl_th": F.col("th")}
     stays = stays.select(*(c.alias(k) for k, c in keys.items()))
-    tagged = docs.withColumns({"_pl_n": F.col(f"`{doc_id}`").isNull(), "_pl_id": F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")), "_pl_th": F.xxhash64(text_of(text))})
+    tagged = docs.withColumns({"_pl_n": column(doc_id).isNull(), "_pl_id": F.coalesce(column(doc_id).cast("string"), F.lit("")), "_pl_th": F.xxhash64(text_of(text))})
     rows = tagged.join(stays, list(keys), "left_semi")
-    one = rows.groupBy(*keys).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("_pl_row"))
+    one = rows.groupBy(*keys).agg(F.first(F.struct(*map(column, docs.columns))).alias("_pl_row"))
     return one.select(*(F.col("_pl_row")[c].alias(c) for c in docs.columns))
