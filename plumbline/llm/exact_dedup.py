@@ -1,8 +1,8 @@
 """Exact deduplication against a persistent digest index.
 
 The index is a table with one row per digest, bucketed and sorted by it. A new batch is
-reduced to its digests, those already held fall out in a sort-merge anti-join (no shuffle of
-the index: its buckets line up), and the rest is appended.
+reduced to its digests, those already held fall out in a sort-merge anti-join, and the rest is
+appended. The index is read in its buckets and never shuffled or copied.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, shared_path, text_of
+from plumbline.llm.common import column, cut, joined, remove, shared_path, shuffle_parts, text_of
 
 #: The six characters of [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -25,7 +25,7 @@ def digest_of(text: str = "text") -> Column:
 
 
 class DigestIndex:
-    """A bucketed table of digests; ``add`` appends what is new to it.
+    """A bucketed table of digests; ``decide`` appends what is new to it.
 
     Without ``path`` a new one is made in the shared folder. With it the index whose files stand
     there is opened, in this session or a later one; ``buckets`` and ``id_type`` must be those it
@@ -36,7 +36,7 @@ class DigestIndex:
         if path and not buckets:
             raise ValueError("an index is opened with the number of buckets it was made with")
         self.spark, self.id_type = spark, id_type
-        self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.buckets = buckets or shuffle_parts(spark)
         self.name, self.path = f"plumbline_digests_{uuid.uuid4().hex}", path or shared_path(spark, "digests")
         if path:
             spark.sql(f"CREATE TABLE {self.name} ({INDEX_COLUMNS.format(id=id_type)}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'")
@@ -50,18 +50,32 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def files(self) -> DataFrame:
-        """The same rows without the bucketing, so that a join against skewed rows can be split."""
+        """The same rows from the files alone, for readers that do not know the table."""
         return self.spark.read.schema(INDEX_COLUMNS.format(id=self.id_type)).parquet(self.path)
 
-    def add(self, digests: DataFrame) -> None:
-        """Appends the digests of (digest binary, id, chars) that the index does not hold.
+    def decide(self, digests: DataFrame) -> DataFrame:
+        """(digest, keep_id, keep_chars, group_size, held) for each digest of (digest binary, id, chars); new ones are appended.
 
         Of one digest the row with the most code points stays, then the smallest id; a null id
-        loses against any other. A digest held from an earlier batch keeps its row.
+        loses against any other. A digest held from an earlier batch keeps its row. The index
+        is read where it lies, by merge joins with the batch's digests alone.
         """
         best = digests.groupBy("digest").agg(F.min(F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("n"), F.col("id").alias("id"))).alias("b"), F.count("*").alias("group_size"))
-        rows = best.select("digest", F.col("b.id").alias("keep_id"), (-F.col("b.c")).alias("keep_chars"), "group_size").repartition(self.buckets, "digest")
-        self._append(rows.join(self.table().hint("merge"), "digest", "left_anti"))
+        rows = best.select("digest", F.col("b.id").alias("keep_id"), (-F.col("b.c")).alias("keep_chars"), "group_size")
+        if self.buckets != shuffle_parts(self.spark):
+            rows = rows.repartition(self.buckets, "digest")
+        index = self.table()
+        fresh = rows.join(index.hint("merge"), "digest", "left_anti").withColumn("held", F.lit(False))
+        held = index.join(rows.select("digest").hint("merge"), "digest", "left_semi").withColumn("held", F.lit(True))
+        found = cut(fresh.unionByName(held))
+        self._append(found.where("not held").drop("held").repartition(self.buckets, "digest"))
+        self.spark.catalog.refreshTable(self.name)
+        return found
+
+    def drop(self) -> None:
+        """Removes the index and its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)
 
 
 def decide(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -71,29 +85,24 @@ def decide(docs: DataFrame, index: DigestIndex | None = None, text: str = "text"
     original stays, then the smallest id. Rows that repeat the winning id are all marked kept
     (``deduplicated`` leaves one of them). Against a filled index a digest held before is not
     kept, and group_size is the size of the batch that brought it. An empty table gives an
-    empty one; other columns are not read.
+    empty one; other columns are not read. Without ``index`` one is made for these rows and removed.
     """
-    spark = docs.sparkSession
-    rows = cut(docs.select(F.col(doc_id).alias("id"), F.length(text_of(text)).alias("chars"), F.unhex(digest_of(text)).alias("digest")))
-    fresh = index is None
-    index = index or DigestIndex(spark, id_type=dict(rows.dtypes)["id"])
-    held = None if fresh else cut(index.files().select(F.col("digest"), F.lit(True).alias("held")))
-    index.add(rows)
-    spark.catalog.refreshByPath(index.path)
-    out = rows.join(index.files().hint("merge"), "digest")
-    wins = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))
-    if held is not None:
-        out = out.join(held.hint("merge"), "digest", "left")
-        wins = wins & F.col("held").isNull()
-    return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", wins.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    rows = cut(docs.select(column(doc_id).alias("id"), F.length(text_of(text)).alias("chars"), F.unhex(digest_of(text)).alias("digest")))
+    used = index or DigestIndex(docs.sparkSession, id_type=dict(rows.dtypes)["id"])
+    found = used.decide(rows)
+    if index is None:
+        used.drop()
+    wins = ~F.col("held") & F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))
+    # Equal texts may be a third of all rows: the empty ones, say.
+    return joined(rows, found, ["digest"]).select(F.col("id").alias("doc_id"), "keep_id", "group_size", wins.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicated(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; one row of each group of equal texts."""
-    named = lambda c: {"_pl_null": F.col(c).isNull(), "_pl_id": F.coalesce(F.col(c).cast("string"), F.lit(""))}
+    named = lambda c: {"_pl_null": column(c).isNull(), "_pl_id": F.coalesce(column(c).cast("string"), F.lit(""))}
     keys = ["_pl_digest", "_pl_id", "_pl_null"]
     wanted = decide(docs, index, text, doc_id).where("kept").withColumns(named("doc_id")).select(F.col("text_sha256").alias("_pl_digest"), *keys[1:]).distinct()
-    tagged = docs.withColumns({"_pl_digest": digest_of(text), "_pl_chars": -F.length(text_of(text)), **named(f"`{doc_id}`")})
+    tagged = docs.withColumns({"_pl_digest": digest_of(text), "_pl_chars": -F.length(text_of(text)), **named(doc_id)})
     rows = tagged.join(wanted, keys, "left_semi")
-    longest = rows.groupBy(*keys).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.col("_pl_chars")).alias("_pl_row"))
+    longest = rows.groupBy(*keys).agg(F.min_by(F.struct(*map(column, docs.columns)), F.col("_pl_chars")).alias("_pl_row"))
     return longest.select(*(F.col("_pl_row")[c].alias(c) for c in docs.columns))

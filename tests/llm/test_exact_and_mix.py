@@ -61,6 +61,62 @@ def test_index_is_opened_again(spark):
         exact_dedup.DigestIndex(spark, path=made.path)
 
 
+def test_batches_equal_one_run_over_the_whole_table(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    whole = {x.doc_id: x for x in queries.op3_exact_dedup(spark, SMALL).collect()}
+    index = exact_dedup.DigestIndex(spark)
+    part = F.pmod(F.xxhash64(exact_dedup.digest_of("text")), F.lit(3))
+    for k in range(3):  # equal texts come in one batch, so each keeps its group
+        for x in exact_dedup.decide(docs.where(part == k), index).collect():
+            assert x == whole[x.doc_id]
+    again = exact_dedup.decide(docs, index).collect()
+    assert len(again) == len(whole) and not any(x.kept for x in again)
+    assert all((x.keep_id, x.group_size) == (whole[x.doc_id].keep_id, whole[x.doc_id].group_size) for x in again)
+    assert index.table().count() == len({x.text_sha256 for x in whole.values()})
+    index.drop()
+    assert not spark.catalog.tableExists(index.name)
+
+
+def test_the_index_is_not_shuffled(spark, monkeypatch):
+    index = exact_dedup.DigestIndex(spark)
+    exact_dedup.decide(frame(spark, rows()[:4]), index)
+    plans = []
+    real = exact_dedup.cut
+
+    def kept_plan(df):
+        plans.append(df._jdf.queryExecution().executedPlan())
+        return real(df)
+
+    monkeypatch.setattr(exact_dedup, "cut", kept_plan)
+    exact_dedup.decide(frame(spark), index)
+    text = plans[-1].toString().split("== Initial Plan ==")[0]  # that of the decisions, in which the index is joined twice
+    assert text.count("SortMergeJoin") == 2 and text.count(index.name) == 2 and "Bucketed: true" in text
+    depth = lambda line: len(line) - len(line.lstrip(" :|+-*()0123456789"))
+    lines = text.split("\n")
+    for k, line in enumerate(lines):
+        if index.name in line:
+            above, d = [], depth(line)
+            for other in reversed(lines[:k]):
+                if depth(other) < d:
+                    above.append(other)
+                    d = depth(other)
+            joins = next(j for j, x in enumerate(above) if "SortMergeJoin" in x)
+            assert not any("Exchange" in x or "Shuffle" in x for x in above[:joins])
+
+
+def test_a_third_of_all_rows_of_one_text(spark):
+    some = [(k, "" if k % 3 else f"text {k // 2}", "en", "a", 1) for k in range(900)]
+    got = exact_dedup.decide(frame(spark, some)).collect()
+    assert len(got) == 900 and sum(x.kept for x in got) == len({t for _, t, *_ in some})
+    assert {(x.keep_id, x.group_size) for x in got if x.doc_id % 3} == {(1, 600)}
+
+
+def test_no_table_or_file_is_left(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    exact_dedup.decide(frame(spark)).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert exact_dedup.decide(none).count() == exact_dedup.deduplicated(none).count() == mixing.mixed(none).count() == 0
