@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, text_of
+from plumbline.llm.common import carried, column, cut, joined, sliced, text_of
 
 KINDS = ("assign", "access", "hex", "pem", "forge", "chat", "jwt")
 #: Found by the base patterns; the others are additions.
@@ -65,17 +65,20 @@ def _joined(found) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _ in found)
 
 
-def _scan(batches, keep: list[str]):
-    for batch in batches:
+def _scan(batches, width: int):
+    """Adds SCANNED to the first ``width`` columns; the one after them is the text."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()))
+    for batch in sliced(batches):
         out: list[tuple] = []
-        for text in batch.column(len(keep)).to_pylist():
+        for text in batch.column(width).to_pylist():
             found = find_secrets(text)
             base = [x for x in found if x[1] < len(BASE)]
             out.append(
                 (*(sum(x[1] == k for x in base) for k in range(3)), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(found), sorted({hashlib.sha256(x[3].encode()).hexdigest() for x in found}))
             )
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], names=[*keep, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "_pl_cands"])
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:width], *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], names=[*batch.schema.names[:width], "n_assign", "n_access", "n_hex", "base_sha256", "spans", "_pl_cands"]
+        )
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), repository: str = "doc_id", owner: str = "source", copied_from: int = 3) -> DataFrame:
@@ -85,27 +88,26 @@ def scan_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     n_owned (by one owner only), widest_owners and widest_repositories (largest counts). Null
     text counts as empty; a null owner or repository counts as an owner or repository of its
     own. Rows that repeat are each returned. An empty table gives an empty one, and columns
-    not named in ``keep`` are not returned.
+    not named in ``keep`` are not returned; one in it that is named as an added one is replaced.
     """
-    inner = docs.select(*(F.col(c).alias(f"_pl_k{i}") for i, c in enumerate(keep)), F.col(repository).cast("string").alias("_pl_repo"), F.col(owner).cast("string").alias("_pl_owner"), text_of(text).alias("_pl_text"))
-    carried = inner.columns[:-1]
-    kinds = dict(inner.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in carried) + ", " + SCANNED
-    found = cut(inner.mapInArrow(lambda b: _scan(b, carried), schema)).withColumn("_pl_row", F.monotonically_increasing_id())
+    added = ("n_candidates", "n_copied", "n_owned", "widest_owners", "widest_repositories")
+    base = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    kept = carried(docs, keep, (*base, *added))
+    inner = docs.select(*kept.inner, column(repository).cast("string").alias("_pl_repo"), column(owner).cast("string").alias("_pl_owner"), text_of(text).alias("_pl_text"))
+    width = len(inner.columns) - 1
+    found = cut(inner.mapInArrow(lambda b: _scan(b, width), ", ".join([*kept.schema, "_pl_repo string", "_pl_owner string", SCANNED]))).withColumn("_pl_row", F.monotonically_increasing_id())
     each = found.where(F.size("_pl_cands") > 0).select("_pl_row", "_pl_repo", "_pl_owner", F.explode("_pl_cands").alias("hash"))
-    # First by owner, then by hash: a value that a third of all rows carry is summed before it meets.
+    # First by owner, then by hash: a value that a third of all rows carry is summed before it meets, and joined back by broadcast.
     by_pair = each.groupBy("hash", "_pl_owner", "_pl_repo").agg(F.lit(1).alias("one"))
     by_owner = by_pair.groupBy("hash", "_pl_owner").agg(F.count("*").alias("repositories"))
     spread = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
     per_row = (
-        each.join(spread, "hash")
+        joined(each.select("_pl_row", "hash"), spread, ["hash"])
         .groupBy("_pl_row")
         .agg(
             F.count("*").alias("n_candidates"), F.count_if(F.col("owners") >= copied_from).alias("n_copied"), F.count_if(F.col("owners") == 1).alias("n_owned"),
             F.max("owners").alias("widest_owners"), F.max("repositories").alias("widest_repositories"),
         )
     )
-    added = ("n_candidates", "n_copied", "n_owned", "widest_owners", "widest_repositories")
-    return found.join(per_row, "_pl_row", "left").select(
-        *(F.col(f"_pl_k{i}").alias(c) for i, c in enumerate(keep)), "n_assign", "n_access", "n_hex", "base_sha256", "spans", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in added)
-    )
+    own = [c for c in found.columns if c.startswith("_pl_k")]
+    return kept.named(found.join(per_row, "_pl_row", "left").select(*own, *base, *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in added)))
