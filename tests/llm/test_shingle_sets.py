@@ -3,7 +3,7 @@
 import corpus_pipeline
 import numpy as np
 
-from plumbline.llm import shingle_sets
+from plumbline.llm import shingle_sets, simhash
 
 from .cases import frame
 
@@ -43,8 +43,34 @@ def test_near_stage_leaves_one_of_each_component(spark):
     assert out.columns == docs.columns and {x.doc_id for x in out.collect()} == set(want)
 
 
+def test_radius_loses_no_link_between_similar_sets():
+    rng = np.random.default_rng(9)
+    farthest = 0
+    for n in (4, 5, 9, 10, 20, 50, 300, 2000):
+        for _ in range(300):
+            a = rng.integers(0, 2**63, n, dtype=np.uint64)
+            # The largest change that leaves a Jaccard similarity of 0.8.
+            k = int(n / 9) if n >= 9 else 0
+            b = np.concatenate([a[k:], rng.integers(0, 2**63, k if n >= 9 else 1, dtype=np.uint64)])
+            assert n - k >= 0.8 * len(np.union1d(a, b)) - 1e-9
+            farthest = max(farthest, int(simhash.fingerprint_of_hashes(a) ^ simhash.fingerprint_of_hashes(b)).bit_count())
+    assert farthest <= shingle_sets.RADIUS - 2
+
+
+def test_links_equal_all_pairs():
+    texts = near_texts(3) + near_texts(12, copies=4, seed=5) + near_texts(250, copies=2, seed=6)
+    sets = [shingle_sets.shingle_set(t, 5) for t in texts]
+    prints = np.array([simhash.fingerprint_of_hashes(s) for s in sets])
+    least = list(range(len(sets)))
+    for a, b in shingle_sets.links(sets, prints, 0.8):
+        x, y = sorted((least[a], least[b]))
+        least = [x if k == y else k for k in least]
+    assert least == least_ids(texts)
+
+
 def test_large_groups_are_cut_into_pairs_of_chunks(spark, monkeypatch):
     monkeypatch.setattr(shingle_sets, "CHUNK", 2)
+    monkeypatch.setattr(shingle_sets, "HELD", 500)
     texts = near_texts(2)
     got = shingle_sets.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert [x.component_id for x in sorted(got, key=lambda x: x.doc_id)] == least_ids(texts)
