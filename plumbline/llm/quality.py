@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import sampled, text_of
+from plumbline.llm.common import carried, column, sampled, sliced, text_of
 
-ROWS_AT_ONCE = 500
 #: A score at or over this counts as good.
 CUT_SCORE = 0.3
+#: So many words are as good as none for the share of the most frequent word.
+SHORT = 10
 SYMBOLS = "!#$%&*+/<=>?@^_|~"
 
 
@@ -37,6 +38,8 @@ def _class_table() -> np.ndarray:
 
 
 CLASSES = _class_table()
+#: Features of a text: the byte classes and nine more.
+WIDTH = CLASSES.shape[1] + 9
 
 
 def features(text: str) -> np.ndarray:
@@ -45,7 +48,7 @@ def features(text: str) -> np.ndarray:
     words, lines = text.split(), text.split("\n")
     n = len(words)
     if not n:
-        return np.zeros(CLASSES.shape[1] + 9)
+        return np.zeros(WIDTH)
     shares = np.bincount(raw, minlength=256) @ CLASSES / max(1, len(raw))
     counts = Counter(words)
     upper = sum(map(str.isupper, words)) / n
@@ -54,7 +57,8 @@ def features(text: str) -> np.ndarray:
         np.sqrt(shares),
         upper,
         sum(map(eq, words, words[1:])) / n,
-        max(counts.values()) / n if n >= 20 else 0.0,
+        # Drawn towards 0 in short texts, in which any word is a large share.
+        max(0.0, (max(counts.values()) - 1) / (n + SHORT)),
         1 - len(counts) / n,
         min(len(raw) / n / 10, 3.0),
         math.log1p(n) / 10,
@@ -89,7 +93,7 @@ def fit_pairs(rows: np.ndarray, labels: np.ndarray, pairs: int = 40_000, steps:
     The cut is the quantile of the training scores at the share of bad labels. Without rows of
     both labels all texts score alike, at 0.5.
     """
-    width = CLASSES.shape[1] + 9
+    width = WIDTH
     if not len(rows) or labels.min() == labels.max():
         return QualityModel(np.zeros(width), np.ones(width), np.zeros(width), math.log(CUT_SCORE / (1 - CUT_SCORE)))
     model = QualityModel(rows.mean(axis=0), np.maximum(rows.std(axis=0), 1e-3), np.zeros(width))
@@ -114,17 +118,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     their texts are looked up, so the join needs no shuffle of the texts. An id labelled more
     than once counts as bad if any label is 0; null labels are left out.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.min(label).alias("_pl_label"))
+    known = labels.where(column(label).isNotNull() & column(doc_id).isNotNull()).groupBy(doc_id).agg(F.min(label).alias("_pl_label"))
     chosen = sampled(known, F.col(doc_id), sample_rows, seed).withColumnRenamed(doc_id, "_pl_id")
-    rows = docs.select(F.col(f"`{doc_id}`").alias("_pl_doc"), text_of(text).alias("_pl_text")).join(F.broadcast(chosen), F.col("_pl_doc") == F.col("_pl_id")).select("_pl_doc", "_pl_label", "_pl_text")
+    rows = docs.select(column(doc_id).alias("_pl_doc"), text_of(text).alias("_pl_text")).join(F.broadcast(chosen), F.col("_pl_doc") == F.col("_pl_id")).select("_pl_doc", "_pl_label", "_pl_text")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             found = [features(t).tolist() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int64()), pa.array(found, pa.list_(pa.float64()))], names=["id", "label", "x"])
 
+    each = rows.mapInArrow(run, "id string, label long, x array<double>")
+    means = F.array(*(F.avg(F.col("x")[k]) for k in range(WIDTH)))
     # Sorted, so that the draw of pairs does not depend on the order in which tasks end.
-    got = sorted((r.id, r.label, r.x) for r in rows.mapInArrow(run, "id string, label long, x array<double>").collect())
+    got = sorted((r.id, r.label, r.x) for r in each.groupBy("id").agg(F.min("label").alias("label"), means.alias("x")).collect())
     return fit_pairs(np.array([x for _, _, x in got]), np.array([y for _, y, _ in got]))
 
 
@@ -133,24 +139,23 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", keep
 
     Null text counts as empty, which is scored like any text. Equal texts score alike; rows
     that repeat are each returned; an empty table gives an empty one. Columns not named in
-    ``keep`` are not returned.
+    ``keep`` are not returned; one in it that is named score or predicted is replaced.
     """
-    inner = docs.select(*(F.col(f"`{c}`") for c in keep), text_of(text).alias("_pl_text"))
-    kinds = dict(inner.dtypes)
+    kept = carried(docs, keep, ("score", "predicted"))
+    width = len(kept.inner)
+    inner = docs.select(*kept.inner, text_of(text).alias("_pl_text"))
 
     def run(batches):
-        for whole in batches:
-            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(start, ROWS_AT_ONCE)
-                scores = model.score(np.array([features(t) for t in batch.column(len(keep)).to_pylist()]))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores), pa.array((scores >= CUT_SCORE).astype(np.int32))], names=[*keep, "score", "predicted"])
+        for batch in sliced(batches):
+            scores = model.score(np.array([features(t) for t in batch.column(width).to_pylist()]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(scores), pa.array((scores >= CUT_SCORE).astype(np.int32))], names=[*batch.schema.names[:width], "score", "predicted"])
 
-    return inner.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double, predicted int"]))
+    return kept.named(inner.mapInArrow(run, ", ".join([*kept.schema, "score double, predicted int"])))
 
 
 def only_good(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model does not reject, with their columns."""
     columns = docs.columns
-    again = docs.select(*(F.col(f"`{c}`").alias(f"_pl_c{i}") for i, c in enumerate(columns)), F.col(f"`{text}`"))
+    again = docs.select(*(column(c).alias(f"_pl_c{i}") for i, c in enumerate(columns)), column(text))
     scored = score_quality(again, model, text, tuple(f"_pl_c{i}" for i in range(len(columns))))
     return scored.where("predicted = 1").select(*(F.col(f"_pl_c{i}").alias(c) for i, c in enumerate(columns)))
