@@ -10,19 +10,19 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from plumbline.llm.common import text_of
+from plumbline.llm.common import carried, sliced, text_of
+from plumbline.llm.common import column as column_of
 
 WIDTH, FRAME_ROWS, DELAY = 192, 64, 4
 MOST_CODES = 4096
 GREY = bytes(v for k in range(256) for v in (k, k, k))
-ROWS_AT_ONCE = 200
 
 
 @dataclass
@@ -177,15 +177,20 @@ def _read_sub_blocks(raw: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
-def decode_gif(raw: bytes) -> list[Frame]:
-    """The frames as shown. Raises ValueError for what is not a GIF or is cut off."""
+def frames_of(raw: bytes) -> Iterator[Frame]:
+    """The frames as shown, one after the other. Raises ValueError for what is not a GIF or is cut off."""
     try:
-        return _decode(raw)
+        yield from _decode(raw)
     except (IndexError, struct.error) as e:
         raise ValueError("the file is cut off") from e
 
 
-def _decode(raw: bytes) -> list[Frame]:
+def decode_gif(raw: bytes) -> list[Frame]:
+    """All frames of a file."""
+    return list(frames_of(raw))
+
+
+def _decode(raw: bytes) -> Iterator[Frame]:
     if raw[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", raw, 6)
@@ -194,7 +199,6 @@ def _decode(raw: bytes) -> list[Frame]:
         size = 3 << (flags & 7) + 1
         shared, at = np.frombuffer(raw, dtype=np.uint8, count=size, offset=at).reshape(-1, 3), at + size
     canvas = np.zeros((height, width, 4), dtype=np.uint8)
-    frames: list[Frame] = []
     delay = disposal = 0
     clear_index = None
     while raw[at] != 0x3B:
@@ -235,14 +239,13 @@ def _decode(raw: bytes) -> list[Frame]:
         if clear_index is not None:
             shown = np.where((seen == clear_index)[..., None], part, shown)
         part[:] = shown
-        frames.append(Frame(canvas.copy(), delay, disposal, indices))
+        yield Frame(canvas.copy(), delay, disposal, indices)
         if disposal == 2:
             part[:] = 0
         elif before is not None:
             canvas = before
         delay = disposal = 0
         clear_index = None
-    return frames
 
 
 def histogram(canvas: np.ndarray) -> list[int]:
@@ -268,15 +271,38 @@ def payload_of(text: str) -> tuple[bytes, int]:
     return raw + b" " * (-len(raw) % WIDTH or (0 if raw else WIDTH)), len(raw)
 
 
-def read_back(frames: list[Frame]) -> bytes:
-    """The stored bytes: the red channel of each frame's own rows."""
-    return b"".join(f.canvas[: f.indices.shape[0], :, 0].tobytes() for f in frames)
-
-
-def feature_of(frames: list[Frame]) -> str:
-    """frames:hundredths:histogram over all frames, its 64 counts joined by commas without the zero counts at the end."""
-    total = np.sum([histogram(f.canvas[: f.indices.shape[0]]) for f in frames], axis=0)
-    return f"{len(frames)}:{sum(f.delay for f in frames)}:{','.join(map(str, np.trim_zeros(total, 'b').tolist()))}"
+@dataclass
+class Reading:
+    """What is kept of a file while its frames pass, so that only one of them is held."""
+
+    n_bytes: int = 0
+    tail: bytes = b""
+    frames: int = 0
+    hundredths: int = 0
+    counts: np.ndarray | None = None
+    digest: str = ""
+
+    @property
+    def feature(self) -> str:
+        """frames:hundredths:histogram over all frames, its 64 counts joined by commas without the zero counts at the end."""
+        counts = np.zeros(64, dtype=int) if self.counts is None else self.counts
+        return f"{self.frames}:{self.hundredths}:{','.join(map(str, np.trim_zeros(counts, 'b').tolist()))}"
+
+
+def read_back(frames: Iterable[Frame]) -> Reading:
+    """The stored bytes, which are the red channel of each frame's own rows, with times and colours."""
+    out, digest = Reading(counts=np.zeros(64, dtype=np.int64)), hashlib.sha256()
+    for f in frames:
+        own = f.canvas[: f.indices.shape[0]]
+        part = own[..., 0].tobytes()
+        digest.update(part)
+        out.n_bytes += len(part)
+        out.tail = (out.tail + part)[-16:]
+        out.frames += 1
+        out.hundredths += f.delay
+        out.counts += histogram(own)
+    out.digest = digest.hexdigest()
+    return out
 
 
 def media_table(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_media: bool = True) -> DataFrame:
@@ -285,44 +311,45 @@ def media_table(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     Null text counts as empty; an empty text is one row of spaces. Equal texts give equal
     values; rows that repeat are each returned; texts of any length are stored whole, as many
     frames as they need. An empty table gives an empty one. Columns not named in ``keep`` are
-    not returned.
+    not returned; one in it that is named as an added one is replaced.
     """
-    inner = docs.select(*(F.col(f"`{c}`") for c in keep), text_of(text).alias("_pl_text"))
-    kinds = dict(inner.dtypes)
     added = [("n_bytes", "long", pa.int64()), ("payload_bytes", "long", pa.int64()), ("payload_sha256", "string", pa.string()), ("tail_crc32", "long", pa.int64()), ("media_bytes", "long", pa.int64()), ("media_sha256", "string", pa.string()), ("feature", "string", pa.string())]
     added += [("media", "binary", pa.binary())] * with_media
+    kept = carried(docs, keep, (n for n, _, _ in added))
+    width = len(kept.inner)
+    inner = docs.select(*kept.inner, text_of(text).alias("_pl_text"))
 
     def run(batches):
-        for whole in batches:
-            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch, rows = whole.slice(start, ROWS_AT_ONCE), []
-                for value in batch.column(len(keep)).to_pylist():
-                    payload, n = payload_of(value)
-                    media = store_bytes(payload)
-                    frames = decode_gif(media)
-                    back = read_back(frames)
-                    rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(frames), media))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array([r[i] for r in rows], t) for i, (_, _, t) in enumerate(added))], names=[*keep, *(n for n, _, _ in added)])
+        for batch in sliced(batches):
+            rows = []
+            for value in batch.column(width).to_pylist():
+                payload, n = payload_of(value)
+                media = store_bytes(payload)
+                back = read_back(frames_of(media))
+                rows.append((n, back.n_bytes, back.digest, zlib.crc32(back.tail), len(media), hashlib.sha256(media).hexdigest(), back.feature, media if with_media else None))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *(pa.array([r[i] for r in rows], t) for i, (_, _, t) in enumerate(added))], names=[*batch.schema.names[:width], *(n for n, _, _ in added)])
 
-    return inner.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{n} {t}" for n, t, _ in added)]))
+    return kept.named(inner.mapInArrow(run, ", ".join([*kept.schema, *(f"{n} {t}" for n, t, _ in added)])))
 
 
 def frame_table(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row for each frame of each GIF: frame_no, starts_at and delay (hundredths), width, height, histogram.
 
-    A null file or one that cannot be read gives one row with a null frame_no and its error.
+    A null file or one that cannot be read gives one row with a null frame_no and its error, after
+    the frames before the fault.
     """
-    inner = media.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{column}`").alias("_pl_media"))
-    kinds = dict(inner.dtypes)
     added = [("frame_no", "int", pa.int32()), ("starts_at", "long", pa.int64()), ("delay", "int", pa.int32()), ("width", "int", pa.int32()), ("height", "int", pa.int32()), ("histogram", "array<long>", pa.list_(pa.int64())), ("error", "string", pa.string())]
+    kept = carried(media, keep, (n for n, _, _ in added))
+    width = len(kept.inner)
+    inner = media.select(*kept.inner, column_of(column).alias("_pl_media"))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows, source = [], []
-            for i, raw in enumerate(batch.column(len(keep)).to_pylist()):
+            for i, raw in enumerate(batch.column(width).to_pylist()):
                 at = 0
                 try:
-                    for k, f in enumerate(decode_gif(raw or b"")):
+                    for k, f in enumerate(frames_of(raw or b"")):
                         rows.append((k, at, f.delay, f.canvas.shape[1], f.canvas.shape[0], histogram(f.canvas), None))
                         source.append(i)
                         at += f.delay
@@ -330,6 +357,6 @@ def frame_table(media: DataFrame, column: str = "media", keep: tuple[str, ...] =
                     rows.append((None,) * 6 + (str(e),))
                     source.append(i)
             taken = batch.take(pa.array(source, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns[: len(keep)], *(pa.array([r[i] for r in rows], t) for i, (_, _, t) in enumerate(added))], names=[*keep, *(n for n, _, _ in added)])
+            yield pa.RecordBatch.from_arrays([*taken.columns[:width], *(pa.array([r[i] for r in rows], t) for i, (_, _, t) in enumerate(added))], names=[*batch.schema.names[:width], *(n for n, _, _ in added)])
 
-    return inner.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{n} {t}" for n, t, _ in added)]))
+    return kept.named(inner.mapInArrow(run, ", ".join([*kept.schema, *(f"{n} {t}" for n, t, _ in added)])))
