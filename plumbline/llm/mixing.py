@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, text_of
+from plumbline.llm.common import column, cut, shuffle_parts, text_of
 
 #: 52 bits of a digest make the uniform number.
 DIGITS, SCALE = 13, float(1 << 52)
@@ -26,7 +26,7 @@ def repetition_rates(docs: DataFrame, source: str = "source", text: str = "text"
     all. The mass of the result is ``epochs`` times that of the input. Null is a source too;
     a source without any text gets ``epochs``.
     """
-    per = docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.length(text_of(text)).cast("long")).alias("mass"), F.count("*").alias("n"))
+    per = docs.groupBy(column(source).alias("source")).agg(F.sum(F.length(text_of(text)).cast("long")).alias("mass"), F.count("*").alias("n"))
     if weights is None:
         share = F.sqrt(F.col("n").cast("double")) if temperature == 0.5 else F.pow(F.col("n").cast("double"), F.lit(float(temperature)))
     else:
@@ -60,12 +60,11 @@ def mixed(
     if steps.count() <= BROADCAST_ROWS:
         steps = F.broadcast(steps)
     columns = [c for c in docs.columns if c not in ("copy_no", "mix_key")]
-    key = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))
+    key = F.coalesce(column(doc_id).cast("string"), F.lit(""))
     hashed = F.md5(F.encode(F.concat(F.lit(f"{seed}|"), key), "UTF-8"))
-    rows = docs.select(*(F.col(f"`{c}`") for c in columns), key.alias("_pl_key"), (F.conv(F.substring(hashed, 1, DIGITS), 16, 10).cast("double") / SCALE).alias("_pl_u"))
+    rows = docs.select(*(column(c) for c in columns), key.alias("_pl_key"), (F.conv(F.substring(hashed, 1, DIGITS), 16, 10).cast("double") / SCALE).alias("_pl_u"))
     joined = rows.join(steps, rows[source].eqNullSafe(steps["_pl_source"]))
     copies = joined.withColumn("_pl_n", F.size(F.filter("_pl_cdf", lambda c: c <= F.col("_pl_u")))).where("_pl_n > 0")
-    out = copies.select(*(F.col(f"`{c}`") for c in columns), "_pl_key", F.explode(F.sequence(F.lit(1), F.col("_pl_n"))).alias("copy_no"))
+    out = copies.select(*(column(c) for c in columns), "_pl_key", F.explode(F.sequence(F.lit(1), F.col("_pl_n"))).alias("copy_no"))
     out = out.withColumn("mix_key", F.md5(F.encode(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col("_pl_key"), F.col("copy_no").cast("string")), "UTF-8"))).drop("_pl_key")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(parts, "mix_key").sortWithinPartitions("mix_key")
+    return out.repartition(shuffle_parts(spark), "mix_key").sortWithinPartitions("mix_key")
