@@ -12,9 +12,10 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.inference import board_summary, joint_sharpe_tests
+from plumbline.functions.inference import board_summary, joint_sharpe_tests, separate_sharpe_tests
+from plumbline.lineage import settled
 from plumbline.operators.backtest import COST_BPS
-from plumbline.operators.scoring import WINDOWS, pairs_of, score
+from plumbline.operators.scoring import LEAST_INVESTABLE_DAYS, WINDOWS, pairs_of, score
 from plumbline.sources.readers import load_actual, load_bars, load_submissions
 from plumbline.sources.sinks import digests
 
@@ -27,33 +28,34 @@ def shown(x: float | None, kind: str = "f2") -> str:
     return "" if x is None or not math.isfinite(x) else FORMATS[kind].format(x)
 
 
+def index_edges(daily: DataFrame, window: str, reps: int) -> DataFrame:
+    """(entry, edge, interval and verdict against the investable index) of entries with enough of its days.
+
+    Each entry is tested by itself, on its own days and with its own block length.
+    """
+    long_only = pairs_of(daily, window, "investable")
+    enough = long_only.groupBy("entry").count().where(F.col("count") >= LEAST_INVESTABLE_DAYS).select("entry")
+    tests = separate_sharpe_tests(long_only.join(enough, "entry", "left_semi"), reps, seed=1)
+    return tests.select("entry", F.col("net_edge").alias("edge_vs_investable"), F.col("ci_low").alias("ci_low_vs_investable"), F.col("ci_high").alias("ci_high_vs_investable"), F.col("clears_bar").alias("clears_investable"))
+
+
 def build(spark: SparkSession, actual: DataFrame, entries: DataFrame, signals: DataFrame, windows: dict[str, tuple[str, str]] = WINDOWS, investable: DataFrame | None = None, reps: int = 2000, seed: int = 0, cost_bps: float = COST_BPS) -> tuple[DataFrame, list[dict]]:
     """(rows, summaries): a row per entry and window with statistics and test results, and one summary per window.
 
-    The daily series are written once (persisted) and serve the scores and all tests.
+    The daily series are settled once and serve the scores and all tests. Entries that break
+    the contract raise ValueError.
     """
     scores, daily = score(signals, entries, actual, windows, investable, cost_bps)
-    daily = daily.persist()
     rows, summaries = None, []
     for window in windows:
         pairs = pairs_of(daily, window)
         if pairs.isEmpty():
             continue
-        tests = joint_sharpe_tests(pairs, reps, seed=seed).persist()
+        tests = settled(joint_sharpe_tests(pairs, reps, seed=seed))
         summaries.append({"window": window, **board_summary(tests).first().asDict()})
         own = scores.where(F.col("window") == window).drop("net_edge").join(tests, "entry")
         if investable is not None:
-            # Each entry has its own number of days against the index, so these tests are made one length at a time.
-            long_only = pairs_of(daily, window, "investable")
-            enough = long_only.groupBy("entry").count().where("count >= 20")
-            lengths = [r["count"] for r in enough.select("count").distinct().collect()]
-            edges = None
-            for n in lengths:
-                some = long_only.join(enough.where(F.col("count") == n).select("entry"), "entry", "left_semi")
-                one = joint_sharpe_tests(some, reps, seed=1).select("entry", F.col("net_edge").alias("edge_vs_investable"), F.col("ci_low").alias("ci_low_vs_investable"), F.col("ci_high").alias("ci_high_vs_investable"), F.col("clears_bar").alias("clears_investable"))
-                edges = one if edges is None else edges.unionByName(one)
-            if edges is not None:
-                own = own.drop("edge_vs_investable").join(edges, "entry", "left")
+            own = own.drop("edge_vs_investable").join(index_edges(daily, window, reps), "entry", "left")
         rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
     if rows is None:
         raise ValueError("no entry has a signal in any of the windows")

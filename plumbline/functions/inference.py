@@ -4,8 +4,8 @@ The kernels work on stacks of resamples at once. The long-run variance is needed
 the gradient, so the moments are first folded into one series per resample and a single
 autocovariance sequence replaces the covariance matrices.
 
-The joint test runs one task per entry: the dates a replicate draws depend on the seed alone,
-so every task draws the same ones and no matrix of all entries is ever in one place.
+Work is dealt by entry and range of replicates: the dates a replicate draws depend on the seed
+alone, so every task draws the same ones and no matrix of all entries is ever in one place.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.sharpe import sharpe
+from plumbline.functions.sharpe import normal_cdf, psr_argument, sharpe, sharpe_error
+from plumbline.lineage import settled
 
 DAYS = 252
 #: Fixed values of the estimators: variance floor, bound of autocorrelations, Bartlett constant.
@@ -26,6 +27,8 @@ FLOOR, MOST_RHO, BARTLETT = 1e-30, 0.97, 1.1447
 SAME = 1e-15
 #: Values held at once by a batch of resamples.
 AT_ONCE = 4_000_000
+#: Replicates of one entry that a task makes.
+REPS_AT_ONCE = 250
 
 
 def _is_cash(y: np.ndarray | None) -> bool:
@@ -110,27 +113,42 @@ def influence(x: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
     return np.einsum("bkt,bk->bt", z - z.mean(axis=-1, keepdims=True), grad)[0]
 
 
+def autocorrelations(x: np.ndarray, most: int) -> np.ndarray:
+    """Of a centred series, at lags 0 to ``most``."""
+    products = np.array([(x[: len(x) - k] * x[k:]).mean() for k in range(1, most + 1)])
+    return np.concatenate([[1.0], products / (x * x).mean()])
+
+
+def dependence_cut(acf: np.ndarray, n: int, run: int) -> int:
+    """The lag after which ``run`` autocorrelations in a row are too small to tell from none; 0 if there is no such run."""
+    small = np.abs(acf) < 2 * math.sqrt(math.log10(n) / n)
+    quiet = np.lib.stride_tricks.sliding_window_view(small[1:-1], run).all(axis=1)
+    return int(quiet.argmax()) + 1 if quiet.any() else 0
+
+
+def flat_top(lags: np.ndarray, top: int) -> np.ndarray:
+    """Weights of one up to half of ``top``, falling to zero at it."""
+    return np.clip(2 * (1 - lags / top), 0.0, 1.0)
+
+
 def block_length(x: np.ndarray, default: int = 5) -> int:
-    """Politis and White's block length for the circular bootstrap, by the flat-top rule."""
+    """Politis and White's block length for the circular bootstrap: the one of least mean squared error of the long-run variance.
+
+    Under 40 values, or where the rule has no answer, ``default``.
+    """
     x = np.asarray(x, dtype=float) - np.mean(x)
     n = len(x)
     if n < 40 or np.std(x) == 0:
         return default
     run = max(5, int(math.sqrt(math.log10(n))))
-    most = min(math.ceil(math.sqrt(n)) + run, n - 3)
-    acf = np.array([1.0, *((x[:-k] * x[k:]).mean() for k in range(1, most + 1))])
-    acf[1:] /= (x * x).mean()
-    small = np.abs(acf) < 2 * math.sqrt(math.log10(n) / n)
-    quiet = np.lib.stride_tricks.sliding_window_view(small[1:-1], run).all(axis=1)
-    m = int(quiet.argmax()) + 1 if quiet.any() else 0
-    top = min(max(2 * m, 1), len(acf) - 1)
-    lag = np.arange(1, top + 1)
-    taper = np.clip(2 * (1 - lag / top), 0.0, 1.0)
-    slope, level = 2 * (taper * lag * acf[lag]).sum(), 1 + 2 * (taper * acf[lag]).sum()
-    spread = 4 / 3 * level**2
-    if spread <= 0 or slope == 0:
+    acf = autocorrelations(x, min(math.ceil(math.sqrt(n)) + run, n - 3))
+    top = min(max(2 * dependence_cut(acf, n, run), 1), len(acf) - 1)
+    lags = np.arange(1, top + 1)
+    weighted = flat_top(lags, top) * acf[lags]
+    slope, level = 2 * (lags * weighted).sum(), 1 + 2 * weighted.sum()
+    if level == 0 or slope == 0:
         return default
-    best = (2 * slope**2 / spread * n) ** (1 / 3)
+    best = (1.5 * n * (slope / level) ** 2) ** (1 / 3)
     return int(np.clip(round(best), 1, max(n // 3, 1))) if math.isfinite(best) else default
 
 
@@ -143,21 +161,24 @@ def circular(starts: np.ndarray, block: int, n: int) -> np.ndarray:
     return ((starts[..., None] + np.arange(block)) % n).reshape(*starts.shape[:-1], -1)[..., :n]
 
 
-def bootstrap_t(x: np.ndarray, y: np.ndarray | None, block: int, reps: int, seed: int, prewhite: bool = True, error_floor: float = 0.0) -> tuple[float, float, np.ndarray]:
-    """Difference, standard error and the studentised differences of all replicates.
+def bootstrap_t(
+    x: np.ndarray, y: np.ndarray | None, block: int, reps: int, seed: int, prewhite: bool = True, error_floor: float = 0.0, only: tuple[int, int] | None = None
+) -> tuple[float, float, np.ndarray]:
+    """Difference, standard error and the studentised differences of all replicates, or of those from ``only``'s first up to its last.
 
     A resample whose error is at or below ``error_floor`` times the sample's is set to 0.
     """
+    first, last = only or (0, reps)
     cash = _is_cash(y)
     d, s = (float(a[0]) for a in sharpe_difference(x, None if cash else y, prewhite))
-    out = np.zeros(reps)
+    out = np.zeros(last - first)
     same = np.abs(x - (0.0 if y is None else y)).max(initial=0.0) <= SAME
     if same or s <= 0:
         return (0.0 if same else d), 0.0, out
     n = len(x)
-    starts = block_starts(n, block, reps, seed)
+    starts = block_starts(n, block, reps, seed)[first:last]
     step = max(1, AT_ONCE // (4 * n))
-    for a in range(0, reps, step):
+    for a in range(0, len(out), step):
         at = circular(starts[a : a + step], block, n)
         db, sb = sharpe_difference(x[at], None if cash else y[at], prewhite)
         ok = sb > error_floor * s
@@ -184,14 +205,28 @@ def common_block(series: DataFrame) -> int:
     return int(max(m, 1)) if m is not None else 5
 
 
-def replicate_statistics(series: DataFrame, block: int, reps: int = 2000, seed: int = 0, prewhite: bool = True, error_floor: float = 0.0) -> DataFrame:
-    """(entry, edge, se, t_star array) of every entry; t_star has one value per replicate."""
+def by_replicates(series: DataFrame, reps: int, at_once: int = REPS_AT_ONCE) -> DataFrame:
+    """The series once for each range of replicates (first, last), the unit of work of a task."""
+    ranges = F.array(*(F.struct(F.lit(a).alias("first"), F.lit(min(a + at_once, reps)).alias("last")) for a in range(0, reps, at_once)))
+    return series.withColumn("_r", F.explode(ranges)).select(*series.columns, "_r.first", "_r.last")
+
+
+def replicate_statistics(series: DataFrame, block: int | DataFrame, reps: int = 2000, seed: int = 0, prewhite: bool = True, error_floor: float = 0.0) -> DataFrame:
+    """(entry, block, edge, se, rep, t_star): the studentised difference of every entry in every replicate.
+
+    ``block`` is one length for all or a table (entry, block). A task has one entry's series and
+    a range of replicates; the starts of a replicate depend on seed, length and block alone.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        d, s, t = bootstrap_t(*_xy(g), block=block, reps=reps, seed=seed, prewhite=prewhite, error_floor=error_floor)
-        return pd.DataFrame({"entry": [g["entry"].iloc[0]], "edge": [d], "se": [s], "t_star": [t]})
+        own = g.iloc[0]
+        first, last, length = int(own["first"]), int(own["last"]), int(own["block"])
+        d, s, t = bootstrap_t(*_xy(g), block=length, reps=reps, seed=seed, prewhite=prewhite, error_floor=error_floor, only=(first, last))
+        return pd.DataFrame({"entry": own["entry"], "block": length, "edge": d, "se": s, "rep": np.arange(first, last), "t_star": t})
 
-    return series.select("entry", "ordinal", "x", "y").groupBy("entry").applyInPandas(run, "entry string, edge double, se double, t_star array<double>")
+    plain = series.select("entry", "ordinal", "x", "y")
+    sized = plain.withColumn("block", F.lit(block)) if isinstance(block, int) else plain.join(block, "entry")
+    return by_replicates(sized, reps).groupBy("entry", "first").applyInPandas(run, "entry string, block int, edge double, se double, rep int, t_star double")
 
 
 def require_one_calendar(series: DataFrame) -> None:
@@ -216,29 +251,45 @@ def stepdown(long: DataFrame, alpha: float = 0.05, keys: Sequence[str] = ()) ->
     return out.select(*keys, "entry", "p_value_fwe", ((F.col("p_value_fwe") <= alpha) & F.col("live") & (F.col("t") > 0)).alias("clears_bar_fwe"))
 
 
+def _tested(long: DataFrame, reps: int, alpha: float) -> DataFrame:
+    """A row per entry from (entry, block, edge, se, rep, t_star): interval and p values of that entry alone."""
+    live = F.col("se") > 0
+    long = long.withColumns({"live": live, "t": F.when(live, F.col("edge") / F.nullif(F.col("se"), F.lit(0.0))).otherwise(F.lit(0.0))})
+    own = long.groupBy("entry", "block", "edge", "se", "t", "live").agg(
+        F.percentile("t_star", F.lit(1 - alpha / 2)).alias("_high"), F.percentile("t_star", F.lit(alpha / 2)).alias("_low"),
+        F.count_if(F.col("t_star") >= F.col("t")).alias("_one"), F.count_if(F.abs("t_star") >= F.abs("t")).alias("_two"),
+    )
+    p = lambda c: F.when(F.col("live"), (F.col(c) + 1) / F.lit(reps + 1)).otherwise(F.lit(1.0))
+    end = lambda c: F.when(F.col("live"), F.col("edge") - F.col(c) * F.col("se")).otherwise(F.col("edge"))
+    out = own.select("entry", F.col("edge").alias("net_edge"), "se", F.col("t").alias("t_stat"), end("_high").alias("ci_low"), end("_low").alias("ci_high"), p("_one").alias("p_value"), p("_two").alias("p_value_two_sided"), F.col("block").alias("block_size"))
+    return out.withColumns({"clears_bar": F.col("ci_low") > 0, "n_boot": F.lit(reps)})
+
+
 def joint_sharpe_tests(series: DataFrame, reps: int = 1000, block: int | None = None, alpha: float = 0.05, seed: int = 0, prewhite: bool = True, error_floor: float = 0.0) -> DataFrame:
     """One row per entry: net_edge, se, t_stat, interval, p values, and those corrected for the whole board.
 
     ``series`` is (entry, ordinal, x, y), the daily returns of entry and bar; y null is cash.
     An entry that is its own bar is not tested: p is 1. ``error_floor`` guards against
-    resamples whose error all but vanishes; 0 keeps them.
+    resamples whose error all but vanishes; 0 keeps them. Blocks have one length for the board,
+    so that a replicate draws the same dates for all entries.
     """
     # Entries x days rows, read three times: for the calendar, the block length and the replicates.
-    series = series.select("entry", "ordinal", "x", "y").persist()
+    series = settled(series.select("entry", "ordinal", "x", "y"))
     require_one_calendar(series)
     block = common_block(series) if block is None else block
-    per = replicate_statistics(series, block, reps, seed, prewhite, error_floor).withColumn("live", F.col("se") > 0)
-    per = per.withColumn("t", F.when(F.col("live"), F.col("edge") / F.nullif(F.col("se"), F.lit(0.0))).otherwise(F.lit(0.0)))
-    long = per.select("entry", "edge", "se", "t", "live", F.posexplode("t_star").alias("rep", "t_star"))
-    high, low = F.percentile("t_star", F.lit(1 - alpha / 2)), F.percentile("t_star", F.lit(alpha / 2))
-    own = long.groupBy("entry", "edge", "se", "t", "live").agg(
-        high.alias("_high"), low.alias("_low"), F.count_if(F.col("t_star") >= F.col("t")).alias("_one"), F.count_if(F.abs("t_star") >= F.abs("t")).alias("_two")
-    )
-    p = lambda c: F.when(F.col("live"), (F.col(c) + 1) / F.lit(reps + 1)).otherwise(F.lit(1.0))
-    end = lambda c: F.when(F.col("live"), F.col("edge") - F.col(c) * F.col("se")).otherwise(F.col("edge"))
-    own = own.select("entry", F.col("edge").alias("net_edge"), "se", F.col("t").alias("t_stat"), end("_high").alias("ci_low"), end("_low").alias("ci_high"), p("_one").alias("p_value"), p("_two").alias("p_value_two_sided"))
-    out = own.join(stepdown(long, alpha), "entry")
-    return out.withColumns({"clears_bar": F.col("ci_low") > 0, "block_size": F.lit(block), "n_boot": F.lit(reps)})
+    long = settled(replicate_statistics(series, block, reps, seed, prewhite, error_floor))
+    live = F.col("se") > 0
+    ranked = long.select("entry", F.when(live, F.col("edge") / F.nullif(F.col("se"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("t"), live.alias("live"), "rep", "t_star")
+    return _tested(long, reps, alpha).join(stepdown(ranked, alpha), "entry")
+
+
+def separate_sharpe_tests(series: DataFrame, reps: int = 2000, block: int | None = None, alpha: float = 0.05, seed: int = 0, prewhite: bool = True, error_floor: float = 0.0) -> DataFrame:
+    """The same without the correction for a board: each entry by itself, with its own days and block length.
+
+    What an entry gets does not depend on which others are there.
+    """
+    series = settled(series.select("entry", "ordinal", "x", "y"))
+    return _tested(replicate_statistics(series, block_lengths(series) if block is None else block, reps, seed, prewhite, error_floor), reps, alpha)
 
 
 def board_summary(tests: DataFrame) -> DataFrame:
@@ -247,37 +298,88 @@ def board_summary(tests: DataFrame) -> DataFrame:
 
 
 def ledoit_wolf(series: DataFrame, reps: int = 2000, alpha: float = 0.05, seed: int = 0, block: int | None = None) -> DataFrame:
-    """The same test without the correction for a board; the block length is the entry's own if there is only one."""
-    return joint_sharpe_tests(series, reps, block, alpha, seed).drop("p_value_fwe", "clears_bar_fwe")
+    """The studentised test of each entry by itself."""
+    return separate_sharpe_tests(series, reps, block, alpha, seed)
+
+
+def stationary_days(n: int, mean_block: float, rng: np.random.Generator) -> np.ndarray:
+    """The days of one resample: blocks go on with probability 1 - 1 / mean, each start is uniform."""
+    new = rng.random(n) < 1 / mean_block
+    new[0] = True
+    first = np.flatnonzero(new)
+    length = np.diff(np.append(first, n))
+    return (np.repeat(rng.integers(0, n, len(first)) - first, length) + np.arange(n)) % n
+
+
+def ratios(r: np.ndarray) -> np.ndarray:
+    """Annualised Sharpe ratios of the last axis; 0 where it does not vary."""
+    sd = r.std(axis=-1)
+    return np.divide(r.mean(axis=-1), sd, out=np.zeros_like(sd), where=sd > 0) * math.sqrt(DAYS)
+
+
+def percentile_differences(x: np.ndarray, y: np.ndarray, first: int, last: int, mean_block: float, seed: int) -> np.ndarray:
+    """Differences of Sharpe ratios in the replicates from first up to last; each has a stream of its own."""
+    out = np.empty(last - first)
+    for k in range(first, last):
+        at = stationary_days(len(x), mean_block, np.random.default_rng([seed, k]))
+        out[k - first] = float(ratios(x[at])) - float(ratios(y[at]))
+    return out
 
 
 def percentile_bootstrap(series: DataFrame, reps: int = 2000, mean_block: float = 10.0, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """(entry, net_edge, ci_low, ci_high, p_positive) by the stationary bootstrap: geometric blocks, percentile interval."""
+    """(entry, net_edge, ci_low, ci_high, p_positive) by the stationary bootstrap: geometric blocks, percentile interval.
 
-    def ratio_of(r: np.ndarray) -> np.ndarray:
-        sd = r.std(axis=-1)
-        return np.divide(r.mean(axis=-1), sd, out=np.zeros_like(sd), where=sd > 0) * math.sqrt(DAYS)
+    A task has one entry's series and a range of replicates.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         x, y = _xy(g)
-        n = len(x)
-        rng = np.random.default_rng(seed)
-        at = np.empty((reps, n), dtype=np.int64)
-        for row in at:
-            # A block goes on with probability 1 - 1 / mean; each start is uniform.
-            new = rng.random(n) < 1 / mean_block
-            new[0] = True
-            first = np.flatnonzero(new)
-            length = np.diff(np.append(first, n))
-            row[:] = (np.repeat(rng.integers(0, n, len(first)) - first, length) + np.arange(n)) % n
-        diff = ratio_of(x[at]) - ratio_of(y[at])
-        low, high = np.quantile(diff, [alpha / 2, 1 - alpha / 2])
-        return pd.DataFrame({"entry": [g["entry"].iloc[0]], "net_edge": [float(ratio_of(x) - ratio_of(y))], "ci_low": [low], "ci_high": [high], "p_positive": [float((diff > 0).mean())]})
-
-    out = series.select("entry", "ordinal", "x", "y").groupBy("entry").applyInPandas(run, "entry string, net_edge double, ci_low double, ci_high double, p_positive double")
+        first, last = int(g["first"].iloc[0]), int(g["last"].iloc[0])
+        return pd.DataFrame({"entry": g["entry"].iloc[0], "net_edge": float(ratios(x)) - float(ratios(y)), "d": percentile_differences(x, y, first, last, mean_block, seed)})
+
+    each = by_replicates(series.select("entry", "ordinal", "x", "y"), reps).groupBy("entry", "first").applyInPandas(run, "entry string, net_edge double, d double")
+    out = each.groupBy("entry").agg(F.first("net_edge").alias("net_edge"), F.percentile("d", F.lit(alpha / 2)).alias("ci_low"), F.percentile("d", F.lit(1 - alpha / 2)).alias("ci_high"), F.avg((F.col("d") > 0).cast("double")).alias("p_positive"))
     return out.withColumn("clears_bar", F.col("ci_low") > 0)
 
 
+METHODS = ("ledoit_wolf", "percentile")
+
+
+def net_edge(series: DataFrame, method: str = "ledoit_wolf", reps: int = 2000, alpha: float = 0.05, seed: int = 0, block: int | None = None) -> DataFrame:
+    """One row per entry: its edge over its bar by the named method, both Sharpe ratios, the error of the first and the chance that it is above zero."""
+    if method not in METHODS:
+        raise ValueError(f"the method is one of {', '.join(METHODS)}")
+    series = settled(series.select("entry", "ordinal", "x", "y"))
+    edge = separate_sharpe_tests(series, reps, block, alpha, seed) if method == "ledoit_wolf" else percentile_bootstrap(series, reps, alpha=alpha, seed=seed)
+    about = series.groupBy("entry").agg(
+        sharpe("x").alias("strategy_sharpe"), sharpe(F.coalesce("y", F.lit(0.0))).alias("bar_sharpe"), sharpe_error("x").alias("strategy_sharpe_se"), psr_argument("x").alias("_z")
+    )
+    return edge.withColumn("method", F.lit(method)).join(about.withColumn("psr_vs_zero", normal_cdf("_z")).drop("_z"), "entry")
+
+
+def influences(series: DataFrame) -> DataFrame:
+    """(entry, ordinal, influence) of every day; a task has one entry's series."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("ordinal")
+        return pd.DataFrame({"entry": g["entry"], "ordinal": g["ordinal"], "influence": influence(*_xy(g))})
+
+    return series.select("entry", "ordinal", "x", "y").groupBy("entry").applyInPandas(run, "entry string, ordinal long, influence double")
+
+
+def bandwidths(series: DataFrame) -> DataFrame:
+    """(entry, bandwidth): Andrews' plug-in for the prewhitened columns of every entry."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        x, y = _xy(g)
+        z, _, _ = _moments(x[None], None if _is_cash(y) else y[None])
+        c = z - z.mean(axis=-1, keepdims=True)
+        u = c[..., 1:] - _first_autocorrelation(c)[..., None] * c[..., :-1]
+        return pd.DataFrame({"entry": [g["entry"].iloc[0]], "bandwidth": bandwidth(u)})
+
+    return series.select("entry", "ordinal", "x", "y").groupBy("entry").applyInPandas(run, "entry string, bandwidth double")
+
+
 def fixed_bandwidth_errors(series: DataFrame, lags: float) -> DataFrame:
     """(entry, edge, se) with a given bandwidth instead of the estimated one."""
 

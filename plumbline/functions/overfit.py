@@ -35,10 +35,11 @@ def split_sharpes(sums: DataFrame, size: int, blocks: int) -> DataFrame:
     """(split, variant, fit, test): the ratio of every variant on both halves of every split.
 
     Each split meets each block by an equality on the block, so the join grows with
-    splits x blocks x variants, which is the size of the question.
+    splits x blocks x variants, which is the size of the question. The sums grow with the
+    variants, so whether they are broadcast is left to the planner.
     """
     splits = sums.sparkSession.range(1 << blocks).where(F.bit_count("id") == blocks // 2).select(F.col("id").alias("split"), F.posexplode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block", "_"))
-    rows = splits.select("split", "block", (F.expr("shiftright(split, block)").bitwiseAND(1) == 1).alias("fit")).join(F.broadcast(sums), "block")
+    rows = splits.select("split", "block", (F.expr("shiftright(split, block)").bitwiseAND(1) == 1).alias("fit")).join(sums, "block")
     n = float(size * (blocks // 2))
 
     def sharpe(of):

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.timeseries import TRADING_DAYS, bollinger, change, own, rolling, smoothed, span_alpha, true_range, volume_z
+from plumbline.operators.timeseries import TRADING_DAYS, bollinger, change, oscillators, own, rolling, volume_z
 from plumbline.panel import ratio
 
 #: Tickers that are bars, not names of the universe.
@@ -38,22 +38,7 @@ def stock_features(prices: DataFrame, smooth: bool = True) -> DataFrame:
     w = w.withColumns({"vol_21d": rolling("std", "ret_1d", 21) * math.sqrt(TRADING_DAYS), "target": F.lead("ret_1d").over(own())})
     if not smooth:
         return w
-    step = F.col("close") - F.lag("close").over(own())
-    w = w.withColumns({"_up": F.greatest(step, F.lit(0.0) * step), "_down": F.greatest(-step, F.lit(0.0) * step), "_tr": true_range()})
-    s = smoothed(
-        w,
-        {
-            "_gain": ("_up", 1 / 14), "_loss": ("_down", 1 / 14), "_atr": ("_tr", 1 / 14),
-            "_fast": ("close", span_alpha(12)), "_slow": ("close", span_alpha(26)), "_line": ("_fast - _slow", span_alpha(9)),
-        },
-    )
-    return s.withColumns(
-        {
-            "rsi_14": F.coalesce(100 - 100 / (1 + ratio(F.col("_gain"), F.col("_loss"))), F.lit(50.0)),
-            "atr_14": ratio(F.col("_atr"), F.col("close")),
-            "macd_hist": ratio(F.col("_fast") - F.col("_slow") - F.col("_line"), F.col("close")),
-        }
-    ).drop(*(c for c in s.columns if c.startswith("_")))
+    return oscillators(w)
 
 
 def market_features(market: DataFrame) -> DataFrame:

@@ -50,6 +50,31 @@ def submitted_weights(signals: DataFrame, actual: DataFrame) -> DataFrame:
     return _match(signals, actual).select("entry", "date", "ticker", F.col("value").alias("weight"), "target").where("weight != 0")
 
 
+def refusals(signals: DataFrame, entries: DataFrame, actual: DataFrame, allow_short: bool = False) -> DataFrame:
+    """(entry, reason) of the entries that the engine does not take.
+
+    A weights entry with leverage on any day, or with shorts where neither its rule is
+    long_short nor ``allow_short`` is given, and any entry with more than one value for a name
+    on a day, whose positions would add up.
+    """
+    twice = signals.groupBy("entry", "date", "ticker").agg(F.count("*").alias("n")).where("n > 1").select("entry", F.lit("duplicate rows").alias("reason")).distinct()
+    kinds = entries.where("kind = 'weights'").select("entry", ((F.col("rule") == "long_short") | F.lit(allow_short)).alias("_short"))
+    given = submitted_weights(signals.join(kinds, "entry"), actual)
+    allowed = kinds.where("_short").select("entry")
+    found = breaches(given.join(allowed, "entry", "left_semi"), True).unionByName(breaches(given.join(allowed, "entry", "left_anti")))
+    return found.unionByName(twice.join(entries.select("entry"), "entry", "left_semi"))
+
+
+def require_contract(signals: DataFrame, entries: DataFrame, actual: DataFrame, allow_short: bool = False) -> None:
+    """ValueError if any entry is refused, or if the returns have a name twice on a day."""
+    twice = actual.groupBy("date", "ticker").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"more than one return for {twice[0]['ticker']} on {twice[0]['date']}")
+    found = refusals(signals, entries, actual, allow_short).orderBy("entry", "reason").limit(20).collect()
+    if found:
+        raise ValueError("refused: " + "; ".join(f"{r['entry']}: {r['reason']}" for r in found))
+
+
 def breaches(positions: DataFrame, allow_short: bool = False) -> DataFrame:
     """(entry, reason) of what breaks the contract: leverage on any day, or short positions that are not allowed."""
     per = positions.groupBy("entry", "date").agg(F.sum(F.abs("weight")).alias("gross"), F.min("weight").alias("least"))

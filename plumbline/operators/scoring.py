@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.sharpe import normal_cdf, psr_argument, sharpe, sharpe_error
 from plumbline.operators.backtest import BORROW_BPS, COST_BPS, charge, curve, daily_books, statistics
-from plumbline.operators.positions import submitted_weights, weights_from_predictions
+from plumbline.lineage import settled
+from plumbline.operators.positions import refusals, require_contract, submitted_weights, weights_from_predictions
 from plumbline.panel import window_rows
 
 #: The windows of the board, both ends included.
@@ -48,15 +49,26 @@ def window_books(positions: DataFrame, signals: DataFrame, actual: DataFrame, wi
     return books.withColumns({"window": parts[0], "entry": parts[1]})
 
 
-def score(signals: DataFrame, entries: DataFrame, actual: DataFrame, windows: dict[str, tuple[str, str]], investable: DataFrame | None = None, cost_bps: float = COST_BPS) -> tuple[DataFrame, DataFrame]:
+def score(
+    signals: DataFrame, entries: DataFrame, actual: DataFrame, windows: dict[str, tuple[str, str]], investable: DataFrame | None = None, cost_bps: float = COST_BPS, refused: str = "raise"
+) -> tuple[DataFrame, DataFrame]:
     """(scores, daily) of all entries in all windows.
 
+    Entries that break the contract (``positions.refusals``) raise ValueError, or are left out
+    where ``refused`` is "leave out". Weights may be short here whatever their rule: it is the
+    validator that faults those that did not ask for it. The daily rows are made once and settled; all statistics
+    read those, a row for each entry and day.
+
     daily is (window, entry, date, ordinal, net, bar, ...), with bar 0 where a dollar-neutral
     book is held against cash. scores has the statistics, the bar used and its Sharpe ratio,
     the ratio at 0 and 20 bps, under stressed borrowing where a book is short, and the plain
     edge over the investable index where a book is not neutral and has 20 of its days.
     """
-    daily = curve(charge(window_books(book_of(signals, entries, actual), signals, actual, windows), cost_bps), keys=KEYS)
+    if refused == "raise":
+        require_contract(signals, entries, actual, allow_short=True)
+    else:
+        signals = signals.join(refusals(signals, entries, actual, allow_short=True).select("entry").distinct(), "entry", "left_anti")
+    daily = settled(curve(charge(window_books(book_of(signals, entries, actual), signals, actual, windows), cost_bps), keys=KEYS))
     stats = statistics(daily, keys=KEYS).join(entries.select("entry", "kind", "rule"), "entry")
     neutral = (F.col("rule") == "long_short") | ((F.col("kind") == "weights") & (F.abs("avg_exposure") < NEUTRAL_EXPOSURE) & (F.col("avg_short_exposure") > NEUTRAL_SHORT))
     stats = stats.withColumn("bar_used", F.when(neutral, F.lit("cash")).otherwise(F.lit("universe")))

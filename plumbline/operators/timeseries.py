@@ -140,6 +140,26 @@ def true_range() -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
+def oscillators(df: DataFrame) -> DataFrame:
+    """Adds rsi_14, macd_hist and atr_14 from one pass over each name's history."""
+    step = F.col("close") - F.lag("close").over(own())
+    moves = df.withColumns({"_up": F.greatest(step, F.lit(0.0) * step), "_down": F.greatest(-step, F.lit(0.0) * step), "_tr": true_range()})
+    s = smoothed(
+        moves,
+        {
+            "_gain": ("_up", 1 / 14), "_loss": ("_down", 1 / 14), "_atr": ("_tr", 1 / 14),
+            "_fast": ("close", span_alpha(12)), "_slow": ("close", span_alpha(26)), "_line": ("_fast - _slow", span_alpha(9)),
+        },
+    )
+    return s.withColumns(
+        {
+            "rsi_14": F.coalesce(100 - 100 / (1 + ratio(F.col("_gain"), F.col("_loss"))), F.lit(50.0)),
+            "atr_14": ratio(F.col("_atr"), F.col("close")),
+            "macd_hist": ratio(F.col("_fast") - F.col("_slow") - F.col("_line"), F.col("close")),
+        }
+    ).drop("_up", "_down", "_tr", "_gain", "_loss", "_atr", "_fast", "_slow", "_line")
+
+
 def atr(df: DataFrame, n: int = 14, out: str = "atr_14") -> DataFrame:
     s = smoothed(df.withColumn("_tr", true_range()), {"_atr": ("_tr", 1 / n)})
     return s.withColumn(out, ratio(F.col("_atr"), F.col("close"))).drop("_tr", "_atr")

@@ -37,9 +37,13 @@ def members_on(membership: DataFrame, dates: DataFrame) -> DataFrame:
     Dates before the first version have none and come with a null; ``require_covered`` makes
     that an error.
     """
-    v = versions(membership)
-    d = dates.select("date").distinct()
-    return d.join(F.broadcast(v.select("valid_from", "valid_to", "tickers")), (F.col("date") >= F.col("valid_from")) & (F.col("date") < F.col("valid_to")), "left").select("date", "tickers")
+    # The start of the version in force comes by one window over both kinds of dates, of which
+    # there is at most one a day; the sets themselves are then joined by equality.
+    changes = membership.select("date").distinct().select("date", F.col("date").alias("_from"), F.lit(False).alias("_asked"))
+    asked = dates.select("date").distinct().select("date", F.lit(None).cast("date").alias("_from"), F.lit(True).alias("_asked"))
+    upto = Window.orderBy("date", "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    begun = changes.unionByName(asked).withColumn("_begun", F.last("_from", ignorenulls=True).over(upto)).where("_asked").select("date", "_begun")
+    return begun.join(membership.select(F.col("date").alias("_begun"), "tickers"), "_begun", "left").select("date", "tickers")
 
 
 def require_covered(on: DataFrame) -> DataFrame:

@@ -47,6 +47,11 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*map(one, schema.fields))
 
 
+def lower_names(df: DataFrame) -> DataFrame:
+    """Date and Ticker, as files have them, in lower case; other columns as they are."""
+    return df.select(*(F.col(f"`{c}`").alias(c.lower() if c in ("Date", "Ticker") else c) for c in df.columns))
+
+
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     """One row: how many rows of ``df`` stand beyond the first of their key."""
     return df.groupBy(*keys).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicates"))

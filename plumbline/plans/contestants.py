@@ -1,20 +1,30 @@
-"""Signals of the built-in contestants, and linear and boosted models trained with pyspark.ml."""
+"""Signals of the built-in contestants, and models trained with pyspark.ml: linear, boosted, and a network that ranks."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from plumbline.operators.crosssection import day, rank_average
-from plumbline.operators.timeseries import change, hold_between, low_volatility, momentum_12_1, monthly_hold, own, reversal, rolling
+from plumbline.lineage import settled
+from plumbline.operators.crosssection import day, information_coefficient, rank_average
+from plumbline.operators.timeseries import change, context, hold_between, low_volatility, momentum_12_1, monthly_hold, own, reversal, rolling
 from plumbline.operators.universe import only_members
 from plumbline.panel import calendar, densify, only_finite
 
+#: Classes of the day's ranks that the network tells apart, and its inner layers.
+TIERS, LAYERS = 5, (16, 8)
+
+
 def _calendar_rows() -> WindowSpec:
     return own(order="ordinal")
 
@@ -46,22 +56,94 @@ def starter_signal(actual: DataFrame, kind: str, ranked: bool = False) -> DataFr
     return moved.select("date", "ticker", (rank_average("value") if ranked else F.col("value")).alias("value"))
 
 
-def fit_contestant(panel: DataFrame, features: Sequence[str], model: str = "linear", label: str = "target", ranked: bool = True, seed: int = 0, iterations: int = 20) -> PipelineModel:
-    """A regression of the (day-ranked) target on standardised features, fitted by Spark on the whole panel."""
-    data = panel.na.drop(subset=[*features, label]).withColumn("_label", rank_average(label, day()) if ranked else F.col(label))
-    learner = LinearRegression(featuresCol="_x", labelCol="_label", regParam=1e-4) if model == "linear" else GBTRegressor(featuresCol="_x", labelCol="_label", maxIter=iterations, maxDepth=4, seed=seed)
-    stages = [VectorAssembler(inputCols=list(features), outputCol="_raw"), StandardScaler(withMean=True, inputCol="_raw", outputCol="_x"), learner]
+def learner(model: str, width: int, seed: int, **settings):
+    """A Spark learner of the named kind over ``width`` features."""
+    if model == "linear":
+        return LinearRegression(featuresCol="_x", labelCol="_label", **{"regParam": 1e-4, **settings})
+    if model == "gbt":
+        return GBTRegressor(featuresCol="_x", labelCol="_label", seed=seed, **{"maxIter": 20, "maxDepth": 4, **settings})
+    if model == "network":
+        return MultilayerPerceptronClassifier(featuresCol="_x", labelCol="_tier", layers=[width, *LAYERS, TIERS], seed=seed, **{"maxIter": 40, **settings})
+    raise ValueError(f"unknown model {model}")
+
+
+def fit_contestant(panel: DataFrame, features: Sequence[str], model: str = "linear", label: str = "target", ranked: bool = True, seed: int = 0, iterations: int | None = None, **settings) -> PipelineModel:
+    """A model of the (day-ranked) target on standardised features, fitted by Spark on the whole panel.
+
+    The network learns in which of TIERS equal parts of its day a name ends.
+    """
+    if iterations is not None and model != "linear":
+        settings["maxIter"] = iterations
+    rank = rank_average(label, day())
+    data = panel.na.drop(subset=[*features, label]).withColumn("_rank", rank).withColumns({"_label": F.col("_rank") if ranked else F.col(label), "_tier": F.least(F.floor((F.col("_rank") + 0.5) * TIERS), F.lit(TIERS - 1)).cast("double")})
+    stages = [VectorAssembler(inputCols=list(features), outputCol="_raw"), StandardScaler(withMean=True, inputCol="_raw", outputCol="_x"), learner(model, len(features), seed, **settings)]
     return Pipeline(stages=stages).fit(data)
 
 
+def _prediction(model: PipelineModel) -> Column:
+    """The model's number for a row: a regression's prediction, or the mean tier by the network's probabilities."""
+    if not model.stages[-1].hasParam("probabilityCol"):
+        return F.col("prediction")
+    return F.aggregate(F.transform(vector_to_array(F.col("probability")), lambda p, k: p * k), F.lit(0.0), lambda a, x: a + x)
+
+
 def predicted_signal(model: PipelineModel, panel: DataFrame, entry: str, hold: int = 1) -> DataFrame:
     """(entry, date, ticker, value) of the model's predictions, renewed every ``hold`` days."""
-    rows = model.transform(panel).select("date", "ticker", F.col("prediction").alias("value"))
+    rows = model.transform(panel).select("date", "ticker", _prediction(model).alias("value"))
     if hold > 1:
         rows = hold_between(densify(rows, calendar(rows), values=("value",)), hold).where("value is not null")
     return rows.select(F.lit(entry).alias("entry"), "date", "ticker", "value")
 
 
+def seeds_mean(signals: Sequence[DataFrame]) -> DataFrame:
+    """(entry, date, ticker, value): the mean of several models' numbers for each name and day."""
+    return reduce(DataFrame.unionByName, signals).groupBy("entry", "date", "ticker").agg(F.avg("value").alias("value"))
+
+
+def trained_signal(
+    panel: DataFrame, features: Sequence[str], train_end: str, model: str = "linear", val_end: str | None = None, choices: Sequence[dict] = ({},), seeds: Sequence[int] = (0,), entry: str | None = None, hold: int = 1
+) -> DataFrame:
+    """The signal of a model fitted on days up to ``train_end`` for the days after ``val_end`` (or ``train_end``).
+
+    The last training day's target is a return of the day after, which is the first day that is
+    predicted from or validated on, so that day is left out of the training. Of several
+    ``choices`` of settings the one with the best information coefficient on the days between
+    ``train_end`` and ``val_end`` is taken. One model is fitted per seed; their mean is returned.
+    """
+    entry, whole = entry or model, panel.na.drop(subset=list(features))
+    upto, after = F.lit(train_end).cast("date"), F.lit(val_end or train_end).cast("date")
+    train = settled(whole.where(F.col("date") < upto))
+    best = choices[0]
+    if len(choices) > 1:
+        if val_end is None:
+            raise ValueError("choices are compared on validation days, so val_end must be given")
+        held = settled(whole.where((F.col("date") > upto) & (F.col("date") <= after)))
+        quality = [information_coefficient(predicted_signal(fit_contestant(train, features, model, seed=seeds[0], **c), held, entry), held.select("date", "ticker", "target")).first() for c in choices]
+        best = choices[int(np.argmax([-np.inf if q is None or q["ic"] is None else q["ic"] for q in quality]))]
+    test = whole.where(F.col("date") > after)
+    return seeds_mean([predicted_signal(fit_contestant(train, features, model, seed=s, **best), test, entry, hold) for s in seeds])
+
+
+def sequence_signal(panel: DataFrame, features: Sequence[str], predict: Callable[[np.ndarray], np.ndarray], n: int = 60, entry: str = "sequence", at_once: int = 4096) -> DataFrame:
+    """(entry, date, ticker, value) of a model of each name's last ``n`` rows; names with fewer have none.
+
+    ``predict`` takes (windows, n, features) and gives a number for each window. Windows are made
+    where the rows are, by one shuffle, and handed over in batches of ``at_once``.
+    """
+    rows = panel.na.drop(subset=list(features)).withColumn("_w", context(list(features), n)).where("_w is not null")
+    flat = F.flatten(F.transform("_w", lambda x: F.array(*(x[f].cast("double") for f in features))))
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, len(batch), at_once):
+                part = batch.iloc[start : start + at_once]
+                windows = np.stack(part["x"].to_numpy()).reshape(len(part), n, len(features))
+                yield pd.DataFrame({"date": part["date"], "ticker": part["ticker"], "value": np.asarray(predict(windows), dtype=float).ravel()})
+
+    out = rows.select("date", "ticker", flat.alias("x")).mapInPandas(run, "date date, ticker string, value double")
+    return out.select(F.lit(entry).alias("entry"), "date", "ticker", "value")
+
+
 def mean_sigmoid_weights(scores: DataFrame, columns: Sequence[str] = ("s1", "s2", "s3")) -> DataFrame:
     """(date, ticker, value): the mean of the sigmoids of several scores over the number of names of the day."""
     mean = sum((1 / (1 + F.exp(-F.col(c))) for c in columns), F.lit(0.0)) / len(columns)

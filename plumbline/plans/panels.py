@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.lineage import settled
 from plumbline.operators.timeseries import change, own
 
 DAMP = 0.02
@@ -49,9 +52,22 @@ def with_target(prices: DataFrame) -> DataFrame:
     return prices.withColumn("target", F.when((F.col("close") > 0) & (ahead > 0), DAMP * F.ln(ahead / F.col("close"))))
 
 
-def momentum(panel: DataFrame, k: int, entry: str) -> DataFrame:
-    """(entry, date, ticker, value): the change over k rows."""
-    return panel.select(F.lit(entry).alias("entry"), "date", "ticker", change("close", k).alias("value"))
+def momentum(panel: DataFrame, k: int, *entries: str) -> DataFrame:
+    """(entry, date, ticker, value): the change over k rows, for each of the named entries."""
+    entry = F.lit(entries[0]) if len(entries) == 1 else F.explode(F.array(*map(F.lit, entries)))
+    return panel.select("date", "ticker", change("close", k).alias("value")).select(entry.alias("entry"), "date", "ticker", "value")
+
+
+def momentum_variants(panel: DataFrame, ks: Iterable[int]) -> DataFrame:
+    """The same for an entry ``m{k}`` of each k, all from one window."""
+    named = {f"m{k}": change("close", k) for k in ks}
+    wide = panel.select("date", "ticker", *(c.alias(name) for name, c in named.items()))
+    return wide.unpivot(["date", "ticker"], list(named), "entry", "value").select("entry", "date", "ticker", "value")
+
+
+def priced(prices: DataFrame) -> DataFrame:
+    """A panel with its target, settled: names x days rows that several parts of a query read."""
+    return settled(with_target(prices))
 
 
 P1 = """p1 AS (

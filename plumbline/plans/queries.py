@@ -13,7 +13,7 @@ from plumbline.operators import crosssection as xs
 from plumbline.operators import timeseries as ts
 from plumbline.operators.positions import weights_from_predictions
 from plumbline.panel import calendar, densify, long_histories, ratio, shift_days, thick_dates
-from plumbline.plans.panels import P1, P2, P3, actual_sql, daily_nations, daily_users, momentum, weekly_brands, with_target
+from plumbline.plans.panels import P1, P2, P3, actual_sql, daily_nations, daily_users, momentum, priced, weekly_brands, with_target
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,8 +128,7 @@ OSCILLATORS_SQL = "coalesce(100 - 100 / (1 + gain / nullif(loss, 0)), 50) AS rsi
 
 @registered(f"WITH RECURSIVE {EWM_SQL} SELECT date, ticker, {rs(*OSCILLATORS_SQL)} FROM e")
 def ewm_indicators(spark, sf):
-    p = ts.rsi(weekly_brands(spark, sf))
-    return ts.atr(ts.macd_histogram(p)).select("date", "ticker", r("rsi_14"), r("macd_hist"), r("atr_14"))
+    return ts.oscillators(weekly_brands(spark, sf)).select("date", "ticker", r("rsi_14"), r("macd_hist"), r("atr_14"))
 
 
 @registered(f"""WITH {P2}, {DAYS_SQL.format('p2')}, {GRID_SQL.format('p2')}, {DENSE_SQL.format('p2')}, f AS (SELECT min(date) AS date FROM days GROUP BY date_trunc('month', date))
@@ -223,7 +222,10 @@ cur AS (SELECT *, lag(equity, 1, 1e6) OVER (ORDER BY ordinal) AS equity_before,
 
 def books(spark: SparkSession, sf: str, rule: str = "long_short", k: int = MOMENTUM, prices=weekly_brands) -> DataFrame:
     """Daily books of the momentum signal on all days of a panel."""
-    a = with_target(prices(spark, sf))
+    return books_of(priced(prices(spark, sf)), rule, k)
+
+
+def books_of(a: DataFrame, rule: str = "long_short", k: int = MOMENTUM) -> DataFrame:
     positions = weights_from_predictions(momentum(a, k, "momentum"), a.select("date", "ticker", "target"), rule)
     days = calendar(a).select(F.lit("momentum").alias("entry"), "date", "ordinal")
     return bt.daily_books(positions, days)
@@ -282,7 +284,7 @@ BAR_SQL = f"{P1}, {actual_sql('p1')}, {DAYS_SQL.format('p1')}, {GRID_SQL.format(
 
 @registered(f"WITH {BAR_SQL} SELECT date, {rs('bar AS net')} FROM bar")
 def bar_returns(spark, sf):
-    a = with_target(weekly_brands(spark, sf)).select("date", "ticker", "target")
+    a = priced(weekly_brands(spark, sf)).select("date", "ticker", "target")
     return bt.charge(bt.bar_books(a)).select("date", r("net"))
 
 

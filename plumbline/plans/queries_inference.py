@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +10,11 @@ from plumbline.functions import inference, overfit, simulate
 from plumbline.functions.sharpe import normal_cdf, psr_argument, sharpe, sharpe_error
 from plumbline.operators import backtest as bt
 from plumbline.operators import scoring
-from plumbline.operators.positions import weights_from_predictions
+from plumbline.operators.positions import refusals, weights_from_predictions
 from plumbline.panel import calendar
-from plumbline.plans.contestants import fit_contestant, predicted_signal
-from plumbline.plans.panels import P4, daily_users, momentum, weekly_brands, weekly_market, with_target
-from plumbline.plans.queries import BAR_TAIL, MOMENTUM, NET_SQL, book_sql, books, r, registered, rs
+from plumbline.plans.contestants import trained_signal
+from plumbline.plans.panels import P1, P3, P4, actual_sql, daily_users, momentum, momentum_variants, priced, weekly_brands, weekly_market
+from plumbline.plans.queries import BAR_SQL, BAR_TAIL, DAYS_SQL, MOMENTUM, NET_SQL, WEIGHT_SQL, book_sql, books_of, r, registered, rs
 from plumbline.sources.sinks import web_series
 
 ANNUAL = "sqrt(252.0::DOUBLE)"
@@ -24,9 +22,13 @@ ANNUAL = "sqrt(252.0::DOUBLE)"
 
 def pair(spark: SparkSession, sf: str, rule: str = "long_flat") -> DataFrame:
     """(entry, ordinal, x, y): momentum's and the bar's net returns on P1."""
-    a = with_target(weekly_brands(spark, sf)).select("date", "ticker", "target")
-    x = bt.charge(books(spark, sf, rule)).select("entry", "ordinal", F.col("net").alias("x"))
-    return x.join(bt.charge(bt.bar_books(a)).select("ordinal", F.col("net").alias("y")), "ordinal").select("entry", "ordinal", "x", "y")
+    p = priced(weekly_brands(spark, sf))
+    x = bt.charge(books_of(p, rule)).select("entry", "ordinal", F.col("net").alias("x"))
+    return x.join(bar_of(p), "ordinal").select("entry", "ordinal", "x", "y")
+
+
+def bar_of(p: DataFrame) -> DataFrame:
+    return bt.charge(bt.bar_books(p.select("date", "ticker", "target"))).select("ordinal", F.col("net").alias("y"))
 
 
 PAIR_SQL = f"""{book_sql('p1', MOMENTUM, 'long_flat')}, {NET_SQL.split(',' + chr(10))[0]}, {BAR_TAIL},
@@ -39,7 +41,12 @@ def sharpe_moments(spark, sf):
     return pair(spark, sf).agg(r(sharpe("x"), "net_sharpe"), r(sharpe_error("x"), "sharpe_se"), r(psr_argument("x", 0.5), "psr_argument"))
 
 
-@registered()
+#: The normal distribution function of z by its series: the density times the sum of z^(2k+1) / (2k+1)!!, plus one half.
+PHI = "0.5 + sign(z) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 60 + ceil(z * z)::BIGINT), lambda k: exp((2 * k + 1) * ln(greatest(abs(z), 1e-300)) - z * z / 2 - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi()))))"
+
+
+@registered(f"""WITH {PAIR_SQL}, m AS (SELECT count(*) AS n, avg(x) AS m, stddev_pop(x) AS s FROM xy), c AS (SELECT n, m / s AS sr, avg(pow((x - m) / s, 3)) AS g3, avg(pow((x - m) / s, 4)) AS g4 FROM xy CROSS JOIN m GROUP BY n, m, s),
+zz AS (SELECT sr * sqrt(n - 1.0::DOUBLE) / sqrt(greatest(1 - g3 * sr + (g4 - 1) / 4 * sr * sr, 1e-12)) AS z FROM c) SELECT {rs(f'{PHI} AS psr')} FROM zz""")
 def probabilistic_sharpe(spark, sf):
     z = pair(spark, sf).agg(psr_argument("x").alias("z"))
     return z.select(r(normal_cdf("z"), "psr"))
@@ -48,18 +55,53 @@ def probabilistic_sharpe(spark, sf):
 LAGS = 5
 
 
+COLUMNS = ("x", "y", "x * x", "y * y")
+#: The gradient of the difference of Sharpe ratios by the means of these columns.
+GRADIENT_SQL = """mo AS (SELECT count(*) AS t, avg(x) AS m1, avg(x * x) AS g1, avg(y) AS m2, avg(y * y) AS g2 FROM xy), d AS (SELECT *, g1 - m1 * m1 AS d1, g2 - m2 * m2 AS d2 FROM mo),
+gr AS (SELECT *, g1 / pow(d1, 1.5) AS q0, -g2 / pow(d2, 1.5) AS q1, -m1 / (2 * pow(d1, 1.5)) AS q2, m2 / (2 * pow(d2, 1.5)) AS q3 FROM d)"""
+
+
+def _each(template: str) -> str:
+    return ", ".join(template.replace("#", str(k)) for k in range(4))
+
+
+def _rho(of: str, before: str, out: str) -> str:
+    return _each(f"greatest(-0.97, least(0.97, sum({of}# * {before}#) / nullif(sum({before}# * {before}#), 0))) AS {out}#")
+
+
+#: The columns, centred (z), and what is left of them after their own first autocorrelation (u), with gradient entries beside.
+WHITE_SQL = f"""{GRADIENT_SQL}, z AS (SELECT ordinal, {", ".join(f"{c} - avg({c}) OVER () AS z{k}" for k, c in enumerate(COLUMNS))} FROM xy), l AS (SELECT *, {_each("lag(z#) OVER (ORDER BY ordinal) AS p#")} FROM z),
+rh AS (SELECT {_rho("z", "p", "r")} FROM l WHERE p0 IS NOT NULL), u AS (SELECT ordinal, {_each("z# - r# * p# AS u#")} FROM l CROSS JOIN rh WHERE p0 IS NOT NULL)"""
+
+
 def _hac_sql() -> str:
-    cols = ("x", "y", "x * x", "y * y")
-    z = ", ".join(f"{c} - avg({c}) OVER () AS z{k}" for k, c in enumerate(cols))
-    rho = ", ".join(f"greatest(-0.97, least(0.97, sum(z{k} * p{k}) / nullif(sum(p{k} * p{k}), 0))) AS r{k}" for k in range(4))
-    lagged = ", ".join(f"lag(z{k}) OVER (ORDER BY ordinal) AS p{k}" for k in range(4))
-    v = " + ".join(f"q{k} / (1 - r{k}) * (z{k} - r{k} * p{k})" for k in range(4))
+    v = " + ".join(f"q{k} / (1 - r{k}) * u{k}" for k in range(4))
     auto = ", ".join(f"lag(v, {j}) OVER (ORDER BY ordinal) AS v{j}" for j in range(1, LAGS + 1))
     total = " + ".join(["sum(v * v)", *(f"2 * (1 - {j} / {LAGS + 1}.0::DOUBLE) * sum(v * v{j})" for j in range(1, LAGS + 1))])
-    return f"""WITH {PAIR_SQL}, mo AS (SELECT count(*) AS t, avg(x) AS m1, avg(x * x) AS g1, avg(y) AS m2, avg(y * y) AS g2 FROM xy), d AS (SELECT *, g1 - m1 * m1 AS d1, g2 - m2 * m2 AS d2 FROM mo),
-gr AS (SELECT *, g1 / pow(d1, 1.5) AS q0, -g2 / pow(d2, 1.5) AS q1, -m1 / (2 * pow(d1, 1.5)) AS q2, m2 / (2 * pow(d2, 1.5)) AS q3 FROM d),
-z AS (SELECT ordinal, {z} FROM xy), l AS (SELECT *, {lagged} FROM z), rh AS (SELECT {rho} FROM l WHERE p0 IS NOT NULL), u AS (SELECT ordinal, {v} AS v FROM l CROSS JOIN rh CROSS JOIN gr WHERE p0 IS NOT NULL), w AS (SELECT v, {auto} FROM u)
-SELECT {rs(f'(max(m1) / sqrt(max(d1)) - max(m2) / sqrt(max(d2))) * {ANNUAL} AS edge', f'sqrt(({total}) / count(*) / max(t)) * {ANNUAL} AS se')} FROM w CROSS JOIN gr""".replace("w AS (SELECT v,", "wv AS (SELECT v,").replace("FROM w CROSS JOIN gr", "FROM wv CROSS JOIN gr")
+    return f"""WITH {PAIR_SQL}, {WHITE_SQL}, vs AS (SELECT ordinal, {v} AS v FROM u CROSS JOIN rh CROSS JOIN gr), wv AS (SELECT v, {auto} FROM vs)
+SELECT {rs(f'(max(m1) / sqrt(max(d1)) - max(m2) / sqrt(max(d2))) * {ANNUAL} AS edge', f'sqrt(({total}) / count(*) / max(t)) * {ANNUAL} AS se')} FROM wv CROSS JOIN gr"""
+
+
+@registered(f"WITH {PAIR_SQL}, {WHITE_SQL} SELECT CAST(ordinal AS INTEGER) AS ordinal, {rs(' + '.join(f'q{k} * z{k}' for k in range(4)) + ' AS influence')} FROM z CROSS JOIN gr")
+def influence_series(spark, sf):
+    return inference.influences(pair(spark, sf)).select(F.col("ordinal").cast("int").alias("ordinal"), r("influence"))
+
+
+@registered(f"""WITH {PAIR_SQL}, {WHITE_SQL}, k AS (SELECT *, {_each("lag(u#) OVER (ORDER BY ordinal) AS b#")} FROM u), h AS (SELECT {_rho("u", "b", "h")} FROM k WHERE b0 IS NOT NULL),
+s4 AS (SELECT {_each("pow(avg(pow(u# - h# * b#, 2)), 2) AS s#")}, {_each("max(h#) AS h#")} FROM k CROSS JOIN h WHERE b0 IS NOT NULL), n AS (SELECT count(*) AS n FROM u),
+al AS (SELECT n, ({" + ".join(f"4 * h{k} * h{k} * s{k} / (pow(1 - h{k}, 6) * pow(1 + h{k}, 2))" for k in range(4))}) / ({" + ".join(f"s{k} / pow(1 - h{k}, 4)" for k in range(4))}) AS alpha FROM s4 CROSS JOIN n)
+SELECT {rs('greatest(1.0, least(n - 2, 1.1447 * cbrt(alpha * n))) AS bandwidth')} FROM al""")
+def andrews_bandwidth(spark, sf):
+    return inference.bandwidths(pair(spark, sf)).select(r("bandwidth"))
+
+
+@registered(f"""WITH {PAIR_SQL}, {WHITE_SQL}, i AS (SELECT ordinal, {" + ".join(f"q{k} * z{k}" for k in range(4))} AS v FROM z CROSS JOIN gr), n AS (SELECT count(*) AS n, avg(v) AS m, avg(v * v) - avg(v) * avg(v) AS s, least(ceil(sqrt(count(*))) + 5, count(*) - 3)::INTEGER AS most FROM i),
+c AS (SELECT k.k, avg((a.v - m) * (b.v - m)) / max(s) AS acf FROM n, LATERAL (SELECT unnest(range(1, most + 1)) AS k) k JOIN i a ON true JOIN i b ON b.ordinal = a.ordinal + k.k GROUP BY 1),
+f AS (SELECT k, acf, abs(acf) < 2 * sqrt(log10(n) / n) AS small, most, n FROM c CROSS JOIN n), qt AS (SELECT k, bool_and(small) OVER five AND count(*) OVER five = 5 AS quiet FROM f WHERE k < most WINDOW five AS (ORDER BY k ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+t AS (SELECT least(greatest(2 * coalesce((SELECT min(k) FROM qt WHERE quiet), 0), 1), most) AS top, n FROM n), wt AS (SELECT k, greatest(0.0, least(1.0, 2 * (1 - k / top::DOUBLE))) * acf AS x, t.n FROM c CROSS JOIN t WHERE k <= top),
+lv AS (SELECT 2 * sum(k * x) AS slope, 1 + 2 * sum(x) AS level, max(n) AS n FROM wt) SELECT 'momentum' AS entry, CAST(greatest(1, least(round_even(pow(1.5 * n * pow(slope / level, 2), 1.0 / 3), 0), n // 3)) AS INTEGER) AS block FROM lv""")
+def automatic_block_length(spark, sf):
+    return inference.block_lengths(pair(spark, sf))
 
 
 @registered(_hac_sql())
@@ -77,22 +119,16 @@ def bootstrap_formula_starts(spark, sf):
     return inference.formula_bootstrap(pair(spark, sf), REPS, BLOCK, STARTS).select("entry", r("ci_low"), r("ci_high"), r("p_positive"))
 
 
-VARIANTS, BLOCKS = 8, 8
-
+VARIANTS, BLOCKS = 8, 16
 
-def variants(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(positions' signals, days) of momentum over 1 to VARIANTS rows."""
-    p = with_target(weekly_brands(spark, sf))
-    signals = reduce(DataFrame.unionByName, (momentum(p, k, f"m{k}") for k in range(1, VARIANTS + 1)))
-    return signals, p
 
-
-def variant_returns(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
-    signals, p = variants(spark, sf)
-    a = p.select("date", "ticker", "target")
-    held = weights_from_predictions(signals, a, "long_flat")
-    daily = bt.charge(bt.daily_books(held, bt.padded_days(signals, a)))
-    return daily.select(F.col("entry").alias("variant"), "ordinal", F.col("net").alias("ret")), calendar(a).count()
+def variant_returns(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(variant, ordinal, ret) of momentum over 1 to VARIANTS rows, and the panel they are made from."""
+    p = priced(weekly_brands(spark, sf))
+    a, signals = p.select("date", "ticker", "target"), momentum_variants(p, range(1, VARIANTS + 1))
+    days = bt.padded_days(spark.createDataFrame([(f"m{k}",) for k in range(1, VARIANTS + 1)], "entry string"), a)
+    daily = bt.charge(bt.daily_books(weights_from_predictions(signals, a, "long_flat"), days))
+    return daily.select(F.col("entry").alias("variant"), "ordinal", F.col("net").alias("ret")), p
 
 
 PBO_SQL = f"""WITH {book_sql('p1', 1, 'long_flat').split(', s AS (')[0]}, ks AS (SELECT unnest(range(1, {VARIANTS + 1})) AS k),
@@ -109,8 +145,8 @@ SELECT {rs('avg(CASE WHEN lo <= 0 THEN 1.0::DOUBLE ELSE 0 END) AS pbo')}, count(
 
 @registered(PBO_SQL)
 def pbo_cscv(spark, sf):
-    series, n = variant_returns(spark, sf)
-    return overfit.overfitting_probability(series, n, BLOCKS).select(r("pbo"), "n_combinations", r("median_logit"), r("median_rank"), "n_splits")
+    series, p = variant_returns(spark, sf)
+    return overfit.overfitting_probability(series, calendar(p).count(), BLOCKS).select(r("pbo"), "n_combinations", r("median_logit"), r("median_rank"), "n_splits")
 
 
 def user_stepdown(events: DataFrame) -> DataFrame:
@@ -122,54 +158,65 @@ def user_stepdown(events: DataFrame) -> DataFrame:
     return inference.stepdown(full.join(t, "entry")).select("entry", r("p_value_fwe"), "clears_bar_fwe")
 
 
-@registered("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS entry, CAST(event_id % 40 AS BIGINT) AS rep, value FROM events), l AS (SELECT entry, rep, max(value) AS t_star FROM e WHERE CAST(entry AS BIGINT) < 12 GROUP BY 1, 2),
+STEPDOWN_SQL = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS entry, CAST(event_id % 40 AS BIGINT) AS rep, value FROM events), l AS (SELECT entry, rep, max(value) AS t_star FROM e GROUP BY 1, 2),
 x AS (SELECT n.entry, r.rep, coalesce(l.t_star, 0.0) AS t_star FROM (SELECT DISTINCT entry FROM l) n CROSS JOIN (SELECT unnest(range(40)) AS rep) r LEFT JOIN l ON n.entry = l.entry AND r.rep = l.rep), t AS (SELECT entry, 3 * avg(t_star) AS t FROM x GROUP BY 1),
 k AS (SELECT x.entry, rep, t, max(t_star) OVER (PARTITION BY rep ORDER BY t, x.entry DESC ROWS UNBOUNDED PRECEDING) AS top FROM x JOIN t ON x.entry = t.entry), p AS (SELECT entry, t, (count(*) FILTER (top >= t) + 1)::DOUBLE / 41 AS p FROM k GROUP BY 1, 2),
-a AS (SELECT entry, t, max(p) OVER (ORDER BY t DESC, entry ROWS UNBOUNDED PRECEDING) AS p FROM p) SELECT entry, round(p, 6) + 0.0 AS p_value_fwe, p <= 0.05 AND t > 0 AS clears_bar_fwe FROM a""")
+a AS (SELECT entry, t, max(p) OVER (ORDER BY t DESC, entry ROWS UNBOUNDED PRECEDING) AS p FROM p) SELECT entry, round(p, 6) + 0.0 AS p_value_fwe, p <= 0.05 AND t > 0 AS clears_bar_fwe FROM a"""
+
+
+@registered(STEPDOWN_SQL)
 def stepdown_from_matrix(spark, sf):
-    """Of the users its SQL names; stepdown_of_all_users has every one."""
-    return user_stepdown(spark.read.parquet(f"{sf}/events.parquet").where("user_id < 12"))
+    return user_stepdown(spark.read.parquet(f"{sf}/events.parquet"))
 
 
-@registered()
+@registered(STEPDOWN_SQL)
 def stepdown_of_all_users(spark, sf):
-    return user_stepdown(spark.read.parquet(f"{sf}/events.parquet"))
+    return stepdown_from_matrix(spark, sf)
 
 
 @registered()
 def net_edge_studentized(spark, sf):
-    return inference.ledoit_wolf(pair(spark, sf), reps=500)
+    return inference.net_edge(pair(spark, sf), "ledoit_wolf")
 
 
 @registered()
 def net_edge_percentile(spark, sf):
-    return inference.percentile_bootstrap(pair(spark, sf), reps=500)
+    return inference.net_edge(pair(spark, sf), "percentile")
 
 
 @registered()
 def joint_stepdown(spark, sf):
-    series, _ = variant_returns(spark, sf)
-    a = with_target(weekly_brands(spark, sf)).select("date", "ticker", "target")
-    bar = bt.charge(bt.bar_books(a)).select("ordinal", F.col("net").alias("y"))
-    return inference.joint_sharpe_tests(series.select(F.col("variant").alias("entry"), "ordinal", F.col("ret").alias("x")).join(bar, "ordinal"), reps=300)
+    series, p = variant_returns(spark, sf)
+    return inference.joint_sharpe_tests(series.select(F.col("variant").alias("entry"), "ordinal", F.col("ret").alias("x")).join(bar_of(p), "ordinal"))
 
 
 WINDOWS = {"early": ("1992-01-01", "1995-06-30"), "late": ("1995-07-01", "1998-12-31")}
 
 
+#: Weights of one half on brands whose digits add up to an even number, minus that on the others.
+SIDES = "(CASE WHEN (ascii(substr(ticker, 7, 1)) + ascii(substr(ticker, 8, 1))) % 2 = 0 THEN 1 ELSE -1 END)"
+
+
+def market_index(spark: SparkSession, sf: str) -> DataFrame:
+    """(date, ret): the damped next change of P4's level, as an index one could have bought."""
+    ahead = F.lead("vix").over(Window.orderBy("date"))
+    return weekly_market(spark, sf).select("date", (0.02 * F.ln(ahead / F.col("vix"))).alias("ret")).where("ret is not null")
+
+
+def submitted(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, signals): momentum by three rules, the bar itself, and weights that are long and short alike."""
+    rules = {"flat": "long_flat", "short": "long_short", "top": "long_top"}
+    known = p.where("target is not null")
+    sides = known.select(F.lit("sides").alias("entry"), "date", "ticker", (F.expr(SIDES) / F.count(F.lit(1)).over(Window.partitionBy("date"))).alias("value"))
+    signals = momentum(p, MOMENTUM, *rules).unionByName(known.select(F.lit("always_long").alias("entry"), "date", "ticker", F.lit(1.0).alias("value"))).unionByName(sides)
+    rows = [(e, "predictions", q, 0.1) for e, q in rules.items()] + [("always_long", "predictions", "long_flat", 0.1), ("sides", "weights", "long_flat", 0.1)]
+    return p.sparkSession.createDataFrame(rows, "entry string, kind string, rule string, quantile double"), signals
+
+
 def scored(spark: SparkSession, sf: str, investable: bool = False) -> tuple[DataFrame, DataFrame]:
-    p = with_target(weekly_brands(spark, sf))
-    a = p.select("date", "ticker", "target")
-    rules = [("flat", "long_flat"), ("short", "long_short"), ("top", "long_top")]
-    signals = reduce(DataFrame.unionByName, (momentum(p, MOMENTUM, e) for e, _ in rules))
-    signals = signals.unionByName(a.where("target is not null").select(F.lit("always_long").alias("entry"), "date", "ticker", F.lit(1.0).alias("value")))
-    entries = spark.createDataFrame([(e, "predictions", q, 0.1) for e, q in rules] + [("always_long", "predictions", "long_flat", 0.1)], "entry string, kind string, rule string, quantile double")
-    index = None
-    if investable:
-        m = weekly_market(spark, sf)
-        w = F.lead("vix").over(Window.orderBy("date"))
-        index = m.select("date", (0.02 * F.ln(w / F.col("vix"))).alias("ret")).where("ret is not null")
-    return scoring.score(signals, entries, a, WINDOWS, index)
+    p = priced(weekly_brands(spark, sf))
+    entries, signals = submitted(p)
+    return scoring.score(signals, entries, p.select("date", "ticker", "target"), WINDOWS, market_index(spark, sf) if investable else None)
 
 
 def _window_sql() -> str:
@@ -190,7 +237,7 @@ def _window_sql() -> str:
 @registered(_window_sql())
 def window_scores(spark, sf):
     scores, _ = scored(spark, sf)
-    return scores.where("entry <> 'always_long'").select("window", "entry", "days", "bar_used", *map(r, ("net_sharpe", "bar_sharpe", "net_edge", "gross_sharpe", "net_sharpe_20bps")))
+    return scores.where("entry in ('flat', 'short', 'top')").select("window", "entry", "days", "bar_used", *map(r, ("net_sharpe", "bar_sharpe", "net_edge", "gross_sharpe", "net_sharpe_20bps")))
 
 
 @registered(f"WITH {P4}, x AS (SELECT date, lead(vix) OVER (ORDER BY date) / vix AS q FROM p4), n AS (SELECT * FROM (VALUES ('early', DATE '1992-01-01', DATE '1995-06-30'), ('late', DATE '1995-07-01', DATE '1998-12-31')) t(win, s, e)), d AS (SELECT DISTINCT CAST(date_trunc('week', l_shipdate) AS DATE) AS date FROM lineitem) SELECT win AS \"window\", count(*) AS investable_days FROM n JOIN x ON x.date BETWEEN s AND e JOIN d ON d.date = x.date WHERE q IS NOT NULL GROUP BY 1")
@@ -199,14 +246,68 @@ def investable_days(spark, sf):
     return scores.where("entry = 'always_long'").select("window", "investable_days")
 
 
+def _stress_sql() -> str:
+    """Scores under stressed borrowing of momentum's short book and of weights on both sides, a part for each window."""
+    parts = []
+    for window, (start, end) in WINDOWS.items():
+        cut = f"date BETWEEN DATE '{start}' AND DATE '{end}'"
+        sides = f"SELECT date, ticker, target, {SIDES} / count(*) OVER (PARTITION BY date)::DOUBLE AS weight FROM a WHERE target IS NOT NULL AND {cut}"
+        for entry, rule in (("short", "long_short"), ("sides", None)):
+            inner = book_sql("p1", MOMENTUM, "long_short")
+            inner = inner.replace("FROM (SELECT DISTINCT date FROM p1)", f"FROM (SELECT DISTINCT date FROM p1 WHERE {cut})").replace("value IS NOT NULL AND target", f"{cut} AND value IS NOT NULL AND target")
+            inner = inner if rule else inner.replace(WEIGHT_SQL["long_short"], sides)
+            net = "gross - turnover * 10 / 1e4 - short_exposure * 500 / 1e4 / 252"
+            parts.append(f"""(WITH {inner} SELECT '{window}' AS "window", '{entry}' AS entry, {"'cash'" if rule else "CASE WHEN abs(avg(exposure)) < 0.1 AND avg(short_exposure) > 0.05 THEN 'cash' ELSE 'universe' END"} AS bar_used, {rs(f'avg({net}) / nullif(stddev_pop({net}), 0) * {ANNUAL} AS net_sharpe_borrow_500bps', 'avg(exposure) AS avg_exposure', 'avg(short_exposure) AS avg_short_exposure')} FROM daily)""")
+    return " UNION ALL ".join(parts)
+
+
+@registered(_stress_sql())
+def stress_scores(spark, sf):
+    scores, _ = scored(spark, sf)
+    return scores.where("entry in ('short', 'sides')").select("window", "entry", "bar_used", *map(r, ("net_sharpe_borrow_500bps", "avg_exposure", "avg_short_exposure")))
+
+
+def _index_sql() -> str:
+    """The always-long book's and the index's Sharpe ratios on the index's days of each window."""
+    parts = []
+    for window, (start, end) in WINDOWS.items():
+        cut = f"date BETWEEN DATE '{start}' AND DATE '{end}'"
+        bar = BAR_SQL.replace("FROM (SELECT DISTINCT date FROM p1)", f"FROM (SELECT DISTINCT date FROM p1 WHERE {cut})").replace("FROM a WHERE target IS NOT NULL", f"FROM a WHERE {cut} AND target IS NOT NULL")
+        sr = lambda x: f"avg({x}) / nullif(stddev_pop({x}), 0) * {ANNUAL}"
+        parts.append(f"""(WITH {bar}, {P4}, i AS (SELECT date, 0.02::DOUBLE * ln(lead(vix) OVER (ORDER BY date) / vix) AS ret FROM p4)
+SELECT '{window}' AS "window", count(*) AS investable_days, {rs(f'{sr("i.ret")} AS investable_sharpe', f'{sr("bar")} - {sr("i.ret")} AS edge_vs_investable')} FROM bar JOIN i ON bar.date = i.date WHERE i.ret IS NOT NULL)""")
+    return " UNION ALL ".join(parts)
+
+
+@registered(_index_sql())
+def index_scores(spark, sf):
+    scores, _ = scored(spark, sf, investable=True)
+    return scores.where("entry = 'always_long'").select("window", "investable_days", r("investable_sharpe"), r("edge_vs_investable"))
+
+
+@registered(f"""WITH {P1}, {actual_sql('p1')}, k AS (SELECT date, ticker, {SIDES} AS side, row_number() OVER (PARTITION BY date ORDER BY ticker) AS place, count(*) OVER (PARTITION BY date)::DOUBLE AS n FROM a WHERE target IS NOT NULL),
+w AS (SELECT 'even' AS entry, 'long_flat' AS rule, date, ticker, 1 / n AS value FROM k UNION ALL SELECT 'lever', 'long_flat', date, ticker, 2 / n FROM k UNION ALL SELECT 'shorts', 'long_flat', date, ticker, side / n FROM k
+ UNION ALL SELECT 'allowed', 'long_short', date, ticker, side / n FROM k UNION ALL SELECT 'levered shorts', 'long_flat', date, ticker, -1.5::DOUBLE / n FROM k UNION ALL SELECT 'twice', 'long_flat', date, ticker, 0.5::DOUBLE / n FROM k UNION ALL SELECT 'twice', 'long_flat', date, ticker, 0.5::DOUBLE / n FROM k WHERE place = 1),
+d AS (SELECT entry, rule, date, sum(abs(value)) AS gross, min(value) AS least FROM w GROUP BY 1, 2, 3)
+SELECT DISTINCT entry, 'gross exposure above one' AS reason FROM d WHERE gross > 1 + 1e-6 UNION ALL SELECT DISTINCT entry, 'negative weights' FROM d WHERE least < -1e-12 AND rule <> 'long_short'
+UNION ALL SELECT DISTINCT entry, 'duplicate rows' FROM (SELECT entry FROM w GROUP BY entry, date, ticker HAVING count(*) > 1)""")
+def refused_entries(spark, sf):
+    p = priced(weekly_brands(spark, sf))
+    k = p.where("target is not null").select("date", "ticker", F.expr(SIDES).alias("side"), F.row_number().over(Window.partitionBy("date").orderBy("ticker")).alias("place"), F.count(F.lit(1)).over(Window.partitionBy("date")).cast("double").alias("n"))
+    rules = {"even": ("long_flat", "1 / n"), "lever": ("long_flat", "2 / n"), "shorts": ("long_flat", "side / n"), "allowed": ("long_short", "side / n"), "levered shorts": ("long_flat", "-1.5D / n"), "twice": ("long_flat", "0.5D / n")}
+    wide = k.select("date", "ticker", "place", *(F.expr(x).cast("double").alias(e) for e, (_, x) in rules.items()))
+    signals = wide.unpivot(["date", "ticker", "place"], list(rules), "entry", "value")
+    signals = signals.unionByName(signals.where("entry = 'twice' and place = 1")).select("entry", "date", "ticker", "value")
+    entries = spark.createDataFrame([(e, "weights", rule, 0.1) for e, (rule, _) in rules.items()], "entry string, kind string, rule string, quantile double")
+    return refusals(signals, entries, p.select("date", "ticker", "target"))
+
+
 @registered()
 def board_json(spark, sf):
-    p = with_target(weekly_brands(spark, sf))
-    a = p.select("date", "ticker", "target")
-    signals = reduce(DataFrame.unionByName, (momentum(p, k, f"m{k}") for k in (2, 4)))
+    p = priced(weekly_brands(spark, sf))
     entries = spark.createDataFrame([("m2", "predictions", "long_flat", 0.1), ("m4", "predictions", "long_short", 0.1)], "entry string, kind string, rule string, quantile double")
-    rows, _ = board.build(spark, a, entries, signals, WINDOWS, reps=200)
-    return board.ranked(rows).select("window", "entry", F.to_json(F.struct("rule", "bar_used", "net_edge", "ci_low", "ci_high", "p_value_fwe", "net_sharpe", "max_drawdown")).alias("row"))
+    rows, _ = board.build(spark, p.select("date", "ticker", "target"), entries, momentum_variants(p, (2, 4)), WINDOWS, market_index(spark, sf))
+    return board.ranked(rows).select("window", "entry", F.to_json(F.struct("rule", "bar_used", "net_edge", "ci_low", "ci_high", "p_value_fwe", "net_sharpe", "max_drawdown", "edge_vs_investable", "ci_low_vs_investable")).alias("row"))
 
 
 @registered()
@@ -215,14 +316,43 @@ def web_export(spark, sf):
     return web_series(daily)
 
 
+def _web_sql() -> str:
+    parts = []
+    for window, (start, end) in WINDOWS.items():
+        cut = f"date BETWEEN DATE '{start}' AND DATE '{end}'"
+        for entry, rule in (("flat", "long_flat"), ("short", "long_short"), ("top", "long_top")):
+            inner = book_sql("p1", MOMENTUM, rule).replace("FROM (SELECT DISTINCT date FROM p1)", f"FROM (SELECT DISTINCT date FROM p1 WHERE {cut})").replace("value IS NOT NULL AND target", f"{cut} AND value IS NOT NULL AND target")
+            parts.append(f"""(WITH {inner} SELECT '{window}' AS "window", '{entry}' AS entry, CAST(date AS VARCHAR) AS date, {rs('gross', 'turnover', 'short_exposure')} FROM daily)""")
+    return " UNION ALL ".join(parts)
+
+
+@registered(_web_sql())
+def web_export_read_back(spark, sf):
+    """The exported JSON, parsed and laid out again as rows."""
+    fields = "date array<string>, gross array<double>, turnover array<double>, short_exposure array<double>"
+    read = web_export(spark, sf).where("entry in ('flat', 'short', 'top')").select("window", "entry", F.from_json("json", fields).alias("j"))
+    rows = read.select("window", "entry", F.explode(F.arrays_zip(*(F.col(f"j.{c}").alias(c) for c in ("date", "gross", "turnover", "short_exposure")))).alias("d"))
+    return rows.select("window", "entry", F.col("d.date").alias("date"), *(r(F.col(f"d.{c}"), c) for c in ("gross", "turnover", "short_exposure")))
+
+
 @registered()
 def simulation_study(spark, sf):
-    return simulate.rejection_rates(spark, sims=16, reps=99, n=250, entries=3)
+    """Size at the published settings; ``simulate.study`` has all parts and is run by the command ``study``."""
+    sizes = simulate.Study()
+    return simulate.rejection_rates(spark, sizes.sims, sizes.reps, sizes.days)
 
 
 @registered()
 def linear_contestant(spark, sf):
-    p = with_target(daily_users(spark, sf)).withColumns({"range": F.col("high") - F.col("low")})
-    return predicted_signal(fit_contestant(p, ["close", "range", "volume"]), p.na.drop(subset=["close", "range", "volume"]), "linear")
-
-
+    """Fitted on the first half of the days and predicting the rest, whose targets it never sees."""
+    features = ["close", "range", "volume"]
+    p = priced(daily_users(spark, sf)).withColumn("range", F.col("high") - F.col("low"))
+    days = calendar(p)
+    middle = days.where(F.col("ordinal") == F.floor(F.lit(days.count()) / 2) - 1).first()["date"]
+    return trained_signal(p, features, str(middle), "linear")
+
+
+@registered(f"WITH {P3}, {DAYS_SQL.format('p3')}, m AS (SELECT date FROM days WHERE ordinal = (SELECT count(*) // 2 FROM days) - 1) SELECT ticker, count(*) AS predictions, min(date) AS first_date, max(date) AS last_date FROM p3 WHERE date > (SELECT date FROM m) GROUP BY 1")
+def linear_contestant_days(spark, sf):
+    """Which days are predicted: only those after the ones it was fitted on."""
+    return linear_contestant(spark, sf).groupBy("ticker").agg(F.count("value").alias("predictions"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))

@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.panel import ACTUAL, PRICES, SIGNAL, SPANS, conform, number
+from plumbline.panel import ACTUAL, MARKET, PRICES, SIGNAL, SPANS, conform, number
 
 #: Keys of an alias file that are notes, not tickers.
 ALIAS_NOTES = ("_about", "_rejected")
 LEAST_VENDOR_ROWS = 250
 
 
+#: The session's option for files with nanoseconds; it counts when a file's columns are looked up.
+NANOS = "spark.sql.legacy.parquet.nanosAsLong"
+
+
 def _dated(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet file whose date column may hold nanoseconds, which are read as integers and made dates."""
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    df = spark.read.parquet(path)
+    """A parquet file whose date column may hold nanoseconds, which are read as integers and made dates.
+
+    The session's option is set for the look at the file's columns only.
+    """
+    before = spark.conf.get(NANOS)
+    spark.conf.set(NANOS, "true")
+    try:
+        df = spark.read.parquet(path)
+    finally:
+        spark.conf.set(NANOS, before)
     for name, kind in df.dtypes:
         if name.lower() == "date" and kind == "bigint":
             df = df.withColumn(name, F.timestamp_micros(F.expr(f"`{name}` div 1000")))
@@ -23,13 +40,13 @@ def _dated(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_actual(spark: SparkSession, path: str) -> DataFrame:
-    """(date, ticker, target)."""
-    return conform(_dated(spark, path), ACTUAL)
+    """(date, ticker, target). ValueError if a name has more than one return on a day."""
+    return require_unique(conform(_dated(spark, path), ACTUAL), "date", "ticker")
 
 
 def load_signal(spark: SparkSession, path: str, entry: str | None = None) -> DataFrame:
-    """(date, ticker, value), with the entry's name in front if one is given."""
-    df = conform(_dated(spark, path), SIGNAL)
+    """(date, ticker, value), with the entry's name in front if one is given. ValueError if a name has more than one value on a day."""
+    df = require_unique(conform(_dated(spark, path), SIGNAL), "date", "ticker")
     return df.select(F.lit(entry).alias("entry"), *df.columns) if entry is not None else df
 
 
@@ -37,6 +54,10 @@ def load_prices(spark: SparkSession, path: str) -> DataFrame:
     return conform(_dated(spark, path), PRICES)
 
 
+def load_market(spark: SparkSession, path: str) -> DataFrame:
+    return conform(_dated(spark, path), MARKET)
+
+
 def require_unique(df: DataFrame, *keys: str) -> DataFrame:
     """``df``, after ValueError if a key has more than one row. One aggregation, partly done before its shuffle."""
     twice = df.groupBy(*keys).count().where("count > 1").limit(1).collect()
@@ -74,7 +95,7 @@ def load_submissions(spark: SparkSession, root: str) -> tuple[DataFrame, DataFra
     signal file, null where that file is missing.
     """
     root = root.rstrip("/")
-    raw = spark.read.option("wholetext", True).text(f"{root}/*/meta.json").select(_folder(F.col("_metadata.file_path")).alias("entry"), F.col("value").alias("raw"))
+    raw = spark.read.text(f"{root}/*/meta.json", wholetext=True).select(_folder(F.col("_metadata.file_path")).alias("entry"), F.col("value").alias("raw"))
     files = spark.read.format("binaryFile").load(f"{root}/*/signal.parquet").select(_folder(F.col("path")).alias("entry"), F.sha2("content", 256).alias("signal_digest"))
     metadata = raw.join(files, "entry", "full")
     value = lambda k: F.get_json_object("raw", f"$.{k}")
@@ -86,6 +107,24 @@ def load_submissions(spark: SparkSession, root: str) -> tuple[DataFrame, DataFra
     return entries, signals, metadata
 
 
+def signal_columns(spark: SparkSession, root: str) -> DataFrame:
+    """(entry, columns, kinds): the column names and types of every signal file under ``root``, read from its footer where the file is read."""
+
+    def run(batches):
+        for batch in batches:
+            found = [pq.read_schema(pa.BufferReader(x)) for x in batch["content"]]
+            yield pd.DataFrame({"entry": batch["entry"], "columns": [s.names for s in found], "kinds": [[str(t) for t in s.types] for s in found]})
+
+    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/signal.parquet").select(_folder(F.col("path")).alias("entry"), "content")
+    return files.mapInPandas(run, "entry string, columns array<string>, kinds array<string>")
+
+
+def find_root(start: str | None = None, marker: str = "submissions") -> str:
+    """The project's folder: what PLUMBLINE_ROOT names, else the nearest folder from ``start`` up that holds ``marker``, else ``start``."""
+    here = Path(start or ".").resolve()
+    return os.environ.get("PLUMBLINE_ROOT") or str(next((p for p in (here, *here.parents) if (p / marker).exists()), here))
+
+
 def load_membership(spark: SparkSession, path: str) -> DataFrame:
     """(date, tickers array) of a CSV of change dates with comma-separated tickers; gzip is read as it is."""
     rows = spark.read.option("header", True).schema("date date, tickers string").csv(path)
@@ -100,7 +139,7 @@ def load_spans(spark: SparkSession, path: str) -> DataFrame:
 
 def load_aliases(spark: SparkSession, path: str) -> DataFrame:
     """(ticker, alias, history_from, note) of a JSON object keyed by ticker; its notes are left out."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     keys = raw.select(F.explode(F.json_object_keys("value")).alias("ticker"), "value").where(~F.col("ticker").isin(*ALIAS_NOTES))
     one = F.from_json(F.call_function("get_json_object", F.col("value"), F.concat(F.lit("$['"), F.col("ticker"), F.lit("']"))), "alias string, history_from string, note string")
     return keys.select("ticker", one.alias("a")).select("ticker", "a.*")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.lineage import settled
+from plumbline.operators.features import BENCHMARKS, actual_returns, bar_returns_of, feature_panel
 from plumbline.panel import finite
 
 #: Decimal places of the exported series.
@@ -23,14 +28,24 @@ def write_entries(signals: DataFrame, path: str, mode: str = "errorifexists") ->
     rows.repartition("entry").write.mode(mode).option("compression", "zstd").partitionBy("entry").parquet(path)
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of every file, hashed where it is read."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def digests(spark: SparkSession, path: str, inside: str | None = None) -> DataFrame:
+    """(path, bytes, sha256) of every file, hashed where it is read; with ``inside`` of the files of that pattern in all folders below."""
+    files = spark.read.format("binaryFile")
+    if inside:
+        files = files.option("recursiveFileLookup", "true").option("pathGlobFilter", inside)
+    return files.load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def manifest(spark: SparkSession, files: dict[str, DataFrame], path: str) -> DataFrame:
-    """(file, sha256, rows, last_date) of the named files under ``path``."""
-    hashes = digests(spark, f"{path.rstrip('/')}/*").select(F.element_at(F.split("path", "/"), -1).alias("file"), "sha256")
+    """(file, sha256, rows, last_date) of the named files under ``path``.
+
+    Of a file that Spark wrote as a folder, the digest is that of its parts' digests in order of their names.
+    """
+    each = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path.rstrip("/"))
+    inside = F.split(F.substring_index(F.col("path"), path.rstrip("/") + "/", -1), "/")
+    named = each.select(inside[0].alias("file"), F.struct("path", F.sha2("content", 256).alias("own"), F.size(inside).alias("depth")).alias("p"))
+    whole = named.groupBy("file").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    hashes = whole.select("file", F.when((F.size("p") == 1) & (F.col("p")[0]["depth"] == 1), F.col("p")[0]["own"]).otherwise(F.sha2(F.array_join("p.own", ","), 256)).alias("sha256"))
     facts = None
     for name, df in files.items():
         date = next(c for c in df.columns if c.lower() == "date")
@@ -39,16 +54,82 @@ def manifest(spark: SparkSession, files: dict[str, DataFrame], path: str) -> Dat
     return facts.join(hashes, "file", "left")
 
 
+def _with_digest(raw: pd.Series, digest: pd.Series) -> pd.Series:
+    def one(text: str, own: str | None) -> str | None:
+        try:
+            known = json.loads(text)
+        except (TypeError, ValueError):
+            return None
+        return json.dumps({**known, "signal_sha256": own}, indent=2) if isinstance(known, dict) and own else None
+
+    return pd.Series([one(t, d) for t, d in zip(raw, digest, strict=True)], dtype=object)
+
+
 def pinned(metadata: DataFrame) -> DataFrame:
     """(entry, raw): the metadata text with the digest of its signal file as signal_sha256.
 
-    Keys already there keep their order; an old digest is replaced.
+    Other keys keep their order and content; an old digest is replaced where it stands. Entries
+    without a signal file or without readable metadata are left out. One short text per entry.
     """
-    entries = F.from_json("raw", "map<string,string>")
-    has = F.get_json_object("raw", "$.signal_sha256").isNotNull()
-    swapped = F.regexp_replace("raw", F.lit(r'("signal_sha256"\s*:\s*)"[^"]*"'), F.concat(F.lit('$1"'), F.col("signal_digest"), F.lit('"')))
-    added = F.regexp_replace("raw", F.lit(r"\s*\}\s*$"), F.concat(F.lit(', "signal_sha256": "'), F.col("signal_digest"), F.lit('"}')))
-    return metadata.where(entries.isNotNull() & F.col("signal_digest").isNotNull()).select("entry", F.when(has, swapped).otherwise(added).alias("raw"))
+    digested = F.pandas_udf(_with_digest, "string")("raw", "signal_digest")
+    return metadata.select("entry", digested.alias("raw")).where("raw is not null")
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, in any file system that Spark knows."""
+    files, p = _file_system(spark, path)
+    out = files.create(p, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+
+
+def write_pinned(spark: SparkSession, metadata: DataFrame, root: str) -> int:
+    """Writes the pinned metadata of all entries into their folders; returns how many."""
+    rows = pinned(metadata).collect()
+    for r in rows:
+        write_text(spark, f"{root.rstrip('/')}/{r['entry']}/meta.json", r["raw"])
+    return len(rows)
+
+
+def write_submission(signals: DataFrame, root: str, name: str, rule: str, description: str, registered: str, kind: str = "predictions", **more) -> dict:
+    """A submission's folder: signal.parquet, one file as the format asks, and meta.json with its digest. Returns the metadata."""
+    spark, folder = signals.sparkSession, f"{root.rstrip('/')}/{name}"
+    parts, target = f"{folder}/_parts", f"{folder}/signal.parquet"
+    write_signals(signals.coalesce(1), parts, "overwrite")
+    files, made = _file_system(spark, parts)
+    found = next(s.getPath() for s in files.listStatus(made) if s.getPath().getName().startswith("part-"))
+    _, there = _file_system(spark, target)
+    files.delete(there, True)
+    if not files.rename(found, there):
+        raise OSError(f"{target} could not be written")
+    files.delete(made, True)
+    meta = {"name": name, "kind": kind, "rule": rule, "registered": registered, "description": description, "signal_sha256": digests(spark, target).first()["sha256"], **more}
+    write_text(spark, f"{folder}/meta.json", json.dumps(meta, indent=2))
+    return meta
+
+
+def write_market_data(spark: SparkSession, prices: DataFrame, market: DataFrame, root: str, start: str = "2022-01-01") -> DataFrame:
+    """From prices and market context to feature_panel.parquet, actual.parquet, bars.parquet and MANIFEST.json under ``root``; returns the manifest."""
+    root = root.rstrip("/")
+    panel = settled(feature_panel(prices, market))
+    made = {
+        "feature_panel.parquet": panel,
+        "actual.parquet": actual_returns(panel).where(F.col("date") >= F.lit(start).cast("date")),
+        "bars.parquet": bar_returns_of(prices).groupBy("date").pivot("bar", list(BENCHMARKS)).agg(F.first("ret")),
+    }
+    for name, df in made.items():
+        named = df.select(*(F.col(c).alias({"date": "Date", "ticker": "Ticker"}.get(c, c)) for c in df.columns))
+        named.write.mode("overwrite").parquet(f"{root}/{name}")
+    facts = manifest(spark, {name: spark.read.parquet(f"{root}/{name}") for name in made}, root)
+    write_text(spark, f"{root}/MANIFEST.json", json.dumps([r.asDict() for r in facts.orderBy("file").collect()], indent=1, default=str))
+    return facts
 
 
 def web_series(daily: DataFrame, keys: tuple[str, ...] = ("window", "entry")) -> DataFrame:

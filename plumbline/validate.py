@@ -76,6 +76,21 @@ def schema_findings(entry: str, schema: T.StructType) -> list[tuple[str, str, st
     return out
 
 
+def column_findings(found: DataFrame) -> DataFrame:
+    """The same from (entry, columns, kinds), as ``readers.signal_columns`` reads them from all files at once."""
+    want = F.array(*map(F.lit, ("Date", "Ticker", "value")))
+    right = F.col("columns") == want
+    kind = lambda k: F.coalesce(F.col("kinds")[k], F.lit(""))
+    return _findings(
+        found,
+        [
+            ("error", "bad_columns", ~right, F.concat(F.lit("the columns are "), F.array_join("columns", ", "), F.lit(", not Date, Ticker, value"))),
+            ("error", "bad_date", right & ~kind(0).rlike("^(timestamp|date)"), _text("Date is not a date")),
+            ("error", "bad_value", right & ~kind(2).rlike("^(u?int|halffloat|float|double|decimal)"), _text("value is not a number")),
+        ],
+    )
+
+
 def signal_facts(signals: DataFrame) -> DataFrame:
     """One row per entry: rows, days, tickers, window, duplicates, values that are no numbers, and daily extremes.
 

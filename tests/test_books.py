@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from plumbline import canary
 from plumbline.operators import backtest as bt
-from plumbline.operators.positions import breaches, submitted_weights, weights_from_predictions
+from plumbline.operators import scoring
+from plumbline.operators.positions import breaches, refusals, require_contract, submitted_weights, weights_from_predictions
 from plumbline.panel import calendar
 
 from .conftest import returns
@@ -167,3 +168,59 @@ def test_all_entries_in_one_plan_equal_each_alone(spark, actual):
     together = bt.daily_books(weights_from_predictions(both, actual), days).where("entry = 'b'").orderBy("ordinal").toPandas()
     alone = bt.daily_books(weights_from_predictions(both.where("entry = 'b'"), actual), days.where("entry = 'b'")).orderBy("ordinal").toPandas()
     pd.testing.assert_frame_equal(together, alone)
+
+
+ENTRIES = "entry string, kind string, rule string, quantile double"
+
+
+def weights_entry(spark, rule="long_flat", kind="weights"):
+    return spark.createDataFrame([("e", kind, rule, 0.1)], ENTRIES)
+
+
+def reasons(spark, signals, actual, rule="long_flat", **kw):
+    return {r.reason for r in refusals(signals, weights_entry(spark, rule), actual, **kw).collect()}
+
+
+def test_weights_contract_is_enforced(spark, actual):
+    assert reasons(spark, constant(actual, 0.5), actual) == {"gross exposure above one"}  # eight names, a sum of four
+    assert reasons(spark, constant(actual, -0.1), actual) == {"negative weights"}
+    assert reasons(spark, constant(actual, 0.125), actual) == set()
+    for value in (0.5, -0.1):
+        with pytest.raises(ValueError, match="refused"):
+            require_contract(constant(actual, value), weights_entry(spark), actual)
+
+
+def test_short_weights_need_permission_and_the_gross_cap_holds(spark):
+    a = frame(spark, returns(60, 20, 4))
+    short = constant(a, -0.02)
+    assert reasons(spark, short, a) == {"negative weights"} and reasons(spark, short, a, allow_short=True) == reasons(spark, short, a, "long_short") == set()
+    assert daily_of(submitted_weights(short, a), a)["short_exposure"].mean() == pytest.approx(0.4)
+    assert reasons(spark, constant(a, -0.06), a, allow_short=True) == {"gross exposure above one"}
+
+
+def test_only_held_names_count_and_predictions_are_free(spark, actual):
+    silent = actual.withColumn("target", F.when(F.col("ticker") == "S00", F.col("target")))
+    assert reasons(spark, constant(silent, 0.5), silent) == set()  # of eight names one has returns
+    assert refusals(constant(actual, 9.0), weights_entry(spark, kind="predictions"), actual).count() == 0
+
+
+def test_scores_refuse_leverage_and_rows_that_repeat(spark, actual):
+    windows = {"w": ("2022-01-01", "2022-12-31")}
+    fine, lever = constant(actual, 0.125), constant(actual, 0.625, "lever")
+    entries = spark.createDataFrame([("e", "weights", "long_flat", 0.1), ("lever", "weights", "long_flat", 0.1)], ENTRIES)
+    with pytest.raises(ValueError, match="lever: gross"):
+        scoring.score(fine.unionByName(lever), entries, actual, windows)
+    scores, _ = scoring.score(fine.unionByName(lever), entries, actual, windows, refused="leave out")
+    assert [r.entry for r in scores.collect()] == ["e"]
+    with pytest.raises(ValueError, match="duplicate rows"):
+        scoring.score(fine.unionByName(fine.limit(1)), weights_entry(spark), actual, windows)
+    with pytest.raises(ValueError, match="more than one return"):
+        scoring.score(fine, weights_entry(spark), actual.unionByName(actual.limit(1)), windows)
+
+
+def test_short_weights_are_held_against_cash_when_neutral(spark):
+    a = frame(spark, returns(60, 20, 4))
+    sides = a.select(F.lit("e").alias("entry"), "date", "ticker", F.when(F.col("ticker") < "S10", 0.05).otherwise(-0.05).alias("value"))
+    scores, _ = scoring.score(sides, weights_entry(spark), a, {"w": ("2022-01-01", "2022-12-31")})
+    one = scores.first()
+    assert one["bar_used"] == "cash" and one["avg_short_exposure"] == pytest.approx(0.5) and one["net_sharpe_borrow_500bps"] < one["net_sharpe"]

@@ -48,6 +48,7 @@ def test_nanosecond_files_are_read_as_dates(spark, folder):
     assert str(a.agg(F.min("date")).first()[0]) == "2022-01-03"
     with pytest.raises(ValueError):
         readers.require_unique(a.union(a), "date", "ticker")
+    assert spark.conf.get(readers.NANOS) == "false"
     assert readers.load_bars(spark, str(folder / "none.parquet")) is None
     assert {x.bar for x in readers.load_bars(spark, str(folder / "bars.parquet")).select("bar").distinct().collect()} == {"RSP", "SPY"}
 
@@ -193,3 +194,154 @@ def test_contestants(spark):
         assert p.count() == 540 and p.select("value").distinct().count() > 5
     w = contestants.mean_sigmoid_weights(a.select("date", "ticker", *(F.lit(0.0).alias(f"s{k}") for k in (1, 2, 3))))
     assert w.agg(F.max("value")).first()[0] == pytest.approx(0.5 / 6)
+
+
+def doubled(folder, tmp_path, name):
+    pdf = pd.read_parquet(folder / name)
+    target = tmp_path / "twice.parquet"
+    pd.concat([pdf, pdf.head(1)]).to_parquet(target, index=False)
+    return str(target)
+
+
+def test_files_with_rows_that_repeat_are_refused(spark, folder, tmp_path):
+    with pytest.raises(ValueError, match="more than one row"):
+        readers.load_actual(spark, doubled(folder, tmp_path, "actual.parquet"))
+    with pytest.raises(ValueError, match="more than one row"):
+        readers.load_signal(spark, doubled(folder, tmp_path, "subs/noise/signal.parquet"))
+    with pytest.raises(ValueError, match="more than one row"):
+        cli.main(["pbo", doubled(folder, tmp_path, "subs/noise/signal.parquet"), "--actual", str(folder / "actual.parquet")], spark)
+
+
+def submission(root, name, pdf, **meta):
+    write(root / name / "signal.parquet", pdf)
+    (root / name / "meta.json").write_text(json.dumps(META | {"name": name} | meta))
+
+
+def test_leverage_is_refused_on_every_path(spark, folder, tmp_path):
+    a, actual = returns(300, 6, 0, start="2022-01-03"), str(folder / "actual.parquet")
+    submission(tmp_path, "lever", a[["date", "ticker"]].assign(value=0.9), kind="weights")
+    with pytest.raises(ValueError, match="lever: gross exposure"):
+        board.build_from_files(spark, actual, str(tmp_path), reps=10)
+    with pytest.raises(ValueError, match="gross exposure"):
+        cli.main(["score", str(tmp_path / "lever/signal.parquet"), "--actual", actual, "--kind", "weights", "--n-boot", "10"], spark)
+
+
+def test_index_edges_do_not_depend_on_the_board(spark, folder):
+    actual = readers.load_actual(spark, str(folder / "actual.parquet"))
+    entries, signals, _ = readers.load_submissions(spark, str(folder / "subs"))
+    bars = readers.load_bars(spark, str(folder / "bars.parquet")).where("bar = 'RSP'").select("date", (F.col("ret") - 0.0003 + 0.001 * F.rand(4)).alias("ret")).persist()
+    windows = {"w": ("2022-01-01", "2023-12-31")}
+    pick = ["entry", "edge_vs_investable", "ci_low_vs_investable", "ci_high_vs_investable", "clears_investable"]
+    whole = board.build(spark, actual, entries, signals, windows, bars, reps=60)[0].select(*pick).toPandas().set_index("entry")
+    for name in ("always_long", "peek"):
+        alone = board.build(spark, actual, entries.where(F.col("entry") == name), signals.where(F.col("entry") == name), windows, bars, reps=60)[0].select(*pick).toPandas().set_index("entry")
+        pd.testing.assert_frame_equal(whole.loc[[name]], alone, check_dtype=False)
+        assert alone["ci_low_vs_investable"].iloc[0] <= alone["edge_vs_investable"].iloc[0] <= alone["ci_high_vs_investable"].iloc[0]
+    assert np.isnan(whole.loc["noise", "edge_vs_investable"])  # held against cash
+
+
+def test_pinned_metadata(spark):
+    rows = [("a", "{}", "d1"), ("b", '{"signal_sha256": null, "model_sha256": {"x": "1"}}', "d2"), ("c", '{"z": 1, "signal_sha256": "old", "note": "signal_sha256"}', "d3"), ("d", "[", "d4"), ("e", "{}", None), ("f", None, "d6"), ("g", "[1]", "d7")]
+    got = {r.entry: json.loads(r.raw) for r in sinks.pinned(spark.createDataFrame(rows, "entry string, raw string, signal_digest string")).collect()}
+    assert got == {"a": {"signal_sha256": "d1"}, "b": {"signal_sha256": "d2", "model_sha256": {"x": "1"}}, "c": {"z": 1, "signal_sha256": "d3", "note": "signal_sha256"}}
+    assert list(got["c"]) == ["z", "signal_sha256", "note"]
+
+
+def test_validate_command_reads_columns_and_writes_digests(spark, folder, tmp_path, capsys):
+    a, actual = returns(300, 6, 0, start="2022-01-03"), str(folder / "actual.parquet")
+    rng = np.random.default_rng(3)
+    submission(tmp_path, "fine", a[["date", "ticker"]].assign(value=rng.normal(size=len(a))))
+    submission(tmp_path, "four", a[["date", "ticker"]].assign(value=1.0, extra=1))
+    assert cli.main(["validate", str(tmp_path / "fine"), "--json"], spark) == 0
+    assert json.loads(capsys.readouterr().out)[0]["findings"][0]["code"] == "signal_not_pinned"
+    assert cli.main(["validate", str(tmp_path), "--actual", actual, "--write-hash", "--json"], spark) == 1
+    got = {r["entry"]: r for r in json.loads(capsys.readouterr().out)}
+    assert got["fine"]["passed"] and [f["code"] for f in got["fine"]["findings"]] == [] and [f["code"] for f in got["four"]["findings"]] == ["bad_columns"]
+    pdf = a[["date", "ticker"]].assign(value="x").rename(columns={"date": "Date", "ticker": "Ticker"})
+    pdf["Date"] = pdf["Date"].astype(str)
+    (tmp_path / "text").mkdir()
+    pdf.to_parquet(tmp_path / "text" / "signal.parquet", index=False)
+    found = validate.column_findings(readers.signal_columns(spark, str(tmp_path))).where("entry = 'text'").collect()
+    assert {r.code for r in found} == {"bad_date", "bad_value"}
+
+
+def test_starter_and_frozen_submissions(spark, folder, tmp_path, capsys):
+    actual = str(folder / "actual.parquet")
+    assert cli.main(["starter", "--name", "mine", "--actual", actual, "--out", str(tmp_path), "--author", "me"], spark) == 0
+    meta = json.loads(capsys.readouterr().out)
+    assert meta["rule"] == "long_short" and json.loads((tmp_path / "mine/meta.json").read_text()) == meta
+    signal = readers.load_signal(spark, str(tmp_path / "mine/signal.parquet"))
+    assert signal.count() == 6 * (300 - 5) and validate.schema_findings("mine", spark.read.parquet(str(tmp_path / "mine/signal.parquet")).schema) == []
+    panel = readers.load_actual(spark, actual).withColumns({"f": F.col("target") * 2 + F.rand(1) * 0.01, "g": F.rand(3)})
+    panel.select(F.col("date").alias("Date"), F.col("ticker").alias("Ticker"), "f", "g").write.parquet(str(tmp_path / "panel.parquet"))
+    contestants.fit_contestant(panel, ["f", "g"]).save(str(tmp_path / "model"))
+    assert cli.main(["frozen", "--name", "cold", "--model", str(tmp_path / "model"), "--panel", str(tmp_path / "panel.parquet"), "--after", "2022-06-30", "--out", str(tmp_path)], spark) == 0
+    assert len(json.loads(capsys.readouterr().out)["model_sha256"]) == 64
+    entries, signals, meta = readers.load_submissions(spark, str(tmp_path))
+    assert {r.entry for r in entries.collect()} == {"mine", "cold"} and validate.metadata_findings(meta).count() == 0
+    assert str(signals.where("entry = 'cold'").agg(F.min("date")).first()[0]) == "2022-07-01"
+    sinks.write_submission(signals.where("entry = 'cold'"), str(tmp_path), "cold", "long_top", "again", "2024-01-01")  # written over
+    assert readers.load_submissions(spark, str(tmp_path))[0].where("entry = 'cold' and rule = 'long_top'").count() == 1
+
+
+def test_rebuilt_data(spark, tmp_path, capsys):
+    days = pd.bdate_range("2021-06-01", periods=260)
+    rng = np.random.default_rng(5)
+    rows = []
+    for t in ("A", "B", "SPY", "RSP"):
+        close = 100 * np.cumprod(1 + rng.normal(0, 0.01, len(days)))
+        rows.append(pd.DataFrame({"Date": days, "Ticker": t, "Open": close, "High": close * 1.01, "Low": close * 0.99, "Close": close, "Volume": rng.integers(1000, 2000, len(days)).astype(float)}))
+    pd.concat(rows).to_parquet(tmp_path / "prices.parquet", index=False)
+    pd.DataFrame({"Date": days, "vix": rng.uniform(10, 20, len(days)), "treasury_10y": rng.uniform(1, 2, len(days))}).to_parquet(tmp_path / "market.parquet", index=False)
+    assert cli.main(["rebuild", "--prices", str(tmp_path / "prices.parquet"), "--market", str(tmp_path / "market.parquet"), "--out", str(tmp_path / "data")], spark) == 0
+    facts = {r["file"]: r for r in json.loads(capsys.readouterr().out)}
+    assert set(facts) == {"actual.parquet", "bars.parquet", "feature_panel.parquet"} and all(len(r["sha256"]) == 64 for r in facts.values())
+    assert json.loads((tmp_path / "data/MANIFEST.json").read_text()) == list(facts.values())
+    actual = readers.load_actual(spark, str(tmp_path / "data/actual.parquet"))
+    assert {r.ticker for r in actual.select("ticker").distinct().collect()} == {"A", "B"} and actual.count() == facts["actual.parquet"]["rows"]
+    assert {r.bar for r in readers.load_bars(spark, str(tmp_path / "data/bars.parquet")).select("bar").distinct().collect()} == {"SPY", "RSP"}
+
+
+def test_root_is_found(tmp_path, monkeypatch):
+    monkeypatch.delenv("PLUMBLINE_ROOT", raising=False)
+    (tmp_path / "submissions").mkdir()
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    assert readers.find_root(str(tmp_path / "a" / "b")) == str(tmp_path.resolve())
+    monkeypatch.setenv("PLUMBLINE_ROOT", "/x")
+    assert readers.find_root(str(tmp_path)) == "/x"
+
+
+def test_training_sees_no_later_day(spark):
+    a = returns(120, 8, 8)
+    rng = np.random.default_rng(2)
+    a = a.assign(f=a["target"] + rng.normal(0, 0.01, len(a)), g=rng.normal(size=len(a)))
+    days = sorted(a["date"].unique())
+    cut_day, later = str(days[59]), a.copy()
+    later.loc[later["date"] >= days[59], "target"] *= -5
+    for model, choices in (("linear", ({"regParam": 1e-4}, {"regParam": 10.0})), ("gbt", ({"maxIter": 3},)), ("network", ({"maxIter": 5},))):
+        val_end = str(days[79]) if len(choices) > 1 else None
+        panel = spark.createDataFrame(a)
+        got = contestants.trained_signal(panel, ["f", "g"], cut_day, model, val_end, choices, seeds=(0, 1), entry="t").orderBy("date", "ticker").toPandas()
+        assert got["date"].min() == days[80 if val_end else 60] and len(got) == 8 * (40 if val_end else 60) and got["value"].nunique() > 5
+        if val_end is None:
+            again = contestants.trained_signal(spark.createDataFrame(later), ["f", "g"], cut_day, model, val_end, choices, seeds=(0, 1), entry="t").orderBy("date", "ticker").toPandas()
+            assert np.allclose(got["value"], again["value"])
+    with pytest.raises(ValueError, match="val_end"):
+        contestants.trained_signal(panel, ["f"], cut_day, choices=({}, {"regParam": 1.0}))
+    with pytest.raises(ValueError, match="unknown model"):
+        contestants.learner("other", 2, 0)
+
+
+def test_sequence_windows(spark):
+    a = returns(70, 3, 8)
+    a = a.assign(f=a["target"], g=np.arange(len(a)).astype(float))
+    got = contestants.sequence_signal(spark.createDataFrame(a), ["f", "g"], lambda w: w[:, :, 0].sum(axis=1) + w[:, -1, 1], n=60, at_once=5).orderBy("ticker", "date").toPandas()
+    wide = a.pivot(index="date", columns="ticker", values="target").rolling(60).sum() + a.pivot(index="date", columns="ticker", values="g")
+    want = wide.stack().rename("v").reset_index().sort_values(["ticker", "date"])
+    assert len(got) == 3 * 11 and np.allclose(got["value"], want["v"])
+
+
+def test_study_command(spark, capsys):
+    assert cli.main(["study", "--days", "100", "--n-boot", "9", "--sims", "2", "--boards", "2"], spark) == 0
+    out = json.loads(capsys.readouterr().out)
+    assert len(out["rates"]) == 7 and out["probability_of_overfitting"]["one real variant"] <= out["probability_of_overfitting"]["noise"]

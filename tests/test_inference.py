@@ -169,3 +169,67 @@ def test_stepdown_of_all_users_equals_plain_loops(spark, tmp_path):
     got = queries_inference.stepdown_of_all_users(spark, str(tmp_path)).toPandas().set_index("entry")["p_value_fwe"].to_dict()
     assert set(got) == set(want) and len(got) == 30
     assert all(abs(got[u] - want[u]) < 1e-5 for u in want)
+
+
+def unlike(seed=21):
+    """Series of different dependence, so that their block lengths differ."""
+    return {f"r{int(100 * rho):02d}": ar(900, rho, seed + k) + 0.0002 for k, rho in enumerate((0.0, 0.3, 0.6, 0.85))}
+
+
+def test_an_entry_alone_gets_what_it_gets_on_a_board(spark):
+    series, bar = unlike(), ar(900, 0.1, 40)
+    together = inf.separate_sharpe_tests(long(spark, series, bar), reps=99, seed=1).toPandas().set_index("entry")
+    assert together["block_size"].nunique() > 1
+    for k, x in series.items():
+        alone = inf.separate_sharpe_tests(long(spark, {k: x}, bar), reps=99, seed=1).toPandas().set_index("entry")
+        pd.testing.assert_frame_equal(together.loc[[k]], alone, check_like=True)
+        assert alone["block_size"].iloc[0] == inf.block_length(inf.influence(x, bar))
+        d, s, t = inf.bootstrap_t(x, bar, inf.block_length(inf.influence(x, bar)), 99, 1)
+        assert alone["ci_low"].iloc[0] == pytest.approx(d - np.quantile(t, 0.975) * s)
+
+
+def test_entries_may_have_days_of_their_own(spark):
+    rows = long(spark, {"a": ar(200, 0, 1)}, ar(200, 0, 2)).unionByName(long(spark, {"b": ar(120, 0, 3)}, ar(120, 0, 4)))
+    assert inf.ledoit_wolf(rows, reps=50).count() == 2
+
+
+def test_ranges_of_replicates_do_not_matter(spark, monkeypatch):
+    rows = long(spark, {"a": ar(200, 0.2, 1), "b": ar(200, 0.2, 2)}, ar(200, 0, 3))
+    got = []
+    for at_once in (7, 1000):
+        monkeypatch.setattr(inf.by_replicates, "__defaults__", (at_once,))
+        got.append([df.toPandas().sort_values("entry").reset_index(drop=True) for df in (inf.joint_sharpe_tests(rows, reps=40), inf.percentile_bootstrap(rows, reps=40))])
+    for one, other in zip(*got, strict=True):
+        pd.testing.assert_frame_equal(one, other)
+
+
+def test_net_edge_by_both_methods(spark):
+    x, bar = ar(300, 0, 6) + 0.001, ar(300, 0, 7)
+    rows = long(spark, {"a": x}, bar)
+    for method in inf.METHODS:
+        one = inf.net_edge(rows, method, reps=99).first()
+        assert one["method"] == method and one["net_edge"] == pytest.approx(one["strategy_sharpe"] - one["bar_sharpe"])
+        assert one["ci_low"] < one["net_edge"] < one["ci_high"] and one["clears_bar"] == (one["ci_low"] > 0)
+        assert one["strategy_sharpe"] == pytest.approx(x.mean() / x.std() * np.sqrt(252)) and 0 < one["psr_vs_zero"] < 1 and one["strategy_sharpe_se"] > 0
+    with pytest.raises(ValueError, match="method"):
+        inf.net_edge(rows, "other")
+
+
+def test_influence_and_bandwidth_by_entry(spark):
+    x, bar = ar(300, 0.3, 6), ar(300, 0, 7)
+    rows = long(spark, {"a": x, "b": bar}, bar)
+    got = inf.influences(rows).where("entry = 'a'").orderBy("ordinal").toPandas()["influence"]
+    assert np.allclose(got, inf.influence(x, bar))
+    assert inf.bandwidths(rows).where("entry = 'a'").first()["bandwidth"] >= 1
+
+
+def test_study_has_all_parts(spark):
+    rows = simulate.study(spark, simulate.Study(days=120, reps=19, sims=4, lengths=(60, 90), boards=2, entries=3)).toPandas()
+    assert rows["part"].tolist() == ["size", "power", "size by length", "size by length", "familywise"]
+    assert rows["days"].tolist() == [120, 120, 60, 90, 120] and rows["sims"].tolist() == [4, 4, 2, 2, 2]
+    assert rows[["uncorrected", "stepdown", "percentile"]].apply(lambda c: c.between(0, 1).all()).all() and (rows["stepdown"] <= rows["uncorrected"]).all()
+
+
+def test_simulated_boards_have_equal_moments():
+    board, bar = simulate.simulate_board(40_000, 3, np.random.default_rng(2), market=simulate.Market(nu=30.0))
+    assert np.allclose(board.std(axis=1), bar.std(), rtol=0.03) and np.allclose([np.corrcoef(x, bar)[0, 1] for x in board], 0.9, atol=0.02)

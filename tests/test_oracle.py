@@ -2,7 +2,10 @@
 
 import pytest
 
-from plumbline.plans import catalogue
+from plumbline import lineage
+from plumbline.functions import inference
+from plumbline.operators import scoring
+from plumbline.plans import catalogue, panels
 
 from .compare import assert_same, database
 from .conftest import SMALL
@@ -34,6 +37,21 @@ def test_partitioning_does_not_matter(spark, name):
     assert_same(*results)
 
 
+@pytest.mark.parametrize(("name", "most"), [("window_scores", 4), ("pbo_cscv", 2), ("backtest_daily", 2), ("bootstrap_formula_starts", 2), ("joint_stepdown", 2), ("web_export", 4), ("index_scores", 4)])
+def test_the_tables_are_scanned_once(spark, monkeypatch, name, most):
+    """Scans of files in the query's plan and in those of the panels it settles before."""
+    plans = []
+
+    def settled(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return lineage.settled(df)
+
+    for module in (panels, scoring, inference):
+        monkeypatch.setattr(module, "settled", settled)
+    plans.append(catalogue.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString())
+    assert sum(p.count("Relation [") for p in plans) <= most
+
+
 def test_entry_module_reads_without_corpus_operators():
     import __spark_entry__
 
