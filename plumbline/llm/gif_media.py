@@ -69,6 +69,7 @@ def lzw_decode(stream: bytes, min_bits: int, most: int | None = None) -> bytes:
     widths, offsets = _schedule(min_bits)
     single = [bytes([k]) for k in range(clear)] + [b"", b""]
     out: list[bytes] = []
+    emit = out.append
     made, bit, run_on = 0, 0, None
     while True:
         if run_on is None:
@@ -76,21 +77,24 @@ def lzw_decode(stream: bytes, min_bits: int, most: int | None = None) -> bytes:
             ends = np.flatnonzero((codes == clear) | (codes == stop))
             n = int(ends[0]) if len(ends) else len(codes)
             table, previous = list(single), None
-            for code in codes[:n].tolist():
-                if previous is None:
-                    entry = single[code] if code < clear else None
-                elif code < len(table):
-                    entry = table[code]
-                elif code == len(table):
-                    entry = previous + previous[:1]
-                else:
-                    entry = None
-                if entry is None:
+            if n:
+                begin, *rest = codes[:n].tolist()
+                if begin > stop:
                     raise ValueError("a code that is not in the dictionary")
-                if previous is not None and len(table) < MOST_CODES:
-                    table.append(previous + entry[:1])
-                out.append(entry)
-                previous = entry
+                previous = single[begin]
+                emit(previous)
+                grow = table.append
+                # The dictionary gains an entry a code; what a full one gains beyond its size no code can name.
+                for code in rest:
+                    try:
+                        entry = table[code]
+                    except IndexError:
+                        if code != len(table):
+                            raise ValueError("a code that is not in the dictionary") from None
+                        entry = previous + previous[:1]
+                    grow(previous + entry[:1])
+                    emit(entry)
+                    previous = entry
             made += sum(map(len, out[-n:])) if n else 0
             if len(ends):
                 if int(codes[n]) == stop:
@@ -135,27 +139,24 @@ def lzw_encode(indices: bytes, min_bits: int = 8) -> bytes:
     runs: list[int] = []
     table: dict[int, int] = {}
     find, emit, new = table.get, codes.append, clear + 2
-    mark, prefix = 1, -1
-    for value in indices:
-        if prefix < 0:
+    mark = 1
+    if indices:
+        prefix = indices[0]
+        for value in indices[1:]:
+            code = find(prefix << 8 | value)
+            if code is not None:
+                prefix = code
+                continue
+            emit(prefix)
+            if new < MOST_CODES - 1:
+                table[prefix << 8 | value] = new
+                new += 1
+            else:
+                emit(clear)
+                runs.append(len(codes) - mark)
+                mark, new = len(codes), clear + 2
+                table.clear()
             prefix = value
-            continue
-        key = prefix << 8 | value
-        code = find(key)
-        if code is not None:
-            prefix = code
-            continue
-        emit(prefix)
-        prefix = value
-        if new < MOST_CODES - 1:
-            table[key] = new
-            new += 1
-        else:
-            emit(clear)
-            runs.append(len(codes) - mark)
-            mark, new = len(codes), clear + 2
-            table.clear()
-    if prefix >= 0:
         emit(prefix)
     emit(clear + 1)
     runs.append(len(codes) - mark)
@@ -250,8 +251,9 @@ def _decode(raw: bytes) -> Iterator[Frame]:
 
 def histogram(canvas: np.ndarray) -> list[int]:
     """Pixels in each of 4 x 4 x 4 cells of red, green and blue; transparent ones do not count."""
-    rgb = canvas[..., :3][canvas[..., 3] > 0] >> 6
-    return np.bincount(rgb[:, 0] * 16 + rgb[:, 1] * 4 + rgb[:, 2], minlength=64).tolist()
+    red, green, blue, alpha = (canvas[..., k] for k in range(4))
+    cells = (red >> 6 << 4) | (green >> 6 << 2) | (blue >> 6)
+    return np.bincount(cells.ravel() if alpha.all() else cells[alpha > 0], minlength=64).tolist()
 
 
 def store_bytes(payload: bytes) -> bytes:
