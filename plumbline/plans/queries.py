@@ -12,7 +12,7 @@ from plumbline.operators import backtest as bt
 from plumbline.operators import crosssection as xs
 from plumbline.operators import timeseries as ts
 from plumbline.operators.positions import weights_from_predictions
-from plumbline.panel import calendar, densify, long_histories, ratio, shift_days, thick_dates
+from plumbline.panel import calendar, densify, every_kth_day, long_histories, only_finite, ratio, shift_days, thick_dates, to_long, to_wide
 from plumbline.plans.panels import P1, P2, P3, actual_sql, daily_nations, daily_users, momentum, priced, weekly_brands, with_target
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,25 @@ def min_history(spark, sf):
     return long_histories(daily_users(spark, sf), 25).select("date", "ticker", *fine("close"))
 
 
+@registered(f"WITH {P1}, {DAYS_SQL.format('p1')}, n AS (SELECT 'Brand#' || a || b AS ticker FROM range(1, 6) x(a), range(1, 6) y(b)) SELECT d.date, n.ticker, {rs('p.close AS close', places=9)} FROM days d CROSS JOIN n LEFT JOIN p1 p ON d.date = p.date AND n.ticker = p.ticker")
+def wide_and_long(spark, sf):
+    """The panel spread out by name and gathered again, with what is missing."""
+    names = [f"Brand#{a}{b}" for a in range(1, 6) for b in range(1, 6)]
+    return to_long(to_wide(weekly_brands(spark, sf), names, "close"), "close", keep_null=True).select("date", "ticker", *fine("close"))
+
+
+@registered(f"WITH {P2}, {DAYS_SQL.format('p2')} SELECT date, CAST(ordinal AS INTEGER) AS ordinal FROM days WHERE ordinal % 5 = 0")
+def every_fifth_day(spark, sf):
+    return every_kth_day(calendar(daily_nations(spark, sf)), 5).select("date", F.col("ordinal").cast("int").alias("ordinal"))
+
+
+@registered(f"WITH {P3}, x AS (SELECT date, ticker, CASE CAST(ticker AS BIGINT) % 4 WHEN 0 THEN 'NaN'::DOUBLE WHEN 1 THEN 'Infinity'::DOUBLE WHEN 2 THEN NULL ELSE close END AS value FROM p3) SELECT date, ticker, {rs('value')} FROM x WHERE isfinite(value)")
+def finite_values(spark, sf):
+    kind = F.col("ticker").cast("bigint") % 4
+    value = F.when(kind == 0, float("nan")).when(kind == 1, float("inf")).when(kind == 3, F.col("close"))
+    return only_finite(daily_users(spark, sf).withColumn("value", value)).select("date", "ticker", r("value"))
+
+
 # --- time series --------------------------------------------------------------------------
 
 

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import canary, validate
 from plumbline.operators import backtest as bt
 from plumbline.operators import universe as un
-from plumbline.operators.features import FEATURES, feature_panel, stock_features
+from plumbline.lineage import shared_root
+from plumbline.operators.crosssection import early_information_coefficient
+from plumbline.operators.features import FEATURES, bar_returns_of, feature_panel, market_features, stock_features
 from plumbline.operators.positions import weights_from_predictions
 from plumbline.panel import calendar
 from plumbline.plans.contestants import factor_signals, starter_signal
-from plumbline.plans.panels import P1, P2, P4, actual_sql, daily_nations, daily_users, momentum, weekly_brands, weekly_market, with_target
+from plumbline.plans.panels import P1, P2, P3, P4, actual_sql, daily_nations, daily_users, momentum, weekly_brands, weekly_market, with_target
 from plumbline.plans.queries import DAYS_SQL, EWM_SQL, GRID_SQL, NET_SQL, OSCILLATORS_SQL, SIGNAL3_SQL, WEIGHT_SQL, _roll_sql, fine, r, registered, rs
+from plumbline.sources.readers import load_aliases, load_submissions
+from plumbline.sources.sinks import write_submission
 
 MONTHLY_SQL = "m AS (SELECT CAST(date_trunc('month', date) AS DATE) AS date, list(DISTINCT ticker) AS tickers FROM {0} GROUP BY 1), v AS (SELECT date AS valid_from, coalesce(lead(date) OVER (ORDER BY date), DATE '9999-12-31') AS valid_to, tickers FROM m)"
 
@@ -57,6 +63,56 @@ def continuous_members(spark, sf):
     return un.continuous(monthly_membership(thinned(spark, sf)), START, END)
 
 
+@registered(f"WITH {THINNED}, {MONTHLY_SQL.format('t2')} SELECT DISTINCT ticker FROM (SELECT unnest(tickers) AS ticker FROM v WHERE valid_from <= DATE '{END}' AND valid_to > DATE '{START}')")
+def ever_members(spark, sf):
+    return un.ever_members(monthly_membership(thinned(spark, sf)), START, END)
+
+
+@registered(f"WITH {THINNED} SELECT CAST(date_trunc('month', min(date)) AS DATE) AS first_date, CAST(date_trunc('month', max(date)) AS DATE) AS last_date FROM t2")
+def membership_dates(spark, sf):
+    return un.first_last(monthly_membership(thinned(spark, sf)))
+
+
+@registered("WITH x AS (SELECT n_name || CASE WHEN n_nationkey % 2 = 0 THEN '.B' ELSE '' END AS ticker, n_nationkey FROM nation), a AS (SELECT ticker, 'X-' || n_nationkey AS alias FROM x WHERE n_nationkey % 3 = 0) SELECT x.ticker, coalesce(a.alias, replace(x.ticker, '.', '-')) AS symbol FROM x LEFT JOIN a ON x.ticker = a.ticker")
+def vendor_symbols(spark, sf):
+    """Vendors' names of tickers, read back from an alias file."""
+    x = spark.read.parquet(f"{sf}/nation.parquet").select(F.concat("n_name", F.when(F.col("n_nationkey") % 2 == 0, ".B").otherwise("")).alias("ticker"), "n_nationkey")
+    one = F.struct(F.concat(F.lit("X-"), F.col("n_nationkey")).alias("alias"), F.lit("1990").alias("history_from"), F.lit("n").alias("note"))
+    known = x.where("n_nationkey % 3 = 0").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("ticker", one)))).alias("value"))
+    path = f"{shared_root(spark)}/aliases-{uuid.uuid4().hex}"
+    known.select("value").write.text(path)
+    return un.with_aliases(x.select("ticker"), load_aliases(spark, path)).select("ticker", "symbol")
+
+
+@registered(f"""WITH {P3}, {actual_sql('p3')}, s AS (SELECT date, ticker, target, close / nullif(lag(close, 2) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS value FROM a), v AS (SELECT * FROM s WHERE value IS NOT NULL AND target IS NOT NULL),
+k AS (SELECT date, rank() OVER (PARTITION BY date ORDER BY value) + (count(*) OVER (PARTITION BY date, value) - 1) / 2.0::DOUBLE AS rv, rank() OVER (PARTITION BY date ORDER BY target) + (count(*) OVER (PARTITION BY date, target) - 1) / 2.0::DOUBLE AS rt FROM v),
+d AS (SELECT date, covar_pop(rv, rt) / nullif(stddev_pop(rv) * stddev_pop(rt), 0) AS ic, count(*) AS n FROM k GROUP BY 1), f AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY date) AS place FROM d) WHERE place <= 20), g AS (SELECT avg(CASE WHEN ic IS NOT NULL AND n >= 8 THEN ic END) AS ic, count(*) FILTER (ic IS NOT NULL AND n >= 8)::DOUBLE / count(*) AS share FROM f)
+SELECT 'm2' AS entry, {rs('CASE WHEN share >= 0.5 THEN ic ELSE 0.0 END AS ic', 'share')} FROM g""")
+def early_coefficient(spark, sf):
+    a = with_target(daily_users(spark, sf))
+    return early_information_coefficient(momentum(a, 2, "m2"), a.select("date", "ticker", "target"), 20, 8).select("entry", r("ic"), r("share"))
+
+
+@registered(f"WITH {P1} SELECT date, ticker AS bar, {rs('ret')} FROM (SELECT date, ticker, lead(close) OVER (PARTITION BY ticker ORDER BY date) / nullif(close, 0) - 1 AS ret FROM p1 WHERE ticker IN ('Brand#11', 'Brand#23')) WHERE ret IS NOT NULL")
+def bar_targets(spark, sf):
+    return bar_returns_of(weekly_brands(spark, sf), ("Brand#11", "Brand#23")).select("date", "bar", r("ret"))
+
+
+@registered(f"WITH {P1}, {P4}, m AS (SELECT date, vix FROM p4) SELECT date, {rs('ln(vix) AS ln_vix', 'vix / nullif(lag(vix, 5) OVER (ORDER BY date), 0) - 1 AS vix_chg_5d')} FROM m")
+def market_changes(spark, sf):
+    return market_features(weekly_market(spark, sf)).select("date", r(F.ln("vix"), "ln_vix"), r("vix_chg_5d"))
+
+
+@registered(f"WITH {P1}, s AS (SELECT date, ticker, CAST(close / nullif(lag(close, 4) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS FLOAT) AS value FROM p1) SELECT 'm4' AS entry, date, ticker, round(CAST(value AS DOUBLE), 4) + 0.0 AS value FROM s WHERE value IS NOT NULL")
+def written_and_read(spark, sf):
+    """A submission's folder, written and read as the board reads it."""
+    root = f"{shared_root(spark)}/submissions-{uuid.uuid4().hex}"
+    write_submission(momentum(weekly_brands(spark, sf), 4, "m4").where("value is not null"), root, "m4", "long_flat", "momentum over four rows", "2024-01-01", source_sha256="x")
+    _, signals, metadata = load_submissions(spark, root)
+    bad = validate.metadata_findings(metadata).select("entry").distinct()
+    return signals.join(bad, "entry", "left_anti").select("entry", "date", "ticker", r("value", places=4))
+
+
 @registered(f"""WITH {THINNED}, {MONTHLY_SQL.format('t2')}, e AS (SELECT valid_from, valid_to, unnest(tickers) AS ticker FROM v),
 a AS (SELECT DISTINCT ticker FROM e WHERE valid_from <= DATE '{START}' AND valid_to > DATE '{START}'), b AS (SELECT DISTINCT ticker FROM e WHERE valid_from <= DATE '{END}' AND valid_to > DATE '{END}'),
 s AS (SELECT ticker, quarter(date) AS q, min(date) AS start_date, max(date) AS end_date FROM t2 WHERE date < DATE '{END}' GROUP BY 1, 2),
