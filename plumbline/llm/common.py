@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -11,36 +10,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.lineage import settled as cut
+from plumbline.lineage import shared_root
+
 #: Rows that Python code works on at once, so that a batch of long texts is not held as Python objects whole.
 ROWS_AT_ONCE = 200
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only where the setting is absent and Spark runs on one machine a local folder is made; on a
-    cluster without it ValueError is raised.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not named and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-"))
-    return named or context.getCheckpointDir()
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the plan is run once and later reads survive lost executors."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def column(name: str) -> Column:
     """The column of exactly that name, dots and backticks included."""
     return F.col(f"`{name.replace('`', '``')}`")
@@ -100,7 +81,8 @@ class Carried:
 
 def carried(df: DataFrame, keep: Iterable[str], added: Iterable[str]) -> Carried:
     """The columns ``keep`` of ``df``; one that has the name of an added column gives way to it."""
-    names = [c for c in keep if c not in set(added)]
+    taken = set(added)
+    names = [c for c in keep if c not in taken]
     inner = [column(c).alias(f"_pl_k{k}") for k, c in enumerate(names)]
     return Carried(inner, [f"{c} {kind}" for c, kind in df.select(*inner).dtypes], names)
 

@@ -16,9 +16,8 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from plumbline.llm.common import text_of
+from plumbline.llm.common import carried, sliced, text_of
 
 SPACE = "▁"
 CACHED_WORDS = 200_000
@@ -236,29 +235,28 @@ def encode_texts(docs: DataFrame, model_file: str, text: str = "text", keep: tup
 
     Null text counts as empty and gives no ids. Texts of any length are encoded whole; rows
     that repeat are encoded alike; an empty table gives an empty one. Columns not named in
-    ``keep`` are not returned.
+    ``keep`` are not returned; one in it that is named as an added one is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(model_file))
-    inner = docs.select(*(F.col(f"`{c}`") for c in keep), text_of(text).alias("_pl_text"))
-    kinds = dict(inner.dtypes)
     added = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")] if digests else [("ids", "array<int>"), ("decoded", "string")]
     types = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.string()]
+    kept = carried(docs, keep, (n for n, _ in added))
+    width = len(kept.inner)
+    inner = docs.select(*kept.inner, text_of(text).alias("_pl_text"))
 
     def run(batches):
         encoder = Encoder(sent.value)
-        for whole in batches:
-            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(start, ROWS_AT_ONCE)
-                split = [encoder.split(t) for t in batch.column(len(keep)).to_pylist()]
-                encoder.learn({w for words in split for w in words})
-                rows = []
-                for words in split:
-                    ids = ",".join(map(encoder.ids.__getitem__, words))
-                    decoded = "".join(map(encoder.texts.__getitem__, words))[1:]
-                    if digests:
-                        rows.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-                    else:
-                        rows.append(([int(x) for x in ids.split(",")] if ids else [], decoded))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=[*keep, *(n for n, _ in added)])
+        for batch in sliced(batches, ROWS_AT_ONCE):
+            split = [encoder.split(t) for t in batch.column(width).to_pylist()]
+            encoder.learn({w for words in split for w in words})
+            rows = []
+            for words in split:
+                ids = ",".join(map(encoder.ids.__getitem__, words))
+                decoded = "".join(map(encoder.texts.__getitem__, words))[1:]
+                if digests:
+                    rows.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                else:
+                    rows.append(([int(x) for x in ids.split(",")] if ids else [], decoded))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=[*batch.schema.names[:width], *(n for n, _ in added)])
 
-    return inner.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{n} {t}" for n, t in added)]))
+    return kept.named(inner.mapInArrow(run, ", ".join([*kept.schema, *(f"{n} {t}" for n, t in added)])))

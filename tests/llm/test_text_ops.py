@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plumbline.llm import gif_media, language_id, license_scan, pieces, quality, queries, secret_scan
+from plumbline.llm import gif_media, html_extract, language_id, license_scan, pieces, quality, queries, secret_scan
 
 from ..conftest import SMALL
 from .cases import A_TO_Z, frame, rows, sha
@@ -134,32 +134,21 @@ def test_the_table_of_words_is_begun_anew_when_full(monkeypatch):
 
 
 def test_columns_of_any_name_are_carried(spark):
-    docs = frame(spark).withColumns({"a.b": F.lit("dot"), "c`d": F.lit("tick"), "lang_pred": F.lit("old")})
-    out = language_id.identify_languages(docs, language_id.fit_language_model(docs), keep=("a.b", "c`d", "score", "lang_pred"))
-    assert out.columns == ["a.b", "c`d", "lang_pred", "score"] and out.where("`a.b` <> 'dot' or lang_pred = 'old'").count() == 0
-
-
-def test_language_edge_rows(spark):
-    docs = frame(spark)
-    model = language_id.fit_language_model(docs)
-    assert model.langs == ["de", "en", "fr"]
-    got = language_id.identify_languages(docs, model).collect()
-    assert len(got) == len(rows())
-    undecided = {(str(x.doc_id), x.score) for x in got if x.lang_pred == "und"}
-    assert undecided == {("3", 0.0), ("4", 0.0), ("5", 0.0), ("None", 0.0)}
-    none = language_id.fit_language_model(docs.where("false"))
-    assert {x.lang_pred for x in language_id.identify_languages(docs, none).collect()} == {"und"}
-    assert language_id.identify_languages(docs.where("false"), model).count() == 0
-
-
-def test_unseen_words_back_off_to_shorter_grams(spark):
-    train = [(k, t, lang, "s", 1) for k, (t, lang) in enumerate([("schnelligkeit freundlichkeit", "de"), ("quickness friendliness", "en")] * 3)]
-    model = language_id.fit_language_model(frame(spark, train))
-    assert "quickness" in model.words and "madness" not in model.words
-    p = language_id.Predictor(model)
-    assert p(["madness", "heiterkeit", "quickness"])[0] == ["en", "de", "en"]
-    same = language_id.fit_language_model(frame(spark, [(1, "same", "b", "s", 1), (2, "same", "a", "s", 1)]))
-    assert language_id.Predictor(same)(["same"])[0] == ["a"]
+    names = ("a.b", "c`d", "score", "text2")
+    docs = frame(spark, rows()[:4]).withColumns({"a.b": F.lit("dot"), "c`d": F.lit("tick"), "text2": F.col("text"), "media": F.lit("m"), "ids": F.lit("i"), "labels": F.lit("l"), "spans": F.lit("s"), "lang_pred": F.lit("old")})
+    found = {
+        "lang_pred": language_id.identify_languages(docs, language_id.fit_language_model(docs), keep=(*names, "lang_pred")),
+        "predicted": quality.score_quality(docs, quality.fit_quality(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")), keep=names),
+        "spans": secret_scan.scan_secrets(docs, keep=(*names, "spans")),
+        "labels": license_scan.scan_licenses(docs, keep=(*names, "labels")),
+        "media": gif_media.media_table(docs, keep=(*names, "media")),
+        "ids": pieces.encode_texts(docs, MODEL, keep=(*names, "ids")),
+        "n_chars": html_extract.extract_main_text(docs, "text2", keep=("a.b", "c`d", "n_chars")),
+    }
+    for name, out in found.items():
+        assert out.columns[:2] == ["a.b", "c`d"] and len(set(out.columns)) == len(out.columns) and name in out.columns
+        assert out.where("`a.b` = 'dot' and `c``d` = 'tick'").count() == 4, name
+        assert out.where(F.col(name).cast("string").isin("old", "m", "i", "l", "s")).count() == 0
 
 
 # --- secrets ------------------------------------------------------------------------------
