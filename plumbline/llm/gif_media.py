@@ -2,7 +2,7 @@
 
 Reading follows the format: colour tables, interlaced rows, transparency, disposal of frames
 and LZW code streams. Code widths depend only on how many codes came since the last clear, so
-the bits of a whole run of codes are cut out at once; only the dictionary is walked in order.
+the bits of a whole run of codes are cut out at once, and all of them are looked up together.
 """
 
 from __future__ import annotations
@@ -62,74 +62,60 @@ def _cut_codes(data: np.ndarray, start: int, widths: np.ndarray, offsets: np.nda
     return window >> (at & 7) & ((1 << widths[:n]) - 1)
 
 
+def _expanded(codes: np.ndarray, clear: int) -> np.ndarray:
+    """The indices that the codes after a clear stand for.
+
+    Entry k is the string of code k and the first index of code k + 1, so a code of entry p is a
+    chain of links from p to the code there, down to a plain index. All chains are followed at
+    once, a link at a time: each gives one index from the end of its string.
+    """
+    plain = codes < clear
+    link = codes - (clear + 2)
+    if (~plain & ((link < 0) | (link >= np.arange(len(codes))))).any():
+        raise ValueError("a code that is not in the dictionary")
+    first, length, steps = codes.copy(), np.ones(len(codes), dtype=np.int64), []
+    going = np.flatnonzero(~plain)
+    at = link[going]
+    while len(going):
+        length[going] += 1
+        steps.append((going, at))
+        ended = plain[at]
+        first[going[ended]] = codes[at[ended]]
+        going, at = going[~ended], link[at[~ended]]
+    ends = np.cumsum(length)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+    out[ends - length] = first
+    for back, (going, at) in enumerate(steps, 1):
+        out[ends[going] - back] = first[at + 1]
+    return out
+
+
 def lzw_decode(stream: bytes, min_bits: int, most: int | None = None) -> bytes:
     """The indices of an LZW stream. Ends at the end code, at ``most`` indices or with the data; a code that cannot occur raises ValueError."""
     clear, stop = 1 << min_bits, (1 << min_bits) + 1
     data = np.frombuffer(stream + b"\0\0\0\0", dtype=np.uint8)
-    widths, offsets = _schedule(min_bits)
-    single = [bytes([k]) for k in range(clear)] + [b"", b""]
-    out: list[bytes] = []
-    emit = out.append
-    made, bit, run_on = 0, 0, None
+    growing = _schedule(min_bits)
+    # A full dictionary: 12 bits a code, nothing new, until a clear.
+    full = np.full(MOST_CODES, 12), np.arange(MOST_CODES) * 12
+    out: list[np.ndarray] = []
+    run: list[np.ndarray] = []
+    made = bit = 0
     while True:
-        if run_on is None:
-            codes = _cut_codes(data, bit, widths, offsets)
-            ends = np.flatnonzero((codes == clear) | (codes == stop))
-            n = int(ends[0]) if len(ends) else len(codes)
-            table, previous = list(single), None
-            if n:
-                begin, *rest = codes[:n].tolist()
-                if begin > stop:
-                    raise ValueError("a code that is not in the dictionary")
-                previous = single[begin]
-                emit(previous)
-                grow = table.append
-                # The dictionary gains an entry a code; what a full one gains beyond its size no code can name.
-                for code in rest:
-                    try:
-                        entry = table[code]
-                    except IndexError:
-                        if code != len(table):
-                            raise ValueError("a code that is not in the dictionary") from None
-                        entry = previous + previous[:1]
-                    grow(previous + entry[:1])
-                    emit(entry)
-                    previous = entry
-            made += sum(map(len, out[-n:])) if n else 0
-            if len(ends):
-                if int(codes[n]) == stop:
-                    break
-                bit += int(offsets[n] + widths[n])
-            elif len(codes) == len(widths):
-                bit, run_on = bit + int(offsets[-1] + widths[-1]), (table, previous)
-            else:
-                break
-        else:
-            # A full dictionary: 12 bits a code, nothing new, until a clear.
-            table, previous = run_on
-            codes = _cut_codes(data, bit, np.full(MOST_CODES, 12), np.arange(MOST_CODES) * 12)
-            ends = np.flatnonzero((codes == clear) | (codes == stop))
-            n = int(ends[0]) if len(ends) else len(codes)
-            for code in codes[:n].tolist():
-                if len(table) < MOST_CODES:
-                    table.append(previous + (table[code] if code < len(table) else previous)[:1])
-                if code >= len(table):
-                    raise ValueError("a code that is not in the dictionary")
-                previous = table[code]
-                out.append(previous)
-                made += len(previous)
-            run_on = table, previous
-            bit += 12 * n
-            if len(ends):
-                if int(codes[n]) == stop:
-                    break
-                bit, run_on = bit + 12, None
-            elif n < MOST_CODES:
-                break
-        if most is not None and made >= most:
+        widths, offsets = full if run else growing
+        codes = _cut_codes(data, bit, widths, offsets)
+        ends = np.flatnonzero((codes == clear) | (codes == stop))
+        n = int(ends[0]) if len(ends) else len(codes)
+        run.append(codes[:n])
+        if not len(ends) and n == len(widths):
+            bit += int(offsets[-1] + widths[-1])
+            continue
+        out.append(_expanded(np.concatenate(run), clear))
+        made += len(out[-1])
+        run = []
+        if not len(ends) or int(codes[n]) == stop or most is not None and made >= most:
             break
-    joined = b"".join(out)
-    return joined if most is None else joined[:most]
+        bit += int(offsets[n] + widths[n])
+    return np.concatenate(out).tobytes()[:most]
 
 
 def lzw_encode(indices: bytes, min_bits: int = 8) -> bytes:
