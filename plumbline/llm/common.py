@@ -15,6 +15,8 @@ from plumbline.lineage import shared_root
 
 #: Rows that Python code works on at once, so that a batch of long texts is not held as Python objects whole.
 ROWS_AT_ONCE = 200
+#: Rows that are broadcast once they are counted: of any width, and of two numbers.
+BROADCAST_ROWS, BROADCAST_PAIRS = 100_000, 500_000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -46,13 +48,18 @@ def frequent_keys(rows: DataFrame, keys: list[str]) -> list[Row]:
     return rows.groupBy(*keys).agg(F.count("*").alias("_pl_n")).where(F.col("_pl_n") > least).select(*keys).collect()
 
 
-def joined(rows: DataFrame, names: DataFrame, keys: list[str], how: str = "inner", hot: list[Row] | None = None) -> DataFrame:
+def joined(rows: DataFrame, names: DataFrame, keys: list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """``rows`` with the one row of ``names`` for their key, without gathering a frequent key in one task.
 
-    Frequent keys are joined where their rows stand, by a broadcast of their rows of ``names``;
-    there are at most two of them for each shuffle partition. ``hot`` names them if they are known.
+    ``names`` is run once and counted. Up to ``most`` rows it is broadcast. Beyond that frequent
+    keys are joined where their rows stand, by a broadcast of their rows of ``names`` (at most
+    two for each shuffle partition), and the others by a shuffle. ``rows`` is read more than
+    once and should be checkpointed or cheap.
     """
-    hot = frequent_keys(rows, keys) if hot is None else hot
+    names = cut(names)
+    if names.count() <= most:
+        return rows.join(F.broadcast(names), keys, how)
+    hot = frequent_keys(rows, keys)
     if not hot:
         return rows.join(names, keys, how)
     few = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys).schema))

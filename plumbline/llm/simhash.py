@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import column, cut, joined, shuffle_parts, sliced, text_of
+from plumbline.llm.common import BROADCAST_PAIRS, column, cut, joined, shuffle_parts, sliced, text_of
 from plumbline.llm.components import connected_components
 
 BITS = 64
@@ -204,13 +204,11 @@ def block_masks(n: int, radius: int) -> list[int]:
 def near_edges(nodes: DataFrame, radius: int = 4, fp: str = "fp") -> DataFrame:
     """Edges (u, v) between distinct fingerprints that tie all of those within the radius."""
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    n = nodes.count()
-    masks = [signed(m) for m in block_masks(n, radius)]
+    masks = [signed(m) for m in block_masks(nodes.count(), radius)]
     bands = nodes.select(F.col(fp).alias("fp"), F.posexplode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("band", "mask")).select("band", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-    big = cut(bands.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("band", "key", F.col("n"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
+    big = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("band", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     parts = shuffle_parts(nodes.sparkSession)
-    hot = big.where(F.col("n") > F.lit(n) * len(masks) / (2 * parts)).select("band", "key").collect()
-    rows = joined(bands, big.drop("n"), ["band", "key"], "left", hot).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = joined(bands, big, ["band", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     rows = rows.select("band", "key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     rows = rows.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
@@ -230,7 +228,7 @@ def least_of_components(nodes: DataFrame, tied: DataFrame) -> DataFrame:
     members = tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct())
     reach = cut(members.join(nodes, members["node"] == nodes["fp"]).select("node", "root", "least"))
     of_root = reach.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = joined(reach, of_root, ["root"]).select(F.col("node").alias("fp"), "component_id")
+    moved = joined(reach, of_root, ["root"], most=BROADCAST_PAIRS).select(F.col("node").alias("fp"), "component_id")
     return nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
 
 
@@ -246,8 +244,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rows = cut(inner.mapInArrow(lambda b: _fingerprint_rows(b, shingle), f"id {dict(inner.dtypes)['id']}, th long, fp long"))
     nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     tied = connected_components(near_edges(nodes, radius))
-    names = cut(least_of_components(nodes, tied))
-    return joined(rows, names, ["fp"]).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("th").alias("text_hash"))
+    names = least_of_components(nodes, tied)
+    return joined(rows, names, ["fp"], most=BROADCAST_PAIRS).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("th").alias("text_hash"))
 
 
 def without_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, radius: int = 4) -> DataFrame:

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from plumbline.llm import components as components_module
 from plumbline.llm import queries, simhash
 from plumbline.llm.components import connected_components
 
@@ -70,6 +71,16 @@ def test_big_buckets_are_cut_into_pairs_of_chunks(spark, monkeypatch):
     assert [roots.get(v, v) for v in values] == want
 
 
+def test_hubs_are_joined_by_broadcast_beyond_the_bound(spark, monkeypatch):
+    for module in (simhash, components_module):
+        monkeypatch.setattr(module, "BROADCAST_PAIRS", 2)
+    docs = frame(spark, [(k, f"text {k if k % 3 else 0} of some words that are not many", "en", "a", 1) for k in range(90)])
+    got = simhash.near_duplicates(docs).collect()
+    want = components([x.doc_id for x in docs.collect()], [fingerprint(x.text) for x in docs.collect()])
+    assert sorted((x.doc_id, x.component_id) for x in got) == sorted(zip([x.doc_id for x in docs.collect()], want, strict=True))
+    test_components_of_chains_and_stars(spark)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(1, 50)] + [(5000, 5000)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
