@@ -3,7 +3,7 @@
 import corpus_pipeline
 import numpy as np
 
-from plumbline.llm import shingle_sets, simhash
+from plumbline.llm import components, shingle_sets, simhash
 
 from .cases import frame
 
@@ -61,11 +61,14 @@ def test_links_equal_all_pairs():
     texts = near_texts(3) + near_texts(12, copies=4, seed=5) + near_texts(250, copies=2, seed=6)
     sets = [shingle_sets.shingle_set(t, 5) for t in texts]
     prints = np.array([simhash.fingerprint_of_hashes(s) for s in sets])
-    least = list(range(len(sets)))
-    for a, b in shingle_sets.links(sets, prints, 0.8):
-        x, y = sorted((least[a], least[b]))
-        least = [x if k == y else k for k in least]
-    assert least == least_ids(texts)
+    few = 50
+    small = shingle_sets.near_in_words([prints[:few], prints[few:90]])
+    for sets_, near_of, texts_ in ((sets, shingle_sets.near_in_planes(prints), texts), (sets[:few], shingle_sets.near_in_planes(prints[:few]), texts[:few]), (sets[:few], small[0], texts[:few]), (sets[few:90], small[1], texts[few:90])):
+        least = list(range(len(sets_)))
+        for a, b in shingle_sets.links(sets_, 0.8, near_of):
+            x, y = sorted((least[a], least[b]))
+            least = [x if k == y else k for k in least]
+        assert least == least_ids(texts_)
 
 
 def test_large_groups_are_cut_into_pairs_of_chunks(spark, monkeypatch):
@@ -76,6 +79,14 @@ def test_large_groups_are_cut_into_pairs_of_chunks(spark, monkeypatch):
     assert [x.component_id for x in sorted(got, key=lambda x: x.doc_id)] == least_ids(texts)
 
 
+def test_texts_are_read_again_by_a_shuffle_if_there_are_many(spark, monkeypatch):
+    for module in (shingle_sets, components, simhash):
+        monkeypatch.setattr(module, "BROADCAST_PAIRS", 3)
+    texts = near_texts(2) + ["one text of many copies that are all the same"] * 60
+    got = shingle_sets.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [x.component_id for x in sorted(got, key=lambda x: x.doc_id)] == least_ids(texts)
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, " \n"), (3, "two words"), (4, "Two  WORDS"), (5, "two word"), (None, "two words"), (7, "w " * 30_000)]
     got = shingle_sets.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
