@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over the corpus tables, and SQL for those that it can express."""
+"""Queries op1 to op13 over the corpus tables, and SQL for those that it can express."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup, gif_media, html_extract, language_id, license_scan, mixing, pieces, quality, secret_scan, simhash
+from plumbline.llm import divergence, exact_dedup, gif_media, html_extract, language_id, license_scan, mixing, pieces, quality, secret_scan, simhash
 from plumbline.llm.common import bucket_of
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -63,9 +63,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_secret_scan, op3_exact_dedup, op4_mix_sources, op5_html_main_text, op6_piece_tokens, op7_simhash, op8_quality, op9_gif_media, op10_license_scan)
+    for f in (
+        op1_language_id, op2_secret_scan, op3_exact_dedup, op4_mix_sources, op5_html_main_text, op6_piece_tokens, op7_simhash, op8_quality, op9_gif_media, op10_license_scan,
+        op11_source_divergence,
+    )
 }
 
 ORACLE_SQL = {
@@ -100,5 +107,39 @@ WITH s AS (
   SELECT doc_id, text, lang, source, n_chars, unnest(range(1, copies + 1))::INTEGER AS copy_no FROM n
 )
 SELECT *, md5('mix-1|order|' || coalesce(doc_id::VARCHAR, '') || '|' || copy_no::VARCHAR) AS mix_key FROM e
+""",
+    "op11_source_divergence": r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found
+  FROM documents
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(found) AS term FROM d) GROUP BY 1, 2, 3
+), k AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(found)) AS term FROM d) GROUP BY 1, 2 HAVING count(*) >= 30
+), l AS (
+  SELECT lang, term, sum(n)::HUGEINT AS n FROM c JOIN k USING (lang, term) GROUP BY 1, 2
+), z AS (
+  SELECT lang, count(*) AS v, sum(n)::HUGEINT AS n FROM l GROUP BY 1
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), t AS (
+  SELECT lang, source, sum(n)::HUGEINT AS n FROM c JOIN k USING (lang, term) GROUP BY 1, 2
+), p AS (
+  SELECT g.lang, g.source, l.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(t.n, 0) + 5 * z.v) AS p,
+         1 + (1000000000::HUGEINT * (l.n + 5)) // (z.n + 5 * z.v) AS q
+  FROM g JOIN l ON l.lang = g.lang JOIN z ON z.lang = g.lang LEFT JOIN t ON t.lang = g.lang AND t.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = l.term
+), s AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r
+)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 50
 """,
 }
