@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import divergence, exact_dedup, gif_media, html_extract, language_id, license_scan, mixing, pieces, quality, secret_scan, simhash
+from plumbline.llm import divergence, exact_dedup, gif_media, html_extract, language_id, license_scan, mixing, pieces, quality, secret_scan, simhash, vector_tree
 from plumbline.llm.common import bucket_of
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -67,11 +67,15 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_tree.nearest_vectors(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_secret_scan, op3_exact_dedup, op4_mix_sources, op5_html_main_text, op6_piece_tokens, op7_simhash, op8_quality, op9_gif_media, op10_license_scan,
-        op11_source_divergence,
+        op11_source_divergence, op12_vector_tree,
     )
 }
 
