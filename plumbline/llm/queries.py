@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import divergence, exact_dedup, gif_media, html_extract, language_id, license_scan, mixing, pieces, quality, secret_scan, simhash, vector_tree
+from plumbline.llm import divergence, exact_dedup, gif_media, html_extract, language_id, license_scan, mixing, pieces, quality, secret_scan, simhash, vector_codes, vector_tree
 from plumbline.llm.common import bucket_of
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -71,14 +71,49 @@ def op12_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_tree.nearest_vectors(_table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_secret_scan, op3_exact_dedup, op4_mix_sources, op5_html_main_text, op6_piece_tokens, op7_simhash, op8_quality, op9_gif_media, op10_license_scan,
-        op11_source_divergence, op12_vector_tree,
+        op11_source_divergence, op12_vector_tree, op13_vector_codes,
     )
 }
 
+
+
+def _codes_sql() -> str:
+    """Rounds of assignment and means written out; distances of all parts with all entries."""
+    steps = []
+    for k in range(5):
+        if k:
+            steps.append(f"""s{k} AS (
+  SELECT p, m[2] AS i, j, floor_of(sum(v[j]), count(*)) AS y FROM a{k - 1}, LATERAL (SELECT unnest(range(1, len(v) + 1)) AS j) GROUP BY 1, 2, 3
+), c{k} AS MATERIALIZED (
+  SELECT c.p, c.i, coalesce(t.v, c.v) AS v FROM c{k - 1} c LEFT JOIN (SELECT p, i, list(y::BIGINT ORDER BY j) AS v FROM s{k} GROUP BY 1, 2) t ON t.p = c.p AND t.i = c.i
+)""".replace("floor_of(sum(v[j]), count(*))", "CASE WHEN sum(v[j]) >= 0 THEN sum(v[j]) // count(*) ELSE -((count(*) - 1 - sum(v[j])) // count(*)) END"))
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT x.vec_id, x.label, x.p, x.v, min([list_sum(list_transform(range(1, len(x.v) + 1), lambda j: (x.v[j] - c.v[j]) * (x.v[j] - c.v[j])))::BIGINT, c.i]) AS m
+  FROM x JOIN c{k} c ON c.p = x.p GROUP BY 1, 2, 3, 4
+)""")
+    return f"""WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS MATERIALIZED (
+  SELECT vec_id, label, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS v FROM kept, (SELECT unnest(range(4)) AS p)
+), c0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS i, v FROM x WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256)
+), {", ".join(steps)}, h AS (
+  SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, i)) AS codebooks_sha256 FROM c4
+), r AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(lpad(lower(to_hex(m[2])), 2, '0'), '' ORDER BY p) AS code, sum(m[1])::BIGINT AS error FROM a4 GROUP BY 1
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM r CROSS JOIN h"""
+
+
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
 WITH d AS (
@@ -146,4 +181,5 @@ WITH d AS (
 )
 SELECT * FROM o WHERE part = 'pair' OR rank <= 50
 """,
+    "op13_vector_codes": _codes_sql(),
 }
