@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline import board
-from plumbline.functions import inference, overfit, simulate
+from plumbline.functions import inference, overfit
+from plumbline.functions.net_sharpe import Shape
 from plumbline.functions.sharpe import normal_cdf, psr_argument, sharpe, sharpe_error
 from plumbline.operators import backtest as bt
 from plumbline.operators import scoring
 from plumbline.operators.positions import refusals, weights_from_predictions
+from plumbline.operators.timeseries import change
 from plumbline.panel import calendar
+from plumbline.plans import costaware
 from plumbline.plans.contestants import trained_signal
 from plumbline.plans.panels import P1, P3, P4, actual_sql, daily_users, momentum, momentum_variants, priced, weekly_brands, weekly_market
 from plumbline.plans.queries import BAR_SQL, BAR_TAIL, DAYS_SQL, MOMENTUM, NET_SQL, WEIGHT_SQL, book_sql, books_of, r, registered, rs
@@ -335,11 +338,51 @@ def web_export_read_back(spark, sf):
     return rows.select("window", "entry", F.col("d.date").alias("date"), *(r(F.col(f"d.{c}"), c) for c in ("gross", "turnover", "short_exposure")))
 
 
+#: Offset last, as the network has it; the two features are changes over 1 and 4 rows.
+NET_WEIGHTS, NET_LAGS = (3.0, -2.0, 0.25), (1, 4)
+
+
+def net_panel(spark: SparkSession, sf: str) -> DataFrame:
+    p = priced(weekly_brands(spark, sf))
+    return p.select("date", "ticker", "target", *(change("close", k).alias(f"x{k}") for k in NET_LAGS))
+
+
+def _gradient_sql() -> str:
+    """Weights of a network without inner layers, their slopes by each parameter (k = 2 is the offset), and the days' returns and slopes."""
+    a, b, c = NET_WEIGHTS
+    x = ", ".join(f"close / nullif(lag(close, {k}) OVER v, 0) - 1 AS x{k}" for k in NET_LAGS)
+    each = lambda t: ", ".join(t.replace("#", str(k)) for k in range(3))
+    return f"""WITH {P1}, {actual_sql('p1')}, f AS (SELECT date, ticker, target, {x} FROM a WINDOW v AS (PARTITION BY ticker ORDER BY date)), g AS (SELECT * FROM f WHERE target IS NOT NULL AND x{NET_LAGS[0]} IS NOT NULL AND x{NET_LAGS[1]} IS NOT NULL),
+n AS (SELECT date, count(*)::DOUBLE AS names, row_number() OVER (ORDER BY date) - 1 AS t FROM g GROUP BY 1), s AS (SELECT t, ticker, target, names, x{NET_LAGS[0]} AS f0, x{NET_LAGS[1]} AS f1, 1.0::DOUBLE AS f2, 1 / (1 + exp(-({a} * x{NET_LAGS[0]} + {b} * x{NET_LAGS[1]} + {c}))) AS p FROM g JOIN n ON g.date = n.date),
+w AS (SELECT t, ticker, target, p / names AS w, {each("p * (1 - p) / names * f# AS d#")} FROM s),
+m AS (SELECT w.t, w.w * w.target AS gross, abs(w.w - coalesce(o.w, 0)) AS traded, {each("w.d# * w.target AS e#, sign(w.w - coalesce(o.w, 0)) * (w.d# - coalesce(o.d#, 0)) AS h#")} FROM w LEFT JOIN w o ON o.ticker = w.ticker AND o.t = w.t - 1
+ UNION ALL SELECT o.t + 1, 0, o.w, {each("0, o.d#")} FROM w o LEFT JOIN w ON w.ticker = o.ticker AND w.t = o.t + 1 WHERE w.t IS NULL AND o.t + 1 < (SELECT count(*) FROM n)),
+r AS (SELECT t, sum(gross) - 0.001::DOUBLE * sum(traded) AS r, sum(traded) AS turnover, {each("sum(e#) - 0.001::DOUBLE * sum(h#) AS q#")} FROM m GROUP BY 1),
+z AS (SELECT count(*)::DOUBLE AS n, avg(r) AS mean, stddev_samp(r) AS s, avg(turnover) AS turnover, {each("sum(q#) AS a#, sum(r * q#) AS b#")} FROM r)
+SELECT * FROM (SELECT 'sharpe' AS term, round(mean / (s + 1e-8) * {ANNUAL}, 6) + 0.0 AS value FROM z UNION ALL SELECT 'turnover', round(turnover, 6) + 0.0 FROM z
+{"".join(f" UNION ALL SELECT 'd{k}', round(-{ANNUAL} * ((1 / (n * (s + 1e-8)) + mean * mean / ((n - 1) * s * pow(s + 1e-8, 2))) * a{k} - mean / ((n - 1) * s * pow(s + 1e-8, 2)) * b{k}), 6) + 0.0 FROM z" for k in range(3))})"""
+
+
+@registered(_gradient_sql())
+def net_return_gradient(spark, sf):
+    """The ratio after costs and its gradient by every parameter of a network without inner layers."""
+    shape = Shape(len(NET_LAGS), (), 0.0)
+    return costaware.loss_and_gradient(net_panel(spark, sf), [f"x{k}" for k in NET_LAGS], NET_WEIGHTS, shape).select("term", r("value"))
+
+
+def _net_days(p: DataFrame) -> tuple[str, str]:
+    """The days up to which the network is trained and chosen: half and three quarters of the calendar."""
+    days = calendar(p)
+    n = days.count()
+    return tuple(str(days.where(F.col("ordinal") == n * k // 4 - 1).first()["date"]) for k in (2, 3))
+
+
 @registered()
-def simulation_study(spark, sf):
-    """Size at the published settings; ``simulate.study`` has all parts and is run by the command ``study``."""
-    sizes = simulate.Study()
-    return simulate.rejection_rates(spark, sizes.sims, sizes.reps, sizes.days)
+def costaware_contestant(spark, sf):
+    """Trained on net returns of the first half of the days, chosen on the next quarter, and predicting the last."""
+    p = net_panel(spark, sf)
+    train_end, val_end = _net_days(p)
+    return costaware.costaware_signal(p, [f"x{k}" for k in NET_LAGS], train_end, val_end, seeds=(42, 43), shape=Shape(2, (16, 8), 0.3), epochs=2, steps=6, rate=1e-2)
 
 
 @registered()
