@@ -50,7 +50,10 @@ def _distances(rows: np.ndarray, entries: np.ndarray) -> np.ndarray:
     x, c = rows.astype(kind), entries.astype(kind)
     if kind is np.float64:
         return (x * x).sum(axis=1)[:, None] - 2 * (x @ c.T) + (c * c).sum(axis=1)
-    return np.stack([((x - e) ** 2).sum(axis=1) for e in c], axis=1)
+    out = np.empty((len(x), len(c)), dtype=np.int64)
+    for k, e in enumerate(c):
+        out[:, k] = ((x - e) ** 2).sum(axis=1)
+    return out
 
 
 @dataclass

@@ -39,8 +39,8 @@ NEAR, NOT_VISITED = 1e-9, -3.0
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    """Rows of length one; scaled by the largest component first, so that squares neither overflow nor vanish."""
-    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    """Rows of length one."""
+    scaled = _near_one(vectors)
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
@@ -147,12 +147,15 @@ def fit_tree(points: np.ndarray, width: int, table_rows: int, seed: int = 0, lea
     return tree
 
 
+def _near_one(vectors: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that the largest component is about one; digits stay as they are."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))
+    return np.ldexp(vectors, -exponent)
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of rows with rows; each pair's value does not depend on the pairs beside it."""
-    large = max(np.abs(a).max(initial=0.0), np.abs(b).max(initial=0.0)) > 1e140
-    small = min(np.abs(a).max(axis=1).min(initial=1.0), np.abs(b).max(axis=1).min(initial=1.0)) < 1e-140
-    if large or small:
-        a, b = (x / np.abs(x).max(axis=1, keepdims=True) for x in (a, b))
+    a, b = _near_one(a), _near_one(b)
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
