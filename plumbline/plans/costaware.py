@@ -97,6 +97,8 @@ def summed(ranges: DayRanges, theta: np.ndarray, shape: Shape, cost_bps: float,
     """
     end, length = ranges.days if end is None else end, ranges.length
     width = 4 + (2 * shape.size if gradient else 0)
+    if start >= end:
+        return Sums.of(np.zeros(width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
@@ -109,7 +111,7 @@ def summed(ranges: DayRanges, theta: np.ndarray, shape: Shape, cost_bps: float,
 
     each = ranges.rows.mapInArrow(run, "s array<double>").select(array_to_vector("s").alias("s"), (F.spark_partition_id() % GROUPS).alias("g"))
     total = each.groupBy("g").agg(Summarizer.sum(F.col("s")).alias("s")).agg(Summarizer.sum(F.col("s")).alias("s")).first()["s"]
-    return Sums.of(np.zeros(width) if total is None else np.asarray(total.toArray()))
+    return Sums.of(np.asarray(total.toArray()))
 
 
 def fit_net(
