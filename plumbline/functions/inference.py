@@ -18,12 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.longrun import BARTLETT, FLOOR, MOST_RHO, bandwidths, block_lengths, fixed_bandwidth_errors, hac_covariance, influences  # noqa: F401
 from plumbline.functions.sharpe import normal_cdf, psr_argument, sharpe, sharpe_error
 from plumbline.lineage import settled
 
 DAYS = 252
-#: Fixed values of the estimators: variance floor, bound of autocorrelations, Bartlett constant.
-FLOOR, MOST_RHO, BARTLETT = 1e-30, 0.97, 1.1447
 SAME = 1e-15
 #: Values held at once by a batch of resamples.
 AT_ONCE = 4_000_000
@@ -194,11 +193,6 @@ def _xy(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["x"].to_numpy(dtype=float), rows["y"].fillna(0.0).to_numpy(dtype=float)
 
 
-def block_lengths(series: DataFrame) -> DataFrame:
-    """(entry, block) of series (entry, ordinal, x, y); a null y is cash."""
-    return series.select("entry", "ordinal", "x", "y").groupBy("entry").applyInPandas(lambda g: pd.DataFrame({"entry": [g["entry"].iloc[0]], "block": [block_length(influence(*_xy(g)))]}), "entry string, block int")
-
-
 def common_block(series: DataFrame) -> int:
     """The median of the entries' block lengths, rounded down; 5 if there are none."""
     m = block_lengths(series).agg(F.median("block").alias("m")).first()["m"]
@@ -357,40 +351,6 @@ def net_edge(series: DataFrame, method: str = "ledoit_wolf", reps: int = 2000, a
     return edge.withColumn("method", F.lit(method)).join(about.withColumn("psr_vs_zero", normal_cdf("_z")).drop("_z"), "entry")
 
 
-def influences(series: DataFrame) -> DataFrame:
-    """(entry, ordinal, influence) of every day; a task has one entry's series."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ordinal")
-        return pd.DataFrame({"entry": g["entry"], "ordinal": g["ordinal"], "influence": influence(*_xy(g))})
-
-    return series.select("entry", "ordinal", "x", "y").groupBy("entry").applyInPandas(run, "entry string, ordinal long, influence double")
-
-
-def bandwidths(series: DataFrame) -> DataFrame:
-    """(entry, bandwidth): Andrews' plug-in for the prewhitened columns of every entry."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        x, y = _xy(g)
-        z, _, _ = _moments(x[None], None if _is_cash(y) else y[None])
-        c = z - z.mean(axis=-1, keepdims=True)
-        u = c[..., 1:] - _first_autocorrelation(c)[..., None] * c[..., :-1]
-        return pd.DataFrame({"entry": [g["entry"].iloc[0]], "bandwidth": bandwidth(u)})
-
-    return series.select("entry", "ordinal", "x", "y").groupBy("entry").applyInPandas(run, "entry string, bandwidth double")
-
-
-def fixed_bandwidth_errors(series: DataFrame, lags: float) -> DataFrame:
-    """(entry, edge, se) with a given bandwidth instead of the estimated one."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        x, y = _xy(g)
-        d, s = sharpe_difference(x, None if _is_cash(y) else y, lags=lags)
-        return pd.DataFrame({"entry": [g["entry"].iloc[0]], "edge": d, "se": s})
-
-    return series.select("entry", "ordinal", "x", "y").groupBy("entry").applyInPandas(run, "entry string, edge double, se double")
-
-
 def formula_bootstrap(series: DataFrame, reps: int, block: int, start: tuple[int, int, int], alpha: float = 0.05) -> DataFrame:
     """(entry, ci_low, ci_high, p_positive) where block b of replicate r starts on day (a r + c b + k) mod n.
 
