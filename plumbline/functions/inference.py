@@ -4,8 +4,8 @@ The kernels work on stacks of resamples at once. The long-run variance is needed
 the gradient, so the moments are first folded into one series per resample and a single
 autocovariance sequence replaces the covariance matrices.
 
-Work is dealt by entry and range of replicates: the dates a replicate draws depend on the seed
-alone, so every task draws the same ones and no matrix of all entries is ever in one place.
+Work is dealt by entry and range of replicates: the dates a replicate draws depend on the seed and
+its number alone, so all entries get the same ones and no matrix of all entries is ever in one place.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.longrun import BARTLETT, FLOOR, MOST_RHO, bandwidths, block_lengths, fixed_bandwidth_errors, hac_covariance, influences  # noqa: F401
+from plumbline.functions.longrun import BARTLETT, FLOOR, MOST_RHO, bandwidths, block_lengths, fixed_bandwidth_errors, hac_covariance, influences, long_run  # noqa: F401
 from plumbline.functions.sharpe import normal_cdf, psr_argument, sharpe, sharpe_error
 from plumbline.lineage import settled
 
@@ -26,8 +26,8 @@ DAYS = 252
 SAME = 1e-15
 #: Values held at once by a batch of resamples.
 AT_ONCE = 4_000_000
-#: Replicates of one entry that a task makes.
-REPS_AT_ONCE = 250
+#: Replicates of one entry that a task makes, and hypotheses of a replicate that the stepdown sorts together.
+REPS_AT_ONCE, HYPOTHESES_AT_ONCE = 250, 4096
 
 
 def _is_cash(y: np.ndarray | None) -> bool:
@@ -151,9 +151,20 @@ def block_length(x: np.ndarray, default: int = 5) -> int:
     return int(np.clip(round(best), 1, max(n // 3, 1))) if math.isfinite(best) else default
 
 
-def block_starts(n: int, block: int, reps: int, seed: int) -> np.ndarray:
-    """(reps, blocks) first days of circular blocks: one stream for all replicates, whoever draws them."""
-    return np.random.default_rng(seed).integers(0, n, (reps, -(-n // block)))
+Starts = tuple[int, int, int]
+
+
+def block_starts(n: int, block: int, first: int, last: int, seed: int | Starts) -> np.ndarray:
+    """(replicates, blocks) first days of the circular blocks of the replicates from ``first`` up to ``last``.
+
+    Each replicate has a stream of its own, so a task draws only what it uses. Three numbers
+    (a, c, k) in place of a seed are a formula: block b of replicate r starts on day (a r + c b + k) mod n.
+    """
+    blocks = -(-n // block)
+    if isinstance(seed, tuple):
+        a, c, k = seed
+        return (a * np.arange(first, last)[:, None] + c * np.arange(blocks) + k) % n
+    return np.array([np.random.default_rng([seed, rep]).integers(0, n, blocks) for rep in range(first, last)]).reshape(last - first, blocks)
 
 
 def circular(starts: np.ndarray, block: int, n: int) -> np.ndarray:
@@ -161,7 +172,7 @@ def circular(starts: np.ndarray, block: int, n: int) -> np.ndarray:
 
 
 def bootstrap_t(
-    x: np.ndarray, y: np.ndarray | None, block: int, reps: int, seed: int, prewhite: bool = True, error_floor: float = 0.0, only: tuple[int, int] | None = None
+    x: np.ndarray, y: np.ndarray | None, block: int, reps: int, seed: int | Starts, prewhite: bool = True, error_floor: float = 0.0, only: tuple[int, int] | None = None
 ) -> tuple[float, float, np.ndarray]:
     """Difference, standard error and the studentised differences of all replicates, or of those from ``only``'s first up to its last.
 
@@ -175,7 +186,7 @@ def bootstrap_t(
     if same or s <= 0:
         return (0.0 if same else d), 0.0, out
     n = len(x)
-    starts = block_starts(n, block, reps, seed)[first:last]
+    starts = block_starts(n, block, first, last, seed)
     step = max(1, AT_ONCE // (4 * n))
     for a in range(0, len(out), step):
         at = circular(starts[a : a + step], block, n)
@@ -205,7 +216,7 @@ def by_replicates(series: DataFrame, reps: int, at_once: int = REPS_AT_ONCE) ->
     return series.withColumn("_r", F.explode(ranges)).select(*series.columns, "_r.first", "_r.last")
 
 
-def replicate_statistics(series: DataFrame, block: int | DataFrame, reps: int = 2000, seed: int = 0, prewhite: bool = True, error_floor: float = 0.0) -> DataFrame:
+def replicate_statistics(series: DataFrame, block: int | DataFrame, reps: int = 2000, seed: int | Starts = 0, prewhite: bool = True, error_floor: float = 0.0) -> DataFrame:
     """(entry, block, edge, se, rep, t_star): the studentised difference of every entry in every replicate.
 
     ``block`` is one length for all or a table (entry, block). A task has one entry's series and
@@ -230,18 +241,39 @@ def require_one_calendar(series: DataFrame) -> None:
         raise ValueError("the series of a board must share one calendar")
 
 
-def stepdown(long: DataFrame, alpha: float = 0.05, keys: Sequence[str] = ()) -> DataFrame:
+def _ranges(hypotheses: DataFrame, keys: Sequence[str], at_once: int) -> DataFrame:
+    """(keys, entry, t, live, part): hypotheses cut into ranges of about ``at_once`` in order of keys, t and entry.
+
+    Equal t are cut by entry, so that many dead hypotheses are no range of their own. Where there
+    is more than one range it is written down, as a second run might cut elsewhere.
+    """
+    n = -(-hypotheses.count() // at_once)
+    if n <= 1:
+        return hypotheses.withColumn("part", F.lit(0))
+    return settled(hypotheses.repartitionByRange(n, *keys, "t", F.desc("entry")).withColumn("part", F.spark_partition_id()))
+
+
+def stepdown(long: DataFrame, alpha: float = 0.05, keys: Sequence[str] = (), at_once: int = HYPOTHESES_AT_ONCE) -> DataFrame:
     """(keys, entry, p_value_fwe, clears_bar_fwe) from (keys, entry, t, live, rep, t_star).
 
     Romano and Wolf: each hypothesis is held against the largest t_star of itself and of those
-    with a smaller t; adjusted values never fall from one to the next. As windows: a running
-    maximum per replicate over ascending t, then a running maximum over descending t.
+    with a smaller t; adjusted values never fall from one to the next. Both are running maxima, in
+    two levels: hypotheses in order of t are cut into ranges, a range's own maximum is carried to
+    those after it, and within a range the maximum runs over up to about ``at_once`` of them.
     """
-    rising = Window.partitionBy(*keys, "rep").orderBy("t", F.desc("entry")).rowsBetween(Window.unboundedPreceding, 0)
-    held = long.withColumn("_max", F.max("t_star").over(rising))
-    p = held.groupBy(*keys, "entry", "t", "live").agg(((F.count_if(F.col("_max") >= F.col("t")) + 1) / (F.count("*") + 1)).alias("_p"))
-    falling = Window.partitionBy(*keys).orderBy(F.desc("t"), "entry").rowsBetween(Window.unboundedPreceding, 0)
-    out = p.withColumn("p_value_fwe", F.max("_p").over(falling))
+    cut = _ranges(long.groupBy(*keys, "entry").agg(F.first("t").alias("t"), F.first("live").alias("live")), keys, at_once)
+    rows = long.drop("t", "live").join(cut, [*keys, "entry"])
+    earlier = Window.partitionBy(*keys, "rep").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(*keys, "rep", "part").agg(F.max("t_star").alias("_top")).withColumn("_carry", F.max("_top").over(earlier)).drop("_top")
+    rising = Window.partitionBy(*keys, "rep", "part").orderBy("t", F.desc("entry")).rowsBetween(Window.unboundedPreceding, 0)
+    held = rows.withColumn("_own", F.max("t_star").over(rising)).join(carried, [*keys, "rep", "part"])
+    top = F.greatest("_own", "_carry")  # a null carry, before the first range, is passed over
+    p = held.groupBy(*keys, "entry", "t", "live", "part").agg(((F.count_if(top >= F.col("t")) + 1) / (F.count("*") + 1)).alias("_p"))
+    # One row for each range, so this window without a key holds a 4096th of the hypotheses.
+    later = Window.partitionBy(*keys).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    least = p.groupBy(*keys, "part").agg(F.max("_p").alias("_top")).withColumn("_carry", F.max("_top").over(later)).drop("_top")
+    falling = Window.partitionBy(*keys, "part").orderBy(F.desc("t"), "entry").rowsBetween(Window.unboundedPreceding, 0)
+    out = p.withColumn("_own", F.max("_p").over(falling)).join(least, [*keys, "part"]).withColumn("p_value_fwe", F.greatest("_own", "_carry"))
     return out.select(*keys, "entry", "p_value_fwe", ((F.col("p_value_fwe") <= alpha) & F.col("live") & (F.col("t") > 0)).alias("clears_bar_fwe"))
 
 
@@ -259,7 +291,7 @@ def _tested(long: DataFrame, reps: int, alpha: float) -> DataFrame:
     return out.withColumns({"clears_bar": F.col("ci_low") > 0, "n_boot": F.lit(reps)})
 
 
-def joint_sharpe_tests(series: DataFrame, reps: int = 1000, block: int | None = None, alpha: float = 0.05, seed: int = 0, prewhite: bool = True, error_floor: float = 0.0) -> DataFrame:
+def joint_sharpe_tests(series: DataFrame, reps: int = 1000, block: int | None = None, alpha: float = 0.05, seed: int | Starts = 0, prewhite: bool = True, error_floor: float = 0.0) -> DataFrame:
     """One row per entry: net_edge, se, t_stat, interval, p values, and those corrected for the whole board.
 
     ``series`` is (entry, ordinal, x, y), the daily returns of entry and bar; y null is cash.
@@ -277,7 +309,7 @@ def joint_sharpe_tests(series: DataFrame, reps: int = 1000, block: int | None =
     return _tested(long, reps, alpha).join(stepdown(ranked, alpha), "entry")
 
 
-def separate_sharpe_tests(series: DataFrame, reps: int = 2000, block: int | None = None, alpha: float = 0.05, seed: int = 0, prewhite: bool = True, error_floor: float = 0.0) -> DataFrame:
+def separate_sharpe_tests(series: DataFrame, reps: int = 2000, block: int | None = None, alpha: float = 0.05, seed: int | Starts = 0, prewhite: bool = True, error_floor: float = 0.0) -> DataFrame:
     """The same without the correction for a board: each entry by itself, with its own days and block length.
 
     What an entry gets does not depend on which others are there.

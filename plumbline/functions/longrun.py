@@ -132,34 +132,36 @@ def _at(lag: int) -> Column:
     return F.first(F.when(F.col("lag") == lag, F.col("g")), ignorenulls=True)
 
 
-def _diagonal(c: str, k: int) -> Column:
-    return F.coalesce(F.col(c)[k * (len(MOMENTS) + 1)], F.lit(0.0))
+def _by_entry(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("entry").agg(_at(0).alias("s0"), _at(1).alias("s1"), _at(FIRST).alias("first"), _at(LAST).alias("last"))
 
 
-def _autocorrelation(k: int) -> Column:
-    """Of column k from its sums at lags 0 and 1: the product with the day before over the squares of all but the last day."""
-    below = _diagonal("s0", k) - _diagonal("last", k)
-    rho = F.when(below > 0, _diagonal("s1", k) / F.nullif(below, F.lit(0.0))).otherwise(F.lit(0.0))
-    return F.greatest(F.lit(-MOST_RHO), F.least(F.lit(MOST_RHO), rho))
+def _each_moment(f) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(len(MOMENTS) - 1)), f)
 
 
-def _by_entry(sums: DataFrame) -> DataFrame:
-    return sums.groupBy("entry").agg(_at(0).alias("s0"), _at(1).alias("s1"), _at(FIRST).alias("first"), _at(LAST).alias("last"))
+def _diagonal(c: str, k: Column) -> Column:
+    return F.coalesce(F.get(c, k * (len(MOMENTS) + 1)), F.lit(0.0))
 
 
-def _every(f) -> list[Column]:
-    return [f(k) for k in range(len(MOMENTS))]
+def _autocorrelation(k: Column) -> Column:
+    """Of column k from its sums at lags 0 and 1: the product with the day before over the squares of all but the last day."""
+    below = _diagonal("s0", k) - _diagonal("last", k)
+    rho = F.when(below > 0, _diagonal("s1", k) / F.nullif(below, F.lit(0.0))).otherwise(F.lit(0.0))
+    return F.greatest(F.lit(-MOST_RHO), F.least(F.lit(MOST_RHO), rho))
 
 
-def _plug_in() -> Column:
-    """Andrews' bandwidth for the Bartlett kernel from the sums of the whitened columns, of which there are ``m`` rows."""
-    h = _every(_autocorrelation)
-    square = _every(lambda k: (_diagonal("s0", k) - _diagonal("first", k) - 2 * h[k] * _diagonal("s1", k) + h[k] * h[k] * (_diagonal("s0", k) - _diagonal("last", k))) / F.nullif(F.col("m") - 1, F.lit(0)))
-    fourth = [s * s for s in square]
-    num = sum((4 * a * a * s / (F.pow(1 - a, 6.0) * F.pow(1 + a, 2.0)) for a, s in zip(h, fourth, strict=True)), F.lit(0.0))
-    den = sum((s / F.pow(1 - a, 4.0) for a, s in zip(h, fourth, strict=True)), F.lit(0.0))
-    alpha = F.when(den > 0, num / F.nullif(den, F.lit(0.0))).otherwise(F.lit(0.0))
-    return F.greatest(F.lit(1.0), F.least(BARTLETT * F.cbrt(alpha * F.col("m")), F.greatest(F.col("m") - 2, F.lit(1)).cast("double")))
+def _with_bandwidth(sums: DataFrame) -> DataFrame:
+    """Adds Andrews' bandwidth for the Bartlett kernel, from the sums of the whitened columns, of which there are ``m`` rows."""
+    m, h = F.col("m"), lambda k: F.get("h", k)
+    square = lambda k: (_diagonal("s0", k) - _diagonal("first", k) - 2 * h(k) * _diagonal("s1", k) + h(k) * h(k) * (_diagonal("s0", k) - _diagonal("last", k))) / F.nullif(m - 1, F.lit(0))
+    part = lambda k: F.struct(h(k).alias("h"), (square(k) * square(k)).alias("s"))
+    total = lambda f: F.aggregate("parts", F.lit(0.0), lambda t, p: t + f(p["h"], p["s"]))
+    parts = sums.withColumn("h", _each_moment(_autocorrelation)).withColumn("parts", _each_moment(part))
+    both = parts.withColumns({"num": total(lambda a, s: 4 * a * a * s / (F.pow(1 - a, 6.0) * F.pow(1 + a, 2.0))), "den": total(lambda a, s: s / F.pow(1 - a, 4.0))})
+    alpha = F.when(F.col("den") > 0, F.col("num") / F.nullif("den", F.lit(0.0))).otherwise(F.lit(0.0))
+    width = F.greatest(F.lit(1.0), F.least(BARTLETT * F.cbrt(alpha * m), F.greatest(m - 2, F.lit(1)).cast("double")))
+    return both.withColumn("bandwidth", width)
 
 
 def long_run(series: DataFrame, lags: float | None = None, prewhite: bool = True, size: int = BLOCK_DAYS) -> DataFrame:
@@ -173,25 +175,29 @@ def long_run(series: DataFrame, lags: float | None = None, prewhite: bool = True
     rows = settled(numbered(series, size).join(about.select("entry", "cash", "mean"), "entry").select("entry", "pos", F.array(*_centred(F.col("x"), F.col("y"))).alias("c")))
     k = len(MOMENTS)
     nothing = F.lit(None).cast("array<double>")
-    plain = about.select("entry", "n", F.lit(1).alias("lags"), nothing.alias("rho"))
-    rho = F.when(F.col("n") > 3, F.array(*_every(_autocorrelation))) if prewhite else nothing
-    white = about.select("entry", "n").join(_by_entry(lag_sums(rows, plain, k, size)), "entry").select("entry", "n", F.lit(1).alias("lags"), rho.alias("rho"))
-    white = settled(white.withColumn("m", F.col("n") - F.col("rho").isNotNull().cast("int")))
+    white = about.select("entry", "n", F.lit(1).alias("lags"), nothing.alias("rho"))
+    if prewhite:
+        found = about.select("entry", "n").join(_by_entry(lag_sums(rows, white, k, size)), "entry")
+        white = settled(found.select("entry", "n", F.lit(1).alias("lags"), F.when(F.col("n") > 3, _each_moment(_autocorrelation)).alias("rho")))
+    sized = white.withColumn("m", F.col("n") - F.col("rho").isNotNull().cast("int"))
     if lags is None:
-        width = white.join(_by_entry(lag_sums(rows, white.drop("m"), k, size)), "entry").select("entry", "n", "rho", "m", _plug_in().alias("bandwidth"))
+        wide = _with_bandwidth(sized.join(_by_entry(lag_sums(rows, white, k, size)), "entry")).select("entry", "n", "rho", "m", "bandwidth")
     else:
-        width = white.select("entry", "n", "rho", "m", F.lit(float(lags)).alias("bandwidth"))
-    width = settled(width.withColumn("lags", F.when(F.col("m") < 3, 0).otherwise(F.floor("bandwidth").cast("int"))))
-    summed = lag_sums(rows, width.select("entry", "n", "lags", "rho"), k, size).where("lag >= 0").join(width, "entry")
+        wide = sized.select("entry", "n", "rho", "m", F.lit(float(lags)).alias("bandwidth"))
+    wide = settled(wide.withColumn("lags", F.when(F.col("m") < 3, 0).otherwise(F.floor("bandwidth").cast("int"))))
     weight = F.when(F.col("lag") == 0, 0.5).otherwise(1 - F.col("lag") / (F.col("bandwidth") + 1))
-    colour = lambda a: F.when(F.col("rho").isNull(), 1.0).otherwise(1 / (1 - F.col("rho")[a]))
-    each = [F.sum(weight * (F.col("g")[a * k + b] + F.col("g")[b * k + a]) * colour(a) * colour(b) / F.greatest(F.col("m"), F.lit(1))) for a in range(k) for b in range(k)]
-    matrix = summed.groupBy("entry", "bandwidth").agg(F.array(*each).alias("matrix"))
-    form = sum((F.col("grad")[a] * F.col("grad")[b] * F.col("matrix")[a * k + b] for a in range(k) for b in range(k)), F.lit(0.0))
+    summed = lag_sums(rows, wide.select("entry", "n", "lags", "rho"), k, size).where("lag >= 0").join(wide.select("entry", "bandwidth"), "entry").withColumn("_w", weight)
+    halves = summed.groupBy("entry").agg(F.array(*(F.sum(F.col("_w") * F.col("g")[i]) for i in range(k * k))).alias("half")).join(wide, "entry")
+    cells, row, column = F.sequence(F.lit(0), F.lit(k * k - 1)), lambda i: F.floor(i / k).cast("int"), lambda i: i % k
+    colour = lambda i: F.coalesce(1 / (1 - F.get("rho", i)), F.lit(1.0))
+    both = lambda i: (F.get("half", i) + F.get("half", column(i) * k + row(i))) * colour(row(i)) * colour(column(i)) / F.greatest(F.col("m"), F.lit(1))
+    matrix = halves.select("entry", "bandwidth", F.transform(cells, both).alias("matrix"))
+    form = F.aggregate(cells, F.lit(0.0), lambda t, i: t + F.get("grad", row(i)) * F.get("grad", column(i)) * F.get("matrix", i))
     year, dead = math.sqrt(DAYS), F.col("flat") | (F.col("n") < 3)
-    error = F.sqrt(F.greatest(form / F.col("n"), F.lit(0.0))) * year
+    error = F.sqrt(F.greatest(F.col("_v") / F.col("n"), F.lit(0.0))) * year
     zero = lambda c: F.when(dead, F.lit(0.0)).otherwise(c)
-    return about.join(matrix, "entry").select("entry", "n", zero(F.col("edge") * year).alias("edge"), zero(error).alias("se"), "bandwidth", "matrix")
+    whole = about.join(matrix, "entry").withColumn("_v", form)
+    return whole.select("entry", "n", zero(F.col("edge") * year).alias("edge"), zero(error).alias("se"), "bandwidth", "matrix")
 
 
 def bandwidths(series: DataFrame) -> DataFrame:
@@ -220,7 +226,7 @@ def block_lengths(series: DataFrame, size: int = BLOCK_DAYS) -> DataFrame:
     Autocorrelations at up to root(n) lags come from blocks of days; the rule reads one array for
     each entry. Under 40 days, or where the rule has no answer, DEFAULT_BLOCK.
     """
-    about = moments(series)
+    about = settled(moments(series))
     rows = numbered(series, size).join(about, "entry").select("entry", "pos", F.array(_influence()).alias("c"))
     n = F.col("n")
     most = F.least(F.ceil(F.sqrt(n.cast("double"))) + QUIET, n - 3).cast("int")

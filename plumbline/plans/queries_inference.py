@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline import board
-from plumbline.functions import inference, overfit
+from plumbline.functions import inference, longrun, overfit
 from plumbline.functions.net_sharpe import Shape
 from plumbline.functions.sharpe import normal_cdf, psr_argument, sharpe, sharpe_error
+from plumbline.lineage import settled
 from plumbline.operators import backtest as bt
 from plumbline.operators import scoring
 from plumbline.operators.positions import refusals, weights_from_predictions
@@ -90,10 +91,14 @@ def influence_series(spark, sf):
     return inference.influences(pair(spark, sf)).select(F.col("ordinal").cast("int").alias("ordinal"), r("influence"))
 
 
-@registered(f"""WITH {PAIR_SQL}, {WHITE_SQL}, k AS (SELECT *, {_each("lag(u#) OVER (ORDER BY ordinal) AS b#")} FROM u), h AS (SELECT {_rho("u", "b", "h")} FROM k WHERE b0 IS NOT NULL),
-s4 AS (SELECT {_each("pow(avg(pow(u# - h# * b#, 2)), 2) AS s#")}, {_each("max(h#) AS h#")} FROM k CROSS JOIN h WHERE b0 IS NOT NULL), n AS (SELECT count(*) AS n FROM u),
-al AS (SELECT n, ({" + ".join(f"4 * h{k} * h{k} * s{k} / (pow(1 - h{k}, 6) * pow(1 + h{k}, 2))" for k in range(4))}) / ({" + ".join(f"s{k} / pow(1 - h{k}, 4)" for k in range(4))}) AS alpha FROM s4 CROSS JOIN n)
-SELECT {rs('greatest(1.0, least(n - 2, 1.1447 * cbrt(alpha * n))) AS bandwidth')} FROM al""")
+#: Andrews' bandwidth of the whitened columns; ``al`` has n and alpha.
+PLUG_IN_SQL = f"""k AS (SELECT *, {_each("lag(u#) OVER (ORDER BY ordinal) AS b#")} FROM u), h AS (SELECT {_rho("u", "b", "h")} FROM k WHERE b0 IS NOT NULL),
+s4 AS (SELECT {_each("pow(avg(pow(u# - h# * b#, 2)), 2) AS s#")}, {_each("max(h#) AS h#")} FROM k CROSS JOIN h WHERE b0 IS NOT NULL), nu AS (SELECT count(*) AS n FROM u),
+al AS (SELECT n, ({" + ".join(f"4 * h{k} * h{k} * s{k} / (pow(1 - h{k}, 6) * pow(1 + h{k}, 2))" for k in range(4))}) / ({" + ".join(f"s{k} / pow(1 - h{k}, 4)" for k in range(4))}) AS alpha FROM s4 CROSS JOIN nu),
+plug AS (SELECT n, greatest(1.0, least(n - 2, 1.1447 * cbrt(alpha * n))) AS b FROM al)"""
+
+
+@registered(f"WITH {PAIR_SQL}, {WHITE_SQL}, {PLUG_IN_SQL} SELECT {rs('b AS bandwidth')} FROM plug")
 def andrews_bandwidth(spark, sf):
     return inference.bandwidths(pair(spark, sf)).select(r("bandwidth"))
 
@@ -112,6 +117,41 @@ def hac_se_fixed_bandwidth(spark, sf):
     return inference.fixed_bandwidth_errors(pair(spark, sf), LAGS).select(r("edge"), r("se"))
 
 
+def _automatic_sql() -> str:
+    v = " + ".join(f"q{k} / (1 - r{k}) * u{k}" for k in range(4))
+    return f"""WITH {PAIR_SQL}, {WHITE_SQL}, {PLUG_IN_SQL}, vs AS (SELECT ordinal, {v} AS v FROM u CROSS JOIN rh CROSS JOIN gr),
+j AS (SELECT unnest(range(0, floor(b)::BIGINT + 1)) AS j, b, n FROM plug), p AS (SELECT j, max(b) AS b, max(n) AS n, sum(x.v * y.v) AS s FROM j JOIN vs x ON true JOIN vs y ON y.ordinal = x.ordinal - j GROUP BY j),
+lr AS (SELECT sum(CASE WHEN j = 0 THEN s ELSE 2 * (1 - j / (b + 1)) * s END) / max(n) AS v, max(b) AS b FROM p)
+SELECT 'momentum' AS entry, {rs('b AS bandwidth', f'(m1 / sqrt(d1) - m2 / sqrt(d2)) * {ANNUAL} AS edge', f'sqrt(v / t) * {ANNUAL} AS se')} FROM lr CROSS JOIN gr"""
+
+
+@registered(_automatic_sql())
+def hac_se_automatic(spark, sf):
+    """The error with Andrews' own bandwidth."""
+    return inference.long_run(pair(spark, sf)).select("entry", r("bandwidth"), r("edge"), r("se"))
+
+
+def _matrix_sql() -> str:
+    """Long-run covariance of every two columns over the product of their deviations."""
+    lagged = ", ".join(_each(f"lag(u#, {j}) OVER (ORDER BY ordinal) AS u#_{j}") for j in range(1, LAGS + 1))
+    names = ("x", "y", "xx", "yy")
+    cells = []
+    for a in range(4):
+        for b in range(4):
+            total = " + ".join([f"sum(u{a} * u{b})", *(f"(1 - {j} / {LAGS + 1}.0::DOUBLE) * (sum(u{a} * u{b}_{j}) + sum(u{b} * u{a}_{j}))" for j in range(1, LAGS + 1))])
+            cells.append(f"SELECT '{names[a]}' AS a, '{names[b]}' AS b, round(({total}) / count(*) / (1 - max(r{a})) / (1 - max(r{b})) / max(k{a} * k{b}), 6) + 0.0 AS value FROM ul CROSS JOIN rh CROSS JOIN sd")
+    return f"WITH {PAIR_SQL}, {WHITE_SQL}, ul AS (SELECT {_each('u#')}, {lagged} FROM u), sd AS (SELECT {', '.join(f'stddev_pop({c}) AS k{k}' for k, c in enumerate(COLUMNS))} FROM xy) {' UNION ALL '.join(cells)}"
+
+
+@registered(_matrix_sql())
+def hac_covariance_matrix(spark, sf):
+    """The whole matrix, each cell over the product of the two columns' deviations."""
+    xy = settled(pair(spark, sf))
+    sd = xy.agg(*(F.stddev_pop(F.expr(c)).alias(n) for c, n in zip(COLUMNS, longrun.MOMENTS, strict=True))).unpivot([], list(longrun.MOMENTS), "name", "sd")
+    cells = inference.hac_covariance(xy, LAGS).join(sd.toDF("a", "_a"), "a").join(sd.toDF("b", "_b"), "b")
+    return cells.select("a", "b", r(F.col("value") / F.col("_a") / F.col("_b"), "value"))
+
+
 REPS, BLOCK, STARTS = 200, 10, (7919, 104729, 31)
 
 
@@ -152,13 +192,13 @@ def pbo_cscv(spark, sf):
     return overfit.overfitting_probability(series, calendar(p).count(), BLOCKS).select(r("pbo"), "n_combinations", r("median_logit"), r("median_rank"), "n_splits")
 
 
-def user_stepdown(events: DataFrame) -> DataFrame:
+def user_stepdown(events: DataFrame, at_once: int = inference.HYPOTHESES_AT_ONCE) -> DataFrame:
     """The stepdown over one hypothesis a user, with a matrix of 40 columns from the events."""
     e = events.select(F.col("user_id").cast("string").alias("entry"), (F.col("event_id") % 40).cast("long").alias("rep"), "value")
     l = e.groupBy("entry", "rep").agg(F.max("value").alias("t_star"))  # noqa: E741
     full = l.select("entry").distinct().select("entry", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("rep")).join(l, ["entry", "rep"], "left").select("entry", "rep", F.coalesce("t_star", F.lit(0.0)).alias("t_star"))
     t = full.groupBy("entry").agg((3 * F.avg("t_star")).alias("t"), F.lit(True).alias("live"))
-    return inference.stepdown(full.join(t, "entry")).select("entry", r("p_value_fwe"), "clears_bar_fwe")
+    return inference.stepdown(full.join(t, "entry"), at_once=at_once).select("entry", r("p_value_fwe"), "clears_bar_fwe")
 
 
 STEPDOWN_SQL = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS entry, CAST(event_id % 40 AS BIGINT) AS rep, value FROM events), l AS (SELECT entry, rep, max(value) AS t_star FROM e GROUP BY 1, 2),
@@ -174,7 +214,8 @@ def stepdown_from_matrix(spark, sf):
 
 @registered(STEPDOWN_SQL)
 def stepdown_of_all_users(spark, sf):
-    return stepdown_from_matrix(spark, sf)
+    """The same in ranges of 64 users, whose maxima are carried from one to the next."""
+    return user_stepdown(spark.read.parquet(f"{sf}/events.parquet"), at_once=64)
 
 
 @registered()
@@ -193,6 +234,43 @@ def joint_stepdown(spark, sf):
     return inference.joint_sharpe_tests(series.select(F.col("variant").alias("entry"), "ordinal", F.col("ret").alias("x")).join(bar_of(p), "ordinal"))
 
 
+JOINT_REPS = 60
+
+
+def _joint_sql() -> str:
+    """The whole joint test: resampled series (rep -1 is the sample), whitening, bandwidth and lag sums of each, intervals, p values, stepdown."""
+    a, c, k = STARTS
+    each = lambda t: ", ".join(t.replace("#", str(i)) for i in range(4))
+    rho = lambda of, before, out: each(f"greatest(-0.97, least(0.97, coalesce(sum({of}# * {before}#) / nullif(sum({before}# * {before}#), 0), 0))) AS {out}#")
+    keys = "variant, rep"
+    return f"""{PBO_SQL.split(', z AS (SELECT (count(*)')[0]}, {BAR_TAIL}, xy AS (SELECT variant, rt.ordinal, rt.ret AS x, bar.bar AS y FROM rt JOIN bar ON rt.ordinal = bar.ordinal), t AS (SELECT count(*) // {VARIANTS} AS t FROM xy),
+i AS (SELECT -1 AS rep, pos, pos AS src FROM t, LATERAL (SELECT unnest(range(t)) AS pos) UNION ALL SELECT rep, pos, (({a} * rep + {c} * (pos // {BLOCK}) + {k}) % t + pos % {BLOCK}) % t FROM t, (SELECT unnest(range({JOINT_REPS})) AS rep), LATERAL (SELECT unnest(range(t)) AS pos)),
+smp AS (SELECT variant, rep, pos, x AS c0, y AS c1, x * x AS c2, y * y AS c3 FROM i JOIN xy ON i.src = xy.ordinal),
+mo AS (SELECT {keys}, count(*) AS t, {each("avg(c#) AS a#")} FROM smp GROUP BY 1, 2), dd AS (SELECT *, a2 - a0 * a0 AS d1, a3 - a1 * a1 AS d2 FROM mo),
+gr AS (SELECT {keys}, t, a0, a1, a2, a3, a0 / sqrt(d1) - a1 / sqrt(d2) AS edge, a2 / pow(d1, 1.5) AS q0, -a3 / pow(d2, 1.5) AS q1, -a0 / (2 * pow(d1, 1.5)) AS q2, a1 / (2 * pow(d2, 1.5)) AS q3 FROM dd),
+z AS (SELECT {keys}, pos, {each("c# - a# AS z#")} FROM smp JOIN gr USING ({keys})), l AS (SELECT *, {each("lag(z#) OVER w AS p#")} FROM z WINDOW w AS (PARTITION BY {keys} ORDER BY pos)),
+rh AS (SELECT {keys}, {rho("z", "p", "r")} FROM l WHERE pos > 0 GROUP BY 1, 2), u AS (SELECT {keys}, pos, {each("z# - r# * p# AS u#")} FROM l JOIN rh USING ({keys}) WHERE pos > 0),
+ub AS (SELECT *, {each("lag(u#) OVER w AS b#")} FROM u WINDOW w AS (PARTITION BY {keys} ORDER BY pos)), h AS (SELECT {keys}, {rho("u", "b", "h")} FROM ub WHERE pos > 1 GROUP BY 1, 2),
+s4 AS (SELECT {keys}, {each("pow(avg(pow(u# - h# * b#, 2)), 2) AS s#")}, {each("max(h#) AS h#")} FROM ub JOIN h USING ({keys}) WHERE pos > 1 GROUP BY 1, 2),
+plug AS (SELECT {keys}, greatest(1.0, least(t - 3, 1.1447 * cbrt((t - 1) * ({" + ".join(f"4 * h{i} * h{i} * s{i} / (pow(1 - h{i}, 6) * pow(1 + h{i}, 2))" for i in range(4))}) / ({" + ".join(f"s{i} / pow(1 - h{i}, 4)" for i in range(4))})))) AS b FROM s4 JOIN gr USING ({keys})),
+v AS (SELECT {keys}, pos, {" + ".join(f"q{i} / (1 - r{i}) * u{i}" for i in range(4))} AS v FROM u JOIN rh USING ({keys}) JOIN gr USING ({keys})),
+j AS (SELECT {keys}, b, unnest(range(0, floor(b)::BIGINT + 1)) AS j FROM plug), lg AS (SELECT j.variant, j.rep, j.j, max(b) AS b, sum(x.v * y.v) AS s FROM j JOIN v x ON x.variant = j.variant AND x.rep = j.rep JOIN v y ON y.variant = x.variant AND y.rep = x.rep AND y.pos = x.pos - j.j GROUP BY 1, 2, 3),
+e AS (SELECT variant, rep, max(edge) * {ANNUAL} AS d, sqrt(greatest(sum(CASE WHEN j = 0 THEN s ELSE 2 * (1 - j / (b + 1)) * s END), 0) / max(t - 1) / max(t)) * {ANNUAL} AS se FROM lg JOIN gr USING ({keys}) GROUP BY 1, 2),
+o AS (SELECT variant, d, se, d / se AS t FROM e WHERE rep = -1), b AS (SELECT e.variant, e.rep, o.d, o.se, o.t, (e.d - o.d) / e.se AS star FROM e JOIN o USING (variant) WHERE e.rep >= 0),
+top AS (SELECT variant, rep, t, max(star) OVER (PARTITION BY rep ORDER BY t, variant DESC ROWS UNBOUNDED PRECEDING) AS top FROM b), pf AS (SELECT variant, t, (count(*) FILTER (top >= t) + 1)::DOUBLE / {JOINT_REPS + 1} AS p FROM top GROUP BY 1, 2),
+fw AS (SELECT variant, max(p) OVER (ORDER BY t DESC, variant ROWS UNBOUNDED PRECEDING) AS p FROM pf), own AS (SELECT variant, d, se, t, quantile_cont(star, 0.975) AS hi, quantile_cont(star, 0.025) AS lo, count(*) FILTER (star >= t) AS n1, count(*) FILTER (abs(star) >= abs(t)) AS n2 FROM b GROUP BY 1, 2, 3, 4)
+SELECT variant AS entry, {rs('d AS net_edge', 'se', 't AS t_stat', 'd - hi * se AS ci_low', 'd - lo * se AS ci_high', f'(n1 + 1)::DOUBLE / {JOINT_REPS + 1} AS p_value', f'(n2 + 1)::DOUBLE / {JOINT_REPS + 1} AS p_value_two_sided', 'fw.p AS p_value_fwe')}, d - hi * se > 0 AS clears_bar, fw.p <= 0.05 AND t > 0 AS clears_bar_fwe FROM own JOIN fw USING (variant)"""
+
+
+@registered(_joint_sql())
+def joint_stepdown_formula(spark, sf):
+    """The joint test of all variants with blocks whose starts are a formula, so that SQL can draw the same ones."""
+    series, p = variant_returns(spark, sf)
+    board_series = series.select(F.col("variant").alias("entry"), "ordinal", F.col("ret").alias("x")).join(bar_of(p), "ordinal")
+    found = inference.joint_sharpe_tests(board_series, JOINT_REPS, BLOCK, seed=STARTS)
+    return found.select("entry", *map(r, ("net_edge", "se", "t_stat", "ci_low", "ci_high", "p_value", "p_value_two_sided", "p_value_fwe")), "clears_bar", "clears_bar_fwe")
+
+
 WINDOWS = {"early": ("1992-01-01", "1995-06-30"), "late": ("1995-07-01", "1998-12-31")}
 
 

@@ -71,7 +71,8 @@ def test_influence_is_centred_and_blocks_grow_with_dependence():
 def test_circular_blocks_wrap():
     at = inf.circular(np.array([[8, 1]]), 4, 6)
     assert at.tolist() == [[2, 3, 4, 5, 1, 2]]
-    assert inf.block_starts(10, 3, 4, 0).shape == (4, 4)
+    assert inf.block_starts(10, 3, 0, 4, 0).shape == (4, 4) and np.array_equal(inf.block_starts(10, 3, 2, 4, 0), inf.block_starts(10, 3, 0, 4, 0)[2:])
+    assert inf.block_starts(10, 5, 1, 3, (3, 4, 5)).tolist() == [[8, 2], [1, 5]] and inf.block_starts(10, 3, 2, 2, 0).shape == (0, 4)
 
 
 def test_joint_test_and_stepdown(spark):
@@ -147,6 +148,30 @@ def test_stepdown_counts_dead_columns(spark):
     assert not got.loc["d", "clears_bar_fwe"]
 
 
+@pytest.mark.parametrize("at_once", [1, 3, 7, 4096])
+def test_stepdown_in_ranges_equals_plain_loops(spark, at_once):
+    """Many hypotheses without a t of their own among them, for two boards."""
+    rng = np.random.default_rng(at_once)
+    rows, want = [], {}
+    for board in ("a", "b"):
+        t, star = np.where(rng.random(25) < 0.4, 0.0, rng.normal(1, 1, 25).round(1)), rng.normal(0, 1.2, (25, 19))
+        names = [f"h{k:02d}" for k in range(25)]
+        rows += [(board, names[k], float(t[k]), bool(t[k] != 0), r, float(star[k, r])) for k in range(25) for r in range(19)]
+        order, before = sorted(range(25), key=lambda k: (-t[k], names[k])), 0.0
+        for k, h in enumerate(order):
+            before = max(before, ((star[order[k:]].max(axis=0) >= t[h]).sum() + 1) / 20)
+            want[board, names[h]] = before
+    got = inf.stepdown(spark.createDataFrame(rows, "board string, entry string, t double, live boolean, rep int, t_star double"), keys=["board"], at_once=at_once).collect()
+    assert {(r["board"], r["entry"]): r["p_value_fwe"] for r in got} == pytest.approx(want)
+
+
+def test_hypotheses_are_sorted_by_range(spark):
+    """No window that orders hypotheses holds more than a range of them."""
+    rows = spark.createDataFrame([("a", 1.0, True, 0, 0.5)], "entry string, t double, live boolean, rep int, t_star double")
+    windows = [x for x in inf.stepdown(rows)._jdf.queryExecution().analyzed().toString().splitlines() if "Window [" in x and "[t#" in x]
+    assert len(windows) >= 2 and all("part#" in x.split("], [")[-2] for x in windows)
+
+
 def test_null_bar_is_cash(spark):
     x = ar(200, 0, 3)
     rows = long(spark, {"a": x}).withColumn("y", F.lit(None).cast("double"))
