@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from plumbline.lineage import settled
 from plumbline.operators.crosssection import day, information_coefficient, rank_average
-from plumbline.operators.timeseries import change, context, hold_between, low_volatility, momentum_12_1, monthly_hold, own, reversal, rolling
+from plumbline.operators.timeseries import change, context_blocks, hold_between, low_volatility, momentum_12_1, monthly_hold, own, reversal, rolling
 from plumbline.operators.universe import only_members
 from plumbline.panel import calendar, densify, only_finite
 
@@ -127,20 +127,26 @@ def trained_signal(
 def sequence_signal(panel: DataFrame, features: Sequence[str], predict: Callable[[np.ndarray], np.ndarray], n: int = 60, entry: str = "sequence", at_once: int = 4096) -> DataFrame:
     """(entry, date, ticker, value) of a model of each name's last ``n`` rows; names with fewer have none.
 
-    ``predict`` takes (windows, n, features) and gives a number for each window. Windows are made
-    where the rows are, by one shuffle, and handed over in batches of ``at_once``.
+    ``predict`` takes (windows, n, features) and gives a number for each window. A name's rows are
+    shuffled once in blocks, and windows are views of these, handed over in batches of ``at_once``.
     """
-    rows = panel.na.drop(subset=list(features)).withColumn("_w", context(list(features), n)).where("_w is not null")
-    flat = F.flatten(F.transform("_w", lambda x: F.array(*(x[f].cast("double") for f in features))))
+    blocks = context_blocks(panel.na.drop(subset=list(features)).withColumns({f: F.col(f).cast("double") for f in features}), features, n)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), at_once):
-                part = batch.iloc[start : start + at_once]
-                windows = np.stack(part["x"].to_numpy()).reshape(len(part), n, len(features))
-                yield pd.DataFrame({"date": part["date"], "ticker": part["ticker"], "value": np.asarray(predict(windows), dtype=float).ravel()})
-
-    out = rows.select("date", "ticker", flat.alias("x")).mapInPandas(run, "date date, ticker string, value double")
+            for k in range(batch.num_rows):
+                rows, core = batch["rows"][k].values, max(batch["core"][k].as_py(), n - 1)
+                x = np.column_stack([rows.field(f).to_numpy(zero_copy_only=False) for f in features])
+                if core >= len(x):
+                    continue
+                windows = np.lib.stride_tricks.sliding_window_view(x, n, axis=0)[core - n + 1 :].transpose(0, 2, 1)
+                for start in range(0, len(windows), at_once):
+                    part = windows[start : start + at_once]
+                    date = rows.field("date").slice(core + start, len(part))
+                    value = np.asarray(predict(part), dtype=float).ravel()
+                    yield pa.RecordBatch.from_arrays([date, pa.array([batch["ticker"][k].as_py()] * len(part), pa.string()), pa.array(value)], ["date", "ticker", "value"])
+
+    out = blocks.mapInArrow(run, "date date, ticker string, value double")
     return out.select(F.lit(entry).alias("entry"), "date", "ticker", "value")
 
 

@@ -167,8 +167,22 @@ def hold_between(spark, sf):
 @registered(f"""WITH {P1}, c AS (SELECT date, ticker, list(close) OVER (PARTITION BY ticker ORDER BY date ROWS 59 PRECEDING) AS ctx, lead(date) OVER (PARTITION BY ticker ORDER BY date) AS next_date FROM p1)
 SELECT date, ticker, CAST(len(ctx) AS INTEGER) AS bars, {rs('ctx[1] AS oldest', places=9)}, {rs('list_sum(ctx) / len(ctx) AS mean_close')} FROM c WHERE len(ctx) >= 15 AND next_date IS NOT NULL""")
 def context_windows(spark, sf):
-    p = weekly_brands(spark, sf).withColumns({"ctx": ts.context(["date", "close"], 60, least=15), "next_date": ts.ahead("date")}).where("ctx is not null and next_date is not null")
-    return p.select("date", "ticker", F.size("ctx").alias("bars"), r(F.col("ctx")[0]["close"], "oldest", places=9), r(F.aggregate("ctx", F.lit(0.0), lambda a, x: a + x["close"]) / F.size("ctx"), "mean_close"))
+    p = weekly_brands(spark, sf).withColumn("next_date", ts.ahead("date")).select("date", "ticker", "close", "next_date")
+    return _contexts(p, 60, 15).select("date", "ticker", "bars", r("oldest", places=9), r("mean_close"))
+
+
+@registered(f"""WITH {P2}, c AS (SELECT date, ticker, count(*) OVER v AS bars, first_value(close) OVER v AS oldest, avg(close) OVER v AS mean_close, lead(date) OVER (PARTITION BY ticker ORDER BY date) AS next_date FROM p2 WINDOW v AS (PARTITION BY ticker ORDER BY date ROWS 399 PRECEDING))
+SELECT date, ticker, CAST(bars AS INTEGER) AS bars, {rs('oldest', places=9)}, {rs('mean_close')} FROM c WHERE bars >= 400 AND next_date IS NOT NULL""")
+def context_of_400_bars(spark, sf):
+    p = daily_nations(spark, sf).withColumn("next_date", ts.ahead("date")).select("date", "ticker", "close", "next_date")
+    return _contexts(p, 400, 400).select("date", "ticker", "bars", r("oldest", places=9), r("mean_close"))
+
+
+def _contexts(p: DataFrame, n: int, least: int) -> DataFrame:
+    """The oldest and the mean close of each row's last n rows, for rows that another follows."""
+    mean = lambda w: F.aggregate(w, F.lit(0.0), lambda a, x: a + x["close"]) / F.size(w)
+    blocks = ts.context_blocks(p, ["close", "next_date"], n)
+    return ts.over_windows(blocks, n, {"oldest": lambda w: w[0]["close"], "mean_close": mean}, keep=("next_date",), least=least).where("next_date is not null")
 
 
 # --- cross section ------------------------------------------------------------------------

@@ -148,3 +148,50 @@ def test_source_choice_and_aliases(spark):
     t = spark.createDataFrame([("BRK.B",), ("FB",)], "ticker string")
     al = spark.createDataFrame([("FB", "META")], "ticker string, alias string")
     assert {(x.ticker, x.symbol) for x in un.with_aliases(t, al).collect()} == {("BRK.B", "BRK-B"), ("FB", "META")}
+
+
+@pytest.mark.parametrize("span", [1, 7, 60, 512])
+def test_smoothed_in_chunks_equals_pandas(spark, span):
+    """Nulls at the start, between and over whole chunks; a name without values; a mean of means."""
+    rng = np.random.default_rng(span)
+    days = pd.bdate_range("2020-01-01", periods=150)
+    parts = []
+    for k, share in enumerate((0.0, 0.3, 0.9, 1.0)):
+        x = rng.normal(10, 2, 150)
+        x[rng.random(150) < share] = np.nan
+        x[: 5 * k] = np.nan
+        x[40 : 40 + 25 * (k == 1)] = np.nan
+        parts.append(pd.DataFrame({"date": days.date, "ticker": f"n{k}", "x": x, "z": rng.normal(size=150), "_l": k}))
+    frame = pd.concat(parts)
+    columns = {"fast": ("x", 0.4), "slow": ("x", 0.05), "line": ("fast - slow + z", 0.2)}
+    got = ts.smoothed(spark.createDataFrame(frame).drop("_l"), columns, span=span).toPandas().sort_values(["ticker", "date"])
+    for name, g in frame.groupby("ticker"):
+        own = got[got["ticker"] == name]
+        for new, (x, alpha) in columns.items():
+            g[new] = g.eval(x).astype(float).ewm(alpha=alpha, adjust=False).mean()
+            assert np.allclose(own[new].astype(float), g[new], rtol=1e-10, atol=1e-12, equal_nan=True), (name, new)
+    assert len(got) == len(frame)
+
+
+def test_smoothing_cuts_a_history_and_refuses_weights_out_of_range(spark):
+    df = spark.createDataFrame([(dt.date(2020, 1, 1), "a", 1.0)], "date date, ticker string, x double")
+    plan = ts.smoothed(df, {"m": ("x", 0.5)})._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "_chunk" in plan
+    with pytest.raises(ValueError, match="alpha"):
+        ts.smoothed(df, {"m": ("x", 1.0)})
+
+
+@pytest.mark.parametrize(("n", "size", "least"), [(4, 5, 4), (4, 4, 1), (1, 3, 1), (30, 7, 30), (7, 1024, 3)])
+def test_windows_cut_from_blocks_equal_rolling(spark, n, size, least):
+    rng = np.random.default_rng(n)
+    frame = pd.concat([pd.DataFrame({"date": pd.bdate_range("2020-01-01", periods=m).date, "ticker": f"n{m}", "x": rng.normal(size=m)}) for m in (1, 4, 5, 29, 30, 60)])
+    blocks = ts.context_blocks(spark.createDataFrame(frame), ["x"], n, size=size)
+    total = lambda w: F.aggregate(w, F.lit(0.0), lambda a, r: a + r["x"])
+    got = ts.over_windows(blocks, n, {"total": total, "oldest": lambda w: w[0]["x"]}, keep=["x"], least=least).toPandas().sort_values(["ticker", "date"]).reset_index(drop=True)
+    g = frame.sort_values(["ticker", "date"]).groupby("ticker")["x"]
+    frame = frame.sort_values(["ticker", "date"]).assign(bars=g.cumcount() + 1, total=g.transform(lambda x: x.rolling(n, min_periods=1).sum()), oldest=g.transform(lambda x: x.shift(n - 1).fillna(x.iloc[0]))).reset_index(drop=True)
+    want = frame[frame["bars"] >= least].reset_index(drop=True)
+    assert len(got) == len(want) and np.allclose(got["total"], want["total"]) and np.allclose(got["oldest"], want["oldest"]) and np.allclose(got["x"], want["x"])
+    assert (got["bars"] == want["bars"].clip(upper=n)).all()
+    copies = blocks.selectExpr("size(rows) as n").agg(F.sum("n")).first()[0]
+    assert copies <= 2 * len(frame)
