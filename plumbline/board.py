@@ -12,6 +12,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.board_store import digest_of, kept_scores
 from plumbline.functions.inference import board_summary, joint_sharpe_tests, separate_sharpe_tests
 from plumbline.lineage import settled
 from plumbline.operators.backtest import COST_BPS
@@ -46,6 +47,11 @@ def build(spark: SparkSession, actual: DataFrame, entries: DataFrame, signals: D
     the contract raise ValueError.
     """
     scores, daily = score(signals, entries, actual, windows, investable, cost_bps)
+    return tested(scores, daily, windows, investable is not None, reps, seed)
+
+
+def tested(scores: DataFrame, daily: DataFrame, windows: dict[str, tuple[str, str]], against_index: bool, reps: int = 2000, seed: int = 0) -> tuple[DataFrame, list[dict]]:
+    """(rows, summaries) from scores and daily rows, made now or kept."""
     rows, summaries = None, []
     for window in windows:
         pairs = pairs_of(daily, window)
@@ -54,7 +60,7 @@ def build(spark: SparkSession, actual: DataFrame, entries: DataFrame, signals: D
         tests = settled(joint_sharpe_tests(pairs, reps, seed=seed))
         summaries.append({"window": window, **board_summary(tests).first().asDict()})
         own = scores.where(F.col("window") == window).drop("net_edge").join(tests, "entry")
-        if investable is not None:
+        if against_index:
             own = own.drop("edge_vs_investable").join(index_edges(daily, window, reps), "entry", "left")
         rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
     if rows is None:
@@ -93,13 +99,20 @@ def to_json(rows: list[dict], summaries: list[dict], provenance: dict | None = N
     return json.dumps({"windows": windows, "multiple_testing": summaries, "provenance": provenance or {}, "entries": rows}, default=str, indent=1)
 
 
-def build_from_files(spark: SparkSession, actual_path: str, submissions: str, bars_path: str | None = None, reps: int = 2000, seed: int = 0) -> tuple[str, str]:
-    """(JSON, markdown) of the board of all folders under ``submissions``."""
+def build_from_files(spark: SparkSession, actual_path: str, submissions: str, bars_path: str | None = None, reps: int = 2000, seed: int = 0, store: str | None = None) -> tuple[str, str]:
+    """(JSON, markdown) of the board of all folders under ``submissions``.
+
+    With ``store``, a folder, what was scored before is read from it and only changed entries are scored.
+    """
     actual = load_actual(spark, actual_path)
-    entries, signals, _ = load_submissions(spark, submissions)
     bars = load_bars(spark, bars_path) if bars_path else None
     investable = bars.where(F.col("bar") == INVESTABLE).select("date", "ret") if bars is not None else None
-    rows, summaries = build(spark, actual, entries, signals, investable=investable, reps=reps, seed=seed)
+    if store is None:
+        entries, signals, _ = load_submissions(spark, submissions)
+        rows, summaries = build(spark, actual, entries, signals, investable=investable, reps=reps, seed=seed)
+    else:
+        scores, daily, _ = kept_scores(spark, store, submissions, actual, digest_of(spark, actual_path), investable=investable, investable_digest=digest_of(spark, bars_path))
+        rows, summaries = tested(scores, daily, WINDOWS, investable is not None, reps, seed)
     found = [r.asDict() for r in ranked(rows).collect()]
     hashes = {r["path"]: r["sha256"] for r in digests(spark, actual_path).collect()}
     provenance = {"generated_at_utc": datetime.now(UTC).isoformat(), "actual": hashes, "submissions": submissions, "seed": seed}

@@ -53,7 +53,7 @@ def run_score(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def run_board(spark: SparkSession, a: argparse.Namespace) -> int:
-    text, page = build_from_files(spark, a.actual, a.submissions, a.bars, a.n_boot, a.seed)
+    text, page = build_from_files(spark, a.actual, a.submissions, a.bars, a.n_boot, a.seed, a.store)
     for path, body in ((f"{a.out}.json", text), (f"{a.out}.md", page)):
         write_text(spark, path, body)
     return 0
@@ -161,7 +161,7 @@ def parser() -> argparse.ArgumentParser:
     ranks = {"rule": {"choices": RULES, "default": "long_flat"}, "quantile": {"type": float, "default": 0.1}}
     boot = {"n_boot": {"type": int, "default": 2000}}
     command("score", run_score, signal={"flag": "signal"}, actual={"required": True}, kind={"choices": ("predictions", "weights"), "default": "predictions"}, start={}, end={}, cost_bps={"type": float, "default": 10.0}, bars={}, method={"choices": METHODS, "default": METHODS[0]}, **{k: dict(v) for k, v in (ranks | boot).items()})
-    command("board", run_board, submissions={"flag": "submissions"}, actual={"required": True}, bars={}, seed={"type": int, "default": 0}, out={"default": "leaderboard"}, **{k: dict(v) for k, v in boot.items()})
+    command("board", run_board, submissions={"flag": "submissions"}, actual={"required": True}, bars={}, seed={"type": int, "default": 0}, out={"default": "leaderboard"}, store={"help": "a folder that keeps scored entries from run to run"}, **{k: dict(v) for k, v in boot.items()})
     command("pbo", run_pbo, signals={"flag": "signals", "nargs": "+"}, actual={"required": True}, splits={"type": int, "default": 10}, **{k: dict(v) for k, v in ranks.items()})
     command("validate", run_validate, submissions={"flag": "submissions", "help": "the folder of all submissions, or that of one"}, actual={}, write_hash={"action": "store_true"}, json={"action": "store_true"})
     rule = {"choices": RULES, "default": "long_short"}

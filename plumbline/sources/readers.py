@@ -22,15 +22,15 @@ LEAST_VENDOR_ROWS = 250
 NANOS = "spark.sql.legacy.parquet.nanosAsLong"
 
 
-def _dated(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet file whose date column may hold nanoseconds, which are read as integers and made dates.
+def _dated(spark: SparkSession, *path: str) -> DataFrame:
+    """Parquet files whose date column may hold nanoseconds, which are read as integers and made dates.
 
     The session's option is set for the look at the file's columns only.
     """
     before = spark.conf.get(NANOS)
     spark.conf.set(NANOS, "true")
     try:
-        df = spark.read.parquet(path)
+        df = spark.read.parquet(*path)
     finally:
         spark.conf.set(NANOS, before)
     for name, kind in df.dtypes:
@@ -87,6 +87,34 @@ def _folder(path: Column) -> Column:
     return F.url_decode(F.element_at(F.split(path, "/"), -2))
 
 
+def _metadata(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.text(f"{root.rstrip('/')}/*/meta.json", wholetext=True).select(_folder(F.col("_metadata.file_path")).alias("entry"), F.col("value").alias("raw"))
+
+
+def _entries_of(raw: DataFrame) -> DataFrame:
+    value = lambda k: F.get_json_object("raw", f"$.{k}")
+    return raw.select("entry", value("kind").alias("kind"), F.coalesce(value("rule"), F.lit("long_flat")).alias("rule"), F.coalesce(value("quantile").cast("double"), F.lit(0.1)).alias("quantile"))
+
+
+def load_entries(spark: SparkSession, root: str) -> DataFrame:
+    """(entry, kind, rule, quantile) of all folders under root."""
+    return _entries_of(_metadata(spark, root))
+
+
+def signal_files(spark: SparkSession, root: str) -> DataFrame:
+    """(entry, path, length, modified) of every signal file under root, without reading any."""
+    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/signal.parquet")
+    return files.select(_folder(F.col("path")).alias("entry"), "path", "length", F.col("modificationTime").alias("modified"))
+
+
+def signals_from(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(entry, date, ticker, value) of the named signal files, or of those that a pattern names."""
+    df = _dated(spark, *paths)
+    tagged = df.withColumn("entry", _folder(F.col("_metadata.file_path")))
+    have = {c.lower(): c for c in df.columns}
+    return tagged.select("entry", F.col(have["date"]).cast("date").alias("date"), F.col(have["ticker"]).cast("string").alias("ticker"), number(F.col(have["value"])).alias("value"))
+
+
 def load_submissions(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entries, signals, metadata) of all folders under root, in one scan each.
 
@@ -95,16 +123,9 @@ def load_submissions(spark: SparkSession, root: str) -> tuple[DataFrame, DataFra
     signal file, null where that file is missing.
     """
     root = root.rstrip("/")
-    raw = spark.read.text(f"{root}/*/meta.json", wholetext=True).select(_folder(F.col("_metadata.file_path")).alias("entry"), F.col("value").alias("raw"))
+    raw = _metadata(spark, root)
     files = spark.read.format("binaryFile").load(f"{root}/*/signal.parquet").select(_folder(F.col("path")).alias("entry"), F.sha2("content", 256).alias("signal_digest"))
-    metadata = raw.join(files, "entry", "full")
-    value = lambda k: F.get_json_object("raw", f"$.{k}")
-    entries = raw.select("entry", value("kind").alias("kind"), F.coalesce(value("rule"), F.lit("long_flat")).alias("rule"), F.coalesce(value("quantile").cast("double"), F.lit(0.1)).alias("quantile"))
-    df = _dated(spark, f"{root}/*/signal.parquet")
-    tagged = df.withColumn("entry", _folder(F.col("_metadata.file_path")))
-    have = {c.lower(): c for c in df.columns}
-    signals = tagged.select("entry", F.col(have["date"]).cast("date").alias("date"), F.col(have["ticker"]).cast("string").alias("ticker"), number(F.col(have["value"])).alias("value"))
-    return entries, signals, metadata
+    return _entries_of(raw), signals_from(spark, [f"{root}/*/signal.parquet"]), raw.join(files, "entry", "full")
 
 
 def signal_columns(spark: SparkSession, root: str) -> DataFrame:

@@ -28,7 +28,7 @@ def write_entries(signals: DataFrame, path: str, mode: str = "errorifexists") ->
     rows.repartition("entry").write.mode(mode).option("compression", "zstd").partitionBy("entry").parquet(path)
 
 
-def digests(spark: SparkSession, path: str, inside: str | None = None) -> DataFrame:
+def digests(spark: SparkSession, path: str | list[str], inside: str | None = None) -> DataFrame:
     """(path, bytes, sha256) of every file, hashed where it is read; with ``inside`` of the files of that pattern in all folders below."""
     files = spark.read.format("binaryFile")
     if inside:
@@ -80,6 +80,11 @@ def _file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    files, p = _file_system(spark, path)
+    return files.exists(p)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """One small file, in any file system that Spark knows."""
     files, p = _file_system(spark, path)
