@@ -1,14 +1,14 @@
 """Probability of backtest overfitting by combinatorially symmetric cross-validation.
 
 Everything is relational: the series are reduced to sums per block once; a split is a bit mask
-with half of its bits set; a split's Sharpe ratios are sums over the blocks its bits name.
+with half of its bits set; a split's Sharpe ratios come from sums over subsets of two halves of the blocks.
 """
 
 from __future__ import annotations
 
 from math import comb
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.inference import FLOOR
@@ -31,22 +31,40 @@ def block_sums(series: DataFrame, size: int, blocks: int) -> DataFrame:
     return cut.groupBy("variant", "block").agg(F.sum("ret").alias("s1"), F.sum(F.col("ret") * F.col("ret")).alias("s2"))
 
 
+def half_sums(sums: DataFrame, first: int, blocks: int) -> DataFrame:
+    """(variant, mask, s1, s2): sums over every subset of the ``blocks`` blocks from ``first`` on; bit k of the mask is block first + k.
+
+    A block's row goes to the half of the subsets that hold it; the empty subset has a row of zeros.
+    """
+    own = sums.where((F.col("block") >= first) & (F.col("block") < first + blocks)).withColumn("_bit", F.pow(F.lit(2), F.col("block") - first).cast("int"))
+    masks = F.filter(F.sequence(F.lit(0), F.lit((1 << blocks) - 1)), lambda m: (m.bitwiseAND(F.col("_bit")) != 0) | ((m == 0) & (F.col("_bit") == 1)))
+    each = own.select("variant", F.explode(masks).alias("mask"), "s1", "s2")
+    zero = lambda c: F.when(F.col("mask") == 0, F.lit(0.0)).otherwise(F.col(c))
+    return each.groupBy("variant", "mask").agg(F.sum(zero("s1")).alias("s1"), F.sum(zero("s2")).alias("s2"))
+
+
 def split_sharpes(sums: DataFrame, size: int, blocks: int) -> DataFrame:
     """(split, variant, fit, test): the ratio of every variant on both halves of every split.
 
-    Each split meets each block by an equality on the block, so the join grows with
-    splits x blocks x variants, which is the size of the question. The sums grow with the
-    variants, so whether they are broadcast is left to the planner.
+    A split is a subset of the lower half of the blocks and one of the upper half that together
+    have half of the bits. The sums of all subsets of each half are made once, 2^(blocks / 2) rows
+    a variant, and joined by variant and number of bits, so each split and variant is one joined
+    row; what is not fitted is the whole less what is.
     """
-    splits = sums.sparkSession.range(1 << blocks).where(F.bit_count("id") == blocks // 2).select(F.col("id").alias("split"), F.posexplode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block", "_"))
-    rows = splits.select("split", "block", (F.expr("shiftright(split, block)").bitwiseAND(1) == 1).alias("fit")).join(sums, "block")
+    low, high = blocks // 2, blocks - blocks // 2
+    lower = half_sums(sums, 0, low).select("variant", F.col("mask").alias("_a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.bit_count("mask").alias("_bits"))
+    upper = half_sums(sums, low, high).select("variant", F.col("mask").alias("_b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"), (F.lit(blocks // 2) - F.bit_count("mask")).alias("_bits"))
+    whole = sums.groupBy("variant").agg(F.sum("s1").alias("w1"), F.sum("s2").alias("w2"))
+    rows = lower.join(upper, ["variant", "_bits"]).join(whole, "variant")
     n = float(size * (blocks // 2))
 
-    def sharpe(of):
-        m = F.sum(F.when(of, F.col("s1")).otherwise(0.0)) / n
-        return m / F.sqrt(F.greatest(F.sum(F.when(of, F.col("s2")).otherwise(0.0)) / n - m * m, F.lit(FLOOR)))
+    def sharpe(first: Column, second: Column) -> Column:
+        m = first / n
+        return m / F.sqrt(F.greatest(second / n - m * m, F.lit(FLOOR)))
 
-    return rows.groupBy("split", "variant").agg(sharpe(F.col("fit")).alias("fit"), sharpe(~F.col("fit")).alias("test"))
+    s1, s2 = F.col("a1") + F.col("b1"), F.col("a2") + F.col("b2")
+    split = F.col("_a").cast("long") + F.col("_b").cast("long") * (1 << low)
+    return rows.select(split.alias("split"), "variant", sharpe(s1, s2).alias("fit"), sharpe(F.col("w1") - s1, F.col("w2") - s2).alias("test"))
 
 
 def split_logits(series: DataFrame, days: int, blocks: int = 16) -> DataFrame:

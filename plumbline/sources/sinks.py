@@ -85,6 +85,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder in whatever file system it is."""
+    files, p = _file_system(spark, path)
+    files.delete(p, True)
+
+
+def rename_parts(spark: SparkSession, parts: str, key: str, folder: str, ending: str) -> None:
+    """Gives the one file of each partition ``key=value`` under ``parts`` the name value + ``ending`` in ``folder``; one rename for each value."""
+    files, made = _file_system(spark, parts)
+    _, there = _file_system(spark, folder)
+    files.mkdirs(there)
+    for part in files.listStatus(made):
+        name = part.getPath().getName()
+        if name.startswith(f"{key}="):
+            found = next(f.getPath() for f in files.listStatus(part.getPath()) if f.getPath().getName().startswith("part-"))
+            files.rename(found, _file_system(spark, f"{folder}/{name.removeprefix(f'{key}=')}{ending}")[1])
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """One small file, in any file system that Spark knows."""
     files, p = _file_system(spark, path)

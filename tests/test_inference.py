@@ -132,6 +132,28 @@ def test_overfitting(spark):
             overfit.check_geometry(800, blocks)
 
 
+@pytest.mark.parametrize("blocks", [4, 8, 10])
+def test_splits_by_halves_equal_sums_over_their_blocks(spark, blocks):
+    rng = np.random.default_rng(blocks)
+    rows = [(v, b, float(rng.normal()), float(rng.uniform(5, 9))) for v in ("a", "b", "c") for b in range(blocks)]
+    got = overfit.split_sharpes(spark.createDataFrame(rows, "variant string, block int, s1 double, s2 double"), 3, blocks).collect()
+    assert len(got) == 3 * overfit.combinations(blocks) == len({(r["split"], r["variant"]) for r in got})
+    each, n = {(v, b): (x, y) for v, b, x, y in rows}, 3 * blocks // 2
+    for r in got:
+        for fitted, ratio in ((1, r["fit"]), (0, r["test"])):
+            s1, s2 = (sum(each[r["variant"], b][k] for b in range(blocks) if r["split"] >> b & 1 == fitted) / n for k in (0, 1))
+            assert ratio == pytest.approx(s1 / np.sqrt(s2 - s1 * s1), rel=1e-9)
+        assert int(r["split"]).bit_count() == blocks // 2
+
+
+def test_split_rows_are_joined_once(spark):
+    """One joined row for each split and variant; the sums of each half's subsets are made before."""
+    sums = spark.createDataFrame([(v, b, 0.1 * b, 5.0) for v in ("a", "b") for b in range(8)], "variant string, block int, s1 double, s2 double")
+    assert overfit.half_sums(sums, 0, 4).count() == 2 * 16
+    plan = overfit.split_sharpes(sums, 3, 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 2 and "Cartesian" not in plan
+
+
 def test_simulated_boards_keep_their_size(spark):
     got = simulate.rejection_rates(spark, sims=40, reps=99, n=300, entries=2).first()
     assert got["sims"] == 40 and got["stepdown"] <= got["uncorrected"] <= 0.4
