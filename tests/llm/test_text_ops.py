@@ -515,7 +515,8 @@ def test_a_repeated_id_counts_once_in_training(spark):
 def test_every_query_returns_each_document_once(spark):
     n = spark.read.parquet(f"{SMALL}/documents.parquet").count()
     for name, query in queries.QUERIES.items():
-        if name not in ("op4_mix_sources", "op5_html_main_text"):
+        # Of the others op4 repeats documents, and those left out here return no documents.
+        if name not in ("op4_mix_sources", "op5_html_main_text", "op11_source_divergence", "op12_vector_tree", "op13_vector_codes"):
             assert query(spark, SMALL).select("doc_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first().asDict() == {"n": n, "d": n}, name
 
 
