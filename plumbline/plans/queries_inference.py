@@ -294,9 +294,10 @@ def submitted(p: DataFrame) -> tuple[DataFrame, DataFrame]:
     return p.sparkSession.createDataFrame(rows, "entry string, kind string, rule string, quantile double"), signals
 
 
-def scored(spark: SparkSession, sf: str, investable: bool = False) -> tuple[DataFrame, DataFrame]:
+def scored(spark: SparkSession, sf: str, investable: bool = False, names: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Scores and daily rows of the named entries, or of all."""
     p = priced(weekly_brands(spark, sf))
-    entries, signals = submitted(p)
+    entries, signals = (df.where(F.col("entry").isin(*names)) if names else df for df in submitted(p))
     return scoring.score(signals, entries, p.select("date", "ticker", "target"), WINDOWS, market_index(spark, sf) if investable else None)
 
 
@@ -317,14 +318,14 @@ def _window_sql() -> str:
 
 @registered(_window_sql())
 def window_scores(spark, sf):
-    scores, _ = scored(spark, sf)
-    return scores.where("entry in ('flat', 'short', 'top')").select("window", "entry", "days", "bar_used", *map(r, ("net_sharpe", "bar_sharpe", "net_edge", "gross_sharpe", "net_sharpe_20bps")))
+    scores, _ = scored(spark, sf, names=("flat", "short", "top"))
+    return scores.select("window", "entry", "days", "bar_used", *map(r, ("net_sharpe", "bar_sharpe", "net_edge", "gross_sharpe", "net_sharpe_20bps")))
 
 
 @registered(f"WITH {P4}, x AS (SELECT date, lead(vix) OVER (ORDER BY date) / vix AS q FROM p4), n AS (SELECT * FROM (VALUES ('early', DATE '1992-01-01', DATE '1995-06-30'), ('late', DATE '1995-07-01', DATE '1998-12-31')) t(win, s, e)), d AS (SELECT DISTINCT CAST(date_trunc('week', l_shipdate) AS DATE) AS date FROM lineitem) SELECT win AS \"window\", count(*) AS investable_days FROM n JOIN x ON x.date BETWEEN s AND e JOIN d ON d.date = x.date WHERE q IS NOT NULL GROUP BY 1")
 def investable_days(spark, sf):
-    scores, _ = scored(spark, sf, investable=True)
-    return scores.where("entry = 'always_long'").select("window", "investable_days")
+    scores, _ = scored(spark, sf, True, ("always_long",))
+    return scores.select("window", "investable_days")
 
 
 def _stress_sql() -> str:
@@ -344,8 +345,8 @@ def _stress_sql() -> str:
 
 @registered(_stress_sql())
 def stress_scores(spark, sf):
-    scores, _ = scored(spark, sf)
-    return scores.where("entry in ('short', 'sides')").select("window", "entry", "bar_used", *map(r, ("net_sharpe_borrow_500bps", "avg_exposure", "avg_short_exposure")))
+    scores, _ = scored(spark, sf, names=("short", "sides"))
+    return scores.select("window", "entry", "bar_used", *map(r, ("net_sharpe_borrow_500bps", "avg_exposure", "avg_short_exposure")))
 
 
 def _index_sql() -> str:
@@ -362,8 +363,8 @@ SELECT '{window}' AS "window", count(*) AS investable_days, {rs(f'{sr("i.ret")}
 
 @registered(_index_sql())
 def index_scores(spark, sf):
-    scores, _ = scored(spark, sf, investable=True)
-    return scores.where("entry = 'always_long'").select("window", "investable_days", r("investable_sharpe"), r("edge_vs_investable"))
+    scores, _ = scored(spark, sf, True, ("always_long",))
+    return scores.select("window", "investable_days", r("investable_sharpe"), r("edge_vs_investable"))
 
 
 @registered(f"""WITH {P1}, {actual_sql('p1')}, k AS (SELECT date, ticker, {SIDES} AS side, row_number() OVER (PARTITION BY date ORDER BY ticker) AS place, count(*) OVER (PARTITION BY date)::DOUBLE AS n FROM a WHERE target IS NOT NULL),

@@ -122,6 +122,14 @@ def test_closed_forms(spark):
     assert expected_max_sharpe(50, 1.0) > expected_max_sharpe(5, 1.0) > 0 and expected_max_sharpe(5, 0) == 0
 
 
+def test_normal_distribution_function(spark):
+    from statistics import NormalDist
+
+    z = [-40.0, -9.5, -6.0, -3.3, -1e-9, 0.0, 0.7, 2.5, 5.5, 8.9, 30.0]
+    got = spark.createDataFrame([(x,) for x in [*z, None, float("nan")]], "z double").select("z", normal_cdf("z").alias("p")).collect()
+    assert [r["p"] for r in got[: len(z)]] == pytest.approx([NormalDist().cdf(x) for x in z], abs=2e-15) and got[-2]["p"] is None and got[-1]["p"] is None
+
+
 def test_overfitting(spark):
     noise = simulate.variant_series(spark, 800, 8)
     real = simulate.variant_series(spark, 800, 8, edge=0.003, lucky=2)
