@@ -57,12 +57,19 @@ def refusals(signals: DataFrame, entries: DataFrame, actual: DataFrame, allow_sh
     long_short nor ``allow_short`` is given, and any entry with more than one value for a name
     on a day, whose positions would add up.
     """
-    twice = signals.groupBy("entry", "date", "ticker").agg(F.count("*").alias("n")).where("n > 1").select("entry", F.lit("duplicate rows").alias("reason")).distinct()
-    kinds = entries.where("kind = 'weights'").select("entry", ((F.col("rule") == "long_short") | F.lit(allow_short)).alias("_short"))
-    given = submitted_weights(signals.join(kinds, "entry"), actual)
-    allowed = kinds.where("_short").select("entry")
-    found = breaches(given.join(allowed, "entry", "left_semi"), True).unionByName(breaches(given.join(allowed, "entry", "left_anti")))
-    return found.unionByName(twice.join(entries.select("entry"), "entry", "left_semi"))
+    rules = entries.select("entry", (F.col("kind") == "weights").alias("_given"), ((F.col("rule") == "long_short") | F.lit(allow_short)).alias("_short"))
+    known = actual.where("target is not null").select("date", "ticker", F.lit(True).alias("_known")).dropDuplicates(["date", "ticker"])
+    rows = signals.join(rules, "entry").join(known, ["date", "ticker"], "left")
+    # Of weights only those count that a return meets; what repeats a key counts for all entries.
+    weight = F.when(F.col("_given") & F.col("_known"), F.col("value"))
+    each = rows.groupBy("entry", "_short", "date", "ticker").agg(F.count("*").alias("n"), F.sum(F.abs(weight)).alias("gross"), F.min(weight).alias("least"))
+    per = each.groupBy("entry", "_short", "date").agg(F.max("n").alias("n"), F.sum("gross").alias("gross"), F.min("least").alias("least"))
+    of = per.groupBy("entry", "_short").agg(F.max("n").alias("n"), F.max("gross").alias("gross"), F.min("least").alias("least"))
+    found = [
+        F.when(F.col("gross") > 1 + GROSS_SLACK, F.lit("gross exposure above one")), F.when(~F.col("_short") & (F.col("least") < -NEGATIVE_SLACK), F.lit("negative weights")),
+        F.when(F.col("n") > 1, F.lit("duplicate rows")),
+    ]
+    return of.select("entry", F.explode(F.array_compact(F.array(*found))).alias("reason"))
 
 
 def require_contract(signals: DataFrame, entries: DataFrame, actual: DataFrame, allow_short: bool = False) -> None:
