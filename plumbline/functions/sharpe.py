@@ -54,7 +54,7 @@ def normal_cdf(x: str | Column) -> Column:
     function. Beyond 9 the value is 0 or 1 to within the precision of a double.
     """
     given = F.col(x) if isinstance(x, str) else x
-    z = F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.nanvl(given, F.lit(None).cast("double"))))
+    z = F.greatest(F.lit(-FAR), F.least(F.lit(FAR), given))
     first = F.struct(z.alias("term"), z.alias("total"))
 
     def step(a: Column, k: Column) -> Column:
@@ -62,7 +62,7 @@ def normal_cdf(x: str | Column) -> Column:
         return F.struct(term.alias("term"), (a["total"] + term).alias("total"))
 
     series = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), first, step, lambda a: a["total"])
-    return F.when(given.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + series * F.exp(-z * z / 2) / math.sqrt(2 * math.pi))))
+    return F.when(given.isNotNull() & ~F.isnan(given), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + series * F.exp(-z * z / 2) / math.sqrt(2 * math.pi))))
 
 
 def expected_max_sharpe(n: int, variance: float) -> float:
