@@ -29,7 +29,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.decide(_table(spark, sf_dir, "documents"))
+    return exact_dedup.decide(_table(spark, sf_dir, "documents"), batches=2)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

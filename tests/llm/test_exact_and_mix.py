@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,9 +78,8 @@ def test_batches_equal_one_run_over_the_whole_table(spark):
     assert not spark.catalog.tableExists(index.name)
 
 
-def test_the_index_is_not_shuffled(spark, monkeypatch):
-    index = exact_dedup.DigestIndex(spark)
-    exact_dedup.decide(frame(spark, rows()[:4]), index)
+def above_the_index(spark, index, docs, monkeypatch):
+    """The plan's lines between the index and the merge join, from a batch run against it."""
     plans = []
     real = exact_dedup.cut
 
@@ -87,21 +87,70 @@ def test_the_index_is_not_shuffled(spark, monkeypatch):
         plans.append(df._jdf.queryExecution().executedPlan())
         return real(df)
 
-    monkeypatch.setattr(exact_dedup, "cut", kept_plan)
-    exact_dedup.decide(frame(spark), index)
-    text = plans[-1].toString().split("== Initial Plan ==")[0]  # that of the decisions, in which the index is joined twice
-    assert text.count("SortMergeJoin") == 2 and text.count(index.name) == 2 and "Bucketed: true" in text
-    depth = lambda line: len(line) - len(line.lstrip(" :|+-*()0123456789"))
-    lines = text.split("\n")
-    for k, line in enumerate(lines):
-        if index.name in line:
-            above, d = [], depth(line)
-            for other in reversed(lines[:k]):
-                if depth(other) < d:
-                    above.append(other)
-                    d = depth(other)
-            joins = next(j for j, x in enumerate(above) if "SortMergeJoin" in x)
-            assert not any("Exchange" in x or "Shuffle" in x for x in above[:joins])
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup, "cut", kept_plan)
+        exact_dedup.decide(docs, index)
+    text = plans[-1].toString().split("== Initial Plan ==")[0]
+    assert text.count("SortMergeJoin") == 1 and text.count(index.name) == 1 and "Bucketed: true" in text
+    depth = lambda line: len(line) - len(line.lstrip(" :|+-"))
+    lines = re.sub(r"\*\(\d+\) ", "", text).split("\n")
+    at = next(k for k, line in enumerate(lines) if index.name in line)
+    above, d = [], depth(lines[at])
+    for other in reversed(lines[:at]):
+        if depth(other) < d:
+            above.append(other)
+            d = depth(other)
+    return above[: next(j for j, x in enumerate(above) if "SortMergeJoin" in x)]
+
+
+def test_the_index_is_not_shuffled_and_once_compacted_not_sorted(spark, monkeypatch):
+    index = exact_dedup.DigestIndex(spark)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for k in range(2):
+        exact_dedup.decide(docs.where(f"doc_id % 4 = {k}"), index)
+    sizes = index.table().count()
+    above = above_the_index(spark, index, docs.where("doc_id % 4 = 2"), monkeypatch)
+    assert any("Sort" in x for x in above) and not any("Exchange" in x or "Shuffle" in x for x in above)
+    assert index.table().count() > sizes
+    before = index.table().toPandas().sort_values("digest", ignore_index=True)
+    index.compact()
+    assert len(index.table().inputFiles()) == index.buckets
+    assert index.table().toPandas().sort_values("digest", ignore_index=True).equals(before)
+    above = above_the_index(spark, index, docs, monkeypatch)
+    assert not any("Sort" in x or "Exchange" in x or "Shuffle" in x for x in above)
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
+
+
+@pytest.mark.parametrize("landed", [0.0, 0.4, 1.0])
+def test_a_batch_that_is_run_again_gets_the_same_answers(spark, landed):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    earlier, later = docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 <> 0")
+    want, index = exact_dedup.DigestIndex(spark), exact_dedup.DigestIndex(spark)
+    for used in (want, index):
+        exact_dedup.decide(earlier, used, batch="monday")
+    answers = sorted(map(tuple, exact_dedup.decide(later, want, batch="tuesday").collect()))
+    assert any(x[3] for x in answers) and want.table().count() > index.table().count()
+    # A run that failed after a part of its digests, or all, had been written.
+    index._append(want.table().where("batch = 'tuesday'").where(F.pmod(F.xxhash64("digest"), F.lit(1000)) < int(1000 * landed)))
+    for _ in range(2):
+        assert sorted(map(tuple, exact_dedup.decide(later, index, batch="tuesday").collect())) == answers
+    assert index.table().count() == want.table().count() == index.table().select("digest").distinct().count()
+    assert not any(x.kept for x in exact_dedup.decide(later, index, batch="wednesday").collect())
+
+
+def test_an_unfinished_compaction_is_not_opened(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=2, most_files=2)
+    for k in range(5):
+        exact_dedup.decide(frame(spark, [(k * 100 + j, f"text {k} {j}", None, None, 1) for j in range(20)]), index)
+    assert index.generation >= 1 and index.files().count() == index.table().count() == 100
+    index.table().limit(3).write.parquet(index._folder(index.generation + 1))
+    exact_dedup.remove(spark, f"{index._folder(index.generation + 1)}/_SUCCESS")
+    again = exact_dedup.DigestIndex(spark, buckets=2, path=index.path)
+    assert again.generation == index.generation and again.table().count() == 100
+    again.compact()
+    assert again.table().count() == 100 and exact_dedup.DigestIndex(spark, buckets=2, path=index.path).generation == again.generation
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, buckets=2, path=f"{index.path}/none")
 
 
 def test_a_third_of_all_rows_of_one_text(spark):
