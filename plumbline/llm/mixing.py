@@ -63,7 +63,7 @@ def mixed(
     key = F.coalesce(column(doc_id).cast("string"), F.lit(""))
     hashed = F.md5(F.encode(F.concat(F.lit(f"{seed}|"), key), "UTF-8"))
     rows = docs.select(*(column(c) for c in columns), key.alias("_pl_key"), (F.conv(F.substring(hashed, 1, DIGITS), 16, 10).cast("double") / SCALE).alias("_pl_u"))
-    joined = rows.join(steps, rows[source].eqNullSafe(steps["_pl_source"]))
+    joined = rows.join(steps, column(source).eqNullSafe(F.col("_pl_source")))
     copies = joined.withColumn("_pl_n", F.size(F.filter("_pl_cdf", lambda c: c <= F.col("_pl_u")))).where("_pl_n > 0")
     out = copies.select(*(column(c) for c in columns), "_pl_key", F.explode(F.sequence(F.lit(1), F.col("_pl_n"))).alias("copy_no"))
     out = out.withColumn("mix_key", F.md5(F.encode(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col("_pl_key"), F.col("copy_no").cast("string")), "UTF-8"))).drop("_pl_key")

@@ -207,6 +207,13 @@ def test_weights_reach_their_share(spark):
     assert mixing.mixed(docs, weights={"x": 1}).where("source = 'y'").count() == 0
 
 
+def test_names_with_dots(spark):
+    docs = spark.createDataFrame([(1, "a text", "x"), (2, "other", None)], "`doc.id` long, `the.text` string, `from.where` string")
+    out = mixing.mixed(docs, source="from.where", text="the.text", doc_id="doc.id", epochs=3.0)
+    plain = mixing.mixed(docs.toDF("doc_id", "text", "source"), epochs=3.0)
+    assert out.columns == [*docs.columns, "copy_no", "mix_key"] and sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, map(tuple, plain.collect())))
+
+
 def test_native_plans(spark):
     for name in ("op3_exact_dedup", "op4_mix_sources"):
         plan = queries.QUERIES[name](spark, SMALL)._jdf.queryExecution().toString()
