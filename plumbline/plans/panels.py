@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.lineage import settled
+from plumbline.operators.crosssection import day
 from plumbline.operators.timeseries import change, own
+from plumbline.panel import ratio
 
 DAMP = 0.02
 
@@ -52,6 +54,15 @@ def with_target(prices: DataFrame) -> DataFrame:
     return prices.withColumn("target", F.when((F.col("close") > 0) & (ahead > 0), DAMP * F.ln(ahead / F.col("close"))))
 
 
+def evenly_spread(actual: DataFrame) -> DataFrame:
+    """Targets with a deviation of DAMP on every day; as they are on days where they do not vary.
+
+    A price is a mean of rows, so the more rows a table has the less its prices change, while
+    costs are fixed: at six times sf0.1 they outweigh even what the answer itself earns.
+    """
+    return actual.withColumn("target", F.coalesce(DAMP * ratio(F.col("target"), F.stddev_samp("target").over(day())), F.col("target")))
+
+
 def momentum(panel: DataFrame, k: int, *entries: str) -> DataFrame:
     """(entry, date, ticker, value): the change over k rows, for each of the named entries."""
     entry = F.lit(entries[0]) if len(entries) == 1 else F.explode(F.array(*map(F.lit, entries)))

@@ -1,5 +1,9 @@
 """Every registered query against its SQL, and the others for rows and a stable schema."""
 
+import datetime as dt
+
+import duckdb
+import pandas as pd
 import pytest
 
 from plumbline import lineage
@@ -52,6 +56,19 @@ def test_the_tables_are_scanned_once(spark, monkeypatch, name, most):
     assert sum(p.count("Relation [") for p in plans) <= most
 
 
+def test_verdicts_do_not_depend_on_how_much_prices_vary(spark, tmp_path):
+    """Prices that are means of many rows hardly move; the answer is still found by its Sharpe ratio."""
+    parts = pd.DataFrame({"p_partkey": range(25), "p_brand": [f"Brand#{k}" for k in range(25)]})
+    weeks = [dt.datetime(1996, 1, 1) + dt.timedelta(weeks=k) for k in range(130)]
+    rows = [(k, 1.0, 100 + (k * k * 7 + w * w * 13 + k * w * 29) % 101 / 1000, d) for w, d in enumerate(weeks) for k in range(25)]
+    con = duckdb.connect()
+    lineitem = pd.DataFrame(rows, columns=["l_partkey", "l_quantity", "l_extendedprice", "l_shipdate"]).astype({"l_shipdate": "datetime64[us]"})
+    for name, frame in (("part", parts), ("lineitem", lineitem)):
+        con.register(f"_{name}", frame)
+        con.execute(f"COPY _{name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    assert_same(catalogue.QUERIES["validation_verdicts"](spark, str(tmp_path)).toPandas(), database(str(tmp_path)).execute(catalogue.ORACLE_SQL["validation_verdicts"]).df())
+
+
 def test_entry_module_reads_without_corpus_operators():
     import __spark_entry__
 
