@@ -69,6 +69,26 @@ def test_verdicts_do_not_depend_on_how_much_prices_vary(spark, tmp_path):
     assert_same(catalogue.QUERIES["validation_verdicts"](spark, str(tmp_path)).toPandas(), database(str(tmp_path)).execute(catalogue.ORACLE_SQL["validation_verdicts"]).df())
 
 
+def test_files_do_not_decide_between_means_equal_on_paper(spark, tmp_path):
+    """(28.64 + 36.51 + 88.18) / 3 is 51.11: added in another order the third day's value comes out above it."""
+    values = [(1, 28.64), (1, 36.51), (1, 88.18), (2, 40.0), (3, 51.11), (4, 60.0), (5, 70.0)]
+    rows = pd.DataFrame([(k, dt.datetime(2024, 1, d), 7, v) for k, (d, v) in enumerate(values)], columns=["event_id", "ts", "user_id", "value"]).astype({"ts": "datetime64[us]"})
+    got = []
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    for name, cuts in (("one", [0, 7]), ("two", [0, 1, 7])):
+        folder = tmp_path / name / "events.parquet"
+        folder.mkdir(parents=True)
+        for a, b in zip(cuts, cuts[1:]):
+            rows.iloc[a:b].to_parquet(folder / f"{a}.parquet", index=False)
+        got.append(catalogue.QUERIES["weights_long_flat"](spark, str(folder.parent)).toPandas())
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    one = duckdb.connect(config={"threads": 1})
+    one.register("events", rows)
+    want = one.execute(catalogue.ORACLE_SQL["weights_long_flat"]).df()
+    assert_same(got[0], want)
+    assert_same(got[1], want)
+
+
 def test_entry_module_reads_without_corpus_operators():
     import __spark_entry__
 
